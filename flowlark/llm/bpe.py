@@ -18,7 +18,7 @@ from . import textkit as tk
 #: Pieces of more bytes are merged by a heap, in n log n steps; shorter ones in matrices.
 LONG_PIECE = 256
 #: A Python worker forgets its caches of encoded pieces and units beyond so many.
-CACHE_PIECES, CACHE_UNITS = 1 << 19, 1 << 21
+CACHE_PIECES, CACHE_UNITS = 1 << 17, 1 << 19
 #: Bytes of text encoded at once.
 ENCODE_BYTES = 2 << 20
 

@@ -20,7 +20,7 @@ BAG_WORDS = 3
 TRAINING_ROWS = 2500
 EPOCHS, WHOLE_TEXT_EPOCHS, MIN_WORDS, DECAY = 50, 8, 4, 0.965
 #: A Python worker forgets its scored words beyond so many.
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 19
 
 
 def subwords(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
