@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,8 @@ from .scratch import partitions, saved
 EXTRA = 0.1
 #: Bytes of text whose n-grams are gathered before they are dealt out.
 FLUSH_BYTES = 8 << 20
-#: Slots of the frequency sketch that sets the global order: a fixed size (4 MB) for any input.
-SKETCH_BITS = 20
+#: Slots of the frequency sketch that sets the global order: a fixed size (4 MB of classes) for any input.
+SKETCH_BITS = 22
 #: A shard of the tree join holds at most so many sets and n-grams in each of two blocks.
 BLOCK_SETS, BLOCK_GRAMS = 2000, 2_000_000
 
@@ -186,22 +187,22 @@ def _sets(n: int):
     return run
 
 
-_SEGMENT = 1 << 14
+_SEGMENT = 1 << 16
 
 
 def _sketch_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << SKETCH_BITS, np.uint32)
     for batch in batches:
         for g in batch.column("grams"):
-            np.add.at(total, np.frombuffer(g.as_buffer(), np.uint64) >> np.uint64(64 - SKETCH_BITS), 1)
-    parts = [x.tobytes() for x in total.reshape(-1, _SEGMENT)]
+            total[np.frombuffer(g.as_buffer(), np.uint64) >> np.uint64(64 - SKETCH_BITS)] += 1  # a set: no slot but by chance twice
+    parts = [zlib.compress(x.tobytes(), 1) for x in total.reshape(-1, _SEGMENT)]
     yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["segment", "counts"])
 
 
 def _sketch_sum(pdf):
     total = np.zeros(_SEGMENT, np.uint64)
     for x in pdf["counts"]:
-        total += np.frombuffer(x, np.uint32)
+        total += np.frombuffer(zlib.decompress(x), np.uint32)
     pdf = pdf.iloc[:1].copy()
     pdf["counts"] = [np.minimum(np.log2(total + 1) * 4, 255).astype(np.uint8).tobytes()]
     return pdf
@@ -215,7 +216,7 @@ def frequency_classes(sets: DataFrame) -> np.ndarray:
     """
     parts = sets.select("grams").mapInArrow(_sketch_part, "segment int, counts binary").groupBy("segment").applyInPandas(_sketch_sum, "segment int, counts binary")
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for r in parts.collect():  # 64 rows of 16 kB, whatever the input
+    for r in parts.collect():  # 64 rows of 64 kB, whatever the input
         out[r.segment * _SEGMENT : (r.segment + 1) * _SEGMENT] = np.frombuffer(r.counts, np.uint8)
     return out
 
