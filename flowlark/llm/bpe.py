@@ -365,8 +365,17 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def ids_array(encoded: DataFrame) -> DataFrame:
     """``encoded`` with its ``ids`` as an array of integers."""
-    hexed = F.expr("transform(sequence(0, length(ids) div 4 - 1), i -> cast(conv(hex(reverse(substring(ids, 4 * i + 1, 4))), 16, 10) as int))")
-    return encoded.withColumn("ids", F.when(F.length("ids") == 0, F.array().cast("array<int>")).otherwise(hexed))
+    columns = encoded.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = tk.text_buffer(batch.column("ids").fill_null(b""))
+            ids = np.frombuffer(data[offs[0] : offs[-1]].tobytes(), "<i4")
+            listed = pa.ListArray.from_arrays(pa.array(((offs - offs[0]) // 4).astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([listed if c == "ids" else batch.column(c) for c in columns], names=columns)
+
+    schema = ", ".join(f"`{f.name}` {'array<int>' if f.name == 'ids' else f.dataType.simpleString()}" for f in encoded.schema)
+    return encoded.mapInArrow(run, schema)
 
 
 def _read(path: str) -> bytes:
