@@ -10,10 +10,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .scratch import new_path
+from .scratch import new_path, saved
 
 #: A block of more bytes is written as a first segment and continuation records.
 SEGMENT_BYTES = 64 << 10
@@ -110,13 +110,11 @@ def write(pages: DataFrame, path: str) -> None:
     joined = rows.join(decided, "page_id").where(F.sha1("payload") == F.col("_sha1"))
     once = joined.withColumn("_n", F.row_number().over(_by_page())).where("_n = 1").drop("_n")
     records = once.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-def _by_page():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("page_id").orderBy("url")
+def _by_page() -> WindowSpec:
+    return Window.partitionBy("page_id", "_sha1").orderBy("url")  # as the join dealt them
 
 
 def _parse(content: bytes) -> Iterator[tuple]:
@@ -221,7 +219,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write(pages, path)
-    found = digests(read(spark, path).select("record_id", "type", "page_id", "refers_to", "payload"))
+    found = saved(digests(read(spark, path).select("record_id", "type", "page_id", "refers_to", "payload")), "records")
     response = found.where("type = 'response'")
     target = response.select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("target"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"))
     revisit = found.where("type = 'revisit'").select("page_id", "refers_to").join(target, "refers_to")
