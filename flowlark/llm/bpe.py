@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .scratch import small_batches
 
 #: Pieces of more bytes are merged by a heap, in n log n steps; shorter ones in matrices.
 LONG_PIECE = 256
@@ -324,6 +325,7 @@ def encode(docs: DataFrame, path: str, pattern: str, columns: list[str] | None =
     null or empty text has no ids.  Rows are kept as they are, repeated ones too; use
     ``ids_array`` for an array of integers.
     """
+    small_batches(docs.sparkSession)
     source = _read(path)
     columns = [c for c in columns or [key] if c != "ids"]
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .components import components, forest
-from .scratch import partitions, saved
+from .scratch import partitions, saved, small_batches
 
 #: Part of a set, beyond the prefix that every partner must meet, that is used to count shared n-grams.
 EXTRA = 0.1
@@ -400,6 +400,7 @@ def ngram_components(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFram
        make the components.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = partitions(spark)
     buckets = 4 * parts
     source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .scratch import small_batches
+
 ROUNDS = 8
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -210,6 +212,7 @@ def protect(docs: DataFrame, key: bytes, columns: list[str] | None = None) -> Da
     valid stays.  A null text stays null, an empty one empty.  Columns named like a
     new one are replaced.
     """
+    small_batches(docs.sparkSession)
     columns = [c for c in columns or ["doc_id"] if c not in ("n_found", "found")]
     base = docs.select(*dict.fromkeys([*columns, "text"]))
     names = [c for c in base.columns if c in columns and c != "text"]

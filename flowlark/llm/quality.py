@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .labelled import fold, sample
+from .scratch import small_batches
 
 #: Hashed words and the length of their context vectors: a table of fixed size (4 MB).
 WORD_BITS, DIMENSIONS = 15, 32
@@ -150,6 +151,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     named like a new one are replaced; rows without a doc_id are scored, ``held_out``
     is then null.
     """
+    small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     vectors = word_vectors(docs)
     table = context.broadcast(vectors)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .scratch import partitions, saved
+from .scratch import partitions, saved, small_batches
 
 #: Words in an anchor; a window is indexed under the smallest anchor hash that it holds.
 ANCHOR_WORDS = 5
@@ -190,6 +190,7 @@ def duplicate_factors(docs: DataFrame, window: int = 20) -> DataFrame:
     factor are found too.  A task first factors its own text, so what it deals
     out has each frequent passage once.
     """
+    small_batches(docs.sparkSession)
     parts = partitions(docs.sparkSession)
     source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = source.mapInArrow(_deal(window, 4 * parts), _DEALT)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .labelled import fold, sample
+from .scratch import small_batches
 
 #: Character n-grams of a word and its two edges, hashed into slots of a table of vectors.
 SUBWORDS, SLOT_BITS, DIMENSIONS = (3, 4, 5), 18, 8
@@ -180,6 +181,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     one class alone, all score the base rate.  Other columns are ignored, repeated
     rows scored alike; rows without a doc_id are scored, ``held_out`` is then null.
     """
+    small_batches(docs.sparkSession)
     chosen = sample(labels, label, fold("doc_id", folds) != held_out, rows)
     learnt = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     pdf = learnt.select("doc_id", "text", "label").toPandas().sort_values("doc_id")  # bounded by rows

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .scratch import new_path, saved
+from .scratch import new_path, saved, small_batches
 
 #: A block of more bytes is written as a first segment and continuation records.
 SEGMENT_BYTES = 64 << 10
@@ -89,6 +89,7 @@ def write(pages: DataFrame, path: str) -> None:
     url is named after the page.  Rows without a page_id are left out; repeated
     rows of one page are written once.  Other columns are ignored.
     """
+    small_batches(pages.sparkSession)
     rows = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     keyed = rows.select("page_id", F.sha1("payload").alias("sha1"), F.length("payload").alias("size"))
     keyed = keyed.groupBy("page_id").agg(F.max(F.struct("sha1", "size")).alias("x")).select("page_id", "x.*")
@@ -151,6 +152,8 @@ def _parse(content: bytes) -> Iterator[tuple]:
 def records(spark: SparkSession, path: str) -> DataFrame:
     """All records of the archives at ``path``, as they stand: segments are rows of their own."""
 
+    small_batches(spark)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
