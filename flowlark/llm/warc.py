@@ -10,7 +10,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import new_path, saved, small_batches
@@ -108,16 +108,13 @@ def write(pages: DataFrame, path: str) -> None:
                     out, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    joined = rows.join(decided, "page_id").where(F.sha1("payload") == F.col("_sha1"))
-    once = joined.withColumn("_n", F.row_number().over(_by_page())).where("_n = 1").drop("_n")
+    # The join and the window share one exchange by page; of rows of one page, that which was decided on comes first.
+    first = Window.partitionBy("page_id").orderBy(F.desc(F.sha1("payload")), F.desc(F.length("payload")), "url")
+    once = rows.join(decided, "page_id").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     records = once.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
     records.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-def _by_page() -> WindowSpec:
-    return Window.partitionBy("page_id", "_sha1").orderBy("url")  # as the join dealt them
-
-
 def _parse(content: bytes) -> Iterator[tuple]:
     """The records of one archive, gzipped (one member or many) or plain."""
     if content[:2] == b"\x1f\x8b":
