@@ -70,16 +70,28 @@ def groups(edges: DataFrame, threshold: float) -> DataFrame:
     return ranked.join(mine, ranked.ip == mine.a, "left").select("ip", F.coalesce("leader", "ip").alias("leader"))
 
 
-def knee_points(sizes: DataFrame, k: int = 100) -> DataFrame:
-    """``(rank, size, change)``: where the slope of the cumulated size counts changes most.
+def knee_points(sizes: DataFrame, k: int = 100, part: tuple[str, ...] = ()) -> DataFrame:
+    """``(*part, rank, size, change)``: where the slope of the cumulated size counts changes most.
 
     Sizes are ordered by how often they occur, rarest first (ties: the larger size
     first); the cumulated counts of a few thousand distinct sizes fit one task.
     """
-    by = Window.orderBy("f", F.desc("size"))
-    freq = sizes.groupBy("size").agg(F.count("*").alias("f"))
-    cum = freq.withColumn("cum", F.sum("f").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("f").over(Window.partitionBy()))
+    by = Window.partitionBy(*part).orderBy("f", F.desc("size"))
+    freq = sizes.groupBy(*part, "size").agg(F.count("*").alias("f"))
+    cum = freq.withColumn("cum", F.sum("f").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("f").over(Window.partitionBy(*part)))
     slope = (F.lead("cum").over(by) - F.col("cum")) / F.col("total") / (F.lead("size").over(by) - F.col("size"))
     sloped = cum.withColumn("slope", slope).withColumn("next_size", F.lead("size").over(by)).withColumn("change", F.abs(F.lead("slope").over(by) - F.col("slope")))
-    ranked = sloped.where("change is not null").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("change"), "next_size")))
-    return ranked.where(F.col("rank") <= k).select("rank", F.col("next_size").alias("size"), "change")
+    ranked = sloped.where("change is not null").withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy(F.desc("change"), "next_size")))
+    return ranked.where(F.col("rank") <= k).select(*part, "rank", F.col("next_size").alias("size"), "change")
+
+
+def small_cluster_limit(clusters: DataFrame, part: tuple[str, ...] = ()) -> DataFrame:
+    """``(*part, limit)``: up to how many members, the leader apart, a cluster counts as small.
+
+    ``clusters`` is ``(*part, size)``, leaders included, with size 1 for each loner.  The limit is one less than
+    the first knee below the lower quartile of the clusters' members without leaders; 0 if there is none.
+    """
+    quartile = clusters.groupBy(*part).agg(F.percentile(F.when(F.col("size") > 1, F.col("size") - 1), F.lit(0.25)).alias("q1"))
+    knees = knee_points(clusters, part=part)
+    both = quartile.join(knees, list(part), "left") if part else quartile.crossJoin(F.broadcast(knees))
+    return both.groupBy(*part).agg(F.coalesce(F.min_by(F.col("size") - 1, F.when(F.col("size") < F.col("q1"), F.col("rank"))), F.lit(0)).cast("long").alias("limit"))
