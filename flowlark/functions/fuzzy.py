@@ -134,9 +134,13 @@ def grams(value: Column) -> Column:
     parts = F.split(value, ":")
 
     def of(signature: Column, block: Column) -> Column:
-        text = F.regexp_replace(signature, r"(.)\1{3,}", "$1$1$1")
-        places = F.when(F.length(text) >= WINDOW, F.sequence(F.lit(1), F.length(text) - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.concat_ws(":", block.cast("string"), F.substr(text, i, F.lit(WINDOW))))
+        def cut(text: Column) -> Column:
+            places = F.when(F.length(text) >= WINDOW, F.sequence(F.lit(1), F.length(text) - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
+            return F.transform(places, lambda i: F.substr(text, i, F.lit(WINDOW)))
+
+        # Inside the outer transform the shortened signature is a bound value, worked out once and not for each place.
+        shortened = F.array(F.struct(block.cast("string").alias("block"), F.regexp_replace(signature, r"(.)\1{3,}", "$1$1$1").alias("text")))
+        return F.flatten(F.transform(shortened, lambda s: F.transform(cut(s["text"]), lambda gram: F.concat_ws(":", s["block"], gram))))
 
     return F.array_distinct(F.concat(of(parts[1], block_size(value)), of(parts[2], 2 * block_size(value))))
 

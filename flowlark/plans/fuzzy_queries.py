@@ -59,9 +59,9 @@ def rep_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def upgma(spark: SparkSession, d: str) -> DataFrame:
-    """The tree of clusters and loners of each day and protocol."""
-    tree = C.average_linkage(B._kept(_heads(spark, d).select("part", "idx", "hash")))
-    return tree.select("part.proto", "part.date", "round", "a", "b", F.round("distance", 9).alias("distance"), "size")
+    """The tree of all days' clusters and loners of each protocol."""
+    tree = C.average_linkage(B._kept(_heads(spark, d).select("part.proto", "idx", "hash").withColumnRenamed("proto", "part")))
+    return tree.select(F.col("part").alias("proto"), "round", "a", "b", F.round("distance", 9).alias("distance"), "size")
 
 
 def trend_merge(spark: SparkSession, d: str) -> DataFrame:
