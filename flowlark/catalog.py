@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlark.plans import behaviour_queries, fuzzy_queries, session_queries
+from flowlark.plans import behaviour_queries, fuzzy_queries, group_queries, session_queries
 
 FLAGSHIP = "sessions"
-_FOUND = session_queries.FOUND | behaviour_queries.FOUND | fuzzy_queries.FOUND
+_FOUND = session_queries.FOUND | behaviour_queries.FOUND | group_queries.FOUND | fuzzy_queries.FOUND
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -41,33 +41,43 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _like_sets(edges: DataFrame) -> DataFrame:
+    """``(ip, same)``: the smallest address with the same set of behaviours.
+
+    Sets count as equal if their sizes and two 64-bit combinations of hashes are.
+    """
+    one = edges.groupBy("ip").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cluster")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "cluster")).alias("g"))
+    return one.join(one.groupBy("n", "h", "g").agg(F.min("ip").alias("same")), ["n", "h", "g"]).select("ip", "same")
+
+
 def groups(edges: DataFrame, threshold: float) -> DataFrame:
-    """``(ip, leader)`` by greedy grouping in order of behaviours, most first; loners lead themselves alone.
+    """``(ip, leader)`` by greedy grouping in order of behaviours, most first (ties: the smaller address); loners lead themselves alone.
 
     Going down the order, an address that is still free takes all free addresses
-    that score more than ``threshold`` with it.  Its leaders are the
-    first maximal independent set of that order, found in rounds (all addresses
-    that precede their free neighbours at once), and each other address belongs to
-    its earliest leader.
+    that score more than ``threshold`` (below 1) with it.  Addresses with equal sets score 1
+    with each other and alike with all others, so one of each set stands for them all: pairs
+    are made between distinct sets only.  Leaders are the first maximal
+    independent set of that order, found in rounds (all that precede their free neighbours
+    at once), and each other set belongs to its earliest leader.
     """
-    ranked = edges.groupBy("ip").count().withColumn("_r", F.struct(-F.col("count"), F.col("ip"))).select("ip", "_r")
-    ranked = _kept(ranked)
-    pairs = pair_scores(edges, threshold)
-    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    edges = edges.select("ip", "cluster").distinct()
+    like = _kept(_like_sets(edges))
+    one = edges.join(like.where("ip = same").select("ip"), "ip", "left_semi")
+    ranked = _kept(one.groupBy("ip").count().select("ip", F.struct(-F.col("count"), F.col("ip")).alias("_r")))
+    pairs = _kept(pair_scores(one, threshold).select("a", "b"))
+    both = pairs.union(pairs.select("b", "a"))
     both = both.join(ranked.select(F.col("ip").alias("b"), F.col("_r").alias("rb")), "b").join(ranked.select(F.col("ip").alias("a"), F.col("_r").alias("ra")), "a")
     both = _kept(both.select("a", "b", "ra", "rb"))
-    free, leaders, live = ranked, None, both
-    while not free.isEmpty():
-        first = free.join(live.groupBy("a").agg(F.min("rb").alias("m")), free.ip == F.col("a"), "left").where("m is null or _r < m").select("ip", "_r")
-        first = _kept(first)
-        leaders = first if leaders is None else leaders.union(first)
-        gone = _kept(first.select("ip").union(live.join(first, live.b == first.ip, "left_semi").select("a")).distinct())
-        free = _kept(free.join(gone, "ip", "left_anti"))
-        live = _kept(live.join(gone, live.a == gone.ip, "left_anti").join(gone, F.col("b") == gone.ip, "left_anti"))
+    live, leaders = both, None
+    while not live.isEmpty():
+        first = _kept(live.groupBy("a", "ra").agg(F.min("rb").alias("m")).where("ra < m").select(F.col("a").alias("b"), F.col("ra").alias("lead")))
+        leaders = first if leaders is None else leaders.unionByName(first)
+        gone = _kept(first.select("b").union(live.join(first, "b", "left_semi").select("a")).distinct())
+        live = _kept(live.join(gone, "b", "left_anti").join(gone.withColumnRenamed("b", "a"), "a", "left_anti"))
     if leaders is None:
-        return ranked.select("ip", F.col("ip").alias("leader"))
-    mine = both.join(leaders.select(F.col("ip").alias("b"), F.col("_r").alias("_lead")), "b").groupBy("a").agg(F.min_by("b", "_lead").alias("leader"))
-    return ranked.join(mine, ranked.ip == mine.a, "left").select("ip", F.coalesce("leader", "ip").alias("leader"))
+        return like.select("ip", F.col("same").alias("leader"))
+    mine = both.join(leaders, "b").groupBy("a").agg(F.min_by("b", "lead").alias("leader")).withColumnRenamed("a", "same")
+    return like.join(mine, "same", "left").select("ip", F.coalesce("leader", "same").alias("leader"))
 
 
 def knee_points(sizes: DataFrame, k: int = 100, part: tuple[str, ...] = ()) -> DataFrame:

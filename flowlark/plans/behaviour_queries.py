@@ -42,10 +42,6 @@ def pair_similarity(spark: SparkSession, d: str) -> DataFrame:
     return found.select("a", "b", "common", F.round("score", 9).alias("score"))
 
 
-def ip_groups(spark: SparkSession, d: str) -> DataFrame:
-    return B.groups(B.prune(user_edges(spark, d)), 0.5)
-
-
 def prune_singletons(spark: SparkSession, d: str) -> DataFrame:
     return B.prune(user_edges(spark, d))
 
@@ -201,7 +197,6 @@ FOUND = {
     "onehot_edges": (onehot_edges, f"WITH {_EDGES}, e AS (SELECT DISTINCT ip, CASE WHEN contains(cluster, '1') THEN 'ones' ELSE cluster END AS cluster FROM edges) SELECT cluster, count(*) AS ips FROM e GROUP BY 1"),
     "prune_singletons": (prune_singletons, f"WITH {_UEDGES}, {_PRUNED} SELECT ip, cluster FROM e2"),
     "pair_similarity": (pair_similarity, f"WITH {_UEDGES}, {_PRUNED}, {_SIZES} SELECT a, b, common, round(score, 9) AS score FROM pairs WHERE score > 0.1"),
-    "ip_groups": (ip_groups, None),
     "group_stats": (group_stats, f"WITH {_GROUPS}, p AS (SELECT DISTINCT g, ip, country FROM rows), c AS (SELECT g, country, count(*) AS n FROM p GROUP BY 1, 2), m AS (SELECT g, arg_max(country, struct_pack(n := n, c := country)) AS main_country, CAST(sum(n) AS BIGINT) AS ip_num, count(*) AS unique_country_num, string_agg(country, ',' ORDER BY country) AS country_set FROM c GROUP BY 1) SELECT m.*, x.unique_cluster_num, x.unique_protocols_num, x.sessions FROM m JOIN (SELECT g, count(DISTINCT cluster) AS unique_cluster_num, count(DISTINCT substr(cluster, 1, 7)) AS unique_protocols_num, count(*) AS sessions FROM rows GROUP BY 1) x USING (g)"),
     "group_country_portion": portions("country"),
     "group_cluster_portion": portions("cluster"),
