@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, neighbours, ngram_join, packing, pii, quality, substring_dedup, toxicity, warc
+from . import bpe, embedding_dedup, neighbours, ngram_join, oracles, packing, pii, quality, substring_dedup, toxicity, warc
 
 #: Key of the pseudonyms in these queries; whoever uses the operator brings a secret one.
 EXAMPLE_KEY = b"key for examples only"
@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_ngram_join": oracles.NGRAM_JOIN, "op2_embedding_dedup": oracles.EMBEDDING_DEDUP, "op3_substring_dedup": oracles.SUBSTRING_DEDUP, "op9_warc": oracles.WARC}
