@@ -76,6 +76,9 @@ def groups(edges: DataFrame, threshold: float) -> DataFrame:
         live = _kept(live.join(gone, "b", "left_anti").join(gone.withColumnRenamed("b", "a"), "a", "left_anti"))
     if leaders is None:
         return like.select("ip", F.col("same").alias("leader"))
+    # Who lost all neighbours to others before its turn leads too, and may precede the leaders found so far.
+    taken = both.join(leaders, "b", "left_semi").select(F.col("a").alias("ip")).distinct()
+    leaders = ranked.join(taken, "ip", "left_anti").select(F.col("ip").alias("b"), F.col("_r").alias("lead"))
     mine = both.join(leaders, "b").groupBy("a").agg(F.min_by("b", "lead").alias("leader")).withColumnRenamed("a", "same")
     return like.join(mine, "same", "left").select("ip", F.coalesce("leader", "same").alias("leader"))
 

@@ -39,6 +39,13 @@ def test_groups_with_copies(spark):
     assert B.groups(df.limit(0), 0.5).count() == 0
 
 
+def test_leader_whose_neighbours_all_went_first(spark, monkeypatch):
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 5), (4, 5)], "a long, b long")
+    monkeypatch.setattr(B, "pair_scores", lambda edges, threshold: pairs)
+    edges = spark.createDataFrame([(i, i) for i in range(1, 6)], "ip long, cluster long")
+    assert {r.ip: r.leader for r in B.groups(edges, 0.5).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 3}
+
+
 def test_group_figures(spark):
     groups = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "ip long, leader long")
     rows = [(1, "x", "p", "A", 10), (1, "y", "p", None, 5), (2, "x", "p", "A", 7), (3, "x", "q", "B", 1), (2, "z", "q", "A", 1), (None, "x", "q", "A", 1)]
