@@ -180,25 +180,69 @@ KINDS: list[tuple[str, str, Callable[[Feistel, str, bool], str | None]]] = [
     ("card", r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])", _card),
 ]
 _PATTERN = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern, _ in KINDS), re.ASCII)
-_MAKE = {kind: make for kind, _, make in KINDS}
+_SINGLE = [(kind, re.compile(pattern, re.ASCII), make) for kind, pattern, make in KINDS]
+_AT = {kind: i for i, (kind, _, _) in enumerate(KINDS)}
+_EMAIL = _SINGLE[_AT["email"]][1]
+#: Digits of cards by their first digit, and characters of account numbers by country; others have any length.
+_CARD_LENGTHS = {"2": (16,), "3": (14, 15, 16), "4": (13, 16, 19), "5": (16,)}
+_IBAN_LENGTHS = {x[:2]: (int(x[2:]),) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 "
+    "KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()}
 #: All that the patterns find holds one of these.
 _HINT = re.compile(r"[0-9@]|AKIA|(?:password|passwd|token|secret|api_key)\s?[:=]")
 
 
+def _ends(kind: str, text: str) -> list[int]:
+    """Where a value of ``kind`` may end within a match: behind groups that make a usual length, shortest first, and at its end."""
+    if kind == "card":
+        lengths = _CARD_LENGTHS.get(text[0], range(13, 20))
+    elif kind == "iban":
+        lengths = _IBAN_LENGTHS.get(text[:2], range(15, 35))
+    else:
+        return [len(text)]
+    inner = [i for i, c in enumerate(text) if c in " -" and len(re.sub("[ -]", "", text[:i])) in lengths]
+    return [*inner, len(text)]
+
+
+def _candidates(text: str, m: re.Match) -> Iterator[tuple[str, int, Callable]]:
+    """(kind, end, pseudonym) of all that may be personal data from the start of ``m`` on, in the order of trial."""
+    start = m.start()
+    for kind, pattern, make in _SINGLE[_AT[m.lastgroup] :]:
+        if not (one := pattern.match(text, start)):
+            continue
+        if kind == "secret" and not one[0].startswith("AKIA"):
+            body = start + len(re.match(r"[^:=]*[:=]\s*[\"']?", one[0])[0])
+            if (mail := _EMAIL.match(text, body)) and ".." not in mail[0]:
+                continue  # an address, of which the secret would be a part
+        for end in _ends(kind, one[0]):
+            yield kind, start + end, make
+
+
 def pseudonymise(text: str, feistel: Feistel, back: bool = False) -> tuple[str, dict[str, int]]:
     """(the text with pseudonyms, how many of each kind); ``back`` restores a text that this made."""
     found: dict[str, int] = {}
     if not _HINT.search(text):
         return text, found
-
-    def new(m: re.Match) -> str:
-        made = _MAKE[m.lastgroup](feistel, m[0], back)
-        if made is None:  # looks like it, but isn't valid
-            return m[0]
-        found[m.lastgroup] = found.get(m.lastgroup, 0) + 1
-        return made
-
-    return _PATTERN.sub(new, text), found
+    out, at, m = [], 0, _PATTERN.search(text)
+    failed: list[tuple[int, int, Callable]] = []  # what looked alike, wasn't valid and may reach into what comes
+    while m:
+        start, taken = m.start(), None
+        failed = [x for x in failed if x[1] > start]
+        for kind, end, make in _candidates(text, m):
+            made = make(feistel, text[start:end], back)
+            if made is None:
+                failed.append((start, end, make))
+                continue
+            # What failed must fail beside the pseudonym too, or the way back would take it.
+            while any(x < end and y > start and other(feistel, text[x:start] + made[: max(y - start, 0)] + text[end:y], back) is not None for x, y, other in failed):
+                made = make(feistel, made, back)
+            found[kind] = found.get(kind, 0) + 1
+            out += [text[at:start], made]
+            at = taken = end
+            break
+        m = _PATTERN.search(text, start + 1 if taken is None else taken)
+    return "".join(out) + text[at:], found
 
 
 def protect(docs: DataFrame, key: bytes, columns: list[str] | None = None) -> DataFrame:
@@ -209,7 +253,10 @@ def protect(docs: DataFrame, key: bytes, columns: list[str] | None = None) -> Da
     ranges, the calendar).  Each value is mapped within its own format by a keyed
     permutation: equal values are equal in every document, different ones stay
     different, and the holder of the key can go back.  What looks alike but isn't
-    valid stays.  A null text stays null, an empty one empty.  Columns named like a
+    valid stays, but all that starts within it is tried; a card or account number
+    ends behind the first groups that make a valid one of a usual length.  Only where
+    a pseudonym would make such a text around it valid is it permuted again, so
+    there a value may differ from its pseudonym elsewhere.  A null text stays null, an empty one empty.  Columns named like a
     new one are replaced.
     """
     small_batches(docs.sparkSession)

@@ -148,6 +148,33 @@ def test_pii_keeps_formats_and_comes_back():
     assert sorted(f.permute(i, 37, "x") for i in range(37)) == list(range(37))
 
 
+def test_pii_finds_values_that_touch_others():
+    f = pii.Feistel(b"k")
+    card, mail, iban = "4315726095712222", "alexandra@example.com", "AT61 1904 3002 3457 3201"
+    grouped = "4315 7260 9571 2222"
+    alone = {x: pii.pseudonymise(x, f)[0] for x in (card, grouped, mail, iban)}
+    for text, value, kind in [
+        (f"card {card} 12/27", card, "card"), (f"{grouped} 123", grouped, "card"), (f"{grouped}-123 x", grouped, "card"), (f"{iban} BIC RZBAATWW", iban, "iban"), (f"{iban} BANKHAUS", iban, "iban"),
+        (f"password: {mail}", mail, "email"), (f"7 {card}", card, "card"), (f"1234 {grouped}", grouped, "card"), (f"token=abcdefgh {card} 99", card, "card"),
+    ]:
+        new, found = pii.pseudonymise(text, f)
+        assert found == {kind: 1} and value not in new and len(new) == len(text), text
+        assert pii.pseudonymise(new, f, back=True)[0] == text
+        if not text[0].isdigit() or text.startswith(grouped):
+            assert new == text.replace(value, alone[value])
+    assert pii.pseudonymise("password: alexandra1@example.com", f)[1] == {"email": 1}
+
+
+def test_pii_comes_back_beside_other_digits():
+    f, r = pii.Feistel(b"k"), random.Random(5)
+    for _ in range(300):
+        body = "4" + "".join(r.choices("0123456789", k=14))
+        card = body + str(pii.luhn_digit(body))
+        text = r.choice(["", "12 ", "7 ", "45 ", "3456 "]) + r.choice([card, " ".join(card[i : i + 4] for i in range(0, 16, 4))]) + r.choice(["", " 12", " 123", " 12/27", " 9 8"])
+        new, found = pii.pseudonymise(text, f)
+        assert found["card"] == 1 and pii.pseudonymise(new, f, back=True)[0] == text
+
+
 def test_pii_table(spark):
     got = {r.doc_id: (r.text, r.n_found) for r in pii.protect(table(spark, [None, "", "none", "x 1.2.3.4"]), b"k").collect()}
     assert got[0] == (None, 0) and got[1] == ("", 0) and got[2] == ("none", 0) and got[3][1] == 1 and "1.2.3.4" not in got[3][0]
