@@ -18,11 +18,12 @@ ANCHOR_WORDS = 5
 #: Bytes of text that a task factors against itself before it deals out the rest.
 FLUSH_BYTES = 8 << 20
 
-_FACTORS = "doc_id long, start int, many int, source_id long, source_start int"
+#: ``row`` sets apart texts that share a doc_id.
+_FACTORS = "doc_id long, row long, start int, many int, source_id long, source_start int"
 _FACTOR_NAMES = [x.split()[0] for x in _FACTORS.split(", ")]
-_FACTOR_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-_DEALT = f"bucket int, {_FACTORS}, docs binary, runs binary, anchor binary, first binary, size binary, windows binary"
-_BLOBS = ["docs", "runs", "anchor", "first", "size", "windows"]
+_FACTOR_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+_DEALT = f"bucket int, {_FACTORS}, docs binary, texts binary, runs binary, anchor binary, first binary, size binary, windows binary"
+_BLOBS = ["docs", "texts", "runs", "anchor", "first", "size", "windows"]
 
 
 def _pack48(x: np.ndarray) -> bytes:
@@ -61,27 +62,28 @@ def _runs(data: np.ndarray, offs: np.ndarray, window: int):
     return text[first], start[first], many, low[first], tk.ngram_hashes(w.hash, window)[at]
 
 
-def _join_factors(doc, start, many, source, source_start):
-    """Sorted neighbours that go on in both texts become one factor."""
-    order = np.lexsort((start, doc))
-    doc, start, many, source, source_start = (x[order] for x in (doc, start, many, source, source_start))
+def _join_factors(doc, row, start, many, source, source_start):
+    """Sorted neighbours that go on in both texts become one factor; equal ones, of repeated rows, count once."""
+    order = np.lexsort((start, row, doc))
+    doc, row, start, many, source, source_start = (x[order] for x in (doc, row, start, many, source, source_start))
     if not len(doc):
-        return doc, start, many, source, source_start
-    goes_on = (doc[1:] == doc[:-1]) & (start[1:] == start[:-1] + many[:-1]) & (source[1:] == source[:-1]) & (source_start[1:] == source_start[:-1] + many[:-1])
+        return doc, row, start, many, source, source_start
+    new = np.append(True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]) | (start[1:] != start[:-1]) | (many[1:] != many[:-1]))
+    doc, row, start, many, source, source_start = (x[new] for x in (doc, row, start, many, source, source_start))
+    goes_on = (doc[1:] == doc[:-1]) & (row[1:] == row[:-1]) & (start[1:] == start[:-1] + many[:-1]) & (source[1:] == source[:-1]) & (source_start[1:] == source_start[:-1] + many[:-1])
     first = np.flatnonzero(np.append(True, ~goes_on))
-    return doc[first], start[first], np.add.reduceat(many, first), source[first], source_start[first]
+    return doc[first], row[first], start[first], np.add.reduceat(many, first), source[first], source_start[first]
 
 
 def _deal(window: int, buckets: int):
     names = ["bucket", *_FACTOR_NAMES, *_BLOBS]
-    types = [pa.int32(), *_FACTOR_TYPES, *[pa.binary()] * 6]
+    types = [pa.int32(), *_FACTOR_TYPES, *[pa.binary()] * 7]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, parts = 0, []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            doc, start, many, anchor = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            value = np.concatenate([p[4] for p in parts])
+            doc, row, start, many, anchor, value = (np.concatenate([p[i] for p in parts]) for i in range(6))
             parts.clear()
             if not len(doc):
                 return
@@ -89,15 +91,17 @@ def _deal(window: int, buckets: int):
             # Equal runs are one run from here on; the later ones are factors already.
             total = np.append(np.uint64(0), np.cumsum(tk.mix64(value + (np.arange(len(value)) - np.repeat(begin[:-1], many)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
             key = tk.mix64((total[begin[1:]] - total[begin[:-1]]) ^ anchor ^ many.astype(np.uint64))
-            order = np.lexsort((start, doc, key))
+            order = np.lexsort((row, start, doc, key))
             r = tk.runs(key[order])
             source = order[np.repeat(r[:-1], np.diff(r))]
-            later = source != order
-            found = _join_factors(doc[order[later]], start[order[later]], many[order[later]], doc[source[later]], start[source[later]])
+            # Rows of one doc_id share their places; each text at the first place stays.
+            later = (doc[source] != doc[order]) | (start[source] != start[order])
+            again = np.append(False, (order[1:] != source[1:]) & (row[order[1:]] == row[order[:-1]]))
+            found = _join_factors(doc[order[later]], row[order[later]], start[order[later]], many[order[later]], doc[source[later]], start[source[later]])
             if len(found[0]):
                 local = [pa.array(found[0] % buckets, pa.int32())] + [pa.array(x, t) for x, t in zip(found, _FACTOR_TYPES, strict=True)]
-                yield pa.RecordBatch.from_arrays(local + [pa.nulls(len(found[0]), pa.binary())] * 6, names=names)
-            keep = np.sort(order[r[:-1]])
+                yield pa.RecordBatch.from_arrays(local + [pa.nulls(len(found[0]), pa.binary())] * 7, names=names)
+            keep = np.sort(order[~later & ~again])
             at = ((tk.mix64(anchor[keep]) >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
             keep = keep[np.argsort(at, kind="stable")]
             at = np.sort(at)
@@ -106,17 +110,17 @@ def _deal(window: int, buckets: int):
             for b in range(buckets):
                 x = keep[edge[b] : edge[b + 1]]
                 if len(x):
-                    d = tk.runs(doc[x])
-                    rows.append((b, doc[x][d[:-1]].tobytes(), np.diff(d).astype(np.uint32).tobytes(), anchor[x].tobytes(), start[x].astype(np.uint32).tobytes(), many[x].astype(np.uint8).tobytes(), _pack48(value[tk.ragged(begin[x], many[x])])))
+                    d = np.append(np.flatnonzero(np.append(True, (doc[x][1:] != doc[x][:-1]) | (row[x][1:] != row[x][:-1]))), len(x))
+                    rows.append((b, doc[x][d[:-1]].tobytes(), row[x][d[:-1]].tobytes(), np.diff(d).astype(np.uint32).tobytes(), anchor[x].tobytes(), start[x].astype(np.uint32).tobytes(), many[x].astype(np.uint8).tobytes(), _pack48(value[tk.ragged(begin[x], many[x])])))
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.nulls(len(rows), t) for t in _FACTOR_TYPES] + [pa.array(c, pa.binary()) for c in columns[1:]], names=names)
 
         for batch in batches:
-            doc_id = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            doc_id, row_id = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row"))
             data, offs = tk.text_buffer(batch.column("text"))
             for a, b in tk.chunks(offs):
                 text, start, many, anchor, value = _runs(data, offs[a : b + 1], window)
-                parts.append((doc_id[a:b][text], start, many, anchor, value))
+                parts.append((doc_id[a:b][text], row_id[a:b][text], start, many, anchor, value))
                 held += int(offs[b] - offs[a])
                 if held >= FLUSH_BYTES:
                     yield from flush()
@@ -129,26 +133,27 @@ def _deal(window: int, buckets: int):
 
 def _factor(blobs: list[tuple]) -> tuple[np.ndarray, ...]:
     """Factors of one reference block: windows whose sequence the block holds from an earlier place."""
-    doc = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(r, np.uint32)) for d, r, *_ in blobs])
-    anchor = np.concatenate([np.frombuffer(x[2], np.uint64) for x in blobs])
-    start = np.concatenate([np.frombuffer(x[3], np.uint32) for x in blobs]).astype(np.int64)
-    many = np.concatenate([np.frombuffer(x[4], np.uint8) for x in blobs]).astype(np.int64)
+    doc, row = (np.concatenate([np.repeat(np.frombuffer(x[i], np.int64), np.frombuffer(x[2], np.uint32)) for x in blobs]) for i in (0, 1))
+    anchor = np.concatenate([np.frombuffer(x[3], np.uint64) for x in blobs])
+    start = np.concatenate([np.frombuffer(x[4], np.uint32) for x in blobs]).astype(np.int64)
+    many = np.concatenate([np.frombuffer(x[5], np.uint8) for x in blobs]).astype(np.int64)
     begin = np.append(0, np.cumsum(many))
     # Runs of anchors that occur once have no partner.
     order = np.argsort(anchor)
     r = tk.runs(anchor[order])
     keep = np.sort(order[np.repeat(np.diff(r) > 1, np.diff(r))])
     keep = keep[np.lexsort((start[keep], doc[keep]))]
-    window = np.concatenate([_unpack48(x[5]) for x in blobs])[tk.ragged(begin[keep], many[keep])]
+    window = np.concatenate([_unpack48(x[6]) for x in blobs])[tk.ragged(begin[keep], many[keep])]
     of = np.repeat(keep, many[keep])
     place = start[of] + tk.ragged(np.zeros(len(keep), np.int64), many[keep])
     key = tk.mix64(anchor[of] + window * np.uint64(0x9E3779B97F4A7C15))
     order = np.argsort(key, kind="stable")
     r = tk.runs(key[order])
     source = order[np.repeat(r[:-1], np.diff(r))]
-    later = (source != order) & (window[source] == window[order]) & (anchor[of[source]] == anchor[of[order]])
+    apart = (doc[of[source]] != doc[of[order]]) | (place[source] != place[order])
+    later = apart & (window[source] == window[order]) & (anchor[of[source]] == anchor[of[order]])
     order, source = order[later], source[later]
-    return _join_factors(doc[of[order]], place[order], np.ones(len(order), np.int64), doc[of[source]], place[source])
+    return _join_factors(doc[of[order]], row[of[order]], place[order], np.ones(len(order), np.int64), doc[of[source]], place[source])
 
 
 def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +182,8 @@ def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def duplicate_factors(docs: DataFrame, window: int = 20) -> DataFrame:
     """Word sequences of ``window`` words or more that start earlier elsewhere: exact.
 
-    Returns factors ``doc_id, start, many, source_id, source_start``: the ``many``
-    windows of ``window`` words of document ``doc_id`` from word ``start`` on also
+    Returns factors ``doc_id, row, start, many, source_id, source_start``: the ``many``
+    windows of ``window`` words of document ``doc_id`` (of its texts that with xxhash64 ``row``) from word ``start`` on also
     start, one after the other, at word ``source_start`` of document ``source_id``,
     which is earlier (a smaller doc_id, or the same and an earlier word).
 
@@ -192,7 +197,7 @@ def duplicate_factors(docs: DataFrame, window: int = 20) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     parts = partitions(docs.sparkSession)
-    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     dealt = source.mapInArrow(_deal(window, 4 * parts), _DEALT)
     return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_factors, _FACTORS)
 
@@ -232,15 +237,16 @@ def remove_duplicate_spans(docs: DataFrame, window: int = 20, columns: list[str]
     words kept, joined by one space), ``n_words`` and ``n_removed``.  Windows are
     judged on the input; the order is by doc_id, then by word.  Words are runs of
     anything but space and \\x09-\\x0D.  A null text has no words; a text shorter
-    than the window keeps all; rows without a doc_id are left out; of documents
-    with one doc_id, each counts as the same place, so neither removes the other.
+    than the window keeps all; rows without a doc_id are left out; rows
+    with one doc_id share their places: a window removes only such as start at a
+    later word, in any of them.
     Columns of ``docs`` named like a new one are replaced.
     """
     columns = [c for c in columns or ["doc_id"] if c not in ("kept_text", "n_words", "n_removed")]
-    factors = saved(duplicate_factors(docs, window).select("doc_id", "start", "many"), "factors")
-    marks = factors.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.struct("start", "many")).alias("_factors"))
+    factors = saved(duplicate_factors(docs, window).select("doc_id", "row", "start", "many"), "factors")
+    marks = factors.groupBy(F.col("doc_id").alias("_of"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "many")).alias("_factors"))
     base = docs.where("doc_id is not null").select(*dict.fromkeys([*columns, "doc_id", "text"]))
-    joined = base.join(marks, F.col("doc_id") == F.col("_of"), "left").drop("_of")
+    joined = base.join(marks, (F.col("doc_id") == F.col("_of")) & (F.xxhash64("text") == F.col("_row")), "left").drop("_of", "_row")
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name in columns] + ["kept_text string", "n_words long", "n_removed long"]
     names = [f.name for f in base.schema if f.name in columns] + ["kept_text", "n_words", "n_removed"]
     return joined.mapInArrow(_cut(window, names), ", ".join(schema))

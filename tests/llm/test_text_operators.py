@@ -91,6 +91,33 @@ def test_substring_dedup(spark, texts):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == want
 
 
+def test_substring_dedup_of_rows_with_one_doc_id(spark, monkeypatch):
+    random.seed(4)
+    w = [f"v{i}" for i in range(400)]
+    one, two, other = " ".join(w[:60]), " ".join(w[100:160]), " ".join(w[90:300] + w[:40])
+    rows = [(1, one), (1, one), (2, two), (2, two + " " + two), (2, "short"), (3, other), (3, other), (4, " ".join(w[20:60] + w[200:250])), (4, "a b"), (5, one), (5, one), (6, " ".join(w[300:400])), (6, " ".join(w[300:390]) + " end"), (7, "x " + " ".join(w[300:390]) + " end"), (0, " ".join(w[310:335])), (None, one)]
+    least, want = {}, []
+    for i, t in rows:
+        x = split(t)
+        for k in range(len(x) - 19 if i is not None else 0):
+            key = tuple(x[k : k + 20])
+            least[key] = min(least.get(key, (i, k)), (i, k))
+    for i, t in rows:
+        x = split(t)
+        gone = [False] * len(x)
+        for k in range(len(x) - 19 if i is not None else 0):
+            if least[tuple(x[k : k + 20])] < (i, k):
+                gone[k : k + 20] = [True] * 20
+        if i is not None:
+            want.append((i, len(x), sum(gone), " ".join(a for a, g in zip(x, gone) if not g)))
+    assert (1, 60, 0, one) in want
+    for parts, flush in ((1, 8 << 20), (3, 8 << 20), (2, 1)):
+        monkeypatch.setattr(substring_dedup, "FLUSH_BYTES", flush)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = substring_dedup.remove_duplicate_spans(docs, 20).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == sorted(want)
+
+
 def test_factors_copy_what_they_say(spark, texts):
     for r in substring_dedup.duplicate_factors(table(spark, texts), 20).collect():
         a, b = split(texts[r.doc_id]), split(texts[r.source_id])
