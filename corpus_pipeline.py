@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlark.llm import ngram_join, packing, pii, quality, substring_dedup
@@ -20,16 +20,29 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by the similarity of their shingles, that with the smallest doc_id."""
-    groups = ngram_join.ngram_components(docs.select("doc_id", "text"), 80, 5)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Of documents linked by the similarity of their shingles, that with the smallest doc_id; of rows with one doc_id that with the longest text.
+
+    Rows without a doc_id can't be linked and stay.
+    """
+    known = docs.where("doc_id is not null")
+    repeated = saved(known.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), "text"))
+        longest = known.join(repeated, "doc_id", "left_semi").withColumn("_place", place).where("_place = 1").select(*docs.columns)
+        known = saved(known.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(longest), "once")
+    groups = ngram_join.ngram_components(known.select("doc_id", "text"), 80, 5)
+    kept = known.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 20 words and more stay where they come first; documents of which nothing is left go."""
+    """Passages of 20 words and more stay where they come first; documents of which nothing is left go.
+
+    Rows without a doc_id have no place in the order and stay whole.
+    """
     cut = substring_dedup.remove_duplicate_spans(docs, 20, docs.columns).where("n_removed = 0 or n_removed < n_words")
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text).select(*docs.columns)
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

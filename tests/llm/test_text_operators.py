@@ -257,6 +257,21 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert len(kept & {i for i in range(600) if i % 3}) >= 380 and len(kept & {i for i in range(0, 600, 3)}) <= 10
 
 
+def test_pipeline_stages_keep_rows_without_doc_id_and_one_of_each(spark, tmp_path):
+    import corpus_pipeline
+
+    long = " ".join(f"u{i}" for i in range(90))
+    rows = [(1, long, 1), (1, long, 2), (2, long, 3), (3, "a b c", 4), (3, "a b c d e f", 5), (4, None, 6), (None, "n " + long, 7), (None, None, 8), (None, "short", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(2)
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, "")
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(1, long), (3, "a b c d e f"), (4, None), (None, "n " + long), (None, None), (None, "short")], key=str)
+    cut = corpus_pipeline.cut_repeats(spark, docs, "").collect()
+    assert sorted(r.n_chars for r in cut) == [1, 2, 4, 5, 6, 7, 8, 9]
+    packed = corpus_pipeline.pack(spark, kept, "").collect()
+    assert sum(r.doc_id is None for r in packed) == 3 and len(packed) == 6
+
+
 def test_hash_text(spark):
     from flowlark.llm import queries
 
