@@ -137,33 +137,56 @@ def average_linkage(hashes: DataFrame) -> DataFrame:
     return steps
 
 
+def _trend_heads(clusters: DataFrame, payloads: DataFrame) -> DataFrame:
+    """``(proto, date, leader, key, other)``: middle payloads of each cluster's leader and of its member with the largest idx."""
+    middle = middle_hash(payloads)
+    ends = clusters.where("leader is not null").groupBy("part", "leader").agg(F.max(F.when(F.col("idx") != F.col("leader"), F.col("idx"))).alias("last"))
+    heads = ends.join(middle.select("part", F.col("idx").alias("leader"), F.col("hash").alias("key")), ["part", "leader"]).join(middle.select("part", F.col("idx").alias("last"), F.col("hash").alias("other")), ["part", "last"])
+    return heads.select("part.proto", "part.date", "leader", "key", "other")
+
+
 def trends(clusters: DataFrame, payloads: DataFrame, days: list[str]) -> DataFrame:
     """``(proto, date, leader, trend)``: clusters that go on from day to day; a trend is called ``date_leader`` after its first cluster.
 
     ``clusters`` is ``(part, idx, leader)`` with a ``part`` of ``proto`` and ``date``.  A cluster asks by its leader's middle
-    payload; a trend answers by the middle payloads of its first leader and of that cluster's member with the largest idx.
+    payload; a trend answers by the middle payloads of all its clusters' leaders and of each cluster's member with the largest idx.
     The best answer of at least 1 counts (ties: the trend that began first, then the smaller leader), else a trend begins.
-    Trends of one day are seen from the next day on; the days are few and are taken one after the other.
+    Clusters placed on one day are seen from the next day on; the days are few and are taken one after the other.
     """
-    middle = middle_hash(payloads)
-    ends = clusters.where("leader is not null").groupBy("part", "leader").agg(F.max(F.when(F.col("idx") != F.col("leader"), F.col("idx"))).alias("last"))
-    heads = ends.join(middle.select("part", F.col("idx").alias("leader"), F.col("hash").alias("key")), ["part", "leader"]).join(middle.select("part", F.col("idx").alias("last"), F.col("hash").alias("other")), ["part", "last"])
-    heads = _kept(heads.select("part.proto", "part.date", "leader", "key", "other"))
+    heads = _kept(_trend_heads(clusters, payloads))
     known, out = None, None
     for day in sorted(days):
         today = heads.where(F.col("date") == day)
         own = F.concat_ws("_", "date", F.col("leader").cast("string"))
         if known is None:
-            placed = today.withColumn("trend", own)
+            placed = today.select("*", own.alias("trend"), F.col("date").alias("began"), F.col("leader").alias("first"))
         else:
             scored = alike(today.select(F.col("proto").alias("part"), F.col("key").alias("hash")), known.select(F.col("proto").alias("part"), "hash"))
             order = F.struct(-F.col("score"), F.col("began"), F.col("first"))
             answers = scored.join(known.select(F.col("proto").alias("part"), F.col("hash").alias("b"), "trend", "began", "first"), ["part", "b"])
-            best = answers.groupBy(F.col("part").alias("proto"), F.col("a").alias("key")).agg(F.min_by("trend", order).alias("best"))
-            placed = today.join(best, ["proto", "key"], "left").withColumn("trend", F.coalesce("best", own)).drop("best")
-        placed = _kept(placed.select("proto", "date", "leader", "key", "other", "trend"))
-        begun = placed.where(F.col("trend") == own).select("proto", F.explode(F.array("key", "other")).alias("hash"), "trend", F.col("date").alias("began"), F.col("leader").alias("first")).distinct()
-        known = begun if known is None else known.unionByName(begun)
+            best = answers.groupBy(F.col("part").alias("proto"), F.col("a").alias("key")).agg(F.min_by(F.struct("trend", "began", "first"), order).alias("best"))
+            placed = today.join(best, ["proto", "key"], "left")
+            placed = placed.select("proto", "date", "leader", "key", "other", *(F.coalesce(F.col("best")[c], x).alias(c) for c, x in (("trend", own), ("began", F.col("date")), ("first", F.col("leader")))))
+        placed = _kept(placed.select("proto", "date", "leader", "key", "other", "trend", "began", "first"))
+        # Trends go by the date and leader of their first cluster; all that joined today answer from tomorrow on.
+        begun = placed.select("proto", F.explode(F.array("key", "other")).alias("hash"), "trend", "began", "first").distinct()
+        known = _kept(begun if known is None else known.unionByName(begun).distinct())
         out = placed if out is None else out.unionByName(placed)
     out = heads.withColumn("trend", F.lit("")) if out is None else out
     return out.select("proto", "date", "leader", "trend")
+
+
+def trend_events(found: DataFrame, clusters: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The sessions of every trend, leaders and members: ``proto, trend, date, leader, idx`` and what else ``sessions`` (``part, idx, ...``) holds.
+
+    ``found`` is what ``trends`` gives.  Each session stays a row, so no trend becomes one value.
+    """
+    members = clusters.where("leader is not null").select("part", "idx", "leader", "part.proto", "part.date").join(found, ["proto", "date", "leader"])
+    more = [c for c in sessions.columns if c not in ("part", "idx", "proto", "date", "leader", "trend")]
+    return members.join(sessions.select("part", "idx", *more), ["part", "idx"]).select("proto", "trend", "date", "leader", "idx", *more)
+
+
+def trend_hashes(found: DataFrame, clusters: DataFrame, payloads: DataFrame) -> DataFrame:
+    """``(proto, trend, date, leader, hash)``: the payloads by which the clusters of each trend answer."""
+    heads = _trend_heads(clusters, payloads).join(found, ["proto", "date", "leader"])
+    return heads.select("proto", "trend", "date", "leader", F.explode(F.array_distinct(F.array("key", "other"))).alias("hash"))

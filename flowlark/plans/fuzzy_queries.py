@@ -69,6 +69,21 @@ def trend_merge(spark: SparkSession, d: str) -> DataFrame:
     return C.trends(C.leader_clusters(payloads), payloads, DAYS)
 
 
+def trend_events(spark: SparkSession, d: str) -> DataFrame:
+    """Times, countries and addresses of the sessions of each trend; a session's idx stands for its second of the day."""
+    payloads = _payloads(spark, d)
+    found = C.leader_clusters(payloads)
+    time = F.unix_timestamp("date", "yyyyMMdd") + F.col("idx")
+    return C.trend_events(C.trends(found, payloads, DAYS), found, _sessions(spark, d).select("part", "idx", time.alias("session_time"), "country", "ip_src"))
+
+
+def trend_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Payload hashes of each trend."""
+    payloads = _payloads(spark, d)
+    found = C.leader_clusters(payloads)
+    return C.trend_hashes(C.trends(found, payloads, DAYS), found, payloads)
+
+
 def small_cluster_thr(spark: SparkSession, d: str) -> DataFrame:
     """Customers are clusters of what they ordered; those without orders are loners."""
     sizes = session_rows(spark, d).groupBy("ip").agg(F.count("*").alias("size"))
@@ -96,6 +111,8 @@ FOUND = {
     "rep_hash": (rep_hash, None),
     "upgma": (upgma, None),
     "trend_merge": (trend_merge, None),
+    "trend_events": (trend_events, None),
+    "trend_hashes": (trend_hashes, None),
     "small_cluster_thr": (small_cluster_thr, _SMALL),
     "group_xml": (group_xml, _XML),
 }

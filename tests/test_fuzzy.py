@@ -154,6 +154,22 @@ def test_trends_equal_a_fold_over_days(spark):
     assert got == want and len(set(want.values())) < len(want)
 
 
+def test_a_trend_goes_on_by_clusters_that_joined(spark):
+    r = random.Random(2)
+    words = [str(r.random()) for _ in range(300)]
+    hashes = [hash_bytes(" ".join(words[i : i + 120]).encode()) for i in (0, 60, 120)]
+    assert compare_hashes(hashes[0], hashes[1]) > 0 and compare_hashes(hashes[1], hashes[2]) > 0 and compare_hashes(hashes[0], hashes[2]) == 0
+    payloads = spark.createDataFrame([(("x", Q.DAYS[n]), 10 * n + i, 0, h) for n, h in enumerate(hashes) for i in (1, 2, 3)], "part struct<proto: string, date: string>, idx long, pos int, hash string")
+    clusters = C.leader_clusters(payloads)
+    found = C.trends(clusters, payloads, Q.DAYS)
+    first = f"{Q.DAYS[0]}_1"
+    assert {(x.date, x.leader, x.trend) for x in found.collect()} == {(day, 10 * n + 1, first) for n, day in enumerate(Q.DAYS)}
+    sessions = payloads.selectExpr("part", "idx", "idx * 7 as session_time", "'c' as country", "concat('10.0.0.', idx) as ip_src")
+    events = {tuple(x) for x in C.trend_events(found, clusters, sessions).collect()}
+    assert events == {("x", first, day, 10 * n + 1, 10 * n + i, 7 * (10 * n + i), "c", f"10.0.0.{10 * n + i}") for n, day in enumerate(Q.DAYS) for i in (1, 2, 3)}
+    assert sorted((x.date, x.hash) for x in C.trend_hashes(found, clusters, payloads).collect()) == sorted(zip(Q.DAYS, hashes, strict=True))
+
+
 def test_representatives_of_documents(spark):
     heads = Q.rep_hash(spark, DIR).collect()
     found = Q.clusters(spark, DIR).collect()
