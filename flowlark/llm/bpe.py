@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import heapq
 import json
 from collections.abc import Iterator
 
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .scratch import small_batches
 
-#: Pieces of more bytes are merged by a heap, in n log n steps; shorter ones in matrices.
+#: A piece of more bytes is a matrix of one row, in which all pairs of the least rank merge in one round.
 LONG_PIECE = 256
 #: A Python worker forgets its caches of encoded pieces and units beyond so many.
 CACHE_PIECES, CACHE_UNITS = 1 << 17, 1 << 19
@@ -65,6 +64,7 @@ class Vocabulary:
         self.pairs = np.array([left, right, rank], np.int64)
         self.merged = np.arange(max(self.tokens) + 1)
         self.whole = self.ids
+        self.added: dict[bytes, int] = {}  # such a file has none
 
     def _from_json(self, source: dict) -> None:
         # The byte alphabet of byte-level models: printable characters stand for
@@ -80,6 +80,7 @@ class Vocabulary:
         self.pairs = np.array([[vocab[a], vocab[b], r] for r, (a, b) in enumerate(merges)], np.int64).T
         self.merged = np.array([vocab[a + b] for a, b in merges])
         self.whole = {}  # this library always merges
+        self.added = {t["content"].encode(): t["id"] for t in source.get("added_tokens", [])}
 
     def _hash(self) -> None:
         left, right, rank = self.pairs
@@ -153,41 +154,32 @@ class Vocabulary:
                 ranks[more, here] = self.rank(ids[more, here], ids[more, here + 1])
 
     def _merge_long(self, piece: bytes) -> np.ndarray:
-        """The same merges for a piece of any length, from a heap of (rank, place)."""
+        """The same merges for a long piece: as many rounds as different ranks come up.
+
+        All pairs of the least rank merge at once, of those that overlap every other one from the left.  Where that would make
+        a pair of a lower rank still, which may come before the rest, the leftmost merges alone.
+        """
         ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
-        rank = self.rank(ids[:-1], ids[1:])
-        n, ids = len(ids), ids.tolist()
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i, r in enumerate(rank.tolist()) if r != self.NONE]
-        heapq.heapify(heap)
-        now = rank.tolist() + [int(self.NONE)]
-        pair = {}
-
-        def look(i: int) -> None:
-            j = after[i]
-            now[i] = int(self.NONE)
-            if j < n:
-                k = (ids[i], ids[j])
-                if k not in pair:
-                    pair[k] = int(self.rank(np.array([k[0]]), np.array([k[1]]))[0])
-                now[i] = pair[k]
-                if now[i] != self.NONE:
-                    heapq.heappush(heap, (now[i], i))
-
-        while heap:
-            r, i = heapq.heappop(heap)
-            if now[i] != r:
-                continue
-            j = after[i]
-            ids[i], ids[j] = int(self.merged[r]), -1
-            now[j] = int(self.NONE)
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            look(i)
-            if before[i] >= 0:
-                look(before[i])
-        return np.array([x for x in ids if x >= 0])
+        ranks = self.rank(ids[:-1], ids[1:])
+        while len(ranks) and (least := ranks.min()) != self.NONE:
+            at = np.flatnonzero(ranks == least)
+            first = np.maximum.accumulate(np.where(np.append(True, np.diff(at) > 1), at, 0))
+            new_ids, new_ranks, lowest = self._merge_at(ids, ranks, at[(at - first) % 2 == 0])
+            if lowest < least:
+                new_ids, new_ranks, _ = self._merge_at(ids, ranks, at[:1])
+            ids, ranks = new_ids, new_ranks
+        return ids
+
+    def _merge_at(self, ids: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """(ids, ranks, the least rank of a new pair) with the pairs ``at`` merged."""
+        made = self.merged[ranks[at[0]]]
+        ids = ids.copy()
+        ids[at] = made
+        ids, ranks = np.delete(ids, at + 1), np.delete(ranks, at)
+        here = at - np.arange(len(at))
+        near = np.unique(np.append(here[here < len(ranks)], here[here > 0] - 1))
+        ranks[near] = self.rank(ids[near], ids[near + 1])
+        return ids, ranks, int(ranks[near].min(initial=self.NONE))
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the tokens, one after the other."""
@@ -195,32 +187,41 @@ class Vocabulary:
 
 
 class _Units(tk.HashIndex):
-    """Ids of units by a 64-bit hash of their bytes."""
+    """Ids of units, found by a 64-bit hash; a hit counts only if the bytes are the same."""
 
     def __init__(self):
         super().__init__()
         self.ids, self.first, self.size = np.zeros(1 << 17, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.used = 0
+        self.text, self.begin, self.length = np.zeros(1 << 18, np.uint8), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.used = self.filled = 0
 
-    def add_ids(self, key: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+    def add_units(self, key: np.ndarray, text: np.ndarray, length: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
         n, more = self.count, len(key)
         while n + more > len(self.first):
-            self.first, self.size = (np.append(x, np.zeros_like(x)) for x in (self.first, self.size))
+            self.first, self.size, self.begin, self.length = (np.append(x, np.zeros_like(x)) for x in (self.first, self.size, self.begin, self.length))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        while self.filled + len(text) > len(self.text):
+            self.text = np.append(self.text, np.zeros_like(self.text))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.first[n : n + more] = self.used + np.cumsum(size) - size
-        self.size[n : n + more] = size
+        self.text[self.filled : self.filled + len(text)] = text
+        self.first[n : n + more], self.size[n : n + more] = self.used + np.cumsum(size) - size, size
+        self.begin[n : n + more], self.length[n : n + more] = self.filled + np.cumsum(length) - length, length
         self.used += len(ids)
+        self.filled += len(text)
         self.add(key)
 
+    def are(self, at: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> bool:
+        """Whether the units numbered ``at`` are the given ranges of ``data``."""
+        return bool((self.length[at] == length).all()) and bool(tk.equal_ranges(self.text[: self.filled], self.begin[at], data, start, length).all())
+
 
 class Encoder:
     """Encodes texts with a cache of what it has met.
 
     Under patterns of this family, a space behind anything but white space starts
     a piece, whatever comes before.  So a text falls into units that are encoded
-    alone; units are told apart by 64-bit hashes and frequent ones looked up whole.
+    alone; those met before are looked up by a 64-bit hash and compared byte by byte.
     """
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
@@ -252,25 +253,54 @@ class Encoder:
         total = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(many))]
         return self.piece_ids[tk.ragged(self.piece_first[at], size)], np.diff(total)
 
-    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the texts ``data[offs[i]:offs[i + 1]]``, first index of each text's)."""
-        if self.units.count > CACHE_UNITS or self.units.used > 8 * CACHE_UNITS:
-            self.units = _Units()
+    def encode(self, data: np.ndarray, offs: np.ndarray, added: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the texts ``data[offs[i]:offs[i + 1]]``, first index of each text's); ``added`` tokens of the file are found as such."""
         data, offs = data[offs[0] : offs[-1]], offs - offs[0]
+        if added and self.vocabulary.added:
+            tokens = regex.compile(b"|".join(map(regex.escape, sorted(self.vocabulary.added, key=len, reverse=True))))
+            raw = data.tobytes()
+            found = [m for a, b in (zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True) if tokens.search(raw) else ()) for m in tokens.finditer(raw, a, b)]
+            if found:
+                # The parts between are encoded as texts of their own.
+                begin, end = np.array([m.start() for m in found]), np.array([m.end() for m in found])
+                cut = np.unique(np.concatenate([offs, begin, end]))
+                ids, first = self._plain(data, cut)
+                size = np.diff(first)
+                is_token = np.searchsorted(cut, begin)
+                at = first[is_token]
+                ids[at] = [self.vocabulary.added[m[0]] for m in found]
+                keep = np.ones(len(ids), bool)
+                keep[tk.ragged(at + 1, size[is_token] - 1)] = False
+                return ids[keep], np.append(0, np.cumsum(keep))[first[np.searchsorted(cut, offs)]]
+        return self._plain(data, offs)
+
+    def _plain(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.units.count > CACHE_UNITS or self.units.used > 8 * CACHE_UNITS or self.units.filled > 16 * CACHE_UNITS:
+            self.units = _Units()
         start = _unit_starts(data, offs)
-        key = tk.range_hashes(data, start, np.append(start[1:], len(data))) | np.uint64(1)
+        end = np.append(start[1:], len(data))
+        key = tk.range_hashes(data, start, end) | np.uint64(1)
         at = self.units.find(key)
         missing = np.flatnonzero(at < 0)
         if len(missing):
             new, first = np.unique(key[missing], return_index=True)
             first = missing[first]
-            raw = data.tobytes()
-            end = np.append(start[1:], len(data))
-            self.units.add_ids(new, *self._new_units([raw[i:j].decode() for i, j in zip(start[first].tolist(), end[first].tolist(), strict=True)]))
+            ids, size = self._new_units(_texts(data, start[first], end[first]))
+            length = end[first] - start[first]
+            self.units.add_units(new, data[tk.ragged(start[first], length)], length, ids, size)
             at[missing] = self.units.find(key[missing])
-        size = self.units.size[at].astype(np.int64)
+        if self.units.are(at, data, start, end - start):
+            size = self.units.size[at].astype(np.int64)
+            ids = self.units.ids[tk.ragged(self.units.first[at], size)]
+        else:  # two units of one hash
+            ids, size = self._new_units(_texts(data, start, end))
         total = np.append(0, np.cumsum(size))
-        return self.units.ids[tk.ragged(self.units.first[at], size)], total[np.searchsorted(start, offs)]
+        return ids, total[np.searchsorted(start, offs)]
+
+
+def _texts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
+    raw = data.tobytes()
+    return [raw[i:j].decode() for i, j in zip(start.tolist(), end.tolist(), strict=True)]
 
 
 #: Bytes that may end a character other than white space.
@@ -316,14 +346,15 @@ def _binary(ids: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((first * 4).astype(np.int32)), pa.py_buffer(data)])
 
 
-def encode(docs: DataFrame, path: str, pattern: str, columns: list[str] | None = None, key: str = "doc_id") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, columns: list[str] | None = None, key: str = "doc_id", added: bool = True) -> DataFrame:
     """``columns`` (by default ``key``) and ``ids``, the text's token ids as little-endian unsigned 32-bit integers.
 
     ``path`` is a rank file or a JSON file of a byte-level BPE (read once, on the driver; it is
     of the size of a vocabulary); ``pattern`` splits a text into pieces that are
-    encoded separately.  No special tokens: their strings are ordinary text.  A
-    null or empty text has no ids.  Rows are kept as they are, repeated ones too; use
-    ``ids_array`` for an array of integers.
+    encoded separately.  No tokens are put around a text.  A rank file knows no special tokens; the added tokens
+    of a JSON file (such as ``<|endoftext|>``) are found within texts, as its library does by default, unless
+    ``added`` is false.  A null or empty text has no ids.  Rows are kept as they are, repeated ones and those without a key too; a
+    column of ``columns`` called ids is replaced.  Use ``ids_array`` for an array of integers.
     """
     small_batches(docs.sparkSession)
     source = _read(path)
@@ -335,7 +366,7 @@ def encode(docs: DataFrame, path: str, pattern: str, columns: list[str] | None =
             data, offs = tk.text_buffer(batch.column("text"))
             for a, b in tk.chunks(offs, ENCODE_BYTES):
                 part = batch.slice(a, b - a)
-                ids, first = own.encode(data, offs[a : b + 1])
+                ids, first = own.encode(data, offs[a : b + 1], added)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), _binary(ids, first)], names=[*columns, "ids"])
 
     base = docs.select(*dict.fromkeys([*columns, "text"]))
@@ -344,7 +375,7 @@ def encode(docs: DataFrame, path: str, pattern: str, columns: list[str] | None =
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` with ``decoded``, the bytes that its ``ids`` stand for; null ids give no bytes."""
+    """``encoded`` with ``decoded``, the bytes that its ``ids`` stand for; null ids give no bytes.  A column called decoded is replaced."""
     source = _read(path)
     columns = [c for c in encoded.columns if c != "decoded"]
 

@@ -20,10 +20,10 @@ FIT_STEPS = 300
 
 
 def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """``doc_id, piece, start, length, ids`` of every document's ids and ``end_id`` behind them.
+    """``doc_id, piece, start, length, ids`` of every document's ids (by the file's library with its defaults, nothing added around) and ``end_id`` behind them.
 
     A document of more than ``capacity`` ids is cut; all its pieces but the first
-    are full.  A null or empty text is the end id alone.
+    are full.  A null or empty text is the end id alone.  Rows without a doc_id and repeated rows are documents too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

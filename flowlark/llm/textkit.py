@@ -16,24 +16,14 @@ import pyarrow as pa
 #: Bytes of text handled at once: bounds a task's memory (about 40 bytes each).
 CHUNK_BYTES = 1 << 19
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-_powers = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """``base ** 0 .. base ** n`` modulo 2**64, kept between calls."""
-    have = _powers.get(base)
-    if have is None or len(have) <= n:
-        have = np.full(max(n, CHUNK_BYTES) + 1, base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        _powers[base] = have
-    return have
+#: The first 0 to 8 bytes of a block of eight.
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes hashed at one level; longer ranges are hashed as the hashes of pieces of this size.
+_PIECE = 64
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -44,6 +34,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each ordered pair; not linear in either, so no sum or power of values hides a difference."""
+    return mix64(mix64(a + np.uint64(0x9E3779B97F4A7C15)) ^ (b * np.uint64(0xD6E8FEB86659FD93)))
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -94,24 +89,69 @@ def words(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> Words:
     return Words(data, start, end, np.searchsorted(start, offs), range_hashes(data, start, end))
 
 
+def _blocks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as a number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
 def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each of the byte ranges ``data[start[i]:end[i]]``."""
-    n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    np.add(data, np.uint64(1), out=total[1:], dtype=np.uint64, casting="unsafe")
-    total[1:] *= _power(_BASE, n)[:n]
-    np.cumsum(total, out=total)
-    return mix64((total[end] - total[start]) * _power(_BASE_INV, n)[start])
+    """A 64-bit hash of each of the byte ranges ``data[start[i]:end[i]]``.
+
+    Blocks of eight bytes are mixed in one after the other; a range of more than 64 bytes is
+    the hash of the hashes of its pieces.
+    """
+    start, size = np.asarray(start, np.int64), np.asarray(end, np.int64) - start
+    total = mix64(size.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D))
+    long = np.flatnonzero(size > _PIECE)
+    if len(long):
+        many = -(-size[long] // _PIECE)
+        first = np.cumsum(many) - many
+        begin = start[long].repeat(many) + ragged(np.zeros(len(long), np.int64), many) * _PIECE
+        piece = range_hashes(data, begin, np.minimum(begin + _PIECE, (start + size)[long].repeat(many)))
+        total[long] = pair_hashes(total[long], range_hashes(piece.view(np.uint8), 8 * first, 8 * (first + many)))
+    block, at = _blocks(data), np.flatnonzero((size > 0) & (size <= _PIECE))
+    done = 0
+    while len(at):
+        total[at] = pair_hashes(total[at], block[start[at] + done] & _FIRST_BYTES[np.minimum(size[at] - done, 8)])
+        done += 8
+        at = at[size[at] > done]
+    return total
+
+
+def equal_ranges(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``a[a_start[i]:][:size[i]]`` and ``b[b_start[i]:][:size[i]]`` are the same bytes."""
+    out = np.ones(len(size), bool)
+    long = np.flatnonzero(size > _PIECE)
+    if len(long):
+        many = -(-size[long] // _PIECE)
+        step = ragged(np.zeros(len(long), np.int64), many) * _PIECE
+        same = equal_ranges(a, a_start[long].repeat(many) + step, b, b_start[long].repeat(many) + step, np.minimum(_PIECE, size[long].repeat(many) - step))
+        out[long] = np.logical_and.reduceat(same, np.cumsum(many) - many)
+    x, y, at, done = _blocks(a), _blocks(b), np.flatnonzero((size > 0) & (size <= _PIECE)), 0
+    while len(at):
+        unequal = ((x[a_start[at] + done] ^ y[b_start[at] + done]) & _FIRST_BYTES[np.minimum(size[at] - done, 8)]) != 0
+        out[at[unequal]] = False
+        done += 8
+        at = at[~unequal & (size[at] > done)]
+    return out
 
 
 def ngram_hashes(value: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of each run of ``n`` values; as many as there are runs."""
-    m = len(value) - n + 1
-    if m <= 0:
+    """A 64-bit hash of each run of ``n`` values, from those of shorter runs; as many as there are runs."""
+    if len(value) < n:
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(value) + 1, np.uint64)
-    np.cumsum(value * _power(_BASE, len(value))[: len(value)], out=total[1:])
-    return mix64((total[n:] - total[:m]) * _power(_BASE_INV, m)[:m])
+    out, done, level, width = None, 0, value, 1
+    while True:
+        if n & width:
+            many = len(value) - done - width + 1
+            out = level if out is None else pair_hashes(out[:many], level[done : done + many])
+            done += width
+        if done == n:
+            return out[: len(value) - n + 1]
+        level = pair_hashes(level[:-width], level[width:])
+        width *= 2
 
 
 def sliding_min(value: np.ndarray, n: int) -> np.ndarray:
