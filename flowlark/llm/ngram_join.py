@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,13 +12,12 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .components import components
 from .scratch import partitions, saved, small_batches
+from .sketch import frequency_classes, order_keys
 
 #: Part of a set, beyond the prefix that every partner must meet, that is used to count shared n-grams.
 EXTRA = 0.1
 #: Bytes of text whose n-grams are gathered before they are dealt out.
 FLUSH_BYTES = 8 << 20
-#: Slots of the frequency sketch that sets the global order: a fixed size (4 MB of classes) for any input.
-SKETCH_BITS = 22
 #: A shard of the tree join holds at most so many sets and n-grams in each of two blocks.
 BLOCK_SETS, BLOCK_GRAMS = 2000, 2_000_000
 
@@ -214,44 +212,13 @@ def _sets(n: int):
     return run
 
 
-_SEGMENT = 1 << 16
-
-
-def _sketch_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for batch in batches:
-        for g in batch.column("grams"):
-            total[np.frombuffer(g.as_buffer(), np.uint64) >> np.uint64(64 - SKETCH_BITS)] += 1  # a set: no slot but by chance twice
-    parts = [zlib.compress(x.tobytes(), 1) for x in total.reshape(-1, _SEGMENT)]
-    yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["segment", "counts"])
-
-
-def _sketch_sum(pdf):
-    total = np.zeros(_SEGMENT, np.uint64)
-    for x in pdf["counts"]:
-        total += np.frombuffer(zlib.decompress(x), np.uint32)
-    pdf = pdf.iloc[:1].copy()
-    pdf["counts"] = [np.minimum(np.log2(total + 1) * 4, 255).astype(np.uint8).tobytes()]
-    return pdf
-
-
-def frequency_classes(sets: DataFrame) -> np.ndarray:
-    """For each slot of a fixed-size sketch, how frequent its n-grams are (quarter powers of two).
-
-    The order of n-grams need only be the same everywhere, so a sketch of bounded
-    size is enough: it puts frequent passages last.
-    """
-    parts = sets.select("grams").mapInArrow(_sketch_part, "segment int, counts binary").groupBy("segment").applyInPandas(_sketch_sum, "segment int, counts binary")
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for r in parts.collect():  # 64 rows of 64 kB, whatever the input
-        out[r.segment * _SEGMENT : (r.segment + 1) * _SEGMENT] = np.frombuffer(r.counts, np.uint8)
-    return out
+def _grams(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for g in batch.column("grams"):
+        yield np.frombuffer(g.as_buffer(), np.uint64)
 
 
 def _order(gram: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Sort keys: the frequency class first, then the hash (of which 8 bits give way)."""
-    rank = classes[gram >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64)
-    return np.argsort((rank << np.uint64(56)) | (gram >> np.uint64(8)), kind="stable")
+    return np.argsort(order_keys(gram, classes), kind="stable")
 
 
 def _deal_prefixes(percent: int, classes: np.ndarray, buckets: int):
@@ -425,7 +392,7 @@ def set_links(sets: DataFrame, percent: int) -> DataFrame:
     spark = sets.sparkSession
     parts = partitions(spark)
     buckets = 4 * parts
-    classes = frequency_classes(sets)
+    classes = frequency_classes(sets.select("grams"), _grams)
     dealt = sets.mapInArrow(_deal_prefixes(percent, classes, buckets), "bucket int, owner binary, many binary, gram binary")
     meeting = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meeting, "hub long, set_id long").distinct()
     members = saved(meeting, "meeting")

@@ -7,13 +7,15 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .scratch import partitions, saved, small_batches
+from .sketch import frequency_classes, order_keys
 
-#: Words in an anchor; a window is indexed under the smallest anchor hash that it holds.
+#: Words in an anchor; a window is indexed under the rarest anchor that it holds.
 ANCHOR_WORDS = 5
 #: Bytes of text that a task factors against itself before it deals out the rest.
 FLUSH_BYTES = 8 << 20
@@ -22,36 +24,28 @@ FLUSH_BYTES = 8 << 20
 _FACTORS = "doc_id long, row long, start int, many int, source_id long, source_start int"
 _FACTOR_NAMES = [x.split()[0] for x in _FACTORS.split(", ")]
 _FACTOR_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-_DEALT = f"bucket int, {_FACTORS}, docs binary, texts binary, runs binary, anchor binary, first binary, size binary, windows binary"
-_BLOBS = ["docs", "texts", "runs", "anchor", "first", "size", "windows"]
+_BLOBS = ["docs", "texts", "runs", "anchor", "first", "many_windows", "size", "words"]
+_DEALT = f"bucket int, {_FACTORS}, " + ", ".join(f"{c} binary" for c in _BLOBS)
 
 
-def _pack48(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _anchors(data: np.ndarray, offs: np.ndarray, span: int) -> np.ndarray:
+    return tk.ngram_hashes(tk.words(data, offs).hash, span)
 
 
-def _unpack48(x: bytes) -> np.ndarray:
-    out = np.zeros((len(x) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
-
-
-def _runs(data: np.ndarray, offs: np.ndarray, window: int):
+def _runs(w: tk.Words, classes: np.ndarray, window: int):
     """Runs of consecutive windows of a text that are indexed under one occurrence of an anchor.
 
-    Returns (text, first window, number of windows, anchor) of each run, and the
-    hashes of all windows in order.
+    Returns (text, first window, number of windows, anchor) of each run.
     """
     if window - ANCHOR_WORDS > 250:
         raise ValueError("a run must have fewer than 256 windows")
-    w = tk.words(data, offs)
     span = min(ANCHOR_WORDS, window)
-    grams = tk.ngram_hashes(w.hash, span)
+    grams = order_keys(tk.ngram_hashes(w.hash, span), classes)
     size = np.maximum(np.diff(w.first) - window + 1, 0)
     at = tk.ragged(w.first[:-1], size)
     if not len(at):
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return none, none, none, np.zeros(0, np.uint64)
     low = tk.sliding_min(grams, window - span + 1)[at]
     text = np.repeat(np.arange(len(size)), size)
     start = at - w.first[text]
@@ -59,7 +53,34 @@ def _runs(data: np.ndarray, offs: np.ndarray, window: int):
     left = grams[at[:-1]] == low[:-1]
     first = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (text[1:] != text[:-1]) | left))
     many = np.diff(np.append(first, len(low)))
-    return text[first], start[first], many, low[first], tk.ngram_hashes(w.hash, window)[at]
+    return text[first], start[first], many, low[first]
+
+
+def _spaced(w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the words' bytes with one space behind each, where each word starts, where it ends)."""
+    size = w.end - w.start
+    end = np.cumsum(size + 1) - 1
+    out = np.full(int(end[-1]) + 1 if len(end) else 0, 0x20, np.uint8)
+    out[tk.ragged(end - size, size)] = w.data[tk.ragged(w.start, size)]
+    return out, end - size, end
+
+
+def _copies(words: np.ndarray, lo: np.ndarray, size: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray):
+    """(copies, their sources, all other runs but repeated ones): a copy has the words of its source, which is the earliest such run.
+
+    Runs are found by hash and count as copies only if their words are compared and equal.  Rows of one
+    doc_id share their places; each text at the first place is kept.
+    """
+    key = tk.range_hashes(words, lo, lo + size)
+    order = np.lexsort((row, start, doc, key))
+    r = tk.runs(key[order])
+    source = order[np.repeat(r[:-1], np.diff(r))]
+    same = size[order] == size[source]
+    at = np.flatnonzero(same & (order != source))
+    same[at] = tk.equal_ranges(words, lo[order[at]], words, lo[source[at]], size[order[at]])
+    later = same & ((doc[source] != doc[order]) | (start[source] != start[order]))
+    again = np.append(False, same[1:] & (order[1:] != source[1:]) & (row[order[1:]] == row[order[:-1]])) if len(order) else same
+    return order[later], source[later], np.sort(order[~later & ~again])
 
 
 def _join_factors(doc, row, start, many, source, source_start):
@@ -75,43 +96,35 @@ def _join_factors(doc, row, start, many, source, source_start):
     return doc[first], row[first], start[first], np.add.reduceat(many, first), source[first], source_start[first]
 
 
-def _deal(window: int, buckets: int):
+def _deal(window: int, classes: np.ndarray, buckets: int):
     names = ["bucket", *_FACTOR_NAMES, *_BLOBS]
-    types = [pa.int32(), *_FACTOR_TYPES, *[pa.binary()] * 7]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, parts = 0, []
+        held, parts, texts = 0, [], []
+        pack = zstandard.ZstdCompressor(level=1).compress
 
         def flush() -> Iterator[pa.RecordBatch]:
-            doc, row, start, many, anchor, value = (np.concatenate([p[i] for p in parts]) for i in range(6))
+            doc, row, start, many, anchor, lo, size = (np.concatenate([p[i] for p in parts]) for i in range(7))
+            words = np.concatenate(texts)
             parts.clear()
+            texts.clear()
             if not len(doc):
                 return
-            begin = np.append(0, np.cumsum(many))
             # Equal runs are one run from here on; the later ones are factors already.
-            total = np.append(np.uint64(0), np.cumsum(tk.mix64(value + (np.arange(len(value)) - np.repeat(begin[:-1], many)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
-            key = tk.mix64((total[begin[1:]] - total[begin[:-1]]) ^ anchor ^ many.astype(np.uint64))
-            order = np.lexsort((row, start, doc, key))
-            r = tk.runs(key[order])
-            source = order[np.repeat(r[:-1], np.diff(r))]
-            # Rows of one doc_id share their places; each text at the first place stays.
-            later = (doc[source] != doc[order]) | (start[source] != start[order])
-            again = np.append(False, (order[1:] != source[1:]) & (row[order[1:]] == row[order[:-1]]))
-            found = _join_factors(doc[order[later]], row[order[later]], start[order[later]], many[order[later]], doc[source[later]], start[source[later]])
+            copy, source, keep = _copies(words, lo, size, doc, row, start)
+            found = _join_factors(doc[copy], row[copy], start[copy], many[copy], doc[source], start[source])
             if len(found[0]):
                 local = [pa.array(found[0] % buckets, pa.int32())] + [pa.array(x, t) for x, t in zip(found, _FACTOR_TYPES, strict=True)]
-                yield pa.RecordBatch.from_arrays(local + [pa.nulls(len(found[0]), pa.binary())] * 7, names=names)
-            keep = np.sort(order[~later & ~again])
+                yield pa.RecordBatch.from_arrays(local + [pa.nulls(len(found[0]), pa.binary())] * len(_BLOBS), names=names)
             at = ((tk.mix64(anchor[keep]) >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
             keep = keep[np.argsort(at, kind="stable")]
-            at = np.sort(at)
-            edge = np.searchsorted(at, np.arange(buckets + 1))
+            edge = np.searchsorted(np.sort(at), np.arange(buckets + 1))
             rows = []
             for b in range(buckets):
                 x = keep[edge[b] : edge[b + 1]]
                 if len(x):
                     d = np.append(np.flatnonzero(np.append(True, (doc[x][1:] != doc[x][:-1]) | (row[x][1:] != row[x][:-1]))), len(x))
-                    rows.append((b, doc[x][d[:-1]].tobytes(), row[x][d[:-1]].tobytes(), np.diff(d).astype(np.uint32).tobytes(), anchor[x].tobytes(), start[x].astype(np.uint32).tobytes(), many[x].astype(np.uint8).tobytes(), _pack48(value[tk.ragged(begin[x], many[x])])))
+                    rows.append((b, doc[x][d[:-1]].tobytes(), row[x][d[:-1]].tobytes(), np.diff(d).astype(np.uint32).tobytes(), anchor[x].tobytes(), start[x].astype(np.uint32).tobytes(), many[x].astype(np.uint8).tobytes(), size[x].astype(np.uint32).tobytes(), pack(words[tk.ragged(lo[x], size[x])].tobytes())))
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.nulls(len(rows), t) for t in _FACTOR_TYPES] + [pa.array(c, pa.binary()) for c in columns[1:]], names=names)
 
@@ -119,8 +132,13 @@ def _deal(window: int, buckets: int):
             doc_id, row_id = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row"))
             data, offs = tk.text_buffer(batch.column("text"))
             for a, b in tk.chunks(offs):
-                text, start, many, anchor, value = _runs(data, offs[a : b + 1], window)
-                parts.append((doc_id[a:b][text], row_id[a:b][text], start, many, anchor, value))
+                w = tk.words(data, offs[a : b + 1])
+                text, start, many, anchor = _runs(w, classes, window)
+                words, begin, end = _spaced(w)
+                first = w.first[text] + start
+                lo, size = begin[first], end[first + many + window - 2] - begin[first]
+                parts.append((doc_id[a:b][text], row_id[a:b][text], start, many, anchor, lo + sum(map(len, texts)), size))
+                texts.append(words)
                 held += int(offs[b] - offs[a])
                 if held >= FLUSH_BYTES:
                     yield from flush()
@@ -131,75 +149,182 @@ def _deal(window: int, buckets: int):
     return run
 
 
-def _factor(blobs: list[tuple]) -> tuple[np.ndarray, ...]:
-    """Factors of one reference block: windows whose sequence the block holds from an earlier place."""
+def _repeated(value: np.ndarray) -> np.ndarray:
+    """Where values are that occur more than once."""
+    order = np.argsort(value, kind="stable")
+    r = tk.runs(value[order])
+    return np.sort(order[np.repeat(np.diff(r) > 1, np.diff(r))])
+
+
+def _numbers(value: np.ndarray) -> np.ndarray:
+    return np.unique(value, return_inverse=True)[1]
+
+
+class _Block:
+    """A reference block: the words of runs, and an index of all windows by their words.
+
+    A window's group are the windows with the same words.  Runs under one anchor are aligned at it,
+    so windows that go on alike go on within the same anchor.
+    """
+
+    def __init__(self, words: np.ndarray, lo: np.ndarray, size: np.ndarray, many: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int):
+        # Each run's words, one after the other.
+        flat = words[tk.ragged(lo, size)]
+        behind = np.cumsum(size)
+        space = flat == 0x20
+        end = np.sort(np.append(np.flatnonzero(space), behind))
+        begin = np.append(0, end[:-1] + 1)
+        run_begin = np.searchsorted(end, behind) + 1
+        begin[run_begin[:-1]] = behind[:-1]
+        word_first = run_begin - (many + window - 1)
+        self.run = np.repeat(np.arange(len(many)), many)
+        self.position = tk.ragged(np.zeros(len(many), np.int64), many)
+        self.many = many
+        at = word_first[self.run] + self.position
+        text, length = begin[at], end[at + window - 1] - begin[at]
+        group = _numbers(tk.ngram_hashes(tk.range_hashes(flat, begin, end), window)[at]) if len(at) else at
+        # Windows count as equal only if their words are.
+        one = np.zeros(len(at), np.int64)
+        one[group[::-1]] = np.arange(len(at))[::-1]
+        one = one[group]
+        same = length == length[one]
+        same[same] = tk.equal_ranges(flat, text[same], flat, text[one[same]], length[same])
+        if not same.all():
+            raw, seen = flat.tobytes(), {}
+            group = np.array([seen.setdefault(raw[i : i + n], len(seen)) for i, n in zip(text.tolist(), length.tolist(), strict=True)])
+        self.group = group
+        # Equal places, in rows of one doc_id, have equal ranks.
+        place = start[self.run] + self.position
+        order = np.lexsort((place, doc[self.run]))
+        new = np.append(True, (np.diff(doc[self.run][order]) != 0) | (np.diff(place[order]) != 0)) if len(order) else order
+        self.rank = np.zeros(len(at), np.int64)
+        self.rank[order] = np.cumsum(new)
+        self._find()
+
+    def _find(self) -> None:
+        """``longest``: how many windows from each one on also follow each other from an earlier place, and ``source``, where."""
+        n = len(self.group)
+        self.longest, self.source = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        left = self.many[self.run] - self.position
+        at, group = np.arange(n), self.group
+        for k in range(int(left.max(initial=0))):
+            # All that have company and go on: with the same k windows before, is the next the same too?
+            if k:
+                more = left[at] > k
+                at, group = at[more], group[more]
+                group = _numbers(group.astype(np.int64) << 32 | self.group[at + k])
+            order = np.lexsort((self.rank[at], group))
+            at, group = at[order], group[order]
+            r = tk.runs(group)
+            first = np.repeat(at[r[:-1]], np.diff(r))
+            earlier = self.rank[first] < self.rank[at]
+            self.longest[at[earlier]], self.source[at[earlier]] = k + 1, first[earlier]
+            company = np.repeat(np.diff(r) > 1, np.diff(r))
+            at, group = at[company], group[company]
+            if not len(at):
+                break
+
+    def parse(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first window, number of windows) of the factors of all runs, greedily the longest from the left.
+
+        A factor ends where its words do; the windows across its end are looked up next.
+        """
+        n = len(self.longest)
+        hits = np.flatnonzero(self.longest)
+        end = np.cumsum(self.many)
+        at = end - self.many
+        found = []
+        while True:
+            i = np.searchsorted(hits, at)
+            at = np.append(hits, n)[i]
+            going = at < end
+            at, end = at[going], end[going]
+            if not len(at):
+                break
+            found.append(at)
+            at = at + self.longest[at]
+        at = np.concatenate([np.zeros(0, np.int64), *found])
+        return at, self.longest[at]
+
+
+def _factor(blobs: list[tuple], window: int) -> tuple[np.ndarray, ...]:
+    """Factors of what was dealt to one reference block: words that the block holds from an earlier place."""
     doc, row = (np.concatenate([np.repeat(np.frombuffer(x[i], np.int64), np.frombuffer(x[2], np.uint32)) for x in blobs]) for i in (0, 1))
     anchor = np.concatenate([np.frombuffer(x[3], np.uint64) for x in blobs])
-    start = np.concatenate([np.frombuffer(x[4], np.uint32) for x in blobs]).astype(np.int64)
-    many = np.concatenate([np.frombuffer(x[5], np.uint8) for x in blobs]).astype(np.int64)
-    begin = np.append(0, np.cumsum(many))
+    start, many, size = (np.concatenate([np.frombuffer(x[i], t) for x in blobs]).astype(np.int64) for i, t in ((4, np.uint32), (5, np.uint8), (6, np.uint32)))
+    unpack = zstandard.ZstdDecompressor().decompress
+    words = np.frombuffer(b"".join(unpack(x[7]) for x in blobs), np.uint8)
+    lo = np.cumsum(size) - size
     # Runs of anchors that occur once have no partner.
-    order = np.argsort(anchor)
-    r = tk.runs(anchor[order])
-    keep = np.sort(order[np.repeat(np.diff(r) > 1, np.diff(r))])
-    keep = keep[np.lexsort((start[keep], doc[keep]))]
-    window = np.concatenate([_unpack48(x[6]) for x in blobs])[tk.ragged(begin[keep], many[keep])]
-    of = np.repeat(keep, many[keep])
-    place = start[of] + tk.ragged(np.zeros(len(keep), np.int64), many[keep])
-    key = tk.mix64(anchor[of] + window * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(key, kind="stable")
-    r = tk.runs(key[order])
-    source = order[np.repeat(r[:-1], np.diff(r))]
-    apart = (doc[of[source]] != doc[of[order]]) | (place[source] != place[order])
-    later = apart & (window[source] == window[order]) & (anchor[of[source]] == anchor[of[order]])
-    order, source = order[later], source[later]
-    return _join_factors(doc[of[order]], row[of[order]], place[order], np.ones(len(order), np.int64), doc[of[source]], place[source])
+    keep = _repeated(anchor)
+    anchor, doc, row, start, many, lo, size = (x[keep] for x in (anchor, doc, row, start, many, lo, size))
+    copy, source, keep = _copies(words, lo, size, doc, row, start)
+    found = [(doc[copy], row[copy], start[copy], many[copy], doc[source], start[source])]
+    keep = keep[_repeated(anchor[keep])]
+    doc, row, start, many, lo, size = (x[keep] for x in (doc, row, start, many, lo, size))
+    if len(keep):
+        block = _Block(words, lo, size, many, doc, start, window)
+        at, length = block.parse()
+        of, source = block.run[at], block.source[at]
+        found.append((doc[of], row[of], start[of] + block.position[at], length, doc[block.run[source]], start[block.run[source]] + block.position[source]))
+    return _join_factors(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+
+def _factors(window: int):
+    """Factors found in the map tasks pass; each bucket's runs are factored against the bucket."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, blobs = None, []
 
-def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Factors found in the map tasks pass; each bucket's runs are factored against the bucket."""
-    at, blobs = None, []
-
-    def close() -> Iterator[pa.RecordBatch]:
-        if blobs:
-            found = _factor(blobs)
-            blobs.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, _FACTOR_TYPES, strict=True)], names=_FACTOR_NAMES)
-
-    for batch in batches:
-        table = pa.table(batch)
-        known = table.column("doc_id").is_valid()
-        yield from table.filter(known).select(_FACTOR_NAMES).to_batches()
-        rest = table.filter(pa.compute.invert(known))
-        for bucket, *blob in zip(*(rest.column(c).to_pylist() for c in ("bucket", *_BLOBS)), strict=True):
-            if bucket != at:
-                yield from close()
-                at = bucket
-            blobs.append(tuple(blob))
-    yield from close()
+        def close() -> Iterator[pa.RecordBatch]:
+            if blobs:
+                found = _factor(blobs, window)
+                blobs.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, _FACTOR_TYPES, strict=True)], names=_FACTOR_NAMES)
+
+        for batch in batches:
+            table = pa.table(batch)
+            known = table.column("doc_id").is_valid()
+            yield from table.filter(known).select(_FACTOR_NAMES).to_batches()
+            rest = table.filter(pa.compute.invert(known))
+            for bucket, *blob in zip(*(rest.column(c).to_pylist() for c in ("bucket", *_BLOBS)), strict=True):
+                if bucket != at:
+                    yield from close()
+                    at = bucket
+                blobs.append(tuple(blob))
+        yield from close()
+
+    return run
 
 
 def duplicate_factors(docs: DataFrame, window: int = 20) -> DataFrame:
-    """Word sequences of ``window`` words or more that start earlier elsewhere: exact.
+    """Word sequences of ``window`` words or more that start earlier elsewhere: exact, words are compared.
 
     Returns factors ``doc_id, row, start, many, source_id, source_start``: the ``many``
     windows of ``window`` words of document ``doc_id`` (of its texts that with xxhash64 ``row``) from word ``start`` on also
     start, one after the other, at word ``source_start`` of document ``source_id``,
     which is earlier (a smaller doc_id, or the same and an earlier word).
 
-    Every document is factored against every reference block: the corpus's
-    windows are indexed by the smallest anchor (run of five words) that they hold,
-    and the index is split into blocks by anchor.  Within a block, consecutive
-    windows that copy consecutive windows of an earlier place make one factor;
-    since each window is looked up itself, those that lie across the end of a
-    factor are found too.  A task first factors its own text, so what it deals
-    out has each frequent passage once.
+    Every document is factored against every reference block that may hold words of it: each window goes to
+    the block of the rarest anchor (run of five words) that it holds, by a frequency sketch of all anchors, so an
+    anchor that very many texts share draws windows only where there is none but such.  A block
+    holds the words around its anchors.  What comes to it is parsed greedily from the left into the longest
+    factors that the block has from an earlier place; the windows across a factor's end are looked up in turn.
+    A task first factors its own text by whole runs, so what it deals out has each frequent passage once.
     """
     small_batches(docs.sparkSession)
     parts = partitions(docs.sparkSession)
     source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
-    dealt = source.mapInArrow(_deal(window, 4 * parts), _DEALT)
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_factors, _FACTORS)
+    span = min(ANCHOR_WORDS, window)
+
+    def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        data, offs = tk.text_buffer(batch.column("text"))
+        for a, b in tk.chunks(offs):
+            yield _anchors(data, offs[a : b + 1], span)
+
+    classes = frequency_classes(source.select("text"), anchors)
+    dealt = source.mapInArrow(_deal(window, classes, 4 * parts), _DEALT)
+    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_factors(window), _FACTORS)
 
 
 def _cut(window: int, schema: list[str]):

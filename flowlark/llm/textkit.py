@@ -129,7 +129,8 @@ def equal_ranges(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.
         step = ragged(np.zeros(len(long), np.int64), many) * _PIECE
         same = equal_ranges(a, a_start[long].repeat(many) + step, b, b_start[long].repeat(many) + step, np.minimum(_PIECE, size[long].repeat(many) - step))
         out[long] = np.logical_and.reduceat(same, np.cumsum(many) - many)
-    x, y, at, done = _blocks(a), _blocks(b), np.flatnonzero((size > 0) & (size <= _PIECE)), 0
+    x = _blocks(a)
+    y, at, done = x if a is b else _blocks(b), np.flatnonzero((size > 0) & (size <= _PIECE)), 0
     while len(at):
         unequal = ((x[a_start[at] + done] ^ y[b_start[at] + done]) & _FIRST_BYTES[np.minimum(size[at] - done, 8)]) != 0
         out[at[unequal]] = False

@@ -2,6 +2,7 @@
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -101,3 +102,43 @@ def test_units_of_one_hash_are_told_apart(monkeypatch):
     monkeypatch.setattr(tk, "range_hashes", lambda data, start, end: np.full(len(start), 7, np.uint64))
     other = bpe.Encoder(encoder.vocabulary, public_tokenizers.PATTERN)
     assert other.encode(data, offs)[0].tolist() == want and other.encode(data, offs)[0].tolist() == want
+
+
+def parsed(texts, buckets=3):
+    """The factors of texts numbered from 0, without Spark."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "row", "text"])
+    deal = substring_dedup._deal(20, np.zeros(1 << 22, np.uint8), buckets)
+    rows = pa.Table.from_batches([d for i in range(len(texts)) for d in deal(iter([batch.slice(i, 1)]))]).sort_by("bucket").to_batches()
+    return [x for b in substring_dedup._factors(20)(iter(rows)) for x in b.to_pylist()]
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_factors_whatever_the_hash(monkeypatch, weak):
+    rng = np.random.default_rng(6)
+    base = [f"v{i}" for i in rng.integers(10, 99, 400)]
+    texts = [" ".join(base[a : a + n] + [f"x{a}"] + base[b : b + 30]) for a, n, b in zip(rng.integers(0, 200, 25).tolist(), rng.integers(5, 150, 25).tolist(), rng.integers(0, 370, 25).tolist(), strict=True)] + ["y " * 60, None, ""]
+    if weak:  # words are told apart by their length alone
+        monkeypatch.setattr(tk, "range_hashes", lambda data, start, end: tk.mix64((np.asarray(end) - start).astype(np.uint64)))
+    found = parsed(texts)
+    words = [(t or "").split() for t in texts]
+    seen, want = {}, set()
+    for i, w in enumerate(words):
+        for k in range(len(w) - 19):
+            if seen.setdefault(tuple(w[k : k + 20]), (i, k)) != (i, k):
+                want.add((i, k))
+    assert {(r["doc_id"], r["start"] + k) for r in found for k in range(r["many"])} == want and want
+    for r in found:
+        assert (r["source_id"], r["source_start"]) < (r["doc_id"], r["start"])
+        assert words[r["doc_id"]][r["start"] :][: r["many"] + 19] == words[r["source_id"]][r["source_start"] :][: r["many"] + 19]
+
+
+def test_factors_are_the_longest():
+    w = [f"v{i}" for i in range(60)]
+    # The first place of a window goes on for one word, the second for ten.
+    block = [w[:21] + ["a"] * 5, ["b"] * 3 + w[:30] + ["c"], w[:30] + ["d"] * 4]
+    words = np.frombuffer("".join(" ".join(x) for x in block).encode(), np.uint8)
+    size = np.array([len(" ".join(x)) for x in block])
+    many = np.array([len(x) - 19 for x in block])
+    made = substring_dedup._Block(words, np.cumsum(size) - size, size, many, np.arange(3), np.zeros(3, np.int64), 20)
+    at, length = made.parse()
+    assert [(made.run[i], made.position[i], n, made.run[made.source[i]], made.position[made.source[i]]) for i, n in zip(at, length, strict=True)] == [(1, 3, 2, 0, 0), (2, 0, 11, 1, 3)]
