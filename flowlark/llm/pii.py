@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -132,6 +133,14 @@ def _ip(f: Feistel, text: str, back: bool) -> str | None:
 _FIRST_DAY, _LAST_DAY = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
 
 
+@functools.cache
+def _days(month_width: int, day_width: int) -> tuple[list[dt.date], dict[dt.date, int]]:
+    """The days that can be written with so many digits (two with a zero in front), in order, and the number of each."""
+    every = (_FIRST_DAY + dt.timedelta(i) for i in range((_LAST_DAY - _FIRST_DAY).days + 1))
+    days = [d for d in every if (month_width == 2 or d.month < 10) and (day_width == 2 or d.day < 10)]
+    return days, {d: i for i, d in enumerate(days)}
+
+
 def _date(f: Feistel, text: str, back: bool) -> str | None:
     mark = re.search(r"[-/.]", text)[0]
     parts = text.split(mark)
@@ -144,11 +153,12 @@ def _date(f: Feistel, text: str, back: bool) -> str | None:
         day = dt.date(*(int(parts[i]) for i in order))
     except ValueError:
         return None
-    if not _FIRST_DAY <= day <= _LAST_DAY:
+    widths = len(parts[order[1]]), len(parts[order[2]])
+    days, number_of = _days(*widths)
+    if day not in number_of:
         return None
-    number = f.permute((day - _FIRST_DAY).days, (_LAST_DAY - _FIRST_DAY).days + 1, "date", back)
-    day = _FIRST_DAY + dt.timedelta(number)
-    new = {order[0]: f"{day.year:04d}", order[1]: f"{day.month:02d}", order[2]: f"{day.day:02d}"}
+    day = days[f.permute(number_of[day], len(days), f"date{widths[0]}{widths[1]}", back)]
+    new = {order[0]: f"{day.year:04d}", order[1]: f"{day.month:0{widths[0]}d}", order[2]: f"{day.day:0{widths[1]}d}"}
     return mark.join(new[i] for i in range(3))
 
 
@@ -256,7 +266,9 @@ def protect(docs: DataFrame, key: bytes, columns: list[str] | None = None) -> Da
     valid stays, but all that starts within it is tried; a card or account number
     ends behind the first groups that make a valid one of a usual length.  Only where
     a pseudonym would make such a text around it valid is it permuted again, so
-    there a value may differ from its pseudonym elsewhere.  A null text stays null, an empty one empty.  Columns named like a
+    there a value may differ from its pseudonym elsewhere.  Dates keep how many digits day and month have, so ``1/2/1999``
+    and ``01/02/1999`` have pseudonyms of their own.  A null text stays null, an empty one empty; texts of any length are
+    read whole; repeated rows and rows without a doc_id are rewritten alike and kept.  Columns named like a
     new one are replaced.
     """
     small_batches(docs.sparkSession)
