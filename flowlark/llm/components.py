@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import saved
+from .scratch import dropped, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
         small = small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
-        links = saved(small, "links")
+        old, links = links, saved(small, "links")
+        dropped(old)
     roots = links.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
     return links.select(F.col("u").alias("id"), F.col("v").alias("component_id")).union(roots)
 

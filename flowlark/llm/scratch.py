@@ -13,10 +13,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where unset (tests), a temporary folder."""
+    """``spark.checkpoint.dir`` of the session; where unset, a temporary folder in local runs and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -40,7 +42,15 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written once as Parquet and read again: cuts the lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def dropped(df: DataFrame | None) -> None:
+    """Removes the files of a ``saved`` table that nothing reads any more."""
+    if df is not None:
+        _remove(df.sparkSession, df._saved_at)
 
 
 def partitions(spark: SparkSession) -> int:
