@@ -27,8 +27,9 @@ _TYPES = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.str
 _NAMES = [x.split()[0] for x in _RECORDS.split(", ")]
 
 
-def _id(page_id: int | None, segment: int = 1) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id}/{segment}')}>"
+def _id(page_id: int | None, sha1: str, number: int, segment: int = 1) -> str:
+    """Record ids follow from the page, its payload, the number among equal rows and the segment."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id}/{sha1}/{number}/{segment}')}>"
 
 
 def chunked(payload: bytes) -> bytes:
@@ -66,41 +67,43 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r"
 
 
-def _records(page_id: int | None, url: str | None, payload: bytes, digest: str, response: int | None) -> Iterator[bytes]:
+def _records(page_id: int | None, url: str | None, payload: bytes, sha1: str, number: int, response: tuple[int | None, str] | None) -> Iterator[bytes]:
+    digest = base64.b32encode(bytes.fromhex(sha1)).decode()
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else f"urn:page:{page_id}"
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     fields = [("WARC-Target-URI", uri), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response"), ("X-Page-ID", page_id)]
+    own = _id(page_id, sha1, number)
     if response is not None:
-        yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", _id(page_id)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _id(response)), *fields], head)
+        yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _id(response[0], sha1, 1)), *fields], head)
         return
     block = head + chunked(payload)
     parts = [block[i : i + SEGMENT_BYTES] for i in range(0, len(block), SEGMENT_BYTES)]
-    yield _record([("WARC-Type", "response"), ("WARC-Record-ID", _id(page_id)), *fields, ("WARC-Segment-Number", 1 if len(parts) > 1 else None)], parts[0])
+    yield _record([("WARC-Type", "response"), ("WARC-Record-ID", own), *fields, ("WARC-Segment-Number", 1 if len(parts) > 1 else None)], parts[0])
     for i, part in enumerate(parts[1:], 2):
         last = len(block) if i == len(parts) else None
-        yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", _id(page_id, i)), ("WARC-Target-URI", uri), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Segment-Number", i), ("WARC-Segment-Origin-ID", _id(page_id)), ("WARC-Segment-Total-Length", last)], part)
+        yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", _id(page_id, sha1, number, i)), ("WARC-Target-URI", uri), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Segment-Number", i), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Total-Length", last)], part)
 
 
 def write(pages: DataFrame, path: str) -> None:
     """Writes a record for each row of ``pages(page_id, url, html)`` to gzipped archives at ``path``.
 
     Of rows with equal payloads, that with the largest page_id is the response, the
-    others are revisits that refer to it.  A null html is an empty payload, a null
-    url is named after the page.  Rows without a page_id are left out; repeated
-    rows of one page are written once.  Other columns are ignored.
+    others are revisits that refer to it; of equal rows of one page one is the response, and rows
+    without a page_id come before all others.  A null html is an empty payload, a null
+    url is named after the page.  Other columns are ignored.
     """
     small_batches(pages.sparkSession)
-    rows = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    keyed = rows.select("page_id", F.sha1("payload").alias("sha1"), F.length("payload").alias("size"))
-    keyed = keyed.groupBy("page_id").agg(F.max(F.struct("sha1", "size")).alias("x")).select("page_id", "x.*")
-    largest = keyed.groupBy("sha1", "size").agg(F.max("page_id").alias("response"))
-    decided = keyed.join(largest, ["sha1", "size"]).select("page_id", F.col("sha1").alias("_sha1"), F.when(F.col("response") != F.col("page_id"), F.col("response")).alias("_response"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
+    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("size", F.length("payload"))
+    keyed = rows.groupBy("page_id", "sha1", "size").agg(F.lit(1))
+    largest = keyed.groupBy("sha1", "size").agg(F.max("page_id").alias("_response"))
+    decided = keyed.join(largest, ["sha1", "size"]).select(F.col("page_id").alias("_page"), F.col("sha1").alias("_sha1"), F.col("size").alias("_size"), "_response")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, held = [], 0
-            for page, url, payload, sha1, response in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "_sha1", "_response")), strict=True):
-                new = list(_records(page, url, payload, base64.b32encode(bytes.fromhex(sha1)).decode(), response))
+            for page, url, payload, sha1, number, response in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha1", "_number", "_response")), strict=True):
+                new = list(_records(page, url, payload, sha1, number, None if page == response and number == 1 else (response, sha1)))
                 out += new
                 held += sum(map(len, new))
                 if held > 4 << 20:
@@ -108,10 +111,10 @@ def write(pages: DataFrame, path: str) -> None:
                     out, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    # The join and the window share one exchange by page; of rows of one page, that which was decided on comes first.
-    first = Window.partitionBy("page_id").orderBy(F.desc(F.sha1("payload")), F.desc(F.length("payload")), "url")
-    once = rows.join(decided, "page_id").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    records = once.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+    # The join and the window share one exchange by page and payload.
+    number = F.row_number().over(Window.partitionBy("page_id", "sha1", "size").orderBy("url"))
+    found = rows.join(decided, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("sha1") == F.col("_sha1")) & (F.col("size") == F.col("_size")))
+    records = found.withColumn("_number", number).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
     records.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
@@ -213,7 +216,7 @@ def digests(found: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes ``pages`` to archives in the shared folder, reads them back and reports each page.
 
-    Returns ``page_id, payload_bytes, payload_digest, record_type, refers_to`` from what was read;
+    Returns ``page_id, payload_bytes, payload_digest, record_type, refers_to`` from what was read, a row for each row of ``pages``;
     a revisit has the figures of the response it refers to.
     """
     spark = pages.sparkSession

@@ -79,6 +79,15 @@ def test_warc_round_trip(spark, monkeypatch):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_warc_has_a_record_for_each_row(spark):
+    rows = [(1, "u", "a"), (1, "u", "b"), (1, "u", "b"), (2, None, "b"), (2, "v", "b"), (None, "w", "b"), (None, None, "c"), (None, None, "c"), (None, "x", None), (3, "y", "")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    d = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    want = [(1, 1, d("a"), "response", None), (1, 1, d("b"), "revisit", 2), (1, 1, d("b"), "revisit", 2), (2, 1, d("b"), "response", None), (2, 1, d("b"), "revisit", 2), (None, 1, d("b"), "revisit", 2)]
+    want += [(None, 1, d("c"), "response", None), (None, 1, d("c"), "revisit", None), (None, 0, d(""), "revisit", 3), (3, 0, d(""), "response", None)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_segments_are_checked(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "y" * 200_000)], "page_id long, url string, html string")
     warc.write(pages, str(tmp_path / "w"))
