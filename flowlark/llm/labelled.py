@@ -19,3 +19,14 @@ def sample(labels: DataFrame, label: str, usable: Column, rows: int) -> DataFram
     good = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & usable)
     good = good.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+
+def training_texts(docs: DataFrame, chosen: DataFrame, longest: int | None = None) -> DataFrame:
+    """``doc_id, label, text`` of the chosen documents, one row for each doc_id: of its texts the last in order.
+
+    With ``longest``, only texts of at most so many characters are learnt from, which bounds the sample's bytes too.
+    """
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    if longest is not None:
+        found = found.where(F.coalesce(F.length("text") <= longest, F.lit(True)))
+    return found.groupBy("doc_id").agg(F.max("label").alias("label"), F.max("text").alias("text"))

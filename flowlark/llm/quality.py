@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .labelled import fold, sample
+from .labelled import fold, sample, training_texts
 from .scratch import small_batches
 
 #: Hashed words and the length of their context vectors: a table of fixed size (4 MB).
@@ -149,15 +149,15 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     score).  Null and empty texts are scored as a pooled vector of zeros.  Without
     labels, or with one class alone, all score the base rate.  Columns of ``docs``
     named like a new one are replaced; rows without a doc_id are scored, ``held_out``
-    is then null.
+    is then null.  Repeated rows are scored alike; of several texts of one labelled doc_id the last in order is
+    learnt from.  Texts of any length are read whole, in chunks.
     """
     small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     vectors = word_vectors(docs)
     table = context.broadcast(vectors)
     chosen = sample(labels, label, fold("doc_id", folds) != held_out, rows)
-    learnt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    learnt = learnt.select("doc_id", "label", "text").mapInArrow(_pooled(table), "doc_id long, label int, x array<double>").toPandas().sort_values("doc_id")  # bounded by rows
+    learnt = training_texts(docs, chosen).mapInArrow(_pooled(table), "doc_id long, label int, x array<double>").toPandas().sort_values("doc_id")  # bounded by rows
     x = np.stack(learnt["x"].to_list()) if len(learnt) else np.zeros((0, DIMENSIONS))
     net = Network(x, learnt["label"].to_numpy())
     # The first layer is linear in the words, so its sums are pooled: no more than HIDDEN numbers a word.

@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .labelled import fold, sample
-from .scratch import small_batches
+from .labelled import fold, sample, training_texts
+from .scratch import saved, small_batches
 
 #: Character n-grams of a word and its two edges, hashed into slots of a table of vectors.
 SUBWORDS, SLOT_BITS, DIMENSIONS = (3, 4, 5), 18, 8
 #: Words averaged into one bag; a text's score is that of its most toxic bag.
 BAG_WORDS = 3
-#: At most so many labelled documents are learnt from.
-TRAINING_ROWS = 2500
+#: At most so many labelled documents, of at most so many characters, are learnt from: bounds what comes to the driver.
+TRAINING_ROWS, TRAINING_CHARACTERS = 2500, 1 << 15
 EPOCHS, WHOLE_TEXT_EPOCHS, MIN_WORDS, DECAY = 50, 8, 4, 0.965
 #: A Python worker forgets its scored words beyond so many.
 CACHE_WORDS = 1 << 19
@@ -72,20 +72,44 @@ def _bags(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return score, at
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of each text's words, in order."""
+    for batch in batches:
+        out = []
+        if len(batch):
+            t = tk.tokens(*tk.text_buffer(batch.column("text")), lower=True, marks=False)
+            value = tk.range_hashes(t.data, t.start, t.end)
+            out = [value[x:y].tobytes() for x, y in zip(t.first[:-1], t.first[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary())], names=["doc_id", "label", "words"])
+
+
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch's distinct words: hash and slots."""
+    for batch in batches:
+        t = tk.tokens(*tk.text_buffer(batch.column("text")), lower=True, marks=False) if len(batch) else None
+        if t is None or not len(t.start):
+            continue
+        value, at = np.unique(tk.range_hashes(t.data, t.start, t.end), return_index=True)
+        slot, edge = subwords(t.data, t.start[at], t.end[at])
+        slots = [slot[x:y].astype(np.int32).tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(slots, pa.binary())], names=["word", "slots"])
+
+
+def train(words: list[np.ndarray], known: np.ndarray, slots: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
     """(a weight for each slot, bias): the vectors times the softmax weights, which is all that scoring needs.
 
+    ``words`` are the hashes of each text's words, ``slots`` those of the ``known`` words.
     Vectors and softmax are trained jointly, by gradient descent on all rows at once.  The first
     rounds average all words of a text; the later ones its most toxic bag.
     """
     rng = np.random.default_rng(seed)
-    if not len(texts) or len(set(labels.tolist())) < 2:
-        rate = float(np.mean(labels)) if len(texts) else 0.5
+    if not len(known) or len(set(labels.tolist())) < 2:
+        rate = float(np.mean(labels)) if len(labels) else 0.5
         return np.zeros(1 << SLOT_BITS), float(np.log((rate + 1e-3) / (1 - rate + 1e-3)))
-    data, offs = tk.text_buffer(pa.array(texts, pa.string()))
-    t = tk.tokens(data, offs, lower=True, marks=False)
-    key, at, word = np.unique(tk.range_hashes(t.data, t.start, t.end), return_index=True, return_inverse=True)
-    slot, edge = subwords(t.data, t.start[at], t.end[at])
+    order = np.argsort(known)
+    slot, edge = np.concatenate([slots[i] for i in order]).astype(np.int64), np.append(0, np.cumsum([len(slots[i]) for i in order]))
+    word = np.searchsorted(known[order], np.concatenate(words))
+    text_first = np.append(0, np.cumsum([len(w) for w in words]))
     many = np.diff(edge).astype(np.float32)
     of_slot = np.repeat(np.arange(len(many)), np.diff(edge))
     # Slots of fewer than MIN_WORDS words keep a zero vector: nothing can be learnt about them.
@@ -99,7 +123,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarr
     bias = np.zeros(2)
     y = labels.astype(int)
     balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
-    has = np.diff(t.first) > 0
+    has = np.diff(text_first) > 0
     speed = [np.zeros_like(vectors), np.zeros_like(softmax), np.zeros_like(bias)]
     for epoch in range(EPOCHS):
         # With two classes the gradient of a vector is a number times the difference of the class weights.
@@ -108,10 +132,10 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarr
         value[filled] = np.add.reduceat((vectors @ towards)[slot], edge[:-1][filled]) / many[filled]
         whole = epoch < WHOLE_TEXT_EPOCHS
         if whole:
-            first, size = t.first[:-1][has], np.diff(t.first)[has]
+            first, size = text_first[:-1][has], np.diff(text_first)[has]
         else:
-            _, begin = _bags(value[word], t.first)
-            first, size = begin[has], np.minimum(np.diff(t.first)[has], BAG_WORDS)
+            _, begin = _bags(value[word], text_first)
+            first, size = begin[has], np.minimum(np.diff(text_first)[has], BAG_WORDS)
         members = word[tk.ragged(first, size)]
         parts = np.append(0, np.cumsum(size))
         logit = np.full(len(y), bias[1] - bias[0])
@@ -168,14 +192,15 @@ class _Scorer:
         return _bags(self.value[at], t.first)[0]
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, threshold: float = 0.5, rows: int = TRAINING_ROWS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, threshold: float = 0.5, rows: int = TRAINING_ROWS, longest: int = TRAINING_CHARACTERS) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every text.
 
     A bag of words is the mean of its words' vectors, a word's vector the mean of
     its character n-grams' vectors, so misspellings never met before are close to
     what they stand for; a linear softmax on the bag gives the score, and a text
-    scores as its most toxic bag.  Learns from at most ``rows`` labelled documents
-    whose fold isn't ``held_out`` (ids choose rows and are no input of a score).
+    scores as its most toxic bag.  Learns from at most ``rows`` labelled documents of at most ``longest`` characters
+    whose fold isn't ``held_out`` (ids choose rows and are no input of a score); executors turn them into
+    hashes and slots of words.  Of several texts of one labelled doc_id the last in order is learnt from.
 
     Null and empty texts have the score of an empty bag.  Without labels, or with
     one class alone, all score the base rate.  Other columns are ignored, repeated
@@ -183,9 +208,11 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     """
     small_batches(docs.sparkSession)
     chosen = sample(labels, label, fold("doc_id", folds) != held_out, rows)
-    learnt = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    pdf = learnt.select("doc_id", "text", "label").toPandas().sort_values("doc_id")  # bounded by rows
-    weight, bias = train([x or "" for x in pdf["text"]], pdf["label"].to_numpy())
+    learnt = saved(training_texts(docs, chosen, longest), "labelled")
+    # Both are bounded by rows and longest.
+    texts = learnt.mapInArrow(_sequences, "doc_id long, label int, words binary").toPandas().sort_values("doc_id")
+    known = learnt.mapInArrow(_vocabulary, "word long, slots binary").dropDuplicates(["word"]).toPandas()
+    weight, bias = train([np.frombuffer(x, np.int64) for x in texts["words"]], known["word"].to_numpy(np.int64), [np.frombuffer(x, np.int32) for x in known["slots"]], texts["label"].to_numpy())
     model = docs.sparkSession.sparkContext.broadcast((weight.astype(np.float32), bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

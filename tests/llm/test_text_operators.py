@@ -263,6 +263,22 @@ def test_classifiers_on_held_out_rows(spark):
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % (5 if label == "toxic" else 4) == (0 if label == "toxic" else 2)) for r in scored.collect())
 
 
+def test_classifiers_of_odd_rows(spark):
+    rows = labelled(spark).select("doc_id", "text", "toxic").toPandas()
+    long = " ".join(rows["text"][:400]) + " grukk"
+    odd = [(None, "grukk"), (None, None), (1, None), (1, long), (2, rows["text"][2]), (2, rows["text"][2]), (900, long * 5), (901, ""), (902, long * 5)]
+    docs = spark.createDataFrame([*zip(rows["doc_id"].tolist(), rows["text"]), *odd], "doc_id long, text string").selectExpr("*", "1 as score", "'x' as label", "true as held_out")
+    labels = spark.createDataFrame([*zip(rows["doc_id"].tolist(), rows["toxic"].tolist()), (None, 1), (1, None), (901, 0)], "doc_id long, toxic int").selectExpr("*", "1 - toxic as quality", "'y' as text")
+    for f in (toxicity.score, quality.score):
+        once, again = ({} for _ in range(2))
+        for found in (once, again):
+            for r in f(docs.repartition(3), labels).collect():
+                assert 0 <= r.score <= 1 and (r.held_out is None) == (r.doc_id is None)
+                found.setdefault(r.doc_id, []).append(round(r.score, 6))
+        assert {k: sorted(v) for k, v in once.items()} == {k: sorted(v) for k, v in again.items()}
+        assert len(set(once[2])) == 1 and len(once[2]) == 3 and once[900] == once[902] and len(once[None]) == 2
+
+
 def test_classifiers_without_labels_or_rows(spark, texts):
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     for f in (toxicity.score, quality.score):
