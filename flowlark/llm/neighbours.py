@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import saved
-from .vectors import dimension, matrix, valid
+from .vectors import matrix, usual_length, valid
 
-#: Distinct vectors in a shard, each with a graph of its own.
-SHARD_ROWS = 4096
+#: Distinct vectors that a cell should hold, each with a graph of its own; there are at most MAX_CELLS, so with more rows cells grow.
+CELL_ROWS, MAX_CELLS = 4096, 1024
+#: Centres are fitted on so many vectors for each cell, in so many rounds.
+SAMPLE_PER_CELL, ROUNDS = 8, 5
+#: Cells that a query asks: those of the nearest centres.
+PROBES = 8
 #: Edges of a node, width of the beam that proposes neighbours and of that for queries, and how
 #: much longer a way round may be for an edge to be left out.
 DEGREE, BUILD_BEAM, QUERY_BEAM, RELAXED = 32, 64, 128, 1.2
@@ -21,10 +25,17 @@ BATCH = 256
 
 
 class Graph:
-    """A directed graph over the rows of ``x`` (float), built by greedy search and robust pruning."""
+    """A directed graph over the rows of ``x`` (float), built by greedy search and robust pruning.
+
+    Vectors are moved to their mean and scaled to at most 1, so that single precision serves for any finite ones;
+    differences below a ten-millionth of the largest are lost on the way, not in the scores.
+    """
 
     def __init__(self, x: np.ndarray, seed: int = 5):
-        self.x = np.ascontiguousarray(x, np.float32)
+        self.large = np.abs(x).max(initial=0) or 1.0
+        self.mean = (x / self.large).mean(0)
+        self.spread = np.abs(x / self.large - self.mean).max(initial=0) or 1.0
+        self.x = self._moved(x)
         self.norm = np.einsum("ij,ij->i", self.x, self.x)
         n = len(x)
         self.edges = np.full((n, DEGREE), -1, np.int32)
@@ -34,14 +45,20 @@ class Graph:
         done = 1
         while done < n:  # batches grow with the graph that they are searched in
             batch = order[done : done + min(BATCH, done)]
-            found, distance = self.search(self.x[batch], BUILD_BEAM, batch)
+            found, distance = self._walk(self.x[batch], BUILD_BEAM, batch)
             self.edges[batch] = self.prune(batch, found, distance)
             self._back(batch)
             done += len(batch)
 
-    def search(self, queries: np.ndarray, beam: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, squared distances) of the ``beam`` nearest that a greedy walk meets; -1 and inf fill up."""
-        queries = np.ascontiguousarray(queries, np.float32)
+    def _moved(self, x: np.ndarray) -> np.ndarray:
+        # What is further away than any use is cut off, as its squares wouldn't fit.
+        return np.ascontiguousarray(np.clip((x / self.large - self.mean) / self.spread, -1e15, 1e15), np.float32)
+
+    def search(self, queries: np.ndarray, beam: int) -> np.ndarray:
+        """Ids of the ``beam`` nearest that a greedy walk meets, nearest first; -1 fills up."""
+        return self._walk(self._moved(queries), beam)[0]
+
+    def _walk(self, queries: np.ndarray, beam: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         m, norm = len(queries), np.einsum("ij,ij->i", queries, queries)
         rows = np.arange(m)
         ids, far = np.full((m, beam), -1, np.int32), np.full((m, beam), np.inf, np.float32)
@@ -117,26 +134,87 @@ class Graph:
                 self.edges[t[full]] = self.prune(t[full], ids[full], far[full])
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of ``x`` from ``q``."""
+    gap = np.abs(x - q)
+    largest = gap.max(axis=1, initial=0)
+    if (largest > 1e150).any() or ((largest > 0) & (largest < 1e-150)).any():  # whose squares don't fit
+        with np.errstate(over="ignore"):
+            whole = np.where((largest > 0) & np.isfinite(largest), largest, 1.0)
+            return whole * np.sqrt(((gap / whole[:, None]) ** 2).sum(1))
+    return np.sqrt((gap**2).sum(1))
+
+
+def fit_centres(x: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
+    """``cells`` centres of a sample, moved to the mean of what is nearest to them."""
+    centres = x[:cells].copy()
+    for _ in range(rounds):
+        of = _nearest_centres(x, centres, 1)[:, 0]
+        count = np.bincount(of, minlength=len(centres))
+        total = np.zeros_like(centres)
+        np.add.at(total, of, x)
+        centres[count > 0] = total[count > 0] / count[count > 0, None]
+    return centres
+
+
+def _nearest_centres(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
+    out = np.zeros((len(x), k), np.int64)
+    norm = (centres**2).sum(1)
+    for a in range(0, len(x), 1024):
+        far = norm - 2 * x[a : a + 1024] @ centres.T
+        out[a : a + 1024] = np.argpartition(far, k - 1, axis=1)[:, :k] if k < len(centres) else np.arange(k)
+    return out
+
+
+def nearest(rows: DataFrame, is_query: Column, k: int = 10, probes: int = PROBES) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query row its ``k`` nearest other rows that are found.
 
     ``score`` is the Euclidean distance of the original vectors in double precision;
     ties go to the smaller vec_id.  Vectors that are null, zero or hold null or
-    non-finite components take no part, neither do rows without a vec_id; other
-    columns are ignored.  Fewer candidates give fewer ranks.
+    non-finite components take no part, neither do those of another length than the most common one and
+    rows without a vec_id; other columns are ignored.  Fewer candidates give fewer ranks.  Of rows
+    that share a vec_id a query finds the nearest; such queries are answered as one.
 
-    Distinct vectors are dealt by hash into shards; each task builds the graph of its
-    shard and beam-searches it with every query.  Of equal vectors the shard
-    carries the k + 1 smallest ids: no query can need more of them.
+    Distinct vectors are dealt to cells by the nearest of some centres, which are fitted on a bounded sample
+    (``SAMPLE_PER_CELL * MAX_CELLS`` vectors at most); every vector is indexed.  Each task builds the graph of
+    its cell and beam-searches it with the queries whose ``probes`` nearest centres include the cell's, so work grows with the rows.  A
+    cell with far more rows than the others is dealt by hash into shards, which are all searched.  Of equal vectors a
+    shard carries the k + 1 smallest ids: no query can need more of them.
     """
+    spark = rows.sparkSession
     good = rows.where(F.col("vec_id").isNotNull() & valid("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", is_query.alias("q"))
-    dimension(good, "embedding")
+    good = good.where(F.size("embedding") == usual_length(good, "embedding"))
     first = Window.partitionBy("embedding").orderBy("vec_id")
-    some = good.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
-    distinct = saved(some.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "distinct")
-    shards = max(1, -(-distinct.count() // SHARD_ROWS))
-    members = distinct.select(F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast("long").alias("query_id"), "ids", "embedding")
-    queries = good.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("vec_id").alias("query_id"), F.lit(None).cast("array<bigint>").alias("ids"), "embedding")
+    some = good.withColumn("n", F.dense_rank().over(first)).where(F.col("n") <= k + 1)
+    distinct = saved(some.groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")), "distinct")
+    n = distinct.count()
+    cells = max(1, min(n // CELL_ROWS, MAX_CELLS))
+    sample = distinct.orderBy(F.xxhash64("embedding")).limit(SAMPLE_PER_CELL * cells).select("embedding").toArrow()["embedding"].combine_chunks() if cells > 1 else None
+    sample = matrix(sample).astype(float) if sample is not None else np.zeros((1, 1))
+    large = np.abs(sample).max() or 1.0
+    centres = spark.sparkContext.broadcast((fit_centres(sample / large, cells), large))  # at most MAX_CELLS vectors
+
+    def routed(many: int, kept: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, large = centres.value
+            for batch in batches:
+                cell = _nearest_centres(matrix(batch.column("embedding")) / large, at, many) if cells > 1 else np.zeros((len(batch), 1), np.int64)
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * cell.shape[1]), pa.array(cell.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([listed, *(batch.column(c) for c in kept)], names=["cells", *kept])
+
+        return run
+
+    kind = dict(distinct.dtypes)["embedding"]
+    placed = distinct.mapInArrow(routed(1, ["ids", "embedding"]), f"cells array<int>, ids array<long>, embedding {kind}")
+    placed = saved(placed.select(F.col("cells")[0].alias("cell"), "ids", "embedding"), "placed")
+    # A cell of more rows than four usual ones is several shards.
+    limit = 4 * max(CELL_ROWS, -(-n // cells))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / limit).cast("int").alias("shards"))  # at most MAX_CELLS rows
+    own = F.pmod(F.xxhash64("embedding"), F.col("shards")).cast("int")
+    members = placed.join(F.broadcast(sizes), "cell").select("cell", own.alias("shard"), F.lit(None).cast("long").alias("query_id"), "ids", "embedding")
+    asked = good.where("q").select("vec_id", "embedding").mapInArrow(routed(min(probes, cells), ["vec_id", "embedding"]), f"cells array<int>, vec_id long, embedding {kind}")
+    asked = asked.select(F.explode("cells").alias("cell"), "vec_id", "embedding").join(F.broadcast(sizes), "cell")
+    queries = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.col("vec_id").alias("query_id"), F.lit(None).cast("array<bigint>").alias("ids"), "embedding")
 
     def answer(members: list[pa.RecordBatch], asked: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not members or not asked:
@@ -144,15 +222,15 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
         table, questions = pa.Table.from_batches(members), pa.Table.from_batches(asked)
         exact = matrix(table["embedding"].combine_chunks()).astype(float)
         ids = table["ids"].to_pylist()
-        graph = Graph(exact - exact.mean(0))
+        graph = Graph(exact)
         q = matrix(questions["embedding"].combine_chunks()).astype(float)
         own = questions["query_id"].to_pylist()
         for a in range(0, len(q), BATCH):
-            found, _ = graph.search(q[a : a + BATCH] - exact.mean(0), QUERY_BEAM)
+            found = graph.search(q[a : a + BATCH], QUERY_BEAM)
             out = []
             for i, row in enumerate(found[:, : 2 * k + 2].tolist()):
                 row = [r for r in row if r >= 0]
-                score = np.sqrt(((exact[row] - q[a + i]) ** 2).sum(1)).tolist()
+                score = distances(exact[row], q[a + i]).tolist()
                 best = sorted((s, v) for r, s in zip(row, score, strict=True) for v in ids[r] if v != own[a + i])[:k]
                 out += [(own[a + i], v, s) for s, v in best]
             columns = list(zip(*out, strict=True)) if out else [[], [], []]
@@ -161,7 +239,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, members, asked = None, [], []
         for batch in batches:
-            number = batch.column("shard").to_numpy()
+            number = batch.column("cell").to_numpy().astype(np.int64) << 32 | batch.column("shard").to_numpy()
             edge = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
             for x, y in zip(edge[:-1], edge[1:], strict=True):
                 if x == y:
@@ -175,7 +253,8 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
                 asked += [m for m in pa.Table.from_batches([part.filter(pa.compute.invert(is_member))]).to_batches() if len(m)]
         yield from answer(members, asked)
 
-    dealt = members.union(queries).repartition(min(shards, 100_000), "shard").sortWithinPartitions("shard")
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
+    dealt = members.union(queries).repartition(4 * cells, "cell", "shard").sortWithinPartitions("cell", "shard")
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double").repartition("query_id")
+    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -21,12 +21,10 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def dimension(rows: DataFrame, column: str) -> int:
-    """The vectors' length; they must all have the same."""
-    low, high = rows.agg(F.min(F.size(column)), F.max(F.size(column))).first()
-    if low != high:
-        raise ValueError(f"vectors of {low} and of {high} components")
-    return low or 0
+def usual_length(rows: DataFrame, column: str) -> int:
+    """The most common length of the vectors (of equally common ones the greatest); 0 if there are none."""
+    counted = rows.groupBy(F.size(column).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    return counted["n"] if counted else 0
 
 
 def unit(x: np.ndarray) -> np.ndarray:

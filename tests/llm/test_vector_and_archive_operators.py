@@ -21,7 +21,7 @@ def vectors(spark, n=400, seed=1):
     return x, spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, label int, n_links int").repartition(3)
 
 
-@pytest.mark.parametrize("block", [2048, 50])
+@pytest.mark.parametrize("block", [(2048, 16384), (10, 50)])
 def test_embedding_dedup(spark, block, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", block)
     x, df = vectors(spark)
@@ -37,8 +37,9 @@ def test_embedding_dedup(spark, block, monkeypatch):
     assert all(got[400 + i] == (0, 400 + i, True) for i in range(5)) and len(got) == 405
 
 
-def test_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "SHARD_ROWS", 150)
+@pytest.mark.parametrize("cell", [4096, 150, 20])
+def test_neighbours(spark, cell, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", cell)
     x, df = vectors(spark)
     got = {}
     for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect():
@@ -53,6 +54,44 @@ def test_neighbours(spark, monkeypatch):
     assert hit >= 0.95 * 200 and not {q for q in got if q >= 400}
 
 
+def test_neighbours_of_odd_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = [*rng.normal(size=(40, 3)) * 1e20, *rng.normal(size=(40, 3)), *rng.normal(size=(10, 3)) * 1e-200]
+    x += [x[0]] * 30 + [x[50]] * 30  # ties
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    odd = [(500, [1.0, 2.0]), (501, []), (502, [1.0] * 7), (None, [1.0, 2.0, 3.0]), (503, None), (504, [0.0] * 3), (505, [1.0, float("nan"), 0.0])]
+    again = [(60, rows[60][1]), (60, [5.0, 5.0, 5.0]), (61, [-5.0, 0.0, 5.0])]
+    df = spark.createDataFrame([(*r, 7) for r in rows + odd + again], "vec_id long, embedding array<double>, score int").repartition(3)
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 10 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(got) == {i for i in range(len(rows)) if i % 10 == 0}
+    every = rows + again
+    hit = 0
+    for i in sorted(got):
+        best = {}
+        for mine in (v for j, v in every if j == i):
+            for j, v in every:
+                if j != i:
+                    gap = np.abs(np.array(v) - np.array(mine))
+                    top = gap.max() or 1.0
+                    best[j] = min(best.get(j, np.inf), top * np.sqrt(((gap / top) ** 2).sum()))
+        want = sorted((s, j) for j, s in best.items())[:10]
+        found = sorted(got[i])
+        assert [r for r, *_ in found] == list(range(1, 11)) and len({v for _, v, _ in found}) == 10
+        assert all(np.isclose(s, best[v], rtol=1e-12, atol=0) for _, v, s in found)
+        if i < 40 or 90 <= i < 120:  # single precision tells the large ones apart; beside them the small ones are one place
+            hit += len({j for _, j in want} & {v for _, v, _ in found})
+    assert hit >= 0.9 * 10 * sum(i < 40 or 90 <= i < 120 for i in got)
+
+
+def test_embedding_dedup_of_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1e200, 1e150]), (4, [0.0, 1.0]), (5, [1.0, 0.0, 0.0]), (6, []), (7, [0.0, 1e-200]), (None, [1.0, 0.0]), (8, None)]
+    df = spark.createDataFrame([(*r, True) for r in rows], "vec_id long, embedding array<double>, kept boolean")
+    got = sorted(map(tuple, embedding_dedup.near_duplicates(df).collect()))
+    assert got == sorted([(1, 3, 1, True)] * 2 + [(2, 3, 1, False), (3, 3, 1, False), (4, 1, 4, True), (5, 0, 5, True), (6, 0, 6, True), (7, 1, 4, False), (8, 0, 8, True)])
+
+
 def test_empty_vectors(spark):
     _, df = vectors(spark)
     for part in (df.where("false"), df.where("vec_id >= 400")):
