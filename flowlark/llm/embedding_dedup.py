@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 
 from .components import components, forest
 from .scratch import partitions, saved
-from .vectors import dimension, matrix, unit, valid
+from .vectors import matrix, unit, usual_length, valid
 
 #: Principal directions are fitted on at most so many vectors; they only steer what is skipped.
 SAMPLE_ROWS = 10_000
 #: Directions that make the grid, and those whose bounds let blocks be skipped.
-GRID, BOUNDS = 3, 10
-#: Rows of an interval that is sent as one, and of one that is compared at once.
-BLOCK_ROWS, LEAF_ROWS = 2048, 256
+GRID, BOUNDS = 8, 10
+#: Rows of an interval that is sent as one: an eighth of all, within these bounds, so that what is sent grows with
+#: the rows up to 8 times the larger one.
+BLOCK_ROWS = 2048, 16384
+#: Rows of an interval that is compared at once.
+LEAF_ROWS = 256
 
 
 def _directions(rows: DataFrame) -> np.ndarray:
@@ -82,9 +85,9 @@ def near_duplicates(rows: DataFrame, similarity: float = 0.95) -> DataFrame:
     """
     spark = rows.sparkSession
     rows = rows.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    good = rows.where(valid("embedding"))
+    usable = valid("embedding") & (F.size("embedding") == usual_length(rows.where(valid("embedding")), "embedding"))
+    good = rows.where(usable)
     distinct = saved(good.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")), "vectors")
-    dimension(distinct, "embedding")
     directions = _directions(distinct)
     epsilon = float(np.sqrt(max(0.0, 2 - 2 * similarity))) + 1e-9
     bounds = directions.shape[1]
@@ -97,6 +100,8 @@ def near_duplicates(rows: DataFrame, similarity: float = 0.95) -> DataFrame:
             cell = np.floor(unit(x) @ directions[:, :grid] / epsilon).astype(np.int32) if len(batch) else np.zeros((0, grid), np.int32)
             yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(cell[:, i])) for i in range(grid)), batch.column("vec_id"), batch.column("copies"), batch.column("embedding")], names=[*cells, "vec_id", "copies", "embedding"])
 
+    n = distinct.count()
+    block_rows = min(max(-(-n // 8), BLOCK_ROWS[0]), BLOCK_ROWS[1])
     kind = dict(distinct.dtypes)["embedding"]
     placed = distinct.mapInArrow(place, ", ".join([*(f"{c} int" for c in cells), f"vec_id long, copies long, embedding {kind}"]))
 
@@ -107,7 +112,7 @@ def near_duplicates(rows: DataFrame, similarity: float = 0.95) -> DataFrame:
             x = matrix(table["embedding"].combine_chunks())
             p = unit(x) @ directions
             lo, hi = p.min(0), p.max(0)
-            at = np.floor(np.stack([lo, hi]) [:, :grid] / epsilon).astype(int)
+            at = np.floor(np.stack([lo, hi])[:, :grid] / epsilon).astype(int)
             return pa.RecordBatch.from_arrays(
                 [pa.array([number]), pa.array([lo.tolist()]), pa.array([hi.tolist()]), pa.array([at[0].tolist()]), pa.array([at[1].tolist()]),
                  pa.array([table["vec_id"].to_numpy().tobytes()]), pa.array([table["copies"].to_numpy().tobytes()]), pa.array([np.ascontiguousarray(x).tobytes()]), pa.array([str(x.dtype)])],
@@ -116,20 +121,19 @@ def near_duplicates(rows: DataFrame, similarity: float = 0.95) -> DataFrame:
 
         for batch in batches:
             held.append(batch)
-            while sum(len(b) for b in held) >= BLOCK_ROWS:
+            while sum(len(b) for b in held) >= block_rows:
                 table = pa.Table.from_batches(held)
-                yield block(table.slice(0, BLOCK_ROWS))
+                yield block(table.slice(0, block_rows))
                 number += 1
-                held = table.slice(BLOCK_ROWS).to_batches()
+                held = table.slice(block_rows).to_batches()
         if sum(len(b) for b in held):
             yield block(pa.Table.from_batches(held))
 
     schema = "block long, lo array<double>, hi array<double>, first_cell array<long>, last_cell array<long>, ids binary, copies binary, x binary, dtype string"
-    n = distinct.count()
     if not n:
         none = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
         return none.withColumn("kept", F.lit(True))
-    intervals = max(1, min(partitions(spark), n // BLOCK_ROWS))
+    intervals = max(1, min(partitions(spark), n // block_rows))
     ordered = placed.repartitionByRange(intervals, *cells, "vec_id").sortWithinPartitions(*cells, "vec_id")
     blocks = saved(ordered.mapInArrow(pack, schema), "blocks")
     boxes = blocks.select("block", "lo", "hi", "first_cell", "last_cell")
@@ -171,5 +175,5 @@ def near_duplicates(rows: DataFrame, similarity: float = 0.95) -> DataFrame:
     each = distinct.join(counts, "vec_id", "left").join(linked, distinct.vec_id == linked.id, "left")
     each = each.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", distinct.vec_id).alias("component_id"))
     out = good.join(each, "embedding").select("vec_id", "n_links", "component_id")
-    alone = rows.where(~valid("embedding")).select("vec_id", F.lit(0).cast("long"), F.col("vec_id"))
+    alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long"), F.col("vec_id"))
     return out.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
