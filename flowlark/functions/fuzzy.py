@@ -26,50 +26,83 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 # A piece shows only the low six bits of its hash, and those depend on no higher bits.
 _NEXT = [((state * PIECE_PRIME) ^ byte) & 63 for state in range(64) for byte in range(64)]
+_TABLE = np.array(_NEXT, np.int64)
 
 
-def _rolling(data: np.ndarray) -> np.ndarray:
-    """The rolling hash after each byte: plain, weighted and shifted sums of the last seven."""
-    padded = np.concatenate([np.zeros(WINDOW - 1, np.uint32), data.astype(np.uint32)])
-    plain, weighted, shifted = (np.zeros(len(data), np.uint32) for _ in range(3))
+#: Bytes of text hashed at once, and pieces left from which on it is quicker to follow each alone.
+BATCH_BYTES, FEW_PIECES = 1 << 20, 64
+
+
+def _rolling(padded: np.ndarray) -> np.ndarray:
+    """The rolling hash after each byte: plain, weighted and shifted sums of the last seven; ``padded`` begins with six zeros."""
+    n = len(padded) - (WINDOW - 1)
+    plain, weighted, shifted = (np.zeros(n, np.uint32) for _ in range(3))
     for age in range(WINDOW):
-        byte = padded[WINDOW - 1 - age : len(padded) - age]
+        byte = padded[WINDOW - 1 - age : len(padded) - age].astype(np.uint32)
         plain += byte
         weighted += byte * np.uint32(WINDOW - age)
         shifted ^= byte << np.uint32(5 * age)
     return plain + weighted + shifted
 
 
-def _signature(low_bits: bytes, rolling: np.ndarray, block: int, longest: int) -> str:
-    cuts = np.flatnonzero(rolling % np.uint32(block) == block - 1) + 1
-    ends = cuts[: longest - 1].tolist()
-    if rolling[-1]:
-        ends.append(len(low_bits))
-    elif len(cuts) >= longest:
-        ends.append(int(cuts[-1]))
-    out, start = [], 0
-    for end in ends:
-        state = PIECE_START & 63
-        for byte in low_bits[start:end]:
+def _piece_states(low_bits: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The last state of each piece: step by step for all pieces that are long enough, the few longest alone."""
+    order = np.argsort(start - end, kind="stable")
+    start, size = start[order], (end - start)[order]
+    states = np.full(len(start), PIECE_START & 63, np.int64)
+    step, going = 0, int(np.count_nonzero(size > 0))
+    while going > FEW_PIECES:
+        states[:going] = _TABLE[states[:going] * 64 + low_bits[start[:going] + step]]
+        step += 1
+        going = int(np.searchsorted(-size, -step, "left"))
+    for i in range(going):
+        state = int(states[i])
+        for byte in low_bits[start[i] + step : start[i] + size[i]].tobytes():
             state = _NEXT[state * 64 + byte]
-        out.append(ALPHABET[state])
-        start = end
-    return "".join(out)
+        states[i] = state
+    out = np.empty_like(states)
+    out[order] = states
+    return out
+
+
+def hash_texts(texts: list[bytes]) -> list[str]:
+    """The fuzzy hash of each payload; ``3::`` of an empty one."""
+    if len(texts) > 1 and sum(map(len, texts)) > BATCH_BYTES:
+        half = len(texts) // 2
+        return hash_texts(texts[:half]) + hash_texts(texts[half:])
+    # Six zeros before each text are what its rolling hash begins with.
+    gap = bytes(WINDOW - 1)
+    padded = np.frombuffer(gap + gap.join(texts), np.uint8)
+    size = np.array([len(t) for t in texts], np.int64)
+    first = np.cumsum(size + WINDOW - 1) - size - (WINDOW - 1)
+    rolling, low = _rolling(padded), padded[WINDOW - 1 :] & 63
+    block = np.full(len(texts), SMALLEST_BLOCK, np.int64)
+    while (small := block * LONGEST_SIGNATURE < size).any():
+        block[small] *= 2
+    starts, ends, of = [], [], []
+    for i, n in enumerate(size.tolist()):
+        roll = rolling[first[i] : first[i] + n]
+        while block[i] > SMALLEST_BLOCK and np.count_nonzero(roll % np.uint32(block[i]) == block[i] - 1) < LONGEST_SIGNATURE // 2:
+            block[i] //= 2
+        for times, longest in ((1, LONGEST_SIGNATURE), (2, LONGEST_SIGNATURE // 2)):
+            cuts = np.flatnonzero(roll % np.uint32(block[i] * times) == block[i] * times - 1) + 1
+            stops = cuts[: longest - 1]
+            if n and roll[-1]:
+                stops = np.append(stops, n)
+            elif len(cuts) >= longest:
+                stops = np.append(stops, cuts[-1])
+            starts.append(first[i] + np.append(0, stops[:-1])[: len(stops)])
+            ends.append(first[i] + stops)
+            of.append(len(stops))
+    states = _piece_states(low, np.concatenate(starts).astype(np.int64), np.concatenate(ends).astype(np.int64)) if starts else np.zeros(0, int)
+    letters = np.frombuffer(ALPHABET.encode(), np.uint8)[states].tobytes().decode()
+    edge = np.append(0, np.cumsum(of)).tolist()
+    return [f"{block[i]}:{letters[edge[2 * i] : edge[2 * i + 1]]}:{letters[edge[2 * i + 1] : edge[2 * i + 2]]}" for i in range(len(texts))]
 
 
 def hash_bytes(data: bytes) -> str:
-    """The fuzzy hash of one payload; ``3::`` of an empty one."""
-    if not data:
-        return f"{SMALLEST_BLOCK}::"
-    values = np.frombuffer(data, np.uint8)
-    rolling = _rolling(values)
-    block = SMALLEST_BLOCK
-    while block * LONGEST_SIGNATURE < len(data):
-        block *= 2
-    while block > SMALLEST_BLOCK and np.count_nonzero(rolling % np.uint32(block) == block - 1) < LONGEST_SIGNATURE // 2:
-        block //= 2
-    low = (values & 63).tobytes()
-    return f"{block}:{_signature(low, rolling, block, LONGEST_SIGNATURE)}:{_signature(low, rolling, 2 * block, LONGEST_SIGNATURE // 2)}"
+    """The fuzzy hash of one payload."""
+    return hash_texts([data])[0]
 
 
 def _common(a: str, b: str) -> int:
@@ -115,7 +148,10 @@ def compare_hashes(a: str, b: str) -> int:
 @F.pandas_udf(StringType())
 def fuzzy_hash(payload: pd.Series) -> pd.Series:
     """Fuzzy hash of a text's UTF-8 bytes; null for null."""
-    return payload.map(lambda text: None if text is None else hash_bytes(text.encode("utf-8", "surrogatepass")))
+    known = payload.notna()
+    out = pd.Series([None] * len(payload), dtype=object)
+    out[known.to_numpy()] = hash_texts([text.encode("utf-8", "surrogatepass") for text in payload[known]])
+    return out
 
 
 @F.pandas_udf(IntegerType())
@@ -129,6 +165,16 @@ def block_size(value: Column) -> Column:
     return F.split(value, ":")[0].cast("long")
 
 
+def _without_long_runs(signature: Column) -> Column:
+    return F.regexp_replace(signature, r"(.)\1{3,}", "$1$1$1")
+
+
+def shortened(value: Column) -> Column:
+    """A fuzzy hash with long runs of one character cut to three, as hashes are compared."""
+    parts = F.split(value, ":", 3)
+    return F.concat_ws(":", parts[0], _without_long_runs(parts[1]), _without_long_runs(parts[2]))
+
+
 def grams(value: Column) -> Column:
     """What two hashes must share to score more than 0 unless equal: ``block size:seven characters`` of either signature."""
     parts = F.split(value, ":")
@@ -139,13 +185,14 @@ def grams(value: Column) -> Column:
             return F.transform(places, lambda i: F.substr(text, i, F.lit(WINDOW)))
 
         # Inside the outer transform the shortened signature is a bound value, worked out once and not for each place.
-        shortened = F.array(F.struct(block.cast("string").alias("block"), F.regexp_replace(signature, r"(.)\1{3,}", "$1$1$1").alias("text")))
+        shortened = F.array(F.struct(block.cast("string").alias("block"), _without_long_runs(signature).alias("text")))
         return F.flatten(F.transform(shortened, lambda s: F.transform(cut(s["text"]), lambda gram: F.concat_ws(":", s["block"], gram))))
 
     return F.array_distinct(F.concat(of(parts[1], block_size(value)), of(parts[2], 2 * block_size(value))))
 
 
 def register(spark: SparkSession) -> None:
-    """``fuzzy_hash`` and ``fuzzy_compare`` for use in SQL."""
+    """``fuzzy_hash`` and ``fuzzy_compare`` for use in SQL; ``ip_to_long`` as a function of Spark's own SQL."""
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION ip_to_long(ip STRING) RETURNS BIGINT RETURN aggregate(split(ip, '[.]'), 0L, (a, x) -> a * 256L + CAST(x AS BIGINT))")
     spark.udf.register("fuzzy_hash", fuzzy_hash)
     spark.udf.register("fuzzy_compare", fuzzy_compare)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlark.operators.scratch import forget, kept
+
+#: Greedy groups go on without pairs while a round places at least this part of the addresses that are left.
+WORTH_A_ROUND = 0.05
+
 
 def prune(edges: DataFrame) -> DataFrame:
     """Distinct ``(ip, cluster)`` without behaviours of one address, then without addresses of one behaviour."""
@@ -17,28 +20,47 @@ def prune(edges: DataFrame) -> DataFrame:
     return left.join(busy, "ip", "left_semi")
 
 
-def pair_scores(edges: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """``(a, b, common, score)`` with a < b of addresses that share a behaviour, by a mix of cosine and Jaccard.
+def _score(common: Column, na: Column, nb: Column, total: Column) -> Column:
+    """With p the larger set's part of all behaviours: p * cosine + (1 - p) * Jaccard."""
+    p = F.greatest(na, nb) / total
+    return p * (common / F.sqrt(na * nb)) + (1 - p) * (common / (na + nb - common))
 
-    With p the larger set's part of all behaviours: p * cosine + (1 - p) * Jaccard.
-    Pairs without a common behaviour score 0 and aren't made.
-    """
-    sizes = edges.groupBy("ip").count().withColumnRenamed("count", "n")
-    left, right = edges.select(F.col("ip").alias("a"), "cluster"), edges.select(F.col("ip").alias("b"), "cluster")
-    common = left.join(right, "cluster").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
-    total = edges.agg(F.countDistinct("cluster").alias("total"))
-    sized = common.join(sizes.select(F.col("ip").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("ip").alias("b"), F.col("n").alias("nb")), "b").crossJoin(F.broadcast(total))
-    p = F.greatest("na", "nb") / F.col("total")
-    score = p * (F.col("common") / F.sqrt(F.col("na") * F.col("nb"))) + (1 - p) * (F.col("common") / (F.col("na") + F.col("nb") - F.col("common")))
-    return sized.withColumn("score", score).where(F.col("score") > threshold).select("a", "b", "common", "score")
 
+def _total(edges: DataFrame) -> DataFrame:
+    return edges.agg(F.countDistinct("cluster").alias("total"))
 
-def _kept(df: DataFrame) -> DataFrame:
-    """A reliable copy that cuts the lineage of a loop."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+
+def _size_class(n: Column) -> Column:
+    """Small sets by their size, larger ones by powers of one and a half."""
+    return F.when(n <= 8, n).otherwise(9 + F.floor(F.log(n / 9) / F.log(F.lit(1.5)))).cast("int")
+
+
+def pair_scores(edges: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """``(a, b, common, score)`` with a < b of addresses that share a behaviour and score more than ``threshold``, by a mix of cosine and Jaccard.
+
+    Pairs without a common behaviour score 0 and aren't made.  To score more than the threshold with a set of a
+    given size, a set must have more than r behaviours in common with it; so the two meet in what is left of the
+    set without its r most common behaviours.  Each set so asks each class of sizes for partners; behaviours that very many addresses
+    share make no pairs unless the sets are so small, or so much alike, that they count.
+    """
+    edges = edges.select("ip", "cluster").distinct()
+    shared = edges.groupBy("cluster").agg(F.count("*").alias("df"))
+    sizes = edges.groupBy("ip").agg(F.count("*").alias("n"), F.collect_list("cluster").alias("set"))
+    # As many rows as the logarithm of the largest set's size.
+    classes = sizes.groupBy(_size_class(F.col("n")).alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi")).crossJoin(_total(edges))
+    ranked = edges.join(shared, "cluster").withColumn("_at", F.row_number().over(Window.partitionBy("ip").orderBy("df", "cluster")))
+    ranked = ranked.withColumn("n", F.count("*").over(Window.partitionBy("ip"))).withColumn("own", _size_class(F.col("n"))).crossJoin(F.broadcast(classes))
+    # A * c + B * c / (S - c) > threshold, with the bounds of cosine, Jaccard and p that the sizes of the class allow.
+    p = F.greatest("n", "hi") / F.col("total")
+    cos, jac, both = p / F.sqrt(F.col("n") * F.col("lo")), 1 - p, F.col("n") + F.col("lo")
+    linear = cos * both + jac + threshold
+    r = F.floor(2 * threshold * both / (linear + F.sqrt(F.greatest(linear * linear - 4 * cos * threshold * both, F.lit(0.0)))) * (1 - 1e-9))
+    prefix = ranked.where((r < F.least("n", "hi")) & (F.col("_at") <= F.col("n") - r)).select("ip", "cluster", "own", "other")
+    left, right = prefix.toDF("a", "cluster", "x", "y"), prefix.toDF("b", "cluster", "y", "x")
+    met = left.join(right, ["cluster", "x", "y"]).where("a < b").select("a", "b").distinct()
+    found = met.join(sizes.toDF("a", "na", "sa"), "a").join(sizes.toDF("b", "nb", "sb"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
+    found = found.crossJoin(F.broadcast(_total(edges))).withColumn("score", _score(F.col("common"), F.col("na"), F.col("nb"), F.col("total")))
+    return found.where(F.col("score") > threshold).select("a", "b", "common", "score")
 
 
 def _like_sets(edges: DataFrame) -> DataFrame:
@@ -50,37 +72,77 @@ def _like_sets(edges: DataFrame) -> DataFrame:
     return one.join(one.groupBy("n", "h", "g").agg(F.min("ip").alias("same")), ["n", "h", "g"]).select("ip", "same")
 
 
+def _first_of_all(edges: DataFrame, ranked: DataFrame, total: DataFrame, threshold: float) -> DataFrame:
+    """``(ip, lead)``: who leads for certain and whom these take; ``lead`` is the leader's rank.
+
+    An address that is the first of all that are left at each of its behaviours can't be taken.  A behaviour has at most
+    one such, so comparing these with all who share a behaviour takes no more than a row for each edge.
+    """
+    by = edges.join(ranked, "ip")
+    first = by.groupBy("cluster").agg(F.min("_r").alias("_first"))
+    ready = by.join(first, "cluster").groupBy("ip", "_r").agg(F.bool_and(F.col("_r") == F.col("_first")).alias("ready"), F.count("*").alias("n"))
+    ready = kept(ready.select("ip", "_r", "ready", "n"))
+    lead = ready.where("ready").select(F.col("ip").alias("l"), F.col("_r").alias("lead"), F.col("n").alias("nl"))
+    led = edges.join(lead, edges.ip == lead.l).select("cluster", "l", "lead", "nl")
+    common = edges.join(led, "cluster").where("ip <> l").groupBy("ip", "lead", "nl").agg(F.count("*").alias("common"))
+    scored = common.join(ready.select("ip", "n"), "ip").crossJoin(F.broadcast(total)).where(_score(F.col("common"), F.col("n"), F.col("nl"), F.col("total")) > threshold)
+    return scored.groupBy("ip").agg(F.min("lead").alias("lead")).union(lead.select("l", "lead"))
+
+
 def groups(edges: DataFrame, threshold: float) -> DataFrame:
     """``(ip, leader)`` by greedy grouping in order of behaviours, most first (ties: the smaller address); loners lead themselves alone.
 
     Going down the order, an address that is still free takes all free addresses
     that score more than ``threshold`` (below 1) with it.  Addresses with equal sets score 1
-    with each other and alike with all others, so one of each set stands for them all: pairs
-    are made between distinct sets only.  Leaders are the first maximal
-    independent set of that order, found in rounds (all that precede their free neighbours
-    at once), and each other set belongs to its earliest leader.
+    with each other and alike with all others, so one of each set stands for them all.
+
+    First, those who lead for certain take theirs, round by round and without pairs, as long as a round places
+    many: so a behaviour that very many addresses share is worked off by its leaders.  Of what is
+    left, pairs are made; leaders are the first maximal independent set of the order, found in rounds (all
+    that precede their free neighbours at once), and each other set belongs to its earliest leader.
     """
     edges = edges.select("ip", "cluster").distinct()
-    like = _kept(_like_sets(edges))
-    one = edges.join(like.where("ip = same").select("ip"), "ip", "left_semi")
-    ranked = _kept(one.groupBy("ip").count().select("ip", F.struct(-F.col("count"), F.col("ip")).alias("_r")))
-    pairs = _kept(pair_scores(one, threshold).select("a", "b"))
-    both = pairs.union(pairs.select("b", "a"))
-    both = both.join(ranked.select(F.col("ip").alias("b"), F.col("_r").alias("rb")), "b").join(ranked.select(F.col("ip").alias("a"), F.col("_r").alias("ra")), "a")
-    both = _kept(both.select("a", "b", "ra", "rb"))
+    like = kept(_like_sets(edges))
+    one = kept(edges.join(like.where("ip = same").select("ip"), "ip", "left_semi"))
+    total = kept(_total(one))
+    ranked = kept(one.groupBy("ip").count().select("ip", F.struct(-F.col("count"), F.col("ip")).alias("_r")))
+    left, count, placed = one, ranked.count(), []
+    while count:
+        taken = kept(_first_of_all(left, ranked, total, threshold))
+        placed.append(taken.select("ip", F.col("lead.ip").alias("leader")))
+        left = kept(left.join(taken, "ip", "left_anti"))
+        done, count = taken.count(), left.select("ip").distinct().count()
+        if done < WORTH_A_ROUND * (done + count):
+            break
+    if count:
+        placed.append(_by_pairs(left, ranked, threshold))
+    leaders = placed[0] if placed else like.select("ip", F.col("same").alias("leader")).limit(0)
+    for more in placed[1:]:
+        leaders = leaders.unionByName(more)
+    return like.join(leaders.withColumnRenamed("ip", "same"), "same").select("ip", "leader")
+
+
+def _by_pairs(edges: DataFrame, ranked: DataFrame, threshold: float) -> DataFrame:
+    """``(ip, leader)`` of addresses with unlike sets, from all pairs that score more than the threshold."""
+    pairs = pair_scores(edges, threshold).select("a", "b")
+    both = pairs.union(pairs.select("b", "a")).join(ranked.toDF("b", "rb"), "b").join(ranked.toDF("a", "ra"), "a")
+    both = kept(both.select("a", "b", "ra", "rb"))
     live, leaders = both, None
     while not live.isEmpty():
-        first = _kept(live.groupBy("a", "ra").agg(F.min("rb").alias("m")).where("ra < m").select(F.col("a").alias("b"), F.col("ra").alias("lead")))
+        first = kept(live.groupBy("a", "ra").agg(F.min("rb").alias("m")).where("ra < m").select(F.col("a").alias("b"), F.col("ra").alias("lead")))
         leaders = first if leaders is None else leaders.unionByName(first)
-        gone = _kept(first.select("b").union(live.join(first, "b", "left_semi").select("a")).distinct())
-        live = _kept(live.join(gone, "b", "left_anti").join(gone.withColumnRenamed("b", "a"), "a", "left_anti"))
+        gone = first.select("b").union(live.join(first, "b", "left_semi").select("a")).distinct()
+        before, live = live, kept(live.join(gone, "b", "left_anti").join(gone.withColumnRenamed("b", "a"), "a", "left_anti"))
+        if before is not both:
+            forget(before)
+    own = edges.select("ip").distinct()
     if leaders is None:
-        return like.select("ip", F.col("same").alias("leader"))
+        return own.select("ip", F.col("ip").alias("leader"))
     # Who lost all neighbours to others before its turn leads too, and may precede the leaders found so far.
     taken = both.join(leaders, "b", "left_semi").select(F.col("a").alias("ip")).distinct()
-    leaders = ranked.join(taken, "ip", "left_anti").select(F.col("ip").alias("b"), F.col("_r").alias("lead"))
-    mine = both.join(leaders, "b").groupBy("a").agg(F.min_by("b", "lead").alias("leader")).withColumnRenamed("a", "same")
-    return like.join(mine, "same", "left").select("ip", F.coalesce("leader", "same").alias("leader"))
+    leaders = ranked.join(own, "ip", "left_semi").join(taken, "ip", "left_anti").select(F.col("ip").alias("b"), F.col("_r").alias("lead"))
+    mine = both.join(leaders, "b").groupBy("a").agg(F.min_by("b", "lead").alias("leader")).withColumnRenamed("a", "ip")
+    return own.join(mine, "ip", "left").select("ip", F.coalesce("leader", "ip").alias("leader"))
 
 
 def knee_points(sizes: DataFrame, k: int = 100, part: tuple[str, ...] = ()) -> DataFrame:

@@ -10,21 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlark.functions.fuzzy import fuzzy_compare, grams
-from flowlark.operators.behaviour import _kept
+from flowlark.functions.fuzzy import fuzzy_compare, grams, shortened
+from flowlark.operators.scratch import kept
 
 
 def alike(left: DataFrame, right: DataFrame) -> DataFrame:
     """``(part, a, b, score)`` of all distinct hashes that score more than 0; ``left`` and ``right`` are ``(part, hash)``.
 
-    Only pairs with seven characters in common are scored, each once, and equal hashes score 100.
+    Only pairs with seven characters in common are scored, each once.  Hashes that are equal once their long runs of
+    one character are shortened score 100, whatever their length.
     Work is that of the pairs which share such characters; equal payloads count once.
     """
-    l = left.distinct().select("part", F.col("hash").alias("a"))
-    r = right.distinct().select("part", F.col("hash").alias("b"))
+    l = left.where("hash is not null").select("part", F.col("hash").alias("a")).distinct().withColumn("x", shortened(F.col("a")))
+    r = right.where("hash is not null").select("part", F.col("hash").alias("b")).distinct().withColumn("y", shortened(F.col("b")))
     by_gram = l.withColumn("gram", F.explode(grams(F.col("a")))).join(r.withColumn("gram", F.explode(grams(F.col("b")))), ["part", "gram"])
-    near = by_gram.where("a <> b").select("part", "a", "b").distinct().withColumn("score", fuzzy_compare("a", "b"))
-    equal = l.join(r.withColumn("a", F.col("b")), ["part", "a"]).select("part", "a", "b", F.lit(100).alias("score"))
+    near = by_gram.where("x <> y").select("part", "a", "b").distinct().withColumn("score", fuzzy_compare("a", "b"))
+    equal = l.join(r.withColumnRenamed("y", "x"), ["part", "x"]).select("part", "a", "b", F.lit(100).alias("score"))
     return near.where("score > 0").unionByName(equal)
 
 
@@ -59,18 +60,18 @@ def leader_clusters(payloads: DataFrame, threshold: float = 0.0) -> DataFrame:
     joins: no part is ever held in one task.
     """
     sessions = payloads.where("hash is not null").select("part", "idx").distinct()
-    found = _kept(links(payloads, threshold))
-    touch = _kept(found.unionByName(found.select("part", "a", F.col("a").alias("b")).distinct()))
+    found = kept(links(payloads, threshold))
+    touch = kept(found.unionByName(found.select("part", "a", F.col("a").alias("b")).distinct()))
     clusters = None
     while not touch.isEmpty():
         first = touch.withColumn("first", F.min("a").over(Window.partitionBy("part", "b")))
-        decided = _kept(first.groupBy("part", "a").agg(F.bool_and(F.col("first") == F.col("a")).alias("ready"), F.count("*").alias("n")).where("ready"))
-        taken = _kept(touch.join(decided.where("n > 1").select("part", "a"), ["part", "a"], "left_semi").select("part", F.col("b").alias("idx"), F.col("a").alias("leader")))
+        decided = kept(first.groupBy("part", "a").agg(F.bool_and(F.col("first") == F.col("a")).alias("ready"), F.count("*").alias("n")).where("ready"))
+        taken = kept(touch.join(decided.where("n > 1").select("part", "a"), ["part", "a"], "left_semi").select("part", F.col("b").alias("idx"), F.col("a").alias("leader")))
         clusters = taken if clusters is None else clusters.unionByName(taken)
         left = touch.join(decided, ["part", "a"], "left_anti")
         for side in ("a", "b"):
             left = left.join(taken.select("part", F.col("idx").alias(side)), ["part", side], "left_anti")
-        touch = _kept(left.select("part", "a", "b"))
+        touch = kept(left.select("part", "a", "b"))
     if clusters is None:
         return sessions.withColumn("leader", F.lit(None).cast(sessions.schema["idx"].dataType))
     return sessions.join(clusters, ["part", "idx"], "left")
@@ -115,8 +116,8 @@ def average_linkage(hashes: DataFrame) -> DataFrame:
     """
     scored = alike(hashes.select("part", "hash"), hashes.select("part", "hash"))
     l, r = hashes.select("part", F.col("idx").alias("x"), F.col("hash").alias("a")), hashes.select("part", F.col("idx").alias("y"), F.col("hash").alias("b"))
-    sums = _kept(scored.join(l, ["part", "a"]).join(r, ["part", "b"]).where("x <> y").select("part", "x", "y", F.col("score").cast("long").alias("s")))
-    sizes = _kept(hashes.select("part", F.col("idx").alias("x")).withColumn("n", F.lit(1).cast("long")))
+    sums = kept(scored.join(l, ["part", "a"]).join(r, ["part", "b"]).where("x <> y").select("part", "x", "y", F.col("score").cast("long").alias("s")))
+    sizes = kept(hashes.select("part", F.col("idx").alias("x")).withColumn("n", F.lit(1).cast("long")))
     steps, turn = None, 0
     while not sums.isEmpty():
         turn += 1
@@ -124,14 +125,14 @@ def average_linkage(hashes: DataFrame) -> DataFrame:
         order = F.struct(-F.col("s") / (F.col("n") * F.col("m")), F.least("x", "y"), F.greatest("x", "y"))
         best = both.withColumn("o", order).groupBy("part", "x").agg(F.min_by(F.struct("y", "s", "n", "m"), "o").alias("best")).select("part", "x", "best.*")
         back = best.select("part", F.col("x").alias("y"), F.col("y").alias("x"))
-        merged = _kept(best.join(back, ["part", "x", "y"], "left_semi").where("x < y"))
+        merged = kept(best.join(back, ["part", "x", "y"], "left_semi").where("x < y"))
         step = merged.select("part", F.lit(turn).alias("round"), F.col("x").alias("a"), F.col("y").alias("b"), (100 - F.col("s") / (F.col("n") * F.col("m"))).alias("distance"), (F.col("n") + F.col("m")).alias("size"))
         steps = step if steps is None else steps.unionByName(step)
         moved = merged.select("part", F.col("y").alias("old"), F.col("x").alias("new"))
         for side in ("x", "y"):
             sums = sums.join(moved.withColumnRenamed("old", side), ["part", side], "left").withColumn(side, F.coalesce("new", side)).drop("new")
-        sums = _kept(sums.where("x <> y").groupBy("part", "x", "y").agg(F.sum("s").alias("s")))
-        sizes = _kept(sizes.join(moved.withColumnRenamed("old", "x"), ["part", "x"], "left").select("part", F.coalesce("new", "x").alias("x"), "n").groupBy("part", "x").agg(F.sum("n").alias("n")))
+        sums = kept(sums.where("x <> y").groupBy("part", "x", "y").agg(F.sum("s").alias("s")))
+        sizes = kept(sizes.join(moved.withColumnRenamed("old", "x"), ["part", "x"], "left").select("part", F.coalesce("new", "x").alias("x"), "n").groupBy("part", "x").agg(F.sum("n").alias("n")))
     if steps is None:
         return sums.select("part", F.lit(0).alias("round"), F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0.0).alias("distance"), F.col("s").alias("size"))
     return steps
@@ -153,7 +154,7 @@ def trends(clusters: DataFrame, payloads: DataFrame, days: list[str]) -> DataFra
     The best answer of at least 1 counts (ties: the trend that began first, then the smaller leader), else a trend begins.
     Clusters placed on one day are seen from the next day on; the days are few and are taken one after the other.
     """
-    heads = _kept(_trend_heads(clusters, payloads))
+    heads = kept(_trend_heads(clusters, payloads))
     known, out = None, None
     for day in sorted(days):
         today = heads.where(F.col("date") == day)
@@ -167,10 +168,10 @@ def trends(clusters: DataFrame, payloads: DataFrame, days: list[str]) -> DataFra
             best = answers.groupBy(F.col("part").alias("proto"), F.col("a").alias("key")).agg(F.min_by(F.struct("trend", "began", "first"), order).alias("best"))
             placed = today.join(best, ["proto", "key"], "left")
             placed = placed.select("proto", "date", "leader", "key", "other", *(F.coalesce(F.col("best")[c], x).alias(c) for c, x in (("trend", own), ("began", F.col("date")), ("first", F.col("leader")))))
-        placed = _kept(placed.select("proto", "date", "leader", "key", "other", "trend", "began", "first"))
+        placed = kept(placed.select("proto", "date", "leader", "key", "other", "trend", "began", "first"))
         # Trends go by the date and leader of their first cluster; all that joined today answer from tomorrow on.
         begun = placed.select("proto", F.explode(F.array("key", "other")).alias("hash"), "trend", "began", "first").distinct()
-        known = _kept(begun if known is None else known.unionByName(begun).distinct())
+        known = kept(begun if known is None else known.unionByName(begun).distinct())
         out = placed if out is None else out.unionByName(placed)
     out = heads.withColumn("trend", F.lit("")) if out is None else out
     return out.select("proto", "date", "leader", "trend")

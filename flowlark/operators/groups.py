@@ -44,6 +44,36 @@ def size_histograms(rolled: DataFrame) -> DataFrame:
     return each.groupBy("x.kind", "x.size").agg(F.count("*").alias("groups"))
 
 
+def statistics(found: DataFrame) -> DataFrame:
+    """One row per group of ``sessions_of``: distinct countries, protocols and clusters in order, how many, sessions, and the country of most addresses (ties by name).
+
+    Sets hold what is distinct: countries, protocols and behaviours are few beside sessions and addresses, which are counted.
+    """
+    sets = [F.array_sort(F.collect_set(c)).alias(f"{n}_set") for c, n in (("country", "country"), ("proto", "proto"), ("cluster", "cluster"))]
+    one = found.groupBy("leader").agg(F.count("*").alias("sessions"), F.countDistinct("ip").alias("ip_num"), *sets)
+    sized = one.select("*", *(F.size(f"{n}_set").cast("long").alias(f"unique_{m}_num") for n, m in (("country", "country"), ("proto", "protocols"), ("cluster", "cluster"))))
+    by_country = found.select("leader", "ip", "country").distinct().groupBy("leader", "country").agg(F.count("*").alias("n"))
+    main = by_country.groupBy("leader").agg(F.min_by("country", F.struct(-F.col("n"), "country")).alias("main_country"))
+    return sized.join(main, "leader", "left")
+
+
+def members(sessions: DataFrame) -> DataFrame:
+    """``(cluster, ip, country, sessions, first_time, last_time)``: who takes part in each cluster, from where and when."""
+    return sessions.groupBy("cluster", "ip", "country").agg(F.count("*").alias("sessions"), F.min("time").alias("first_time"), F.max("time").alias("last_time"))
+
+
+def manifest(sessions: DataFrame) -> DataFrame:
+    """``(proto, rank, cluster, sessions, name)``: clusters of each protocol by size (ties by name) and what their list of times is called."""
+    counted = sessions.groupBy("proto", "cluster").agg(F.count("*").alias("sessions"))
+    rank = F.row_number().over(Window.partitionBy("proto").orderBy(F.desc("sessions"), "cluster"))
+    return counted.withColumn("rank", rank).withColumn("name", F.concat(F.lit("timelist_"), "proto", F.lit("_large#"), F.col("rank").cast("string"), F.lit("_clusterID#"), "cluster"))
+
+
+def times_of(sessions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(cluster, time)`` of the sessions of wanted clusters (column ``cluster``), one row each."""
+    return sessions.join(wanted.select("cluster").distinct(), "cluster", "left_semi").select("cluster", "time")
+
+
 def with_intention(rows: DataFrame, known: DataFrame, key: str = "cluster", default: str = "probing") -> DataFrame:
     """Rows with the intention of their ``key`` from ``known``, ``(intention, clusters array)``; others have the default.
 

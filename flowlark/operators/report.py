@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SHAPE = "group_id string, number_of_clusters long, number_of_protocols long, srcIP struct<src_ip: array<string>>, country struct<group_country: array<string>>, cluster struct<cluster_id: array<string>>"
+SHAPE = "group_id string, number_of_clusters long, number_of_protocols long, srcIP struct<src_ip: array<string>>, country struct<group_country: array<string>>, cluster struct<cluster_id: array<string>, cluster_key_payload: array<string>>"
 
 
 def group_rows(rows: DataFrame) -> DataFrame:
-    """One row per group of ``(group_id, ip, country, cluster, protocol)``: distinct values in order, nulls left out."""
-    lists = [F.struct(F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(inner)).alias(outer) for c, outer, inner in (("ip", "srcIP", "src_ip"), ("country", "country", "group_country"), ("cluster", "cluster", "cluster_id"))]
-    return rows.groupBy("group_id").agg(F.countDistinct("cluster").alias("number_of_clusters"), F.countDistinct("protocol").alias("number_of_protocols"), *lists)
+    """One row per group of ``(group_id, ip, country, cluster, protocol)``: distinct values in order, nulls left out.
+
+    With a column ``key_payload``, each cluster's (of several the first in order; a dash for none) stands at its cluster's place.
+    """
+    lists = [F.struct(F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(inner)).alias(outer) for c, outer, inner in (("ip", "srcIP", "src_ip"), ("country", "country", "group_country"))]
+    counts = [F.countDistinct("cluster").alias("number_of_clusters"), F.countDistinct("protocol").alias("number_of_protocols")]
+    if "key_payload" not in rows.columns:
+        return rows.groupBy("group_id").agg(*counts, *lists, F.struct(F.array_sort(F.collect_set(F.col("cluster").cast("string"))).alias("cluster_id")).alias("cluster"))
+    keyed = rows.where("cluster is not null").groupBy("group_id", F.col("cluster").cast("string").alias("c")).agg(F.coalesce(F.min("key_payload"), F.lit("-")).alias("p"))
+    keyed = keyed.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("c", "p"))).alias("x"))
+    keyed = keyed.select("group_id", F.struct(F.col("x.c").alias("cluster_id"), F.col("x.p").alias("cluster_key_payload")).alias("cluster"))
+    return rows.groupBy("group_id").agg(*counts, *lists).join(keyed, "group_id", "left")
 
 
 def group_xml(rows: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlark.functions.lists import sorted_payloads
 from flowlark.functions.net import common_prefix, higher_ip, ip_to_long, lower_ip
 
 KEYS = ["min_ip", "max_ip", "min_port", "max_port", "ip_proto"]
@@ -48,11 +49,15 @@ def sessions(packets: DataFrame, gap: float = 120.0) -> DataFrame:
     def averages(column: str, names: tuple[str, str]) -> list[Column]:
         return [F.avg(when_in(F.col(column))).alias(names[0]), F.avg(when_out(F.col(column))).alias(names[1])]
 
-    def first(c: Column) -> Column:
-        return F.min_by(F.struct(c.alias("x")), F.struct(t, *([F.col("event_id")] if "event_id" in packets.columns else [])))["x"]
+    # The first packet; of packets at one time the least by id, where there is one, and by all that is asked of it.
+    asked = ["ip_src", "ip_dst", "tcp_srcport", "tcp_dstport", "udp_srcport", "udp_dstport", "country", "domain", "isp", "isOutbound"]
+    earliest = F.min(F.struct(t.isNull(), t, *(["event_id"] if "event_id" in packets.columns else []), *asked))
+
+    def first(name: str) -> Column:
+        return earliest[name]
 
     def side(a: str, b: str) -> Column:
-        return first(F.when(out, F.col(b)).otherwise(F.col(a)))
+        return F.when(first("isOutbound"), first(b)).otherwise(first(a))
 
     def path(when) -> list[Column]:
         p = when(F.col("frame_protocols"))
@@ -76,7 +81,7 @@ def sessions(packets: DataFrame, gap: float = 120.0) -> DataFrame:
         side("ip_src", "ip_dst").alias("ip_src"), side("ip_dst", "ip_src").alias("ip_dst"),
         side("tcp_srcport", "tcp_dstport").alias("tcp_srcport"), side("tcp_dstport", "tcp_srcport").alias("tcp_dstport"),
         side("udp_srcport", "udp_dstport").alias("udp_srcport"), side("udp_dstport", "udp_srcport").alias("udp_dstport"),
-        *(first(F.col(c)).alias(c) for c in ("country", "domain", "isp")),
+        *(first(c).alias(c) for c in ("country", "domain", "isp")),
         in_common.alias("frame_i_common_protocols"), out_common.alias("frame_o_common_protocols"), in_longest.alias("frame_i_max_protocols"), out_longest.alias("frame_o_max_protocols"),
         payloads(when_in).alias("tcp_i_payload_list"), payloads(when_out).alias("tcp_o_payload_list"),
     )
@@ -96,14 +101,29 @@ def without_crawler(rows: DataFrame, domain: str, isp: str) -> DataFrame:
     return rows.where(~F.col("domain").eqNullSafe(domain) | ~F.col("isp").eqNullSafe(isp))
 
 
+def addressed(packets: DataFrame) -> DataFrame:
+    """Packets with both addresses; the others belong to no conversation."""
+    return packets.where(F.col("ip_src").isNotNull() & F.col("ip_dst").isNotNull())
+
+
 def containing(packets: DataFrame, networks: DataFrame, ip: str) -> DataFrame:
-    """Packets with ``inside``: whether ``ip`` lies in any range of ``networks(lo, hi)`` (tens of rows, broadcast)."""
-    if networks.count() > 10_000:
-        raise ValueError("too many networks to look through for each packet: use range_lookup")
-    flagged = packets.withColumn("_ip", ip_to_long(F.col(ip)))
-    ranges = networks.agg(F.collect_list(F.struct("lo", "hi")).alias("_ranges"))
-    found = flagged.crossJoin(F.broadcast(ranges)).withColumn("inside", F.exists("_ranges", lambda r: (F.col("_ip") >= r["lo"]) & (F.col("_ip") <= r["hi"])))
-    return found.drop("_ip", "_ranges")
+    """Packets with ``inside``: whether ``ip`` lies in any range of ``networks(lo, hi)``; null without an address.
+
+    A range join on distinct addresses, for any number of networks.
+    """
+    found = range_lookup(packets, networks.select("lo", "hi", F.lit(True).alias("inside")), ip, ["inside"])
+    return found.withColumn("inside", F.when(F.col(ip).isNotNull(), F.coalesce("inside", F.lit(False))))
+
+
+def directed(packets: DataFrame, traps: DataFrame) -> DataFrame:
+    """Packets with ``isOutbound``: false if they go to one of the networks ``traps(lo, hi)``, else true; those without a destination are left out."""
+    flagged = containing(packets.drop("isOutbound", "inside").where(F.col("ip_dst").isNotNull()), traps, "ip_dst")
+    return flagged.withColumn("isOutbound", ~F.col("inside")).drop("inside")
+
+
+def at_times(packets: DataFrame, times: DataFrame) -> DataFrame:
+    """Packets at exactly one of the times ``t``; each once."""
+    return packets.join(times.select(F.col("t").alias("_t")).distinct(), F.col("frame_time_epoch") == F.col("_t"), "left_semi")
 
 
 def range_lookup(rows: DataFrame, ranges: DataFrame, ip: str, columns: list[str]) -> DataFrame:
@@ -120,10 +140,49 @@ def range_lookup(rows: DataFrame, ranges: DataFrame, ip: str, columns: list[str]
     return rows.join(found, F.col(ip) == F.col("_ip"), "left").drop("_ip")
 
 
+def _file_spans(files: DataFrame) -> DataFrame:
+    """``(start, next)`` of distinct capture files; the last one's ``next`` is null.
+
+    Starts are ordered day by day; only one row for each day that has any is ordered in one task.
+    """
+    starts = files.select(F.col("start").cast("double").alias("start")).where("start is not null").distinct().withColumn("_day", F.floor(F.col("start") / 86400))
+    days = starts.groupBy("_day").agg(F.min("start").alias("_first"))
+    days = days.select("_day", F.lead("_first").over(Window.orderBy("_day")).alias("_later"))
+    within = starts.withColumn("next", F.lead("start").over(Window.partitionBy("_day").orderBy("start")))
+    return within.join(F.broadcast(days), "_day").select("start", F.coalesce("next", "_later").alias("next"))
+
+
 def capture_files(times: DataFrame, files: DataFrame, overlap: float = 1.0) -> DataFrame:
-    """``(t, start)``: the files that may hold each time; a file reaches ``overlap`` seconds into the next."""
-    ends = files.select("start", (F.lead("start").over(Window.orderBy("start")) + overlap).alias("end"))
-    held = times.withColumn("_b", F.floor(F.col("t") / 86400))
-    last = F.coalesce("end", F.col("start") + 30 * 86400)
-    spread = ends.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / 86400), F.floor(last / 86400))))
+    """``(t, start)``: the files that may hold each time; a file reaches ``overlap`` seconds into the next, the last one as far as times go."""
+    held = times.select("t").withColumn("_b", F.floor(F.col("t") / 86400))
+    latest = held.agg(F.max("_b").alias("_latest"))
+    ends = _file_spans(files).select("start", (F.col("next") + overlap).alias("end")).crossJoin(F.broadcast(latest))
+    first, last = F.floor(F.col("start") / 86400), F.least(F.coalesce(F.floor(F.col("end") / 86400), F.col("_latest")), F.col("_latest"))
+    spread = ends.where(last >= first).withColumn("_b", F.explode(F.sequence(first, last)))
     return held.join(spread, "_b").where("t > start and t < coalesce(end, double('infinity'))").select("t", "start")
+
+
+def nearest_start(times: DataFrame, files: DataFrame) -> DataFrame:
+    """``(t, start)``: the latest start that isn't after each time; null before the first file."""
+    spans = _file_spans(files).where("start is not null")
+    held = times.select("t").distinct().withColumn("_b", F.floor(F.col("t") / 86400))
+    latest = held.agg(F.max("_b").alias("_latest"))
+    first = F.floor(F.col("start") / 86400)
+    wide = spans.crossJoin(F.broadcast(latest)).withColumn("_last", F.least(F.coalesce(F.floor(F.col("next") / 86400), F.col("_latest")), F.col("_latest")))
+    found = held.join(wide.where(F.col("_last") >= first).withColumn("_b", F.explode(F.sequence(first, F.col("_last")))), "_b").where("t >= start and t < coalesce(next, double('infinity'))")
+    return times.join(found.select("t", "start"), "t", "left")
+
+
+def path_parts(path: Column) -> list[Column]:
+    """``date``, ``isp``, ``file`` of a capture's path ``.../date/isp/file``; null where there are too few parts."""
+    parts = F.split(path, "/")
+    return [F.try_element_at(parts, F.lit(i)).alias(name) for i, name in ((-3, "date"), (-2, "isp"), (-1, "file"))]
+
+
+def payload_rows(sessions_: DataFrame, keys: list[str], side: str = "i") -> DataFrame:
+    """``(*keys, pos, size, hash)``: the payloads of each session in one direction, in order of their length as text; ``size`` is the hash's block size.
+
+    Packets without a hash and sessions without payloads give no rows.
+    """
+    listed = sessions_.select(*keys, sorted_payloads(F.col(f"tcp_{side}_payload_list")).alias("_items"))
+    return listed.select(*keys, F.posexplode("_items").alias("pos", "_x")).where("_x[0] is not null").select(*keys, "pos", F.split(F.col("_x")[0], ":")[0].try_cast("int").alias("size"), F.col("_x")[0].alias("hash"))

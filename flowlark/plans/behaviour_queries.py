@@ -169,11 +169,7 @@ _CAPS = f"WITH {_GROUPS}, a AS (SELECT g, list_sort(list(DISTINCT ip)) AS i, lis
 def union_protocols(spark: SparkSession, d: str) -> DataFrame:
     """Per-type tables under one name, ids decorated with the type."""
     e = _t(spark, d, "events").select("event_id", "event_type", "user_id")
-    parts = [e.where(F.col("event_type") == t).select(F.concat_ws("_", F.col("event_id").cast("string"), F.lit(t)).alias("idx"), "user_id") for t in ("click", "view", "purchase", "error", "signup")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return e.where("event_type is not null").select(F.concat_ws("_", F.col("event_id").cast("string"), "event_type").alias("idx"), "user_id")
 
 
 def cluster_id_parts(spark: SparkSession, d: str) -> DataFrame:

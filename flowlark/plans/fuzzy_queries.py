@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlark.functions.fuzzy import block_size, fuzzy_hash
+from flowlark.functions.net import ip_to_long
 from flowlark.operators import behaviour as B
 from flowlark.operators import fuzzy_clusters as C
 from flowlark.operators import report
+from flowlark.operators import sessions as S
+from flowlark.operators.scratch import kept
 from flowlark.plans.behaviour_queries import _GROUPS, _groups, session_rows
+from flowlark.sources.packets import from_conversations
 
 DAYS = ["20200106", "20200107", "20200108"]
 
@@ -25,7 +29,7 @@ def _payloads(spark: SparkSession, d: str) -> DataFrame:
     """Payload rows; written once, as hashing is the dearest step."""
     hashed = _docs(spark, d).where("text is not null").select("doc_id", "part", "idx", fuzzy_hash("text").alias("hash"))
     pos = F.row_number().over(Window.partitionBy("part", "idx").orderBy("doc_id")) - 1
-    return B._kept(hashed.select("part", "idx", pos.alias("pos"), "hash"))
+    return kept(hashed.select("part", "idx", pos.alias("pos"), "hash"))
 
 
 def _sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -43,6 +47,14 @@ def clusters(spark: SparkSession, d: str) -> DataFrame:
     return C.leader_clusters(_payloads(spark, d)).select("part.proto", "part.date", "idx", "leader")
 
 
+def conversation_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """From packets with payloads to sessions, and on to clusters of sessions whose inbound payloads look alike."""
+    full = S.sessions(from_conversations(spark.read.parquet(f"{d}/conversations.parquet")), 120.0)
+    part = F.struct(F.col("ip_proto").alias("proto"), F.lit(DAYS[0]).alias("date"))
+    payloads = kept(S.payload_rows(full.withColumn("idx", ip_to_long(F.col("ip_src"))).withColumn("part", part), ["part", "idx"]))
+    return C.leader_clusters(payloads).select("idx", "leader")
+
+
 def same_address(spark: SparkSession, d: str) -> DataFrame:
     return C.same_address_links(_payloads(spark, d), _sessions(spark, d)).select("part.proto", "part.date", "a", "b", "ip_src")
 
@@ -60,7 +72,7 @@ def rep_hash(spark: SparkSession, d: str) -> DataFrame:
 
 def upgma(spark: SparkSession, d: str) -> DataFrame:
     """The tree of all days' clusters and loners of each protocol."""
-    tree = C.average_linkage(B._kept(_heads(spark, d).select("part.proto", "idx", "hash").withColumnRenamed("proto", "part")))
+    tree = C.average_linkage(kept(_heads(spark, d).select("part.proto", "idx", "hash").withColumnRenamed("proto", "part")))
     return tree.select(F.col("part").alias("proto"), "round", "a", "b", F.round("distance", 9).alias("distance"), "size")
 
 
@@ -107,6 +119,7 @@ _XML = f"WITH {_GROUPS} SELECT g AS group_id, count(DISTINCT cluster) AS number_
 FOUND = {
     "fuzzy_hash": (hashes, None),
     "fuzzy_clusters": (clusters, None),
+    "conversation_clusters": (conversation_clusters, None),
     "fuzzy_same_address": (same_address, None),
     "rep_hash": (rep_hash, None),
     "upgma": (upgma, None),

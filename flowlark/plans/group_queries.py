@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlark.operators import behaviour as B
 from flowlark.operators import groups as G
+from flowlark.operators.scratch import kept
 from flowlark.plans.behaviour_queries import _PRUNED, _SIZES, _UEDGES, user_edges
 from flowlark.plans.session_queries import packets
 from flowlark.sources.packets import PACKETS_SQL
@@ -34,7 +35,7 @@ def _all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
     edges, groups = _all(spark, d)
-    return G.sessions_of(sessions(spark, d), edges, G.grouped(B._kept(groups)))
+    return G.sessions_of(sessions(spark, d), edges, G.grouped(kept(groups)))
 
 
 #: Going down the order, each address that isn't taken takes those near it.
@@ -59,7 +60,7 @@ def ip_groups(spark: SparkSession, d: str) -> DataFrame:
 def group_loners(spark: SparkSession, d: str) -> DataFrame:
     """Loners with their country, sessions and behaviours."""
     edges, groups = _all(spark, d)
-    alone = sessions(spark, d).join(edges, ["ip", "cluster"], "left_semi").join(G.loners(B._kept(groups)), "ip", "left_semi")
+    alone = sessions(spark, d).join(edges, ["ip", "cluster"], "left_semi").join(G.loners(kept(groups)), "ip", "left_semi")
     return alone.groupBy("ip", "country").agg(F.count("*").alias("sessions"), F.array_join(F.array_sort(F.collect_set("cluster")), ",").alias("clusters"))
 
 
@@ -118,7 +119,50 @@ def day_labels(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(G.month_day(text).alias("day")).agg(F.count("*").alias("n"))
 
 
+def grouped_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of the greedy groups."""
+    found = G.statistics(_members(spark, d))
+    sets = [F.array_join(f"{c}_set", ",").alias(f"{c}_set") for c in ("country", "proto", "cluster")]
+    return found.select("leader", "sessions", "ip_num", *sets, "unique_country_num", "unique_protocols_num", "unique_cluster_num", "main_country")
+
+
+def loner_describe(spark: SparkSession, d: str) -> DataFrame:
+    """How many behaviours those have who are alone in their group."""
+    edges, groups = _all(spark, d)
+    n = edges.join(G.loners(kept(groups)), "ip", "left_semi").groupBy("ip").agg(F.count("*").alias("n"))
+    q = [F.percentile("n", F.lit(x)).alias(name) for x, name in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))]
+    return n.agg(F.count("*").alias("loners"), F.round(F.avg("n"), 9).alias("mean"), F.min("n").alias("low"), F.max("n").alias("high"), *q)
+
+
+def cluster_members(spark: SparkSession, d: str) -> DataFrame:
+    return G.members(sessions(spark, d))
+
+
+def cluster_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return G.manifest(sessions(spark, d)).select("proto", "rank", "cluster", "sessions", "name")
+
+
+def largest_cluster_times(spark: SparkSession, d: str) -> DataFrame:
+    """When the sessions of each protocol's largest cluster were."""
+    s = sessions(spark, d)
+    return G.times_of(s, G.manifest(s).where("rank = 1"))
+
+
+def behaviour_country_argmax(spark: SparkSession, d: str) -> DataFrame:
+    """The country of most sessions of each cluster; ties by name."""
+    n = sessions(spark, d).groupBy("cluster", "country").agg(F.count("*").alias("n"))
+    return n.groupBy("cluster").agg(F.min_by("country", F.struct(-F.col("n"), "country")).alias("country"), F.max("n").alias("n"))
+
+
+_RANKED = "WITH s AS (SELECT user_id AS ip, event_type || '_' || hour(ts) AS cluster, event_type AS proto, 'C' || (user_id % 7) AS country, epoch_us(ts) // 1000000 AS time FROM events), n AS (SELECT proto, cluster, count(*) AS sessions FROM s GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY proto ORDER BY sessions DESC, cluster) AS INT) AS rank FROM n) "
+
 FOUND = {
+    "grouped_statistics": (grouped_statistics, _WALK + ", by_country AS (SELECT leader, country, count(DISTINCT ip) AS n FROM found GROUP BY 1, 2), mains AS (SELECT leader, arg_min(country, struct_pack(n := -n, c := country)) AS main_country FROM by_country GROUP BY 1) SELECT leader, count(*) AS sessions, count(DISTINCT ip) AS ip_num, string_agg(DISTINCT country, ',' ORDER BY country) AS country_set, string_agg(DISTINCT proto, ',' ORDER BY proto) AS proto_set, string_agg(DISTINCT cluster, ',' ORDER BY cluster) AS cluster_set, count(DISTINCT country) AS unique_country_num, count(DISTINCT proto) AS unique_protocols_num, count(DISTINCT cluster) AS unique_cluster_num, any_value(main_country) AS main_country FROM found JOIN mains USING (leader) GROUP BY 1"),
+    "loner_describe": (loner_describe, _WALK + ", each_loner AS (SELECT ip, count(DISTINCT cluster) AS n FROM kept WHERE members = 1 GROUP BY 1) SELECT count(*) AS loners, round(avg(n), 9) AS mean, min(n) AS low, max(n) AS high, quantile_cont(n, 0.25) AS q1, quantile_cont(n, 0.5) AS q2, quantile_cont(n, 0.75) AS q3 FROM each_loner"),
+    "cluster_members": (cluster_members, _RANKED + "SELECT cluster, ip, country, count(*) AS sessions, min(time) AS first_time, max(time) AS last_time FROM s GROUP BY 1, 2, 3"),
+    "cluster_manifest": (cluster_manifest, _RANKED + "SELECT proto, rank, cluster, sessions, 'timelist_' || proto || '_large#' || rank || '_clusterID#' || cluster AS name FROM r"),
+    "largest_cluster_times": (largest_cluster_times, _RANKED + "SELECT cluster, time FROM s WHERE cluster IN (SELECT cluster FROM r WHERE rank = 1)"),
+    "behaviour_country_argmax": (behaviour_country_argmax, _RANKED + "SELECT cluster, arg_min(country, struct_pack(n := -n, c := country)) AS country, max(n) AS n FROM (SELECT cluster, country, count(*) AS n FROM s GROUP BY 1, 2) GROUP BY 1"),
     "ip_groups": (ip_groups, _WALK + "SELECT ip, leader FROM g"),
     "group_loners": (group_loners, _WALK + "SELECT ip, country, count(*) AS sessions, string_agg(DISTINCT cluster, ',' ORDER BY cluster) AS clusters FROM kept WHERE members = 1 GROUP BY 1, 2"),
     "loner_countries": (loner_countries, _WALK + "SELECT country, count(DISTINCT ip) AS loners, count(*) AS sessions FROM kept WHERE members = 1 GROUP BY 1 ORDER BY loners DESC, country LIMIT 60"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlark.functions import lists as L
 from flowlark.functions.net import cidr_range, common_prefix, hex_text, ip_to_long
 from flowlark.operators import sessions as S
 from flowlark.sources.packets import PACKETS_SQL, from_events
@@ -202,7 +203,99 @@ def json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", F.from_json(F.to_json("x"), "ip_src string, ip_dst string, frame_len int").alias("y")).select("event_id", "y.*")
 
 
+def _partly_addressed(spark: SparkSession, d: str) -> DataFrame:
+    """Packets of which short frames hold no address."""
+    return packets(spark, d).withColumn("ip_src", F.when(F.col("frame_len") >= 28, F.col("ip_src")))
+
+
+def addressed_packets(spark: SparkSession, d: str) -> DataFrame:
+    return S.addressed(_partly_addressed(spark, d)).groupBy("ip_proto").agg(F.count("*").alias("packets"), F.sum("frame_len").alias("bytes"))
+
+
+def _traps(spark: SparkSession) -> DataFrame:
+    nets = spark.createDataFrame([("192.168.0.0/31",), ("10.0.1.0/24",)], "cidr string")
+    lo, hi = cidr_range(F.col("cidr"))
+    return nets.select(lo.alias("lo"), hi.alias("hi"))
+
+
+def trap_direction(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions with the direction that follows from the trap networks."""
+    full = S.sessions(S.directed(packets(spark, d), _traps(spark)), GAP)
+    return full.groupBy("ip_proto").agg(*(F.sum(c).cast("long").alias(n) for c, n in (("session_tt_packet", "packets"), ("session_i_tt_packet", "inbound"), ("session_o_tt_packet", "outbound"))), F.count("*").alias("sessions"))
+
+
+def times_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Packets at exactly the times of those whose path ends in data, whoever sent them."""
+    p = packets(spark, d)
+    return S.at_times(p, p.where(F.col("frame_protocols").endswith("data")).select(F.col("frame_time_epoch").alias("t"))).groupBy("ip_proto", "frame_protocols").agg(F.count("*").alias("packets"))
+
+
+def nearest_file(spark: SparkSession, d: str) -> DataFrame:
+    """Packets by the latest capture file that starts with or before them; there is a file for each user's first packet in the data."""
+    p = packets(spark, d)
+    files = p.groupBy("country").agg(F.min("frame_time_epoch").alias("start")).select("start")
+    return S.nearest_start(p.select(F.col("frame_time_epoch").alias("t")), files).groupBy("start").agg(F.count("*").alias("packets"))
+
+
+def path_fields(spark: SparkSession, d: str) -> DataFrame:
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    return pages.select("page_id", *S.path_parts(F.col("url")))
+
+
+def session_icmp(spark: SparkSession, d: str) -> DataFrame:
+    """Events that aren't TCP as ICMP: no ports, so the addresses alone make a conversation."""
+    udp = packets(spark, d).where("ip_proto = '17'")
+    none = F.lit(None).cast("int")
+    icmp = udp.withColumns({"ip_proto": F.lit("1"), "udp_srcport": none, "udp_dstport": none, "icmp_length": F.col("udp_length"), "icmp_length_original_datagram": F.col("frame_len") - 28, "udp_length": none})
+    return S.sessions(icmp, GAP).select("session_time", "ip_src", "ip_dst", "udp_tt_length", *_ICMP)
+
+
+_ICMP = ["icmp_tt_length", "icmp_i_tt_length", "icmp_o_tt_length", "icmp_i_avg_length", "icmp_o_avg_length", "icmp_tt_original_datagram_length", "icmp_i_tt_datagram_length", "icmp_o_tt_datagram_length", "icmp_i_avg_datagram_length", "icmp_o_avg_datagram_length"]
+_ICMP_SQL = f"""WITH {PACKETS_SQL}, keyed AS (SELECT *, udp_length AS l, frame_len - 28 AS o, CASE WHEN {_S} < {_D} THEN ip_src ELSE ip_dst END AS min_ip, CASE WHEN {_S} > {_D} THEN ip_src ELSE ip_dst END AS max_ip FROM packets WHERE NOT tcp),
+gaps AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY min_ip, max_ip ORDER BY t) > {GAP} THEN 1 ELSE 0 END AS g FROM keyed), marked AS (SELECT *, sum(g) OVER (PARTITION BY min_ip, max_ip ORDER BY t) AS group_id FROM gaps)
+SELECT min(t) AS session_time, arg_min(CASE WHEN isout THEN ip_dst ELSE ip_src END, struct_pack(a := t, b := event_id)) AS ip_src, arg_min(CASE WHEN isout THEN ip_src ELSE ip_dst END, struct_pack(a := t, b := event_id)) AS ip_dst, CAST(NULL AS INT) AS udp_tt_length,
+  {_three("l", ("icmp_tt_length", "icmp_i_tt_length", "icmp_o_tt_length"), "INT")}, avg(l) FILTER (NOT isout) AS icmp_i_avg_length, avg(l) FILTER (isout) AS icmp_o_avg_length,
+  {_three("o", ("icmp_tt_original_datagram_length", "icmp_i_tt_datagram_length", "icmp_o_tt_datagram_length"), "INT")}, avg(o) FILTER (NOT isout) AS icmp_i_avg_datagram_length, avg(o) FILTER (isout) AS icmp_o_avg_datagram_length
+FROM marked GROUP BY min_ip, max_ip, group_id"""
+
+
+def role_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Where users speak in each conversation, and how long what they say is."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet").where("conv_id is not null")
+    listed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("x"))
+    places = L.positions_of(F.col("x.role"), F.lit("user"))
+    lengths = F.transform(L.gather(F.col("x.text"), places), lambda t: F.length(t))
+    said = F.size(L.without_empty(F.col("x.text")))
+    return listed.select("conv_id", F.array_join(F.transform(places, lambda i: i.cast("string")), ",").alias("places"), F.array_join(F.transform(lengths, lambda n: n.cast("string")), ",", "-").alias("lengths"), said.alias("said"))
+
+
+_ROLES_SQL = """WITH c AS (SELECT conv_id, list(struct_pack(turn := turn, role := role, text := text) ORDER BY turn, role, text) AS x FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+p AS (SELECT conv_id, x, list_filter(range(len(x)), lambda i: x[i + 1].role IS NOT DISTINCT FROM 'user') AS spots FROM c)
+SELECT conv_id, array_to_string(spots, ',') AS places, array_to_string(list_transform(spots, lambda i: coalesce(CAST(length(x[i + 1].text) AS VARCHAR), '-')), ',') AS lengths, CAST(len(list_filter(x, lambda y: y.text IS NOT NULL AND length(y.text) > 0)) AS INT) AS said FROM p"""
+
+
+def hour_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Events by the hour in words, and the hour's second again."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.concat_ws(" ", F.to_date("ts").cast("string"), F.hour("ts").cast("string")).alias("label"))
+    return e.groupBy("label").agg(F.count("*").alias("n")).select("label", (L.hour_epoch(F.col("label")) - L.hour_epoch(F.lit("2000-01-01 0"))).alias("seconds"), "n")
+
+
+def payload_order(spark: SparkSession, d: str) -> DataFrame:
+    """Each address's inbound payload lengths in order as texts and as numbers."""
+    p = packets(spark, d).where("tcp_payload is not null and not isOutbound").groupBy("ip_src").agg(F.array_sort(F.collect_list("tcp_payload")).alias("x"))
+    return p.select("ip_src", *(F.array_join(F.transform(L.sorted_payloads(F.col("x"), legacy=old), lambda t: t[2]), ",").alias(n) for old, n in ((True, "as_text"), (False, "as_numbers"))))
+
+
 FOUND = {
+    "addressed_packets": (addressed_packets, f"WITH {PACKETS_SQL} SELECT ip_proto, count(*) AS packets, CAST(sum(frame_len) AS BIGINT) AS bytes FROM packets WHERE frame_len >= 28 GROUP BY 1"),
+    "trap_direction": (trap_direction, f"WITH {PACKETS_SQL.replace('packets AS (', 'plain AS (', 1)}, packets AS (SELECT * REPLACE (NOT (({_D}) BETWEEN 3232235520 AND 3232235521 OR ({_D}) BETWEEN 167772416 AND 167772671) AS isout) FROM plain), " + _SESSION_SQL.format(gap=GAP).split(", keyed AS", 1)[1].join(["keyed AS", ""]) + f", s AS (SELECT ip_proto, count(*) AS n, count(*) FILTER (NOT isout) AS i, count(*) FILTER (isout) AS o FROM marked {_BY}) SELECT ip_proto, CAST(sum(n) AS BIGINT) AS packets, CAST(sum(i) AS BIGINT) AS inbound, CAST(sum(o) AS BIGINT) AS outbound, count(*) AS sessions FROM s GROUP BY 1"),
+    "times_scan": (times_scan, f"WITH {PACKETS_SQL} SELECT ip_proto, path AS frame_protocols, count(*) AS packets FROM packets WHERE t IN (SELECT t FROM packets WHERE ends_with(path, 'data')) GROUP BY 1, 2"),
+    "nearest_file": (nearest_file, f"WITH {PACKETS_SQL}, f AS (SELECT DISTINCT min(t) AS start FROM packets GROUP BY country) SELECT start, count(*) AS packets FROM packets ASOF LEFT JOIN f ON t >= start GROUP BY 1"),
+    "path_fields": (path_fields, "SELECT page_id, string_split(url, '/')[-3] AS date, string_split(url, '/')[-2] AS isp, string_split(url, '/')[-1] AS file FROM pages"),
+    "session_icmp": (session_icmp, _ICMP_SQL),
+    "role_positions": (role_positions, _ROLES_SQL),
+    "hour_labels": (hour_labels, "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) || ' ' || hour(ts) AS label, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) - 946684800 AS seconds, count(*) AS n FROM events GROUP BY 1, 2"),
+    "payload_order": (payload_order, f"WITH {PACKETS_SQL} SELECT ip_src, string_agg(CAST(frame_len AS VARCHAR), ',' ORDER BY CAST(frame_len AS VARCHAR)) AS as_text, string_agg(CAST(frame_len AS VARCHAR), ',' ORDER BY frame_len) AS as_numbers FROM packets WHERE tcp AND NOT isout GROUP BY 1"),
     "sessions": sessionize(120.0),
     "sessions_6h": sessionize(GAP),
     "session_window": (session_window, _SESSION_SQL.format(gap=120.0) + f"SELECT ip_proto, min_ip, max_ip, packets, bytes FROM (SELECT ip_proto, min_ip, max_ip, count(*) AS packets, CAST(sum(frame_len) AS BIGINT) AS bytes FROM marked {_BY})"),

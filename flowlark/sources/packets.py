@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlark.functions.fuzzy import fuzzy_hash
+from flowlark.functions.lists import payload_triple
+
 _TEXT = ["country", "domain", "isp"]
 _FIELDS = ["frame.len", "frame.protocols", "frame.time_epoch", "ip.src", "ip.dst", "ip.proto", "tcp.srcport", "tcp.dstport", "tcp.hdr_len", "tcp.len", "tcp.payload", "udp.srcport", "udp.dstport", "udp.length", "icmp.length", "icmp.length.original_datagram"]
 _INTS = {"frame.len", "tcp.srcport", "tcp.dstport", "tcp.hdr_len", "tcp.len", "udp.srcport", "udp.dstport", "udp.length", "icmp.length", "icmp.length.original_datagram"}
@@ -60,6 +63,20 @@ def from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def from_conversations(turns: DataFrame) -> DataFrame:
+    """Conversations as packets: a turn a minute, users outside, each text a payload told by its fuzzy hash."""
+    user = F.col("role") == "user"
+    ext = F.concat(F.lit("10.1."), F.floor(F.col("conv_id") / 256).cast("string"), F.lit("."), F.pmod("conv_id", F.lit(256)).cast("string"))
+    size, time = F.octet_length("text").cast("int"), (F.col("turn") * 60).cast("double")
+    none = F.lit(None).cast("int")
+    return turns.where("conv_id is not null and turn is not null").select(
+        time.alias("frame_time_epoch"), (~user).alias("isOutbound"), F.when(user, ext).otherwise("192.168.1.1").alias("ip_src"), F.when(user, "192.168.1.1").otherwise(ext).alias("ip_dst"),
+        F.lit("6").alias("ip_proto"), F.when(user, 40000).otherwise(443).alias("tcp_srcport"), F.when(user, 443).otherwise(40000).alias("tcp_dstport"), none.alias("udp_srcport"), none.alias("udp_dstport"),
+        (size + 40).alias("frame_len"), size.alias("tcp_len"), F.lit(20).alias("tcp_hdr_len"), none.alias("udp_length"), none.alias("icmp_length"), none.alias("icmp_length_original_datagram"),
+        payload_triple(fuzzy_hash("text"), time, size).alias("tcp_payload"), F.lit("eth:ip:tcp:data").alias("frame_protocols"), F.lit("C0").alias("country"), F.lit("d0").alias("domain"), F.lit("isp0").alias("isp"),
+    )
+
+
 #: The same adapter for DuckDB.
 PACKETS_SQL = """packets AS (
   SELECT event_id, epoch_us(ts) / 1e6 AS t, isout, CASE WHEN isout THEN trap ELSE ext END AS ip_src, CASE WHEN isout THEN ext ELSE trap END AS ip_dst,

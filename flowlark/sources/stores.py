@@ -25,6 +25,20 @@ def read_sessions(spark: SparkSession, path: str, by: tuple[str, ...] = ("isp",
     return found
 
 
+def write_results(tables: dict[str, DataFrame], path: str, by: tuple[str, ...] = ("proto",)) -> None:
+    """The results of an analysis side by side: one Parquet table for each name, partitioned by the columns of ``by`` that it has."""
+    for name, table in tables.items():
+        table.write.partitionBy(*(c for c in by if c in table.columns)).parquet(f"{path}/{name}")
+
+
+def read_results(spark: SparkSession, path: str, name: str, **allowed: list[str]) -> DataFrame:
+    """One of these tables, with the partitions whose values are allowed."""
+    found = spark.read.parquet(f"{path}/{name}")
+    for column, values in allowed.items():
+        found = found.where(F.col(column).isin(values))
+    return found
+
+
 def write_packets_json(packets: DataFrame, path: str) -> None:
     """One JSON object per packet and line; null fields are left out."""
     packets.write.json(path)
