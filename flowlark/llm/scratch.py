@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,12 @@ def dropped(df: DataFrame | None) -> None:
         _remove(df.sparkSession, df._saved_at)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of queries that are done, as its cleaner does from time to time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -14,13 +14,12 @@ BITS = 22
 _SEGMENT = 1 << 16
 
 
-def _sum(pdf):
+def _sum(parts: pa.Table) -> pa.Table:
     total = np.zeros(_SEGMENT, np.uint64)
-    for x in pdf["counts"]:
-        total += np.frombuffer(zlib.decompress(x), np.uint32)
-    pdf = pdf.iloc[:1].copy()
-    pdf["counts"] = [np.minimum(np.log2(total + 1) * 4, 255).astype(np.uint8).tobytes()]
-    return pdf
+    for x in parts["counts"]:
+        total += np.frombuffer(zlib.decompress(x.as_buffer()), np.uint32)
+    classes = np.minimum(np.log2(total + 1) * 4, 255).astype(np.uint8).tobytes()
+    return pa.table({"segment": parts["segment"][:1], "counts": pa.array([classes], pa.binary())})
 
 
 def frequency_classes(rows: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> np.ndarray:
@@ -40,7 +39,7 @@ def frequency_classes(rows: DataFrame, values: Callable[[pa.RecordBatch], Iterat
 
     schema = "segment int, counts binary"
     out = np.zeros(1 << BITS, np.uint8)
-    for r in rows.mapInArrow(part, schema).groupBy("segment").applyInPandas(_sum, schema).collect():  # 64 rows of 64 kB, whatever the input
+    for r in rows.mapInArrow(part, schema).groupBy("segment").applyInArrow(_sum, schema).collect():  # 64 rows of 64 kB, whatever the input
         out[r.segment * _SEGMENT : (r.segment + 1) * _SEGMENT] = np.frombuffer(r.counts, np.uint8)
     return out
 

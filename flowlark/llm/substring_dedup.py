@@ -12,20 +12,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .scratch import partitions, saved, small_batches
+from .scratch import partitions, saved, small_batches, swept
 from .sketch import frequency_classes, order_keys
 
 #: Words in an anchor; a window is indexed under the rarest anchor that it holds.
-ANCHOR_WORDS = 5
+ANCHOR_WORDS = 3
 #: Bytes of text that a task factors against itself before it deals out the rest.
-FLUSH_BYTES = 8 << 20
+FLUSH_BYTES = 4 << 20
 
 #: ``row`` sets apart texts that share a doc_id.
 _FACTORS = "doc_id long, row long, start int, many int, source_id long, source_start int"
 _FACTOR_NAMES = [x.split()[0] for x in _FACTORS.split(", ")]
 _FACTOR_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-_BLOBS = ["docs", "texts", "runs", "anchor", "first", "many_windows", "size", "words"]
-_DEALT = f"bucket int, {_FACTORS}, " + ", ".join(f"{c} binary" for c in _BLOBS)
+#: Factors found by the task, and runs of one block; each packed.
+_DEALT = "bucket int, found binary, runs binary"
+_DEALT_NAMES = ["bucket", "found", "runs"]
 
 
 def _anchors(data: np.ndarray, offs: np.ndarray, span: int) -> np.ndarray:
@@ -56,21 +57,54 @@ def _runs(w: tk.Words, classes: np.ndarray, window: int):
     return text[first], start[first], many, low[first]
 
 
-def _spaced(w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pack(arrays: list[np.ndarray]) -> bytes:
+    """Arrays in one compressed blob; numbers go byte by byte, those of one weight together."""
+    parts = []
+    for x in arrays:
+        raw = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T
+        parts += [f"{x.dtype.str} {len(x)}\n".encode(), raw.tobytes()]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
+    while at < len(raw):
+        end = raw.index(b"\n", at)
+        kind, n = raw[at:end].decode().split(" ")
+        size = np.dtype(kind).itemsize * int(n)
+        planes = np.frombuffer(raw, np.uint8, size, end + 1).reshape(-1, int(n))
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
+        at = end + 1 + size
+    return out
+
+
+def _spaced(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(the words' bytes with one space behind each, where each word starts, where it ends)."""
-    size = w.end - w.start
-    end = np.cumsum(size + 1) - 1
-    out = np.full(int(end[-1]) + 1 if len(end) else 0, 0x20, np.uint8)
-    out[tk.ragged(end - size, size)] = w.data[tk.ragged(w.start, size)]
-    return out, end - size, end
+    size = end - start
+    after = np.cumsum(size + 1) - 1
+    out = np.full(int(after[-1]) + 1 if len(after) else 0, 0x20, np.uint8)
+    out[tk.ragged(after - size, size)] = data[tk.ragged(start, size)]
+    return out, after - size, after
+
+
+def _numbered(data: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """A number for each word: equal words have equal numbers, others don't.  Words are found by their hash ``value`` and compared."""
+    _, first, number = np.unique(value, return_index=True, return_inverse=True)
+    one = first[number]
+    size = end - start
+    if ((size == size[one]) & tk.equal_ranges(data, start, data, start[one], np.minimum(size, size[one]))).all():
+        return number.astype(np.int32)
+    raw, seen = data.tobytes(), {}
+    return np.array([seen.setdefault(raw[i:j], len(seen)) for i, j in zip(start.tolist(), end.tolist(), strict=True)], np.int32)
 
 
 def _copies(words: np.ndarray, lo: np.ndarray, size: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray):
     """(copies, their sources, all other runs but repeated ones): a copy has the words of its source, which is the earliest such run.
 
-    Runs are found by hash and count as copies only if their words are compared and equal.  Rows of one
-    doc_id share their places; each text at the first place is kept.
+    ``words`` are numbers of words, a run's from ``lo`` on.  Runs are found by hash and count as copies only if their words are
+    compared and equal.  Rows of one doc_id share their places; each text at the first place is kept.
     """
+    words, lo, size = np.ascontiguousarray(words).view(np.uint8), 4 * lo, 4 * size
     key = tk.range_hashes(words, lo, lo + size)
     order = np.lexsort((row, start, doc, key))
     r = tk.runs(key[order])
@@ -97,36 +131,42 @@ def _join_factors(doc, row, start, many, source, source_start):
 
 
 def _deal(window: int, classes: np.ndarray, buckets: int):
-    names = ["bucket", *_FACTOR_NAMES, *_BLOBS]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, parts, texts = 0, [], []
-        pack = zstandard.ZstdCompressor(level=1).compress
 
         def flush() -> Iterator[pa.RecordBatch]:
-            doc, row, start, many, anchor, lo, size = (np.concatenate([p[i] for p in parts]) for i in range(7))
-            words = np.concatenate(texts)
+            doc, row, start, many, anchor, lo = (np.concatenate([p[i] for p in parts]) for i in range(6))
+            data = np.concatenate([w.data for w in texts])
+            move = np.cumsum([0] + [len(w.data) for w in texts])
+            begin, end = (np.concatenate([getattr(w, side) + m for w, m in zip(texts, move, strict=False)]) for side in ("start", "end"))
+            value = np.concatenate([w.hash for w in texts])
             parts.clear()
             texts.clear()
             if not len(doc):
                 return
+            words = _numbered(data, begin, end, value)
+            spaced, begin, end = _spaced(data, begin, end)
+            size = many + window - 1
             # Equal runs are one run from here on; the later ones are factors already.
             copy, source, keep = _copies(words, lo, size, doc, row, start)
             found = _join_factors(doc[copy], row[copy], start[copy], many[copy], doc[source], start[source])
+            rows = []
             if len(found[0]):
-                local = [pa.array(found[0] % buckets, pa.int32())] + [pa.array(x, t) for x, t in zip(found, _FACTOR_TYPES, strict=True)]
-                yield pa.RecordBatch.from_arrays(local + [pa.nulls(len(found[0]), pa.binary())] * len(_BLOBS), names=names)
+                rows.append((int(tk.mix64(found[0][:1].view(np.uint64))[0] % np.uint64(buckets)), _pack([x.astype(t.to_pandas_dtype()) for x, t in zip(found, _FACTOR_TYPES, strict=True)]), None))
             at = ((tk.mix64(anchor[keep]) >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
             keep = keep[np.argsort(at, kind="stable")]
             edge = np.searchsorted(np.sort(at), np.arange(buckets + 1))
-            rows = []
             for b in range(buckets):
                 x = keep[edge[b] : edge[b + 1]]
                 if len(x):
                     d = np.append(np.flatnonzero(np.append(True, (doc[x][1:] != doc[x][:-1]) | (row[x][1:] != row[x][:-1]))), len(x))
-                    rows.append((b, doc[x][d[:-1]].tobytes(), row[x][d[:-1]].tobytes(), np.diff(d).astype(np.uint32).tobytes(), anchor[x].tobytes(), start[x].astype(np.uint32).tobytes(), many[x].astype(np.uint8).tobytes(), size[x].astype(np.uint32).tobytes(), pack(words[tk.ragged(lo[x], size[x])].tobytes())))
-            columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32())] + [pa.nulls(len(rows), t) for t in _FACTOR_TYPES] + [pa.array(c, pa.binary()) for c in columns[1:]], names=names)
+                    first, last = begin[lo[x]], end[lo[x] + size[x] - 1] + 1
+                    spelt = spaced[tk.ragged(first, last - first)]
+                    spelt[np.cumsum(last - first) - 1] = 0x0A
+                    step = np.diff(start[x], prepend=0).astype(np.int32)
+                    arrays = [doc[x][d[:-1]], row[x][d[:-1]], np.diff(d).astype(np.uint32), (anchor[x] >> np.uint64(32)).astype(np.uint32), step, many[x].astype(np.uint8), spelt]
+                    rows.append((b, None, _pack(arrays)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=_DEALT_NAMES)
 
         for batch in batches:
             doc_id, row_id = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row"))
@@ -134,11 +174,8 @@ def _deal(window: int, classes: np.ndarray, buckets: int):
             for a, b in tk.chunks(offs):
                 w = tk.words(data, offs[a : b + 1])
                 text, start, many, anchor = _runs(w, classes, window)
-                words, begin, end = _spaced(w)
-                first = w.first[text] + start
-                lo, size = begin[first], end[first + many + window - 2] - begin[first]
-                parts.append((doc_id[a:b][text], row_id[a:b][text], start, many, anchor, lo + sum(map(len, texts)), size))
-                texts.append(words)
+                parts.append((doc_id[a:b][text], row_id[a:b][text], start, many, anchor, w.first[text] + start + sum(len(t.start) for t in texts)))
+                texts.append(w)
                 held += int(offs[b] - offs[a])
                 if held >= FLUSH_BYTES:
                     yield from flush()
@@ -161,37 +198,27 @@ def _numbers(value: np.ndarray) -> np.ndarray:
 
 
 class _Block:
-    """A reference block: the words of runs, and an index of all windows by their words.
+    """A reference block: the words (as numbers) of runs, and an index of all windows by their words.
 
-    A window's group are the windows with the same words.  Runs under one anchor are aligned at it,
-    so windows that go on alike go on within the same anchor.
+    A window's group are the windows with the same words.
     """
 
-    def __init__(self, words: np.ndarray, lo: np.ndarray, size: np.ndarray, many: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int):
+    def __init__(self, words: np.ndarray, lo: np.ndarray, many: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int):
         # Each run's words, one after the other.
+        size = many + window - 1
         flat = words[tk.ragged(lo, size)]
-        behind = np.cumsum(size)
-        space = flat == 0x20
-        end = np.sort(np.append(np.flatnonzero(space), behind))
-        begin = np.append(0, end[:-1] + 1)
-        run_begin = np.searchsorted(end, behind) + 1
-        begin[run_begin[:-1]] = behind[:-1]
-        word_first = run_begin - (many + window - 1)
         self.run = np.repeat(np.arange(len(many)), many)
         self.position = tk.ragged(np.zeros(len(many), np.int64), many)
         self.many = many
-        at = word_first[self.run] + self.position
-        text, length = begin[at], end[at + window - 1] - begin[at]
-        group = _numbers(tk.ngram_hashes(tk.range_hashes(flat, begin, end), window)[at]) if len(at) else at
+        at = (np.cumsum(size) - size)[self.run] + self.position
+        group = _numbers(tk.ngram_hashes(flat.astype(np.uint64), window)[at]) if len(at) else at
         # Windows count as equal only if their words are.
         one = np.zeros(len(at), np.int64)
         one[group[::-1]] = np.arange(len(at))[::-1]
-        one = one[group]
-        same = length == length[one]
-        same[same] = tk.equal_ranges(flat, text[same], flat, text[one[same]], length[same])
-        if not same.all():
-            raw, seen = flat.tobytes(), {}
-            group = np.array([seen.setdefault(raw[i : i + n], len(seen)) for i, n in zip(text.tolist(), length.tolist(), strict=True)])
+        raw = flat.view(np.uint8)
+        if not tk.equal_ranges(raw, 4 * at, raw, 4 * at[one[group]], np.full(len(at), 4 * window)).all():
+            seen: dict[bytes, int] = {}
+            group = np.array([seen.setdefault(flat[i : i + window].tobytes(), len(seen)) for i in at.tolist()])
         self.group = group
         # Equal places, in rows of one doc_id, have equal ranks.
         place = start[self.run] + self.position
@@ -247,23 +274,29 @@ class _Block:
         return at, self.longest[at]
 
 
-def _factor(blobs: list[tuple], window: int) -> tuple[np.ndarray, ...]:
+def _factor(blobs: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     """Factors of what was dealt to one reference block: words that the block holds from an earlier place."""
-    doc, row = (np.concatenate([np.repeat(np.frombuffer(x[i], np.int64), np.frombuffer(x[2], np.uint32)) for x in blobs]) for i in (0, 1))
-    anchor = np.concatenate([np.frombuffer(x[3], np.uint64) for x in blobs])
-    start, many, size = (np.concatenate([np.frombuffer(x[i], t) for x in blobs]).astype(np.int64) for i, t in ((4, np.uint32), (5, np.uint8), (6, np.uint32)))
-    unpack = zstandard.ZstdDecompressor().decompress
-    words = np.frombuffer(b"".join(unpack(x[7]) for x in blobs), np.uint8)
+    docs, rows, runs, anchors, starts, manys, spelt = zip(*map(_unpack, blobs), strict=True)
+    doc, row = (np.concatenate([np.repeat(x, n) for x, n in zip(ids, runs, strict=True)]) for ids in (docs, rows))
+    anchor, many = np.concatenate(anchors), np.concatenate(manys).astype(np.int64)
+    start = np.concatenate([np.cumsum(x, dtype=np.int64) for x in starts])
+    data = np.concatenate(spelt)
+    end = np.flatnonzero((data == 0x20) | (data == 0x0A))
+    size = many + window - 1
     lo = np.cumsum(size) - size
     # Runs of anchors that occur once have no partner.
     keep = _repeated(anchor)
-    anchor, doc, row, start, many, lo, size = (x[keep] for x in (anchor, doc, row, start, many, lo, size))
+    at = tk.ragged(lo[keep], size[keep])
+    begin, end = np.append(0, end[:-1] + 1)[at], end[at]
+    words = _numbered(data, begin, end, tk.range_hashes(data, begin, end))
+    anchor, doc, row, start, many, size = (x[keep] for x in (anchor, doc, row, start, many, size))
+    lo = np.cumsum(size) - size
     copy, source, keep = _copies(words, lo, size, doc, row, start)
     found = [(doc[copy], row[copy], start[copy], many[copy], doc[source], start[source])]
     keep = keep[_repeated(anchor[keep])]
-    doc, row, start, many, lo, size = (x[keep] for x in (doc, row, start, many, lo, size))
+    doc, row, start, many, lo = (x[keep] for x in (doc, row, start, many, lo))
     if len(keep):
-        block = _Block(words, lo, size, many, doc, start, window)
+        block = _Block(words, lo, many, doc, start, window)
         at, length = block.parse()
         of, source = block.run[at], block.source[at]
         found.append((doc[of], row[of], start[of] + block.position[at], length, doc[block.run[source]], start[block.run[source]] + block.position[source]))
@@ -273,26 +306,23 @@ def _factor(blobs: list[tuple], window: int) -> tuple[np.ndarray, ...]:
 def _factors(window: int):
     """Factors found in the map tasks pass; each bucket's runs are factored against the bucket."""
 
+    def batch_of(found: tuple[np.ndarray, ...] | list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, _FACTOR_TYPES, strict=True)], names=_FACTOR_NAMES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, blobs = None, []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if blobs:
-                found = _factor(blobs, window)
-                blobs.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, _FACTOR_TYPES, strict=True)], names=_FACTOR_NAMES)
-
         for batch in batches:
-            table = pa.table(batch)
-            known = table.column("doc_id").is_valid()
-            yield from table.filter(known).select(_FACTOR_NAMES).to_batches()
-            rest = table.filter(pa.compute.invert(known))
-            for bucket, *blob in zip(*(rest.column(c).to_pylist() for c in ("bucket", *_BLOBS)), strict=True):
-                if bucket != at:
-                    yield from close()
-                    at = bucket
-                blobs.append(tuple(blob))
-        yield from close()
+            for bucket, found, runs in zip(*(batch.column(c).to_pylist() for c in _DEALT_NAMES), strict=True):
+                if found is not None:
+                    yield batch_of(_unpack(found))
+                    continue
+                if bucket != at and blobs:
+                    yield batch_of(_factor(blobs, window))
+                    blobs = []
+                at = bucket
+                blobs.append(runs)
+        if blobs:
+            yield batch_of(_factor(blobs, window))
 
     return run
 
@@ -306,7 +336,7 @@ def duplicate_factors(docs: DataFrame, window: int = 20) -> DataFrame:
     which is earlier (a smaller doc_id, or the same and an earlier word).
 
     Every document is factored against every reference block that may hold words of it: each window goes to
-    the block of the rarest anchor (run of five words) that it holds, by a frequency sketch of all anchors, so an
+    the block of the rarest anchor (run of three words) that it holds, by a frequency sketch of all anchors, so an
     anchor that very many texts share draws windows only where there is none but such.  A block
     holds the words around its anchors.  What comes to it is parsed greedily from the left into the longest
     factors that the block has from an earlier place; the windows across a factor's end are looked up in turn.
@@ -369,6 +399,7 @@ def remove_duplicate_spans(docs: DataFrame, window: int = 20, columns: list[str]
     """
     columns = [c for c in columns or ["doc_id"] if c not in ("kept_text", "n_words", "n_removed")]
     factors = saved(duplicate_factors(docs, window).select("doc_id", "row", "start", "many"), "factors")
+    swept(docs.sparkSession)  # what was dealt is no longer needed when texts move
     marks = factors.groupBy(F.col("doc_id").alias("_of"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "many")).alias("_factors"))
     base = docs.where("doc_id is not null").select(*dict.fromkeys([*columns, "doc_id", "text"]))
     joined = base.join(marks, (F.col("doc_id") == F.col("_of")) & (F.xxhash64("text") == F.col("_row")), "left").drop("_of", "_row")

@@ -136,9 +136,9 @@ def test_factors_are_the_longest():
     w = [f"v{i}" for i in range(60)]
     # The first place of a window goes on for one word, the second for ten.
     block = [w[:21] + ["a"] * 5, ["b"] * 3 + w[:30] + ["c"], w[:30] + ["d"] * 4]
-    words = np.frombuffer("".join(" ".join(x) for x in block).encode(), np.uint8)
-    size = np.array([len(" ".join(x)) for x in block])
-    many = np.array([len(x) - 19 for x in block])
-    made = substring_dedup._Block(words, np.cumsum(size) - size, size, many, np.arange(3), np.zeros(3, np.int64), 20)
+    numbers = {x: i for i, x in enumerate(dict.fromkeys(x for run in block for x in run))}
+    words = np.array([numbers[x] for run in block for x in run], np.int32)
+    size = np.array([len(x) for x in block])
+    made = substring_dedup._Block(words, np.cumsum(size) - size, size - 19, np.arange(3), np.zeros(3, np.int64), 20)
     at, length = made.parse()
     assert [(made.run[i], made.position[i], n, made.run[made.source[i]], made.position[made.source[i]]) for i, n in zip(at, length, strict=True)] == [(1, 3, 2, 0, 0), (2, 0, 11, 1, 3)]
