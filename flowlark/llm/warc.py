@@ -94,10 +94,11 @@ def write(pages: DataFrame, path: str) -> None:
     """
     small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("size", F.length("payload"))
-    keyed = rows.groupBy("page_id", "sha1", "size").agg(F.lit(1))
-    largest = keyed.groupBy("sha1", "size").agg(F.max("page_id").alias("_response"))
-    decided = keyed.join(largest, ["sha1", "size"]).select(F.col("page_id").alias("_page"), F.col("sha1").alias("_sha1"), F.col("size").alias("_size"), "_response")
+    # The key of a page and its payload is never null, so that rows, decisions and numbers share one exchange.
+    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("_key", F.concat_ws("/", F.col("page_id").cast("string"), "sha1"))
+    keyed = rows.select("page_id", "sha1").distinct().select("sha1", F.concat_ws("/", F.col("page_id").cast("string"), "sha1").alias("_key"))
+    largest = rows.groupBy("sha1").agg(F.max("page_id").alias("_response"))
+    decided = keyed.join(largest, "sha1").select("_key", "_response")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,10 +112,8 @@ def write(pages: DataFrame, path: str) -> None:
                     out, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    # The join and the window share one exchange by page and payload.
-    number = F.row_number().over(Window.partitionBy("page_id", "sha1", "size").orderBy("url"))
-    found = rows.join(decided, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("sha1") == F.col("_sha1")) & (F.col("size") == F.col("_size")))
-    records = found.withColumn("_number", number).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+    number = F.row_number().over(Window.partitionBy("_key").orderBy("url"))
+    records = rows.join(decided, "_key").withColumn("_number", number).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
     records.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
