@@ -145,6 +145,16 @@ def _by_pairs(edges: DataFrame, ranked: DataFrame, threshold: float) -> DataFram
     return own.join(mine, "ip", "left").select("ip", F.coalesce("leader", "ip").alias("leader"))
 
 
+def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Rows with their place, from 1, in a total ``order``: each range of the order is numbered in a task of its own."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = kept(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row for each range
+    numbered = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order))).join(F.broadcast(before), "_part")
+    return numbered.withColumn(name, (F.col("_at") + F.col("_before")).cast("int")).drop("_part", "_at", "_before")
+
+
 def knee_points(sizes: DataFrame, k: int = 100, part: tuple[str, ...] = ()) -> DataFrame:
     """``(*part, rank, size, change)``: where the slope of the cumulated size counts changes most.
 

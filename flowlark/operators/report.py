@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHAPE = "group_id string, number_of_clusters long, number_of_protocols long, srcIP struct<src_ip: array<string>>, country struct<group_country: array<string>>, cluster struct<cluster_id: array<string>, cluster_key_payload: array<string>>"
@@ -43,3 +43,26 @@ def read_group_xml(spark, path: str) -> DataFrame:
     """Reports of XML files with ``group`` elements, in the shape of ``from_group_xml``."""
     found = spark.read.format("xml").option("rowTag", "group").schema(SHAPE).load(path)
     return found.select("group_id", "number_of_clusters", "number_of_protocols", "srcIP.src_ip", "country.group_country", "cluster.cluster_id")
+
+
+def first_values(rows: DataFrame, keys: list[str], column: str, most: int) -> DataFrame:
+    """``(*keys, column)``: a text of the first ``most`` distinct values in order, with an ellipsis where more follow.
+
+    Only one value more than are shown leaves each task, however many a group has.  Nulls are left out.
+    """
+    ranked = rows.where(F.col(column).isNotNull()).withColumn("_n", F.dense_rank().over(Window.partitionBy(*keys).orderBy(column)))
+    shown = ranked.where(F.col("_n") <= most + 1).select(*keys, column, "_n").distinct()
+
+    def text(n: Column, value: Column) -> Column:
+        return F.when(n > most, F.lit("...")).otherwise(value.cast("string"))
+
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_n", column))), lambda x: text(x["_n"], x[column]))
+    return shown.groupBy(*keys).agg(F.array_join(listed, ", ").alias(column))
+
+
+def report_rows(rows: DataFrame, keys: list[str], caps: dict[str, int]) -> DataFrame:
+    """``first_values`` of several columns beside each other; a group without any value of one has null there."""
+    out = rows.select(*keys).distinct()
+    for column, most in caps.items():
+        out = out.join(first_values(rows, keys, column, most), keys, "left")
+    return out

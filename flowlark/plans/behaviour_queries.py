@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlark.operators import behaviour as B
+from flowlark.operators import report
 
 #: Customers stand for addresses, their nations for countries, brands of ordered parts for behaviours.
 _EDGES = "edges AS (SELECT DISTINCT o_custkey AS ip, p_brand AS cluster FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)"
@@ -115,7 +116,7 @@ def cluster_in_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def rank_clusters(spark: SparkSession, d: str) -> DataFrame:
     n = session_rows(spark, d).groupBy("cluster").agg(F.count("*").alias("n"))
-    return n.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "cluster")))
+    return B.ranked(n, [F.desc("n"), F.col("cluster")])
 
 
 def top5_clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -154,13 +155,7 @@ def md5_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 def report_caps(spark: SparkSession, d: str) -> DataFrame:
     """Report rows: at most ten addresses and nine countries of a group, with an ellipsis where more follow."""
-    by = _groups(spark, d).groupBy("g").agg(F.array_sort(F.collect_set("ip")).alias("ips"), F.array_sort(F.collect_set("country")).alias("countries"))
-
-    def capped(c: str, n: int):
-        texts = F.transform(F.slice(c, 1, n), lambda x: x.cast("string"))
-        return F.array_join(F.when(F.size(c) > n, F.array_append(texts, F.lit("..."))).otherwise(texts), ", ")
-
-    return by.select("g", capped("ips", 10).alias("ips"), capped("countries", 9).alias("countries"))
+    return report.report_rows(_groups(spark, d), ["g"], {"ip": 10, "country": 9}).select("g", F.col("ip").alias("ips"), F.col("country").alias("countries"))
 
 
 _CAPS = f"WITH {_GROUPS}, a AS (SELECT g, list_sort(list(DISTINCT ip)) AS i, list_sort(list(DISTINCT country)) AS c FROM rows GROUP BY 1) SELECT g, array_to_string(list_transform(i[1:10], lambda x: CAST(x AS VARCHAR)), ', ') || CASE WHEN len(i) > 10 THEN ', ...' ELSE '' END AS ips, array_to_string(c[1:9], ', ') || CASE WHEN len(c) > 9 THEN ', ...' ELSE '' END AS countries FROM a"

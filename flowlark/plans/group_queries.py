@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlark.operators import behaviour as B
 from flowlark.operators import groups as G
+from flowlark.operators import report
 from flowlark.operators.scratch import kept
 from flowlark.plans.behaviour_queries import _PRUNED, _SIZES, _UEDGES, user_edges
 from flowlark.plans.session_queries import packets
@@ -154,11 +155,20 @@ def behaviour_country_argmax(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy("cluster").agg(F.min_by("country", F.struct(-F.col("n"), "country")).alias("country"), F.max("n").alias("n"))
 
 
+def loner_report(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each address alone in its group: how many clusters and protocols, its country and the first of its clusters."""
+    edges, groups = _all(spark, d)
+    alone = kept(sessions(spark, d).join(edges, ["ip", "cluster"], "left_semi").join(G.loners(kept(groups)), "ip", "left_semi"))
+    counted = alone.groupBy("ip").agg(F.countDistinct("cluster").alias("clusters"), F.countDistinct("proto").alias("protocols"))
+    return counted.join(report.report_rows(alone, ["ip"], {"country": 9, "cluster": 10}), "ip").select("ip", "clusters", "protocols", F.col("country").alias("countries"), F.col("cluster").alias("first_clusters"))
+
+
 _RANKED = "WITH s AS (SELECT user_id AS ip, event_type || '_' || hour(ts) AS cluster, event_type AS proto, 'C' || (user_id % 7) AS country, epoch_us(ts) // 1000000 AS time FROM events), n AS (SELECT proto, cluster, count(*) AS sessions FROM s GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY proto ORDER BY sessions DESC, cluster) AS INT) AS rank FROM n) "
 
 FOUND = {
     "grouped_statistics": (grouped_statistics, _WALK + ", by_country AS (SELECT leader, country, count(DISTINCT ip) AS n FROM found GROUP BY 1, 2), mains AS (SELECT leader, arg_min(country, struct_pack(n := -n, c := country)) AS main_country FROM by_country GROUP BY 1) SELECT leader, count(*) AS sessions, count(DISTINCT ip) AS ip_num, string_agg(DISTINCT country, ',' ORDER BY country) AS country_set, string_agg(DISTINCT proto, ',' ORDER BY proto) AS proto_set, string_agg(DISTINCT cluster, ',' ORDER BY cluster) AS cluster_set, count(DISTINCT country) AS unique_country_num, count(DISTINCT proto) AS unique_protocols_num, count(DISTINCT cluster) AS unique_cluster_num, any_value(main_country) AS main_country FROM found JOIN mains USING (leader) GROUP BY 1"),
     "loner_describe": (loner_describe, _WALK + ", each_loner AS (SELECT ip, count(DISTINCT cluster) AS n FROM kept WHERE members = 1 GROUP BY 1) SELECT count(*) AS loners, round(avg(n), 9) AS mean, min(n) AS low, max(n) AS high, quantile_cont(n, 0.25) AS q1, quantile_cont(n, 0.5) AS q2, quantile_cont(n, 0.75) AS q3 FROM each_loner"),
+    "loner_report": (loner_report, _WALK + ", x AS (SELECT ip, list_sort(list(DISTINCT cluster)) AS c, list_sort(list(DISTINCT country)) AS o, count(DISTINCT proto) AS protocols FROM kept WHERE members = 1 GROUP BY 1) SELECT ip, CAST(len(c) AS BIGINT) AS clusters, protocols, array_to_string(o, ', ') AS countries, array_to_string(c[1:10], ', ') || CASE WHEN len(c) > 10 THEN ', ...' ELSE '' END AS first_clusters FROM x"),
     "cluster_members": (cluster_members, _RANKED + "SELECT cluster, ip, country, count(*) AS sessions, min(time) AS first_time, max(time) AS last_time FROM s GROUP BY 1, 2, 3"),
     "cluster_manifest": (cluster_manifest, _RANKED + "SELECT proto, rank, cluster, sessions, 'timelist_' || proto || '_large#' || rank || '_clusterID#' || cluster AS name FROM r"),
     "largest_cluster_times": (largest_cluster_times, _RANKED + "SELECT cluster, time FROM s WHERE cluster IN (SELECT cluster FROM r WHERE rank = 1)"),
