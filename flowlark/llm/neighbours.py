@@ -12,16 +12,14 @@ from pyspark.sql import functions as F
 from .scratch import saved
 from .vectors import matrix, usual_length, valid
 
-#: Distinct vectors that a cell should hold, each with a graph of its own; there are at most MAX_CELLS, so with more rows cells grow.
-CELL_ROWS, MAX_CELLS = 4096, 1024
-#: Centres are fitted on so many vectors for each cell, in so many rounds.
-SAMPLE_PER_CELL, ROUNDS = 8, 5
-#: Cells that a query asks: those of the nearest centres.
-PROBES = 8
+#: Distinct vectors in a shard, each with a graph of its own: at least and at most; between them there are MANY_SHARDS, so
+#: that each query asks no more than these until the shards are full.
+LEAST_ROWS, MOST_ROWS, MANY_SHARDS = 4096, 1 << 20, 64
 #: Edges of a node, width of the beam that proposes neighbours and of that for queries, and how
 #: much longer a way round may be for an edge to be left out.
 DEGREE, BUILD_BEAM, QUERY_BEAM, RELAXED = 32, 64, 128, 1.2
-BATCH = 256
+#: Vectors that walk a graph at once, and how many marks of what they have met are held.
+BATCH, MARKS = 256, 1 << 26
 
 
 class Graph:
@@ -43,8 +41,9 @@ class Graph:
         order = np.random.default_rng(seed).permutation(n)
         order = np.append(self.start, order[order != self.start])
         done = 1
+        self.batch = max(1, min(BATCH, MARKS // max(n, 1)))
         while done < n:  # batches grow with the graph that they are searched in
-            batch = order[done : done + min(BATCH, done)]
+            batch = order[done : done + min(self.batch, done)]
             found, distance = self._walk(self.x[batch], BUILD_BEAM, batch)
             self.edges[batch] = self.prune(batch, found, distance)
             self._back(batch)
@@ -145,28 +144,7 @@ def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt((gap**2).sum(1))
 
 
-def fit_centres(x: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
-    """``cells`` centres of a sample, moved to the mean of what is nearest to them."""
-    centres = x[:cells].copy()
-    for _ in range(rounds):
-        of = _nearest_centres(x, centres, 1)[:, 0]
-        count = np.bincount(of, minlength=len(centres))
-        total = np.zeros_like(centres)
-        np.add.at(total, of, x)
-        centres[count > 0] = total[count > 0] / count[count > 0, None]
-    return centres
-
-
-def _nearest_centres(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
-    out = np.zeros((len(x), k), np.int64)
-    norm = (centres**2).sum(1)
-    for a in range(0, len(x), 1024):
-        far = norm - 2 * x[a : a + 1024] @ centres.T
-        out[a : a + 1024] = np.argpartition(far, k - 1, axis=1)[:, :k] if k < len(centres) else np.arange(k)
-    return out
-
-
-def nearest(rows: DataFrame, is_query: Column, k: int = 10, probes: int = PROBES) -> DataFrame:
+def nearest(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query row its ``k`` nearest other rows that are found.
 
     ``score`` is the Euclidean distance of the original vectors in double precision;
@@ -175,58 +153,26 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, probes: int = PROBES
     rows without a vec_id; other columns are ignored.  Fewer candidates give fewer ranks.  Of rows
     that share a vec_id a query finds the nearest; such queries are answered as one.
 
-    Distinct vectors are dealt to cells by the nearest of some centres, which are fitted on a bounded sample
-    (``SAMPLE_PER_CELL * MAX_CELLS`` vectors at most); every vector is indexed.  Each task builds the graph of
-    its cell and beam-searches it with the queries whose ``probes`` nearest centres include the cell's, so work grows with the rows.  A
-    cell with far more rows than the others is dealt by hash into shards, which are all searched.  Of equal vectors a
+    Distinct vectors are dealt by hash into shards, at most ``MANY_SHARDS`` until these hold ``MOST_ROWS`` each; a task
+    builds the graph of its shard and beam-searches it with every query, batch by batch as queries come.  (To ask
+    only the shards of near centres loses neighbours where vectors fill many dimensions.)  Of equal vectors the
     shard carries the k + 1 smallest ids: no query can need more of them.
     """
-    spark = rows.sparkSession
     good = rows.where(F.col("vec_id").isNotNull() & valid("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", is_query.alias("q"))
     good = good.where(F.size("embedding") == usual_length(good, "embedding"))
     first = Window.partitionBy("embedding").orderBy("vec_id")
     some = good.withColumn("n", F.dense_rank().over(first)).where(F.col("n") <= k + 1)
     distinct = saved(some.groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")), "distinct")
     n = distinct.count()
-    cells = max(1, min(n // CELL_ROWS, MAX_CELLS))
-    sample = distinct.orderBy(F.xxhash64("embedding")).limit(SAMPLE_PER_CELL * cells).select("embedding").toArrow()["embedding"].combine_chunks() if cells > 1 else None
-    sample = matrix(sample).astype(float) if sample is not None else np.zeros((1, 1))
-    large = np.abs(sample).max() or 1.0
-    centres = spark.sparkContext.broadcast((fit_centres(sample / large, cells), large))  # at most MAX_CELLS vectors
-
-    def routed(many: int, kept: list[str]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, large = centres.value
-            for batch in batches:
-                cell = _nearest_centres(matrix(batch.column("embedding")) / large, at, many) if cells > 1 else np.zeros((len(batch), 1), np.int64)
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * cell.shape[1]), pa.array(cell.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([listed, *(batch.column(c) for c in kept)], names=["cells", *kept])
-
-        return run
-
-    kind = dict(distinct.dtypes)["embedding"]
-    placed = distinct.mapInArrow(routed(1, ["ids", "embedding"]), f"cells array<int>, ids array<long>, embedding {kind}")
-    placed = saved(placed.select(F.col("cells")[0].alias("cell"), "ids", "embedding"), "placed")
-    # A cell of more rows than four usual ones is several shards.
-    limit = 4 * max(CELL_ROWS, -(-n // cells))
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / limit).cast("int").alias("shards"))  # at most MAX_CELLS rows
-    own = F.pmod(F.xxhash64("embedding"), F.col("shards")).cast("int")
-    members = placed.join(F.broadcast(sizes), "cell").select("cell", own.alias("shard"), F.lit(None).cast("long").alias("query_id"), "ids", "embedding")
-    asked = good.where("q").select("vec_id", "embedding").mapInArrow(routed(min(probes, cells), ["vec_id", "embedding"]), f"cells array<int>, vec_id long, embedding {kind}")
-    asked = asked.select(F.explode("cells").alias("cell"), "vec_id", "embedding").join(F.broadcast(sizes), "cell")
-    queries = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.col("vec_id").alias("query_id"), F.lit(None).cast("array<bigint>").alias("ids"), "embedding")
-
-    def answer(members: list[pa.RecordBatch], asked: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not members or not asked:
-            return
-        table, questions = pa.Table.from_batches(members), pa.Table.from_batches(asked)
-        exact = matrix(table["embedding"].combine_chunks()).astype(float)
-        ids = table["ids"].to_pylist()
-        graph = Graph(exact)
-        q = matrix(questions["embedding"].combine_chunks()).astype(float)
-        own = questions["query_id"].to_pylist()
-        for a in range(0, len(q), BATCH):
-            found = graph.search(q[a : a + BATCH], QUERY_BEAM)
+    shards = max(1, min(n // LEAST_ROWS, MANY_SHARDS), -(-n // MOST_ROWS))
+    members = distinct.select(F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast("long").alias("query_id"), "ids", "embedding")
+    queries = good.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("vec_id").alias("query_id"), F.lit(None).cast("array<bigint>").alias("ids"), "embedding")
+
+    def answer(graph: Graph, exact: np.ndarray, ids: list[list[int]], asked: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        q = matrix(asked.column("embedding")).astype(float)
+        own = asked.column("query_id").to_pylist()
+        for a in range(0, len(q), graph.batch):
+            found = graph.search(q[a : a + graph.batch], QUERY_BEAM)
             out = []
             for i, row in enumerate(found[:, : 2 * k + 2].tolist()):
                 row = [r for r in row if r >= 0]
@@ -237,23 +183,27 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10, probes: int = PROBES
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, members, asked = None, [], []
+        # A shard's members come first, then its queries.
+        shard, members, index = None, [], None
         for batch in batches:
-            number = batch.column("cell").to_numpy().astype(np.int64) << 32 | batch.column("shard").to_numpy()
-            edge = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+            number, is_member = batch.column("shard").to_numpy(), batch.column("query_id").is_null()
+            turn = np.flatnonzero(np.diff(number) | np.diff(is_member.to_numpy(zero_copy_only=False).astype(int))) + 1
+            edge = [0, *turn.tolist(), len(number)]
             for x, y in zip(edge[:-1], edge[1:], strict=True):
                 if x == y:
                     continue
                 if number[x] != shard:
-                    yield from answer(members, asked)
-                    shard, members, asked = number[x], [], []
-                part = batch.slice(x, y - x)
-                is_member = part.column("query_id").is_null()
-                members += [m for m in pa.Table.from_batches([part.filter(is_member)]).to_batches() if len(m)]
-                asked += [m for m in pa.Table.from_batches([part.filter(pa.compute.invert(is_member))]).to_batches() if len(m)]
-        yield from answer(members, asked)
-
-    dealt = members.union(queries).repartition(4 * cells, "cell", "shard").sortWithinPartitions("cell", "shard")
+                    shard, members, index = number[x], [], None
+                if is_member[x].as_py():
+                    members.append(batch.slice(x, y - x))
+                elif members:
+                    if index is None:
+                        table = pa.Table.from_batches(members)
+                        exact = matrix(table["embedding"].combine_chunks()).astype(float)
+                        index = Graph(exact), exact, table["ids"].to_pylist()
+                    yield from answer(*index, batch.slice(x, y - x))
+
+    dealt = members.union(queries).repartition(shards, "shard").sortWithinPartitions("shard", F.col("query_id").isNotNull())
     found = dealt.mapInArrow(run, "query_id long, vec_id long, score double").repartition("query_id")
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)

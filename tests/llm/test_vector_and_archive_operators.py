@@ -39,7 +39,7 @@ def test_embedding_dedup(spark, block, monkeypatch):
 
 @pytest.mark.parametrize("cell", [4096, 150, 20])
 def test_neighbours(spark, cell, monkeypatch):
-    monkeypatch.setattr(neighbours, "CELL_ROWS", cell)
+    monkeypatch.setattr(neighbours, "LEAST_ROWS", cell)
     x, df = vectors(spark)
     got = {}
     for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect():
