@@ -17,9 +17,9 @@ from .sketch import frequency_classes, order_keys
 #: Part of a set, beyond the prefix that every partner must meet, that is used to count shared n-grams.
 EXTRA = 0.1
 #: Bytes of text whose n-grams are gathered before they are dealt out.
-FLUSH_BYTES = 8 << 20
-#: A shard of the tree join holds at most so many sets and n-grams in each of two blocks.
-BLOCK_SETS, BLOCK_GRAMS = 2000, 2_000_000
+FLUSH_BYTES = 4 << 20
+#: A shard of the tree join holds about so many sets and n-grams in each of two blocks; a larger one is split.
+BLOCK_SETS, BLOCK_GRAMS = 500, 500_000
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
