@@ -139,6 +139,13 @@ def geo_range_join(spark: SparkSession, d: str) -> DataFrame:
     return S.range_lookup(packets(spark, d), _ranges(spark, d), "ip_src", ["place"]).groupBy("place").agg(F.count("*").alias("n"), F.countDistinct("ip_src").alias("addresses"))
 
 
+def geo_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Where addresses are on the map, as far as a range holds them."""
+    ranges = _ranges(spark, d).withColumns({"lat": (F.col("lo") % 160 - 80).cast("double"), "lon": (F.col("lo") % 350 - 175).cast("double")})
+    found = S.range_lookup(packets(spark, d).select("ip_src").distinct(), ranges, "ip_src", ["place", "lat", "lon"])
+    return found.groupBy("place", "lat", "lon").agg(F.count("*").alias("addresses"))
+
+
 _GEO_SQL = f"WITH {PACKETS_SQL}, r AS (SELECT 167772160 + CAST(n_nationkey AS BIGINT) * 64 AS lo, n_name AS place FROM nation) SELECT place, count(*) AS n, count(DISTINCT ip_src) AS addresses FROM packets LEFT JOIN r ON {_S} BETWEEN lo AND lo + 63 GROUP BY place"
 
 
@@ -308,6 +315,7 @@ FOUND = {
     "ip_to_long": (ip_long, f"WITH {PACKETS_SQL} SELECT ip_src, {_S} AS number, count(*) AS n FROM packets GROUP BY 1, 2"),
     "cidr_inbound": (cidr_inbound, f"WITH {PACKETS_SQL} SELECT ({_D}) BETWEEN 3232235520 AND 3232235523 OR ({_D}) BETWEEN 167772416 AND 167772671 AS inside, isout AS \"isOutbound\", count(*) AS n FROM packets GROUP BY 1, 2"),
     "geo_range_join": (geo_range_join, _GEO_SQL),
+    "geo_positions": (geo_positions, f"WITH {PACKETS_SQL}, a AS (SELECT DISTINCT ip_src FROM packets), r AS (SELECT 167772160 + CAST(n_nationkey AS BIGINT) * 64 AS lo, n_name AS place FROM nation) SELECT place, CAST(lo % 160 - 80 AS DOUBLE) AS lat, CAST(lo % 350 - 175 AS DOUBLE) AS lon, count(*) AS addresses FROM a LEFT JOIN r ON {_S} BETWEEN lo AND lo + 63 GROUP BY 1, 2, 3"),
     "file_range_join": (file_range_join, _FILE_SQL),
     "lcp_protocols": (lcp_protocols, _LCP_SQL),
     "hourly_grid": (hourly_grid, _HOUR_SQL),

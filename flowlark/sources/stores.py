@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlark.functions.net import cidr_range
+
 
 def write_sessions(sessions: DataFrame, path: str, by: tuple[str, ...] = ("isp", "date")) -> None:
     """Parquet files partitioned by the given columns; large partitions become several files, small ones one."""
@@ -44,6 +46,14 @@ def write_packets_json(packets: DataFrame, path: str) -> None:
     packets.write.json(path)
 
 
+def read_networks(spark: SparkSession, path: str) -> DataFrame:
+    """``(cidr, lo, hi)`` of the networks listed in a settings file, one ``- a.b.c.d/n`` a line (quoted or not); other lines are left out."""
+    cidr = F.regexp_extract("value", r"^\s*-\s*[\"']?(\d{1,3}(?:\.\d{1,3}){3}/\d{1,2})\b", 1)
+    found = spark.read.text(path).select(cidr.alias("cidr")).where("cidr <> ''").distinct()
+    lo, hi = cidr_range(F.col("cidr"))
+    return found.select("cidr", lo.alias("lo"), hi.alias("hi"))
+
+
 def capture_listing(spark: SparkSession, path: str, prefix: str = "snort.log.") -> DataFrame:
     """``(path, bytes, start)`` of capture files below ``path``, whose names are the prefix and ten figures of epoch seconds.
 

@@ -127,6 +127,12 @@ def test_reports_with_key_payloads(spark, tmp_path):
     assert "<cluster_key_payload>a first</cluster_key_payload>" in report.group_xml(rows).where("group_id = 'g'").first().xml
 
 
+def test_networks_of_a_settings_file(spark, tmp_path):
+    (tmp_path / "s.yml").write_text("Other: 1\nTrap:\n  - 10.0.1.0/24\n  - '192.168.0.7/31'  # two\n  - none\n  - 10.0.1.0/24\n")
+    got = sorted(map(tuple, stores.read_networks(spark, str(tmp_path / "s.yml")).collect()))
+    assert got == [("10.0.1.0/24", 167772416, 167772671), ("192.168.0.7/31", 3232235526, 3232235527)]
+
+
 def test_group_figures(spark):
     found = spark.createDataFrame([(1, "a", "c1", "tcp", "DE", 5), (1, "b", "c2", "udp", "AT", 6), (1, "b", "c2", "udp", None, 7), (2, "c", "c1", "tcp", "FR", 1)], "leader int, ip string, cluster string, proto string, country string, time long")
     r = {x.leader: x for x in G.statistics(found).collect()}
