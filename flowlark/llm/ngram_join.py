@@ -462,7 +462,12 @@ def ngram_components(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFram
     # Counts of sets that have one key in common by chance say nothing.
     able = distinct.join(shared, "set_key").where((F.col("sets") > 1) | (F.col("shared") >= F.floor(smallest * EXTRA * 0.999999) + 1))
     sets = saved(able.select("doc_id", "set_key", "set_check").join(source, "doc_id").mapInArrow(_sets(n), "set_id long, grams binary"), "sets")
-    linked = components(set_links(sets, percent))
+    # A doc_id that stands in several sets links them.
+    key = F.struct("set_key", "set_check")
+    several = rows.where("n_shingles > 0").groupBy("doc_id").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b")
+    several = rows.where("n_shingles > 0").join(several.select("doc_id"), "doc_id", "left_semi")
+    twice = several.select(F.col("doc_id").alias("src"), "set_key", "set_check").join(distinct.withColumnRenamed("doc_id", "dst"), ["set_key", "set_check"]).select("src", "dst")
+    linked = components(set_links(sets, percent).union(twice))
     named = distinct.join(linked, distinct.doc_id == linked.id, "left").select("set_key", "set_check", F.coalesce("component_id", "doc_id").alias("component_id"))
     # Rows of one doc_id may stand in several sets.
     found = rows.where("n_shingles > 0").join(named, ["set_key", "set_check"]).select("doc_id", "n_shingles", "component_id")

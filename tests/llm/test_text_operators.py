@@ -141,6 +141,27 @@ def test_bpe_is_the_librarys(spark, texts):
         assert bytes(r.decoded) == (docs[r.doc_id] or "").encode()
 
 
+def test_bpe_of_odd_rows(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = [(None, "no id", "own", "mine"), (1, None, None, "mine"), (2, "twice", "own", None), (2, "twice", "own", None), (3, "", "", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, decoded string").repartition(2)
+    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, ["doc_id", "ids", "decoded"])
+    got = bpe.decode(encoded, path)
+    assert got.columns == ["doc_id", "ids", "decoded"]
+    assert sorted(((r.doc_id, bytes(r.decoded).decode()) for r in got.collect()), key=str) == sorted(((i, t or "") for i, t, *_ in rows), key=str)
+    none = bpe.encode(docs.where("false"), path, public_tokenizers.PATTERN)
+    assert bpe.decode(none, path).count() == 0 and bpe.ids_array(none).count() == 0
+
+
+def test_ngram_join_of_rows_with_one_doc_id(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, one), (5, one), (5, two), (7, two + " end"), (3, one + " end"), (9, None), (9, ""), (8, "x y"), (8, "x z"), (6, "x z"), (None, one)]
+    docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, component_id string").repartition(3)
+    got = sorted(map(tuple, ngram_join.ngram_components(docs).collect()))
+    # Both texts of 5 link it, as the one text of 8 does.
+    assert got == sorted([(5, 56, 3), (5, 56, 3), (5, 56, 3), (7, 57, 3), (3, 57, 3), (9, 0, 9), (9, 0, 9), (8, 1, 6), (8, 1, 6), (6, 1, 6)])
+
+
 def test_packing(spark, texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
