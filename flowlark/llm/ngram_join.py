@@ -119,6 +119,7 @@ def _deal(percent: int, n: int, buckets: int):
                     held = 0
         if ids:
             yield from flush()
+        tk.give_back()
 
     return run
 
@@ -192,6 +193,7 @@ def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         none = pa.nulls(len(key), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, pa.array(key.view(np.int64)), none, pa.array(many.astype(np.int64))], names=_COUNTED_NAMES)
     yield from out
+    tk.give_back()
 
 
 def _sets(n: int):

@@ -26,23 +26,13 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end_i
     are full.  A null or empty text is the end id alone.  Rows without a doc_id and repeated rows are documents too.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                ids += end
-                total = len(ids) // 4
-                start, stop = 0, (total - 1) % capacity + 1
-                while start < total:
-                    rows.append((doc, -(-start // capacity), start, stop - start, ids[4 * start : 4 * stop]))
-                    start, stop = stop, stop + capacity
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
-
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return encode(source, path, pattern).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    ended = encode(source, path, pattern).select("doc_id", F.concat("ids", F.lit(end_id.to_bytes(4, "little"))).alias("ids"))
+    total = (F.length("ids") / 4).cast("int")
+    cut = ended.select("doc_id", "ids", (F.pmod(total - 1, F.lit(capacity)) + 1).alias("_first"), F.explode(F.sequence(F.lit(0), F.ceil(total / capacity).cast("int") - 1)).alias("piece"))
+    start = F.when(F.col("piece") == 0, 0).otherwise(F.col("_first") + (F.col("piece") - 1) * capacity)
+    cut = cut.select("doc_id", "piece", start.cast("long").alias("start"), F.when(F.col("piece") == 0, F.col("_first")).otherwise(capacity).cast("long").alias("length"), "ids")
+    return cut.withColumn("ids", F.expr("substring(ids, cast(4 * start + 1 as int), cast(4 * length as int))"))
 
 
 def _patterns(count: np.ndarray, capacity: int) -> np.ndarray:

@@ -57,13 +57,11 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["segment", "sums"])
 
 
-def _add(key, pdf):
+def _add(parts: pa.Table) -> pa.Table:
     total = np.zeros(_SEGMENT * DIMENSIONS, np.int64)
-    for x in pdf["sums"]:
-        total += np.frombuffer(zlib.decompress(x), np.int64)
-    pdf = pdf.iloc[:1].copy()
-    pdf["sums"] = [zlib.compress(total.tobytes(), 1)]
-    return pdf
+    for x in parts["sums"]:
+        total += np.frombuffer(zlib.decompress(x.as_buffer()), np.int64)
+    return pa.table({"segment": parts["segment"][:1], "sums": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -72,7 +70,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     Counts are damped by a signed logarithm; a slot that never occurs has a zero vector.
     """
     schema = "segment int, sums binary"
-    parts = docs.select("text").mapInArrow(_contexts, schema).groupBy("segment").applyInPandas(_add, schema)
+    parts = docs.select("text").mapInArrow(_contexts, schema).groupBy("segment").applyInArrow(_add, schema)
     total = np.zeros((1 << WORD_BITS, DIMENSIONS))
     for r in parts.collect():  # a fixed number of parts of a fixed size
         total[r.segment * _SEGMENT : (r.segment + 1) * _SEGMENT] = np.frombuffer(zlib.decompress(r.sums), np.int64).reshape(-1, DIMENSIONS)

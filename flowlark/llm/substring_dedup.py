@@ -19,6 +19,8 @@ from .sketch import frequency_classes, order_keys
 ANCHOR_WORDS = 3
 #: Bytes of text that a task factors against itself before it deals out the rest.
 FLUSH_BYTES = 4 << 20
+#: Words handled at once of what comes to a task: bounds its memory.
+PART_WORDS = 1 << 18
 
 #: ``row`` sets apart texts that share a doc_id.
 _FACTORS = "doc_id long, row long, start int, many int, source_id long, source_start int"
@@ -83,7 +85,9 @@ def _spaced(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     size = end - start
     after = np.cumsum(size + 1) - 1
     out = np.full(int(after[-1]) + 1 if len(after) else 0, 0x20, np.uint8)
-    out[tk.ragged(after - size, size)] = data[tk.ragged(start, size)]
+    for a in range(0, len(size), 1 << 16):
+        n = size[a : a + (1 << 16)]
+        out[tk.ragged(after[a : a + (1 << 16)] - n, n)] = data[tk.ragged(start[a : a + (1 << 16)], n)]
     return out, after - size, after
 
 
@@ -182,6 +186,7 @@ def _deal(window: int, classes: np.ndarray, buckets: int):
                     held = 0
         if parts:
             yield from flush()
+        tk.give_back()
 
     return run
 
@@ -274,22 +279,36 @@ class _Block:
         return at, self.longest[at]
 
 
-def _factor(blobs: list[bytes], window: int) -> tuple[np.ndarray, ...]:
-    """Factors of what was dealt to one reference block: words that the block holds from an earlier place."""
+def _factor(blobs: list[bytes], window: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Factors of what was dealt to one reference block: words that the block holds from an earlier place.
+
+    Runs of different anchors have no window in common, so a large block is taken in parts by anchor.
+    """
     docs, rows, runs, anchors, starts, manys, spelt = zip(*map(_unpack, blobs), strict=True)
     doc, row = (np.concatenate([np.repeat(x, n) for x, n in zip(ids, runs, strict=True)]) for ids in (docs, rows))
     anchor, many = np.concatenate(anchors), np.concatenate(manys).astype(np.int64)
     start = np.concatenate([np.cumsum(x, dtype=np.int64) for x in starts])
     data = np.concatenate(spelt)
+    del docs, rows, runs, anchors, starts, manys, spelt
     end = np.flatnonzero((data == 0x20) | (data == 0x0A))
     size = many + window - 1
     lo = np.cumsum(size) - size
     # Runs of anchors that occur once have no partner.
     keep = _repeated(anchor)
-    at = tk.ragged(lo[keep], size[keep])
-    begin, end = np.append(0, end[:-1] + 1)[at], end[at]
+    keep = keep[np.argsort(anchor[keep], kind="stable")]
+    edge = tk.runs(anchor[keep])
+    total = np.append(0, np.cumsum(size[keep]))[edge]
+    first = 0
+    while first < len(edge) - 1:
+        last = max(first + 1, int(np.searchsorted(total, total[first] + PART_WORDS, "right")) - 1)
+        part = np.sort(keep[edge[first] : edge[last]])
+        at = tk.ragged(lo[part], size[part])
+        yield _factor_part(data, np.where(at > 0, end[at - 1] + 1, 0), end[at], *(x[part] for x in (anchor, doc, row, start, many, size)), window)
+        first = last
+
+
+def _factor_part(data, begin, end, anchor, doc, row, start, many, size, window: int) -> tuple[np.ndarray, ...]:
     words = _numbered(data, begin, end, tk.range_hashes(data, begin, end))
-    anchor, doc, row, start, many, size = (x[keep] for x in (anchor, doc, row, start, many, size))
     lo = np.cumsum(size) - size
     copy, source, keep = _copies(words, lo, size, doc, row, start)
     found = [(doc[copy], row[copy], start[copy], many[copy], doc[source], start[source])]
@@ -317,12 +336,13 @@ def _factors(window: int):
                     yield batch_of(_unpack(found))
                     continue
                 if bucket != at and blobs:
-                    yield batch_of(_factor(blobs, window))
+                    yield from map(batch_of, _factor(blobs, window))
                     blobs = []
                 at = bucket
                 blobs.append(runs)
         if blobs:
-            yield batch_of(_factor(blobs, window))
+            yield from map(batch_of, _factor(blobs, window))
+        tk.give_back()
 
     return run
 

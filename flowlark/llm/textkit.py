@@ -7,6 +7,8 @@ as UTF-8 bytes; words are maximal runs of bytes other than space and
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -26,6 +28,13 @@ _FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _PIECE = 64
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers live on between tasks and share an executor's limit."""
+    with contextlib.suppress(OSError, AttributeError):  # there is no such call on some systems
+        ctypes.CDLL(None).malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64), so that all bits of a sum matter."""
     x = np.asarray(x, np.uint64)
