@@ -30,3 +30,16 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n
 WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY sha1(html)) AS newest FROM p)
 SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - i % 4 * 5 AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
 CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < newest THEN newest END AS refers_to FROM d"""
+
+DIVERGENCE = r"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT id, lang, source, unnest(ws) AS term FROM d), c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS docs FROM t GROUP BY ALL),
+k AS MATERIALIZED (SELECT lang, term, sum(n) AS kn FROM c GROUP BY ALL HAVING sum(docs) >= 30), v AS (SELECT lang, count(*) AS v, sum(kn) AS vn FROM k GROUP BY ALL),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+x AS (SELECT g.lang, g.source, term, coalesce(n, 0) AS n, kn, sum(coalesce(n, 0)) OVER (PARTITION BY g.lang, g.source) AS gn, v, vn FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS MATERIALIZED (SELECT lang, source, term, n, 1 + 1000000000 * (n + 5) // (gn + 5 * v) AS p, 1 + 1000000000 * (kn + 5) // (vn + 5 * v) AS q FROM x),
+u AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(sum(abs(a.p - b.p)), 0) AS value FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source
+LEFT JOIN p a ON a.lang = g.lang AND a.source = g.source LEFT JOIN p b ON b.lang = h.lang AND b.source = h.source AND b.term = a.term GROUP BY ALL
+UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u
+QUALIFY part = 'pair' OR rank <= 50"""

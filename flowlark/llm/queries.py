@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, neighbours, ngram_join, oracles, packing, pii, quality, substring_dedup, toxicity, warc
+from . import bpe, divergence, embedding_dedup, neighbours, ngram_join, oracles, packing, pii, quality, substring_dedup, toxicity, warc
 
 #: Key of the pseudonyms in these queries; whoever uses the operator brings a secret one.
 EXAMPLE_KEY = b"key for examples only"
@@ -72,10 +72,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_found", *(F.coalesce(F.col("found")[kind], F.lit(0)).cast("long").alias(f"n_{kind}") for kind, _, _ in pii.KINDS))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the words of each source diverge from those of the others and of its language."""
+    return divergence.audit(_table(spark, sf_dir, "documents"), 30, 50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_join, op2_embedding_dedup, op3_substring_dedup, op4_bpe, op5_packing, op6_neighbours, op7_toxicity, op8_quality, op9_warc, op10_pii)
+    found = (op1_ngram_join, op2_embedding_dedup, op3_substring_dedup, op4_bpe, op5_packing, op6_neighbours, op7_toxicity, op8_quality, op9_warc, op10_pii, op11_divergence)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": oracles.NGRAM_JOIN, "op2_embedding_dedup": oracles.EMBEDDING_DEDUP, "op3_substring_dedup": oracles.SUBSTRING_DEDUP, "op9_warc": oracles.WARC}
+    return {"op1_ngram_join": oracles.NGRAM_JOIN, "op2_embedding_dedup": oracles.EMBEDDING_DEDUP, "op3_substring_dedup": oracles.SUBSTRING_DEDUP, "op9_warc": oracles.WARC, "op11_divergence": oracles.DIVERGENCE}
