@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, divergence, embedding_dedup, neighbours, ngram_join, oracles, packing, pii, quality, substring_dedup, toxicity, warc, whitening
+from . import bpe, divergence, embedding_dedup, main_text, neighbours, ngram_join, oracles, packing, pii, quality, substring_dedup, toxicity, warc, whitening
 
 #: Key of the pseudonyms in these queries; whoever uses the operator brings a secret one.
 EXAMPLE_KEY = b"key for examples only"
@@ -77,6 +77,11 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"), 30, 50)
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector along the eight components of the largest deviation, each scaled to one."""
     found = whitening.whiten(_table(spark, sf_dir, "embeddings"), 8)
@@ -84,7 +89,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_ngram_join, op2_embedding_dedup, op3_substring_dedup, op4_bpe, op5_packing, op6_neighbours, op7_toxicity, op8_quality, op9_warc, op10_pii, op11_divergence, op13_whitening)
+    found = (op1_ngram_join, op2_embedding_dedup, op3_substring_dedup, op4_bpe, op5_packing, op6_neighbours, op7_toxicity, op8_quality, op9_warc, op10_pii, op11_divergence, op12_main_text, op13_whitening)
     return {f.__name__: f for f in found}
 
 
