@@ -18,7 +18,7 @@ BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SLICE_BYTES, MERGE_ROWS, HOLD_ROWS = 4 << 20, 1 << 20, 1 << 19
 #: Counts in a shard, at least and at most; in between, a fourth of the square of the most sources of a language, so that shards don't
 #: give more pairs than they read counts. Cells of a shard's columns that are compared at once.
-LEAST_ROWS, MOST_ROWS, CELLS = 1 << 14, 1 << 21, 1 << 22
+LEAST_ROWS, MOST_ROWS, CELLS = 1 << 12, 1 << 21, 1 << 22
 SCALE, SMOOTH = 1_000_000_000, 5
 
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])

@@ -31,7 +31,7 @@ def odd(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("odd"))
     long = " ".join(f"w{i % 70}" for i in range(3000))
     texts = [None, "", " \t\n", "One two", "one TWO", "a b c d", long, long + " end", "É é İ x y z q r", long.upper(), "x " * 50]
-    spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i + 1, t, [None, "en", "de"][i % 3], [None, "a"][i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
     vectors = [None, [0.0, 0.0], [1.0, None], [float("nan"), 1.0], [float("inf"), 1.0], [1.0, 0.0], [2.0, 0.0], [1.0, 0.1], [-1.0, 0.0]]
     spark.createDataFrame([(i + 1, v) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
     html = [None, "", "a", "a", "é\r\n\r\n0\r\n", "é\r\n\r\n0\r\n", "long " * 30000]
