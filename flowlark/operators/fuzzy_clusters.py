@@ -1,8 +1,8 @@
-"""Sessions whose payloads look alike: clusters, their representatives, trees of them, and trends across days.
+"""Sessions whose payloads look alike: clusters, their representatives and trees of them.
 
 Payload rows are ``(part, idx, pos, hash)``: ``part`` is what is clustered apart (a day
-and protocol), ``idx`` the session, ``pos`` the payload's place, from 0, among
-the ``n`` of its session.  Rows without a hash take no part.
+and protocol), ``idx`` the session, ``pos`` gives the order of its payloads.  Rows without a hash take no part, and the
+places of a session's payloads are counted without them.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlark.functions.fuzzy import fuzzy_compare, grams, shortened
-from flowlark.operators.scratch import kept
+from flowlark.operators.scratch import forget, kept, kept_together
 
 
 def alike(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -29,65 +29,171 @@ def alike(left: DataFrame, right: DataFrame) -> DataFrame:
     return near.where("score > 0").unionByName(equal)
 
 
+def numbered(payloads: DataFrame) -> DataFrame:
+    """``(part, idx, pos, hash, n)``: payloads with a hash, counted anew from 0 in each session, and how many its session has."""
+    session = Window.partitionBy("part", "idx")
+    known = payloads.where("hash is not null").select("part", "idx", "pos", "hash")
+    return known.withColumn("pos", (F.row_number().over(session.orderBy("pos", "hash")) - 1).cast("int")).withColumn("n", F.count("*").over(session))
+
+
 def probes(payloads: DataFrame) -> DataFrame:
     """The payloads by which a session looks for others: those at a quarter, half, three quarters; from five on also the last.
 
     With few payloads places coincide and later ones are left out.
     """
-    n = F.count("*").over(Window.partitionBy("part", "idx"))
     q = [F.floor(F.col("n") * x).cast("int") for x in (0.25, 0.5, 0.75)]
     places = F.when(q[1] == q[0], F.array(q[0])).when(q[2] == q[1], F.array(q[0], q[1])).when(F.col("n") > 4, F.array(*q, F.col("n").cast("int") - 1)).otherwise(F.array(*q))
-    found = payloads.where("hash is not null").withColumn("n", n).withColumn("places", places)
-    return found.where(F.array_contains("places", F.col("pos").cast("int"))).select("part", "idx", "pos", "hash", F.size("places").alias("probes"))
+    found = numbered(payloads).withColumn("places", places)
+    return found.where(F.array_contains("places", F.col("pos"))).select("part", "idx", "pos", "hash", F.size("places").alias("probes"))
+
 
+def links(payloads: DataFrame, threshold: float = 0.0, within: str | None = None) -> DataFrame:
+    """``(part, a, b)``: session ``a`` finds ``b``, if the mean score of its probes with any payload of ``b`` is above the threshold (0 or more).
 
-def links(payloads: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """``(part, a, b)``: session ``a`` finds ``b``, if the mean score of its probes with any payload of ``b`` is above the threshold (0 or more)."""
+    All links are rows here; ``leader_clusters`` does without them.  With ``within``, a further column of ``payloads``, only
+    sessions of one value of it find each other, and no others meet.
+    """
+    more = [within] if within else []
     payloads = payloads.where("hash is not null")
     targets = probes(payloads)
     scored = alike(targets.select("part", "hash"), payloads.select("part", "hash"))
     means = targets.withColumnRenamed("hash", "a").join(scored, ["part", "a"]).groupBy("part", F.col("idx").alias("from"), "b", "probes").agg((F.sum("score") / F.col("probes")).alias("mean"))
-    owners = payloads.select("part", F.col("hash").alias("b"), "idx").distinct()
-    return means.where(F.col("mean") > threshold).join(owners, ["part", "b"]).where("`from` <> idx").select("part", F.col("from").alias("a"), F.col("idx").alias("b")).distinct()
+    means = means.where(F.col("mean") > threshold)
+    owners = payloads.select("part", F.col("hash").alias("b"), "idx", *more).distinct()
+    if within:
+        means = means.join(payloads.select("part", F.col("idx").alias("from"), within).distinct(), ["part", "from"])
+    return means.join(owners, ["part", "b", *more]).where("`from` <> idx").select("part", F.col("from").alias("a"), F.col("idx").alias("b"), *more).distinct()
+
+
+class _Graph:
+    """Sessions, payloads and what payloads have in common, as nodes; links between sessions are paths, never rows.
+
+    ``steps`` are tables of edges ``(a, b)`` that lead from a session by its probes to payloads ``node``; ``owns`` are the payloads of each
+    session.  A value travels along them from sessions to those they find, or back; at each node the least goes on.
+    """
+
+    def __init__(self, steps: list[DataFrame], owns: DataFrame):
+        self.steps, self.owns = steps, owns
+
+    def found(self, values: DataFrame) -> DataFrame:
+        """``(part, idx, v)``: of ``values(a, v)`` at sessions, the least that comes to each session that is found."""
+        for step in self.steps:
+            values = step.join(values, "a").groupBy(F.col("b").alias("a")).agg(F.min("v").alias("v"))
+        return self.owns.join(values.withColumnRenamed("a", "node"), "node").groupBy("part", "idx").agg(F.min("v").alias("v"))
+
+    def back(self, values: DataFrame) -> DataFrame:
+        """``(a, v)``: of ``values(part, idx, v)`` the least at any session that each session finds."""
+        back = self.owns.join(values, ["part", "idx"]).groupBy(F.col("node").alias("b")).agg(F.min("v").alias("v"))
+        for step in reversed(self.steps):
+            back = step.join(back, "b").groupBy(F.col("a").alias("b")).agg(F.min("v").alias("v"))
+        return back.withColumnRenamed("b", "a")
+
+    def only(self, live: DataFrame) -> _Graph:
+        """The graph of sessions ``live(part, idx, asks)`` alone; what it replaces is forgotten."""
+        first = kept(self.steps[0].join(live.where("asks").select(F.struct("part", "idx").alias("a")), "a", "left_semi"))
+        owns = kept(self.owns.join(live, ["part", "idx"], "left_semi"))
+        forget(self.steps[0], self.owns)
+        return _Graph([first, *self.steps[1:]], owns)
+
+
+def _sum_of(*columns: str) -> list:
+    """A count and two sums of 64-bit hashes: what sets of the same rows share and others don't."""
+    return [F.count("*").alias("_n"), *(F.sum(F.xxhash64(*columns, F.lit(seed)).cast("decimal(38,0)")).alias(f"_s{seed}") for seed in (1, 2))]
+
+
+_SUMS = ["_n", "_s1", "_s2"]
+
+
+def _common_grams(nodes: DataFrame) -> DataFrame:
+    """``(a, b)``: for each of ``nodes(part, node, hash)`` what it has in common with others that it scores with.
+
+    Two hashes score more than 0 exactly if they are equal once shortened or share seven characters at one block size.  Runs of
+    characters that the same hashes share are one node, and those of a single hash none.
+    """
+    of = nodes.select("part", "node", F.explode(grams(F.col("hash"))).alias("gram"))
+    classes = of.groupBy("part", "gram").agg(*_sum_of("node")).where("_n > 1")
+    first = classes.groupBy("part", *_SUMS).agg(F.min("gram").alias("gram"))
+    several = of.join(first.select("part", "gram"), ["part", "gram"]).select(F.col("node").alias("a"), F.struct("part", "gram").alias("b"))
+    return several.unionByName(nodes.select(F.col("node").alias("a"), F.struct("part", F.concat(F.lit("="), shortened(F.col("hash"))).alias("gram")).alias("b")))
+
+
+def _graph(payloads: DataFrame, threshold: float) -> tuple[_Graph, DataFrame]:
+    """The graph of sessions, and ``(part, idx, as_idx)``: the session that stands for each of those with the same payloads.
+
+    Sessions with the same payloads and probes differ only in who comes first: the two with the smallest idx of each are in
+    the graph, the others fare as the second.
+    """
+    rows = kept(numbered(payloads).select("part", "idx", "pos", "hash"))
+    asked = probes(rows)
+    sums = rows.groupBy("part", "idx").agg(*_sum_of("pos", "hash"))
+    place = F.row_number().over(Window.partitionBy("part", *_SUMS).orderBy("idx"))
+    two = kept(sums.withColumn("place", place).where("place <= 2"))
+    second = two.where("place = 2").select("part", *_SUMS, F.col("idx").alias("as_idx"))
+    stands = kept(sums.join(second, ["part", *_SUMS], "left").select("part", "idx", F.when(F.col("idx") > F.col("as_idx"), F.col("as_idx")).otherwise(F.col("idx")).alias("as_idx")))
+    rows_of_two, asked = (x.join(two.select("part", "idx"), ["part", "idx"], "left_semi") for x in (rows, asked))
+    nodes = kept(rows_of_two.select("part", "hash").distinct().withColumn("node", F.monotonically_increasing_id()))
+    owns = kept(rows_of_two.select("part", "idx", "hash").distinct().join(nodes, ["part", "hash"]).select("part", "idx", "node"))
+    if threshold <= 0:
+        asks = kept(asked.select("part", "idx", "hash").distinct().join(nodes, ["part", "hash"]).select(F.struct("part", "idx").alias("a"), F.col("node").alias("b")))
+        common = kept(_common_grams(nodes))
+        steps = [asks, common, common.select(F.col("b").alias("a"), F.col("a").alias("b"))]
+    else:
+        # Sessions with the same probes find the same payloads: each such profile, named after its first session, is a node.
+        profiles = asked.groupBy("part", "idx", "probes").agg(*_sum_of("pos", "hash")).withColumn("first", F.min("idx").over(Window.partitionBy("part", "probes", *_SUMS)))
+        asks = kept(profiles.select(F.struct("part", "idx").alias("a"), F.struct("part", F.col("first").alias("idx")).alias("b")))
+        ask = asked.join(profiles.where("idx = first").select("part", "idx"), ["part", "idx"], "left_semi").withColumnRenamed("hash", "a")
+        scored = alike(ask.select("part", F.col("a").alias("hash")), nodes.select("part", "hash"))
+        means = ask.join(scored, ["part", "a"]).groupBy("part", "idx", "b", "probes").agg((F.sum("score") / F.col("probes")).alias("mean")).where(F.col("mean") > threshold)
+        finds = kept(means.withColumnRenamed("b", "hash").join(nodes, ["part", "hash"]).select(F.struct("part", "idx").alias("a"), F.col("node").alias("b")))
+        steps = [asks, finds]
+    forget(rows, two, nodes)
+    return _Graph(steps, owns), stands
 
 
 def leader_clusters(payloads: DataFrame, threshold: float = 0.0) -> DataFrame:
     """``(part, idx, leader)``: in order of idx, a free session takes all free sessions that it finds; ``leader`` is null for loners.
 
     Finding isn't symmetric, so a session that found none may still be taken later.
-    A session is decided as soon as no earlier undecided one can touch it or
-    any session that it finds; all such are decided at once, round by round, by
-    joins: no part is ever held in one task.
+    A session's turn has come as soon as no earlier one that is still to come can touch it or any session that it finds.  Each
+    session is told the first that may touch it, each asks back for the least of these among those it finds: all whose own idx comes
+    back take theirs at once, round by round.  Rows are those of payloads and of what distinct payloads have in common, however many
+    sessions find each other; no part is ever held in one task.
     """
-    sessions = payloads.where("hash is not null").select("part", "idx").distinct()
-    found = kept(links(payloads, threshold))
-    touch = kept(found.unionByName(found.select("part", "a", F.col("a").alias("b")).distinct()))
-    clusters = None
-    while not touch.isEmpty():
-        first = touch.withColumn("first", F.min("a").over(Window.partitionBy("part", "b")))
-        decided = kept(first.groupBy("part", "a").agg(F.bool_and(F.col("first") == F.col("a")).alias("ready"), F.count("*").alias("n")).where("ready"))
-        taken = kept(touch.join(decided.where("n > 1").select("part", "a"), ["part", "a"], "left_semi").select("part", F.col("b").alias("idx"), F.col("a").alias("leader")))
-        clusters = taken if clusters is None else clusters.unionByName(taken)
-        left = touch.join(decided, ["part", "a"], "left_anti")
-        for side in ("a", "b"):
-            left = left.join(taken.select("part", F.col("idx").alias(side)), ["part", side], "left_anti")
-        touch = kept(left.select("part", "a", "b"))
-    if clusters is None:
-        return sessions.withColumn("leader", F.lit(None).cast(sessions.schema["idx"].dataType))
-    return sessions.join(clusters, ["part", "idx"], "left")
+    graph, stands = _graph(payloads, threshold)
+    live = kept(stands.where("idx = as_idx").select("part", "idx", F.lit(True).alias("asks")))
+    taken, size = [], None
+    while (now := live.count()) and not live.where("asks").isEmpty():
+        if size is None or now * 2 < size:
+            graph = graph.only(live) if size else graph
+            size = now
+        touched = graph.found(live.where("asks").select(F.struct("part", "idx").alias("a"), F.col("idx").alias("v")))
+        own = F.when(F.col("asks"), F.col("idx"))
+        first = kept(live.join(touched, ["part", "idx"], "left").select("part", "idx", "asks", F.least("v", own).alias("v")).where("v is not null"))
+        answers = graph.back(first.select("part", "idx", "v")).select("a.part", "a.idx", F.col("v").alias("least"))
+        turn = kept(first.where("asks and v = idx").join(answers, ["part", "idx"], "left").where("least is null or least >= idx").select("part", F.col("idx").alias("leader")))
+        joined = kept(first.where("v <> idx").join(turn.withColumnRenamed("leader", "v"), ["part", "v"]).select("part", "idx", F.col("v").alias("leader")))
+        heads = joined.select("part", F.col("leader").alias("idx"), "leader").distinct()
+        placed = kept(joined.unionByName(heads))
+        taken.append(placed)
+        left = first.join(placed, ["part", "idx"], "left_anti").join(turn.select("part", F.col("leader").alias("idx"), F.lit(True).alias("had")), ["part", "idx"], "left")
+        old, live = live, kept(left.select("part", "idx", (F.col("asks") & F.col("had").isNull()).alias("asks")))
+        forget(old, first, turn, joined)
+    forget(live, *graph.steps, graph.owns)
+    if not taken:
+        return stands.select("part", "idx", F.lit(None).cast(stands.schema["idx"].dataType).alias("leader"))
+    clusters = kept_together(taken).withColumnRenamed("idx", "as_idx")
+    return stands.join(clusters, ["part", "as_idx"], "left").select("part", "idx", "leader")
 
 
 def same_address_links(payloads: DataFrame, sessions: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """``links`` between sessions of one source address; ``sessions`` is ``(part, idx, ip_src)``."""
-    of = sessions.select("part", "idx", "ip_src")
-    found = links(payloads, threshold)
-    return found.join(of.withColumnRenamed("idx", "a"), ["part", "a"]).join(of.withColumnRenamed("idx", "b"), ["part", "b", "ip_src"]).select("part", "a", "b", "ip_src")
+    """``links`` between sessions of one source address; ``sessions`` is ``(part, idx, ip_src)``. Sessions of other addresses never meet."""
+    of = payloads.join(sessions.where("ip_src is not null").select("part", "idx", "ip_src"), ["part", "idx"])
+    return links(of, threshold, "ip_src")
 
 
 def middle_hash(payloads: DataFrame) -> DataFrame:
     """``(part, idx, hash)``: the payload at half of each session."""
-    n = F.count("*").over(Window.partitionBy("part", "idx"))
-    return payloads.where("hash is not null").withColumn("n", n).where(F.col("pos") == F.floor(F.col("n") * 0.5)).select("part", "idx", "hash")
+    return numbered(payloads).where(F.col("pos") == F.floor(F.col("n") * 0.5)).select("part", "idx", "hash")
 
 
 def representatives(clusters: DataFrame, payloads: DataFrame, sessions: DataFrame, small: DataFrame) -> DataFrame:
@@ -110,84 +216,38 @@ def average_linkage(hashes: DataFrame) -> DataFrame:
     """``(part, round, a, b, distance, size)``: the average-linkage tree of ``(part, idx, hash)`` as far as anything scores.
 
     The distance is 100 less the mean score over all pairs, unlike pairs included; clusters are called by their smallest
-    idx.  Pairs that are nearest to each other merge at once, which for average
+    idx.  Equal hashes are 0 apart and merge first, in round 0, one row for each, without meeting in pairs; from then on a
+    hash stands for all that have it.  Pairs that are nearest to each other merge at once, which for average
     linkage gives the tree of one merge after the other.  All that is left
     at the end is 100 apart.
     """
-    scored = alike(hashes.select("part", "hash"), hashes.select("part", "hash"))
-    l, r = hashes.select("part", F.col("idx").alias("x"), F.col("hash").alias("a")), hashes.select("part", F.col("idx").alias("y"), F.col("hash").alias("b"))
-    sums = kept(scored.join(l, ["part", "a"]).join(r, ["part", "b"]).where("x <> y").select("part", "x", "y", F.col("score").cast("long").alias("s")))
-    sizes = kept(hashes.select("part", F.col("idx").alias("x")).withColumn("n", F.lit(1).cast("long")))
-    steps, turn = None, 0
+    equal = Window.partitionBy("part", "hash").orderBy("idx")
+    numbered_ = hashes.where("hash is not null").select("part", "idx", "hash").withColumn("size", F.row_number().over(equal).cast("long")).withColumn("a", F.first("idx").over(equal))
+    same = kept(numbered_)
+    steps = [same.where("size > 1").select("part", F.lit(0).alias("round"), "a", F.col("idx").alias("b"), F.lit(0.0).alias("distance"), "size")]
+    heads = kept(same.groupBy("part", "hash").agg(F.min("idx").alias("x"), F.count("*").alias("n")))
+    scored = alike(heads.select("part", "hash"), heads.select("part", "hash"))
+    l, r = (heads.select("part", F.col("x").alias(x), F.col("hash").alias(h), F.col("n").alias(n)) for x, h, n in (("x", "a", "n"), ("y", "b", "m")))
+    sums = kept(scored.join(l, ["part", "a"]).join(r, ["part", "b"]).where("x <> y").select("part", "x", "y", (F.col("score") * F.col("n") * F.col("m")).cast("long").alias("s")))
+    sizes = heads.select("part", "x", "n")
+    turn, merges = 0, []
     while not sums.isEmpty():
         turn += 1
         both = sums.join(sizes, ["part", "x"]).join(sizes.select("part", F.col("x").alias("y"), F.col("n").alias("m")), ["part", "y"])
         order = F.struct(-F.col("s") / (F.col("n") * F.col("m")), F.least("x", "y"), F.greatest("x", "y"))
         best = both.withColumn("o", order).groupBy("part", "x").agg(F.min_by(F.struct("y", "s", "n", "m"), "o").alias("best")).select("part", "x", "best.*")
         back = best.select("part", F.col("x").alias("y"), F.col("y").alias("x"))
-        merged = kept(best.join(back, ["part", "x", "y"], "left_semi").where("x < y"))
-        step = merged.select("part", F.lit(turn).alias("round"), F.col("x").alias("a"), F.col("y").alias("b"), (100 - F.col("s") / (F.col("n") * F.col("m"))).alias("distance"), (F.col("n") + F.col("m")).alias("size"))
-        steps = step if steps is None else steps.unionByName(step)
+        merged = kept(best.join(back, ["part", "x", "y"], "left_semi").where("x < y").withColumn("round", F.lit(turn)))
+        merges.append(merged)
         moved = merged.select("part", F.col("y").alias("old"), F.col("x").alias("new"))
+        old = sums
         for side in ("x", "y"):
             sums = sums.join(moved.withColumnRenamed("old", side), ["part", side], "left").withColumn(side, F.coalesce("new", side)).drop("new")
         sums = kept(sums.where("x <> y").groupBy("part", "x", "y").agg(F.sum("s").alias("s")))
-        sizes = kept(sizes.join(moved.withColumnRenamed("old", "x"), ["part", "x"], "left").select("part", F.coalesce("new", "x").alias("x"), "n").groupBy("part", "x").agg(F.sum("n").alias("n")))
-    if steps is None:
-        return sums.select("part", F.lit(0).alias("round"), F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0.0).alias("distance"), F.col("s").alias("size"))
-    return steps
-
-
-def _trend_heads(clusters: DataFrame, payloads: DataFrame) -> DataFrame:
-    """``(proto, date, leader, key, other)``: middle payloads of each cluster's leader and of its member with the largest idx."""
-    middle = middle_hash(payloads)
-    ends = clusters.where("leader is not null").groupBy("part", "leader").agg(F.max(F.when(F.col("idx") != F.col("leader"), F.col("idx"))).alias("last"))
-    heads = ends.join(middle.select("part", F.col("idx").alias("leader"), F.col("hash").alias("key")), ["part", "leader"]).join(middle.select("part", F.col("idx").alias("last"), F.col("hash").alias("other")), ["part", "last"])
-    return heads.select("part.proto", "part.date", "leader", "key", "other")
-
-
-def trends(clusters: DataFrame, payloads: DataFrame, days: list[str]) -> DataFrame:
-    """``(proto, date, leader, trend)``: clusters that go on from day to day; a trend is called ``date_leader`` after its first cluster.
-
-    ``clusters`` is ``(part, idx, leader)`` with a ``part`` of ``proto`` and ``date``.  A cluster asks by its leader's middle
-    payload; a trend answers by the middle payloads of all its clusters' leaders and of each cluster's member with the largest idx.
-    The best answer of at least 1 counts (ties: the trend that began first, then the smaller leader), else a trend begins.
-    Clusters placed on one day are seen from the next day on; the days are few and are taken one after the other.
-    """
-    heads = kept(_trend_heads(clusters, payloads))
-    known, out = None, None
-    for day in sorted(days):
-        today = heads.where(F.col("date") == day)
-        own = F.concat_ws("_", "date", F.col("leader").cast("string"))
-        if known is None:
-            placed = today.select("*", own.alias("trend"), F.col("date").alias("began"), F.col("leader").alias("first"))
-        else:
-            scored = alike(today.select(F.col("proto").alias("part"), F.col("key").alias("hash")), known.select(F.col("proto").alias("part"), "hash"))
-            order = F.struct(-F.col("score"), F.col("began"), F.col("first"))
-            answers = scored.join(known.select(F.col("proto").alias("part"), F.col("hash").alias("b"), "trend", "began", "first"), ["part", "b"])
-            best = answers.groupBy(F.col("part").alias("proto"), F.col("a").alias("key")).agg(F.min_by(F.struct("trend", "began", "first"), order).alias("best"))
-            placed = today.join(best, ["proto", "key"], "left")
-            placed = placed.select("proto", "date", "leader", "key", "other", *(F.coalesce(F.col("best")[c], x).alias(c) for c, x in (("trend", own), ("began", F.col("date")), ("first", F.col("leader")))))
-        placed = kept(placed.select("proto", "date", "leader", "key", "other", "trend", "began", "first"))
-        # Trends go by the date and leader of their first cluster; all that joined today answer from tomorrow on.
-        begun = placed.select("proto", F.explode(F.array("key", "other")).alias("hash"), "trend", "began", "first").distinct()
-        known = kept(begun if known is None else known.unionByName(begun).distinct())
-        out = placed if out is None else out.unionByName(placed)
-    out = heads.withColumn("trend", F.lit("")) if out is None else out
-    return out.select("proto", "date", "leader", "trend")
-
-
-def trend_events(found: DataFrame, clusters: DataFrame, sessions: DataFrame) -> DataFrame:
-    """The sessions of every trend, leaders and members: ``proto, trend, date, leader, idx`` and what else ``sessions`` (``part, idx, ...``) holds.
-
-    ``found`` is what ``trends`` gives.  Each session stays a row, so no trend becomes one value.
-    """
-    members = clusters.where("leader is not null").select("part", "idx", "leader", "part.proto", "part.date").join(found, ["proto", "date", "leader"])
-    more = [c for c in sessions.columns if c not in ("part", "idx", "proto", "date", "leader", "trend")]
-    return members.join(sessions.select("part", "idx", *more), ["part", "idx"]).select("proto", "trend", "date", "leader", "idx", *more)
-
-
-def trend_hashes(found: DataFrame, clusters: DataFrame, payloads: DataFrame) -> DataFrame:
-    """``(proto, trend, date, leader, hash)``: the payloads by which the clusters of each trend answer."""
-    heads = _trend_heads(clusters, payloads).join(found, ["proto", "date", "leader"])
-    return heads.select("proto", "trend", "date", "leader", F.explode(F.array_distinct(F.array("key", "other"))).alias("hash"))
+        old_sizes, sizes = sizes, kept(sizes.join(moved.withColumnRenamed("old", "x"), ["part", "x"], "left").select("part", F.coalesce("new", "x").alias("x"), "n").groupBy("part", "x").agg(F.sum("n").alias("n")))
+        forget(old, old_sizes)
+    forget(heads, sums, sizes)
+    if merges:
+        size = F.col("n") * F.col("m")
+        steps.append(kept_together(merges).select("part", "round", F.col("x").alias("a"), F.col("y").alias("b"), (100 - F.col("s") / size).alias("distance"), (F.col("n") + F.col("m")).alias("size")))
+    return steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])

@@ -28,20 +28,31 @@ def _remove(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path of its own below the shared folder; what is written there goes when Python ends."""
+    path = f"{_folder(spark)}/rows-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet and read again: cuts the lineage of a loop, survives lost executors.
 
     The files go when Python ends, or earlier by ``forget``.
     """
     spark = df.sparkSession
-    path = f"{_folder(spark)}/rows-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    path = new_folder(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
     return out
 
 
+def kept_together(tables: list[DataFrame]) -> DataFrame:
+    """All rows of ``kept`` tables of one schema, as one scan."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*(df._kept_at for df in tables))
+
+
 def forget(*tables: DataFrame) -> None:
     """Removes the files of ``kept`` tables that nothing reads any more."""
     for df in tables:

@@ -11,7 +11,8 @@ from flowlark.operators import behaviour as B
 from flowlark.operators import fuzzy_clusters as C
 from flowlark.operators import report
 from flowlark.operators import sessions as S
-from flowlark.operators.scratch import kept
+from flowlark.operators import trends as T
+from flowlark.operators.scratch import kept, new_folder
 from flowlark.plans.behaviour_queries import _GROUPS, _groups, session_rows
 from flowlark.sources.packets import from_conversations
 
@@ -78,7 +79,19 @@ def upgma(spark: SparkSession, d: str) -> DataFrame:
 
 def trend_merge(spark: SparkSession, d: str) -> DataFrame:
     payloads = _payloads(spark, d)
-    return C.trends(C.leader_clusters(payloads), payloads, DAYS)
+    return T.trends(C.leader_clusters(payloads), payloads, DAYS)
+
+
+def trend_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same, day by day as a stream: a file a batch, the state of earlier days in a table."""
+    payloads = _payloads(spark, d)
+    heads = kept(T.trend_heads(C.leader_clusters(payloads), payloads))
+    folder = new_folder(spark)
+    for day in DAYS:
+        heads.where(F.col("date") == day).coalesce(1).write.mode("append").parquet(f"{folder}/heads")
+    source = spark.readStream.schema(heads.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/heads")
+    T.follow(source, f"{folder}/trends", f"{folder}/checkpoint").awaitTermination()
+    return T.stored_trends(spark, f"{folder}/trends")
 
 
 def trend_events(spark: SparkSession, d: str) -> DataFrame:
@@ -86,14 +99,14 @@ def trend_events(spark: SparkSession, d: str) -> DataFrame:
     payloads = _payloads(spark, d)
     found = C.leader_clusters(payloads)
     time = F.unix_timestamp("date", "yyyyMMdd") + F.col("idx")
-    return C.trend_events(C.trends(found, payloads, DAYS), found, _sessions(spark, d).select("part", "idx", time.alias("session_time"), "country", "ip_src"))
+    return T.trend_events(T.trends(found, payloads, DAYS), found, _sessions(spark, d).select("part", "idx", time.alias("session_time"), "country", "ip_src"))
 
 
 def trend_hashes(spark: SparkSession, d: str) -> DataFrame:
     """Payload hashes of each trend."""
     payloads = _payloads(spark, d)
     found = C.leader_clusters(payloads)
-    return C.trend_hashes(C.trends(found, payloads, DAYS), found, payloads)
+    return T.trend_hashes(T.trends(found, payloads, DAYS), found, payloads)
 
 
 def small_cluster_thr(spark: SparkSession, d: str) -> DataFrame:
@@ -124,6 +137,7 @@ FOUND = {
     "rep_hash": (rep_hash, None),
     "upgma": (upgma, None),
     "trend_merge": (trend_merge, None),
+    "trend_stream": (trend_stream, None),
     "trend_events": (trend_events, None),
     "trend_hashes": (trend_hashes, None),
     "small_cluster_thr": (small_cluster_thr, _SMALL),

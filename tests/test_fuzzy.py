@@ -7,6 +7,7 @@ import pytest
 
 from flowlark.functions.fuzzy import PIECE_PRIME, PIECE_START, ALPHABET, compare_hashes, hash_bytes
 from flowlark.operators import fuzzy_clusters as C
+from flowlark.operators import trends as T
 from flowlark.plans import fuzzy_queries as Q
 
 DIR = "/root/testdata/sf0.001"
@@ -132,7 +133,7 @@ def test_tree_equals_one_merge_after_the_other(spark):
 def test_trends_equal_a_fold_over_days(spark):
     payloads = [(("x", Q.DAYS[idx % 3]), idx, pos, h) for part, idx, pos, h in rows(40, 9) if part == "p"]
     df = spark.createDataFrame(payloads, "part struct<proto: string, date: string>, idx long, pos int, hash string")
-    got = {(r.date, r.leader): r.trend for r in C.trends(C.leader_clusters(df), df, Q.DAYS).collect()}
+    got = {(r.date, r.leader): r.trend for r in T.trends(C.leader_clusters(df), df, Q.DAYS).collect()}
     sessions = defaultdict(list)
     for part, idx, pos, h in sorted(payloads):
         sessions[idx].append(h)
@@ -161,13 +162,13 @@ def test_a_trend_goes_on_by_clusters_that_joined(spark):
     assert compare_hashes(hashes[0], hashes[1]) > 0 and compare_hashes(hashes[1], hashes[2]) > 0 and compare_hashes(hashes[0], hashes[2]) == 0
     payloads = spark.createDataFrame([(("x", Q.DAYS[n]), 10 * n + i, 0, h) for n, h in enumerate(hashes) for i in (1, 2, 3)], "part struct<proto: string, date: string>, idx long, pos int, hash string")
     clusters = C.leader_clusters(payloads)
-    found = C.trends(clusters, payloads, Q.DAYS)
+    found = T.trends(clusters, payloads, Q.DAYS)
     first = f"{Q.DAYS[0]}_1"
     assert {(x.date, x.leader, x.trend) for x in found.collect()} == {(day, 10 * n + 1, first) for n, day in enumerate(Q.DAYS)}
     sessions = payloads.selectExpr("part", "idx", "idx * 7 as session_time", "'c' as country", "concat('10.0.0.', idx) as ip_src")
-    events = {tuple(x) for x in C.trend_events(found, clusters, sessions).collect()}
+    events = {tuple(x) for x in T.trend_events(found, clusters, sessions).collect()}
     assert events == {("x", first, day, 10 * n + 1, 10 * n + i, 7 * (10 * n + i), "c", f"10.0.0.{10 * n + i}") for n, day in enumerate(Q.DAYS) for i in (1, 2, 3)}
-    assert sorted((x.date, x.hash) for x in C.trend_hashes(found, clusters, payloads).collect()) == sorted(zip(Q.DAYS, hashes, strict=True))
+    assert sorted((x.date, x.hash) for x in T.trend_hashes(found, clusters, payloads).collect()) == sorted(zip(Q.DAYS, hashes, strict=True))
 
 
 def test_representatives_of_documents(spark):
