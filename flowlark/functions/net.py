@@ -7,26 +7,31 @@ from pyspark.sql import functions as F
 
 
 def ip_to_long(ip: Column) -> Column:
-    """Dotted IPv4 text as a number; null for null."""
+    """Dotted IPv4 text as a number; null for null and for whatever isn't four numbers, such as an IPv6 address."""
     parts = F.split(ip, r"\.")
-    return F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a * 256 + x.cast("long"))
+    return F.when(F.size(parts) == 4, F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a * 256 + x.try_cast("long")))
 
 
 def cidr_range(cidr: Column) -> tuple[Column, Column]:
-    """First and last address of ``a.b.c.d/n``."""
-    base, bits = ip_to_long(F.element_at(F.split(cidr, "/"), 1)), F.element_at(F.split(cidr, "/"), 2).cast("int")
+    """First and last address of ``a.b.c.d/n``; null if it isn't one."""
+    base, bits = ip_to_long(F.try_element_at(F.split(cidr, "/"), F.lit(1))), F.try_element_at(F.split(cidr, "/"), F.lit(2)).try_cast("int")
     size = F.pow(F.lit(2), F.lit(32) - bits).cast("long")
     first = base - F.pmod(base, size)
     return first, first + size - 1
 
 
+def _is_lower(a: Column, b: Column) -> Column:
+    """By number; where one has none, by text."""
+    return F.coalesce(ip_to_long(a) < ip_to_long(b), a < b)
+
+
 def lower_ip(a: Column, b: Column) -> Column:
     """The numerically smaller of two addresses."""
-    return F.when(ip_to_long(a) < ip_to_long(b), a).otherwise(b)
+    return F.when(_is_lower(a, b), a).otherwise(b)
 
 
 def higher_ip(a: Column, b: Column) -> Column:
-    return F.when(ip_to_long(a) > ip_to_long(b), a).otherwise(b)
+    return F.when(_is_lower(b, a), a).otherwise(b)
 
 
 def common_prefix(low: Column, high: Column) -> Column:

@@ -7,32 +7,46 @@ from pyspark.sql import functions as F
 
 from flowlark.functions.lists import sorted_payloads
 from flowlark.functions.net import common_prefix, higher_ip, ip_to_long, lower_ip
+from flowlark.operators.asof import asof
 
 KEYS = ["min_ip", "max_ip", "min_port", "max_port", "ip_proto"]
 
 
-def with_session(packets: DataFrame, gap: float = 120.0) -> DataFrame:
-    """Packets with their conversation's keys and ``group_id``: how many gaps of more than ``gap`` seconds came before.
-
-    Both directions of a conversation are one; packets at one instant share a
-    session.  One shuffle on the keys serves the window and the aggregate behind it.
-    """
+def with_keys(packets: DataFrame) -> DataFrame:
+    """Packets with their conversation's keys; both directions are one."""
     tcp = F.col("tcp_srcport").isNotNull()
     src, dst = F.col("ip_src"), F.col("ip_dst")
-    keyed = packets.withColumns({
+    return packets.withColumns({
         "min_ip": lower_ip(src, dst), "max_ip": higher_ip(src, dst),
         "min_port": F.when(tcp, F.least("tcp_srcport", "tcp_dstport")).otherwise(F.least("udp_srcport", "udp_dstport")),
         "max_port": F.when(tcp, F.greatest("tcp_srcport", "tcp_dstport")).otherwise(F.greatest("udp_srcport", "udp_dstport")),
     })
-    order = Window.partitionBy(*KEYS).orderBy("frame_time_epoch")
-    delta = F.col("frame_time_epoch") - F.lag("frame_time_epoch").over(order)
-    return keyed.withColumn("_gap", F.when(delta > gap, 1).otherwise(0)).withColumn("group_id", F.sum("_gap").over(order)).drop("_gap")
+
+
+def with_session(packets: DataFrame, gap: float = 120.0) -> DataFrame:
+    """Packets with their conversation's keys and ``group_id``: how many gaps of more than ``gap`` seconds came before.
+
+    Packets at one instant share a session; those without a time belong to the first.  No two packets within a span of half a gap
+    are in different sessions, so spans, not packets, are put in order: each carries its first and last time, a conversation's spans
+    are numbered, and packets take the number of theirs.  A conversation of very many packets is thus spread over its spans.
+    """
+    # A gap of 0 parts any two times.
+    span = F.floor(F.col("frame_time_epoch") / (gap / 2)).cast("double") if gap > 0 else F.col("frame_time_epoch")
+    keyed = with_keys(packets).withColumn("_span", span)
+    spans = keyed.groupBy(*KEYS, "_span").agg(F.min("frame_time_epoch").alias("_first"), F.max("frame_time_epoch").alias("_last"))
+    order = Window.partitionBy(*KEYS).orderBy("_span")
+    apart = F.when(F.col("_first") - F.lag("_last").over(order) > gap, 1).otherwise(0)
+    numbered = spans.withColumn("_apart", apart).withColumn("group_id", F.sum("_apart").over(order))
+    names = [*KEYS, "_span"]
+    numbered = numbered.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(names)), "group_id")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(names)]
+    return keyed.join(numbered, same, "left").drop("_span", *(f"_k{i}" for i in range(len(names))))
 
 
 def sessions(packets: DataFrame, gap: float = 120.0) -> DataFrame:
     """One row of 46 columns per session (totals, inbound and outbound parts, endpoints, paths, payloads).
 
-    Inbound and outbound parts without packets are null sums, 0 counts and empty
+    Packets without both addresses belong to none.  Inbound and outbound parts without packets are null sums, 0 counts and empty
     lists.  Endpoints are those of the first packet, the outer side as source.
     """
     t, out = F.col("frame_time_epoch"), F.col("isOutbound")
@@ -68,7 +82,7 @@ def sessions(packets: DataFrame, gap: float = 120.0) -> DataFrame:
         return F.transform(items, lambda x: x["p"])
 
     (in_common, in_longest), (out_common, out_longest) = path(when_in), path(when_out)
-    grouped = with_session(packets, gap).groupBy(*KEYS, "group_id").agg(
+    grouped = with_session(addressed(packets), gap).groupBy(*KEYS, "group_id").agg(
         F.min(t).alias("session_time"), F.sort_array(F.collect_list(t)).alias("session_time_list"), (F.max(t) - F.min(t)).cast("float").alias("session_duration"),
         F.count("ip_src").cast("int").alias("session_tt_packet"), F.count(when_in(F.col("ip_src"))).cast("int").alias("session_i_tt_packet"), F.count(when_out(F.col("ip_src"))).cast("int").alias("session_o_tt_packet"),
         *three("frame_len", ("session_tt_frame_length", "session_i_tt_frame_length", "session_o_tt_frame_length"), "long"),
@@ -102,8 +116,8 @@ def without_crawler(rows: DataFrame, domain: str, isp: str) -> DataFrame:
 
 
 def addressed(packets: DataFrame) -> DataFrame:
-    """Packets with both addresses; the others belong to no conversation."""
-    return packets.where(F.col("ip_src").isNotNull() & F.col("ip_dst").isNotNull())
+    """Packets with both addresses as IPv4; the others (none, or IPv6) belong to no conversation."""
+    return packets.where(ip_to_long(F.col("ip_src")).isNotNull() & ip_to_long(F.col("ip_dst")).isNotNull())
 
 
 def containing(packets: DataFrame, networks: DataFrame, ip: str) -> DataFrame:
@@ -140,37 +154,42 @@ def range_lookup(rows: DataFrame, ranges: DataFrame, ip: str, columns: list[str]
     return rows.join(found, F.col(ip) == F.col("_ip"), "left").drop("_ip")
 
 
-def _file_spans(files: DataFrame) -> DataFrame:
-    """``(start, next)`` of distinct capture files; the last one's ``next`` is null.
-
-    Starts are ordered day by day; only one row for each day that has any is ordered in one task.
-    """
-    starts = files.select(F.col("start").cast("double").alias("start")).where("start is not null").distinct().withColumn("_day", F.floor(F.col("start") / 86400))
-    days = starts.groupBy("_day").agg(F.min("start").alias("_first"))
-    days = days.select("_day", F.lead("_first").over(Window.orderBy("_day")).alias("_later"))
-    within = starts.withColumn("next", F.lead("start").over(Window.partitionBy("_day").orderBy("start")))
-    return within.join(F.broadcast(days), "_day").select("start", F.coalesce("next", "_later").alias("next"))
-
-
 def capture_files(times: DataFrame, files: DataFrame, overlap: float = 1.0) -> DataFrame:
     """``(t, start)``: the files that may hold each time; a file reaches ``overlap`` seconds into the next, the last one as far as times go."""
-    held = times.select("t").withColumn("_b", F.floor(F.col("t") / 86400))
-    latest = held.agg(F.max("_b").alias("_latest"))
-    ends = _file_spans(files).select("start", (F.col("next") + overlap).alias("end")).crossJoin(F.broadcast(latest))
-    first, last = F.floor(F.col("start") / 86400), F.least(F.coalesce(F.floor(F.col("end") / 86400), F.col("_latest")), F.col("_latest"))
-    spread = ends.where(last >= first).withColumn("_b", F.explode(F.sequence(first, last)))
-    return held.join(spread, "_b").where("t > start and t < coalesce(end, double('infinity'))").select("t", "start")
+    return times.select("t").join(asof(times, files, "overlap", overlap), "t")
+
+
+def latest_start(times: DataFrame, files: DataFrame) -> DataFrame:
+    """``(t, start)``: the latest start that isn't after each time; null before the first file and without a time."""
+    return times.join(asof(times, files, "floor"), "t", "left")
 
 
 def nearest_start(times: DataFrame, files: DataFrame) -> DataFrame:
-    """``(t, start)``: the latest start that isn't after each time; null before the first file."""
-    spans = _file_spans(files).where("start is not null")
-    held = times.select("t").distinct().withColumn("_b", F.floor(F.col("t") / 86400))
-    latest = held.agg(F.max("_b").alias("_latest"))
-    first = F.floor(F.col("start") / 86400)
-    wide = spans.crossJoin(F.broadcast(latest)).withColumn("_last", F.least(F.coalesce(F.floor(F.col("next") / 86400), F.col("_latest")), F.col("_latest")))
-    found = held.join(wide.where(F.col("_last") >= first).withColumn("_b", F.explode(F.sequence(first, F.col("_last")))), "_b").where("t >= start and t < coalesce(next, double('infinity'))")
-    return times.join(found.select("t", "start"), "t", "left")
+    """``(t, start, previous)``: the start that is nearest to each time, before or after it, of two the earlier, and the one before that.
+
+    The first start has none before it.
+    """
+    return times.join(asof(times, files, "nearest"), "t", "left")
+
+
+def files_of(spans: DataFrame, files: DataFrame) -> DataFrame:
+    """``(*spans, start)``: the files to read for all packets from ``first`` to ``last``: the latest that begins by then, its predecessor, all that begin until the end."""
+    spans = spans.withColumn("_id", F.struct("first", "last"))
+    ends = spans.select("first", "last").distinct()
+    begun = asof(ends.select(F.col("first").alias("t")), files, "floor")
+    known = begun.select("start").where("start is not null").distinct()
+    back = asof(known.select(F.col("start").alias("t")), files, "nearest").select(F.col("t").alias("start"), "previous")
+    first = ends.join(begun.withColumnRenamed("t", "first"), "first").join(back, "start")
+    both = first.select("first", "last", F.explode(F.array("start", "previous")).alias("start")).where("start is not null")
+    within = _starts_within(ends, files)
+    return spans.join(both.union(within).distinct().withColumn("_id", F.struct("first", "last")).drop("first", "last"), "_id").drop("_id")
+
+
+def _starts_within(ends: DataFrame, files: DataFrame) -> DataFrame:
+    """``(first, last, start)`` of starts after ``first`` and not after ``last``, by hours that both touch."""
+    starts = files.select(F.col("start").cast("double").alias("start")).where("start is not null").distinct().withColumn("_h", F.floor(F.col("start") / 3600))
+    hours = ends.withColumn("_h", F.explode(F.sequence(F.floor(F.col("first") / 3600), F.floor(F.col("last") / 3600))))
+    return hours.join(starts, "_h").where("start > first and start <= last").select("first", "last", "start")
 
 
 def path_parts(path: Column) -> list[Column]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlark.functions import lists as L
 from flowlark.functions.net import cidr_range, common_prefix, hex_text, ip_to_long
+from flowlark.operators import ranges as R
 from flowlark.operators import sessions as S
 from flowlark.sources.packets import PACKETS_SQL, from_events
 
@@ -146,6 +147,30 @@ def geo_positions(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("place", "lat", "lon").agg(F.count("*").alias("addresses"))
 
 
+def geo_databases(spark: SparkSession, d: str) -> DataFrame:
+    """Packets by country, domain and provider of their source, from three tables of ranges that nest and overlap.
+
+    Nations have ranges of 64 addresses; suppliers of 1 to 40 anywhere among them; regions wide ones, each inside the one before.
+    """
+    base, top = 167772160, 167772160 + 1600
+    nations = spark.read.parquet(f"{d}/nation.parquet").select((F.lit(base) + F.col("n_nationkey").cast("long") * 64).alias("lo"), F.col("n_name").alias("country"))
+    suppliers = spark.read.parquet(f"{d}/supplier.parquet").select((F.lit(base) + F.pmod(F.col("s_suppkey") * 37, F.lit(1500))).cast("long").alias("lo"), "s_suppkey", F.col("s_name").alias("domain"))
+    regions = spark.read.parquet(f"{d}/region.parquet").select((F.lit(base) + F.col("r_regionkey").cast("long") * 100).alias("lo"), (F.lit(top) - F.col("r_regionkey").cast("long") * 150).alias("hi"), F.col("r_name").alias("provider"))
+    cut = R.elementary([
+        (nations.select("lo", (F.col("lo") + 63).alias("hi"), "country"), ["country"]),
+        (suppliers.select("lo", (F.col("lo") + F.pmod("s_suppkey", F.lit(40))).alias("hi"), "domain"), ["domain"]), (regions, ["provider"]),
+    ])
+    found = R.located(packets(spark, d).drop("country", "domain"), cut, "ip_src", ["country", "domain", "provider"])
+    return found.groupBy("country", "domain", "provider").agg(F.count("*").alias("packets"), F.countDistinct("ip_src").alias("addresses"))
+
+
+def _innermost(name: str, table: str, lo: str, hi: str) -> str:
+    """The answer of one table for each address: the range that begins last, of those the shortest, of those the least name."""
+    return f"(SELECT ip_src, arg_min(v, struct_pack(a := -lo, b := hi, c := v)) AS {name} FROM a JOIN (SELECT {lo} AS lo, {hi} AS hi, {table[0]}_name AS v FROM {table}) ON n BETWEEN lo AND hi GROUP BY 1)"
+
+
+_DATABASES_SQL = f"WITH {PACKETS_SQL}, a AS (SELECT DISTINCT ip_src, {_S} AS n FROM packets), q AS (SELECT p.ip_src, c.country AS country, s.domain AS domain, r.provider FROM packets p LEFT JOIN {_innermost('country', 'nation', '167772160 + CAST(n_nationkey AS BIGINT) * 64', '167772160 + CAST(n_nationkey AS BIGINT) * 64 + 63')} c USING (ip_src) LEFT JOIN {_innermost('domain', 'supplier', '167772160 + s_suppkey * 37 % 1500', '167772160 + s_suppkey * 37 % 1500 + s_suppkey % 40')} s USING (ip_src) LEFT JOIN {_innermost('provider', 'region', '167772160 + CAST(r_regionkey AS BIGINT) * 100', '167773760 - CAST(r_regionkey AS BIGINT) * 150')} r USING (ip_src)) SELECT country, domain, provider, count(*) AS packets, count(DISTINCT ip_src) AS addresses FROM q GROUP BY 1, 2, 3"
+
 _GEO_SQL = f"WITH {PACKETS_SQL}, r AS (SELECT 167772160 + CAST(n_nationkey AS BIGINT) * 64 AS lo, n_name AS place FROM nation) SELECT place, count(*) AS n, count(DISTINCT ip_src) AS addresses FROM packets LEFT JOIN r ON {_S} BETWEEN lo AND lo + 63 GROUP BY place"
 
 
@@ -237,11 +262,30 @@ def times_scan(spark: SparkSession, d: str) -> DataFrame:
     return S.at_times(p, p.where(F.col("frame_protocols").endswith("data")).select(F.col("frame_time_epoch").alias("t"))).groupBy("ip_proto", "frame_protocols").agg(F.count("*").alias("packets"))
 
 
+def _first_packets(packets: DataFrame) -> DataFrame:
+    """A capture file begins with each country's first packet."""
+    return packets.groupBy("country").agg(F.min("frame_time_epoch").alias("start")).select("start")
+
+
+def latest_file(spark: SparkSession, d: str) -> DataFrame:
+    """Packets by the latest capture file that starts with or before them."""
+    p = packets(spark, d)
+    return S.latest_start(p.select(F.col("frame_time_epoch").alias("t")), _first_packets(p)).groupBy("start").agg(F.count("*").alias("packets"))
+
+
 def nearest_file(spark: SparkSession, d: str) -> DataFrame:
-    """Packets by the latest capture file that starts with or before them; there is a file for each user's first packet in the data."""
+    """Packets by the capture file that starts nearest to them, before or after, and the file before that."""
+    p = packets(spark, d)
+    files = p.where("event_id % 500 = 7").select(F.floor("frame_time_epoch").cast("double").alias("start"))
+    return S.nearest_start(p.select(F.col("frame_time_epoch").alias("t")), files).groupBy("start", "previous").agg(F.count("*").alias("packets"))
+
+
+def session_files(spark: SparkSession, d: str) -> DataFrame:
+    """Capture files to read for each session of six hours' gap: the one it begins in, that before, and all that begin until it ends."""
     p = packets(spark, d)
-    files = p.groupBy("country").agg(F.min("frame_time_epoch").alias("start")).select("start")
-    return S.nearest_start(p.select(F.col("frame_time_epoch").alias("t")), files).groupBy("start").agg(F.count("*").alias("packets"))
+    files = p.select((F.floor(F.col("frame_time_epoch") / 7200) * 7200).cast("double").alias("start")).distinct()
+    spans = S.with_session(p, GAP).groupBy(*S.KEYS, "group_id").agg(F.min("frame_time_epoch").alias("first"), F.max("frame_time_epoch").alias("last"))
+    return S.files_of(spans, files).groupBy("start").agg(F.count("*").alias("sessions"))
 
 
 def path_fields(spark: SparkSession, d: str) -> DataFrame:
@@ -297,7 +341,9 @@ FOUND = {
     "addressed_packets": (addressed_packets, f"WITH {PACKETS_SQL} SELECT ip_proto, count(*) AS packets, CAST(sum(frame_len) AS BIGINT) AS bytes FROM packets WHERE frame_len >= 28 GROUP BY 1"),
     "trap_direction": (trap_direction, f"WITH {PACKETS_SQL.replace('packets AS (', 'plain AS (', 1)}, packets AS (SELECT * REPLACE (NOT (({_D}) BETWEEN 3232235520 AND 3232235521 OR ({_D}) BETWEEN 167772416 AND 167772671) AS isout) FROM plain), " + _SESSION_SQL.format(gap=GAP).split(", keyed AS", 1)[1].join(["keyed AS", ""]) + f", s AS (SELECT ip_proto, count(*) AS n, count(*) FILTER (NOT isout) AS i, count(*) FILTER (isout) AS o FROM marked {_BY}) SELECT ip_proto, CAST(sum(n) AS BIGINT) AS packets, CAST(sum(i) AS BIGINT) AS inbound, CAST(sum(o) AS BIGINT) AS outbound, count(*) AS sessions FROM s GROUP BY 1"),
     "times_scan": (times_scan, f"WITH {PACKETS_SQL} SELECT ip_proto, path AS frame_protocols, count(*) AS packets FROM packets WHERE t IN (SELECT t FROM packets WHERE ends_with(path, 'data')) GROUP BY 1, 2"),
-    "nearest_file": (nearest_file, f"WITH {PACKETS_SQL}, f AS (SELECT DISTINCT min(t) AS start FROM packets GROUP BY country) SELECT start, count(*) AS packets FROM packets ASOF LEFT JOIN f ON t >= start GROUP BY 1"),
+    "latest_file": (latest_file, f"WITH {PACKETS_SQL}, f AS (SELECT DISTINCT min(t) AS start FROM packets GROUP BY country) SELECT start, count(*) AS packets FROM packets ASOF LEFT JOIN f ON t >= start GROUP BY 1"),
+    "nearest_file": (nearest_file, f"WITH {PACKETS_SQL}, f AS (SELECT DISTINCT floor(t) AS start FROM packets WHERE event_id % 500 = 7), o AS (SELECT start, lag(start) OVER (ORDER BY start) AS previous FROM f), b AS (SELECT event_id, t, o.start AS s1, o.previous AS p1 FROM packets ASOF LEFT JOIN o ON t >= o.start), a AS (SELECT b.*, o.start AS s2, o.previous AS p2 FROM b ASOF LEFT JOIN o ON b.t <= o.start), n AS (SELECT *, s1 IS NULL OR (s2 IS NOT NULL AND s2 - t < t - s1) AS later FROM a) SELECT CASE WHEN later THEN s2 ELSE s1 END AS start, CASE WHEN later THEN p2 ELSE p1 END AS previous, count(*) AS packets FROM n GROUP BY 1, 2"),
+    "session_files": (session_files, _SESSION_SQL.format(gap=GAP) + f", s AS (SELECT row_number() OVER () AS id, min(t) AS a, max(t) AS b FROM marked {_BY}), f AS (SELECT DISTINCT CAST(floor(t / 7200) * 7200 AS DOUBLE) AS start FROM packets), o AS (SELECT start, lag(start) OVER (ORDER BY start) AS previous FROM f), x AS (SELECT id, o.start, previous FROM s ASOF JOIN o ON s.a >= o.start), r AS (SELECT id, start FROM x UNION SELECT id, previous FROM x WHERE previous IS NOT NULL UNION SELECT id, start FROM s JOIN f ON start > a AND start <= b) SELECT start, count(*) AS sessions FROM r GROUP BY 1"),
     "path_fields": (path_fields, "SELECT page_id, string_split(url, '/')[-3] AS date, string_split(url, '/')[-2] AS isp, string_split(url, '/')[-1] AS file FROM pages"),
     "session_icmp": (session_icmp, _ICMP_SQL),
     "role_positions": (role_positions, _ROLES_SQL),
@@ -315,6 +361,7 @@ FOUND = {
     "ip_to_long": (ip_long, f"WITH {PACKETS_SQL} SELECT ip_src, {_S} AS number, count(*) AS n FROM packets GROUP BY 1, 2"),
     "cidr_inbound": (cidr_inbound, f"WITH {PACKETS_SQL} SELECT ({_D}) BETWEEN 3232235520 AND 3232235523 OR ({_D}) BETWEEN 167772416 AND 167772671 AS inside, isout AS \"isOutbound\", count(*) AS n FROM packets GROUP BY 1, 2"),
     "geo_range_join": (geo_range_join, _GEO_SQL),
+    "geo_databases": (geo_databases, _DATABASES_SQL),
     "geo_positions": (geo_positions, f"WITH {PACKETS_SQL}, a AS (SELECT DISTINCT ip_src FROM packets), r AS (SELECT 167772160 + CAST(n_nationkey AS BIGINT) * 64 AS lo, n_name AS place FROM nation) SELECT place, CAST(lo % 160 - 80 AS DOUBLE) AS lat, CAST(lo % 350 - 175 AS DOUBLE) AS lon, count(*) AS addresses FROM a LEFT JOIN r ON {_S} BETWEEN lo AND lo + 63 GROUP BY 1, 2, 3"),
     "file_range_join": (file_range_join, _FILE_SQL),
     "lcp_protocols": (lcp_protocols, _LCP_SQL),

@@ -24,8 +24,8 @@ def test_the_last_file_reaches_as_far_as_times_go(spark):
     ends = {0.0: 51.0, 50.0: 3 * DAY + 1, 3 * DAY: float("inf")}
     want = sorted((x, s) for x in times if x is not None for s, e in ends.items() if s < x < e)
     assert sorted(map(tuple, S.capture_files(t, f).collect())) == want and (4000 * DAY, 3 * DAY) in want
-    nearest = {r.t: r.start for r in S.nearest_start(t, f).collect()}
-    assert nearest == {x: None if x is None else max((s for s in ends if s <= x), default=None) for x in times}
+    latest = {r.t: r.start for r in S.latest_start(t, f).collect()}
+    assert latest == {x: None if x is None else max((s for s in ends if s <= x), default=None) for x in times}
     assert S.capture_files(t, f.where("start > 1e12")).count() == 0 and S.capture_files(t.where("t is null"), f).count() == 0
 
 
