@@ -15,6 +15,7 @@ def ip_to_long(ip: Column) -> Column:
 def cidr_range(cidr: Column) -> tuple[Column, Column]:
     """First and last address of ``a.b.c.d/n``; null if it isn't one."""
     base, bits = ip_to_long(F.try_element_at(F.split(cidr, "/"), F.lit(1))), F.try_element_at(F.split(cidr, "/"), F.lit(2)).try_cast("int")
+    bits = F.when(bits.between(0, 32), bits)
     size = F.pow(F.lit(2), F.lit(32) - bits).cast("long")
     first = base - F.pmod(base, size)
     return first, first + size - 1

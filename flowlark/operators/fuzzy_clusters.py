@@ -104,17 +104,18 @@ def _sum_of(*columns: str) -> list:
 _SUMS = ["_n", "_s1", "_s2"]
 
 
-def _common_grams(nodes: DataFrame) -> DataFrame:
-    """``(a, b)``: for each of ``nodes(part, node, hash)`` what it has in common with others that it scores with.
+def _common_grams(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(a, b)``: for each of ``nodes(part, node, hash)`` what it has in common with others that it scores with; and a table to forget.
 
     Two hashes score more than 0 exactly if they are equal once shortened or share seven characters at one block size.  Runs of
     characters that the same hashes share are one node, and those of a single hash none.
     """
-    of = nodes.select("part", "node", F.explode(grams(F.col("hash"))).alias("gram"))
+    of = kept(nodes.select("part", "node", F.explode(grams(F.col("hash"))).alias("gram")))
     classes = of.groupBy("part", "gram").agg(*_sum_of("node")).where("_n > 1")
     first = classes.groupBy("part", *_SUMS).agg(F.min("gram").alias("gram"))
     several = of.join(first.select("part", "gram"), ["part", "gram"]).select(F.col("node").alias("a"), F.struct("part", "gram").alias("b"))
-    return several.unionByName(nodes.select(F.col("node").alias("a"), F.struct("part", F.concat(F.lit("="), shortened(F.col("hash"))).alias("gram")).alias("b")))
+    equal = nodes.select(F.col("node").alias("a"), F.struct("part", F.concat(F.lit("="), shortened(F.col("hash"))).alias("gram")).alias("b"))
+    return several.unionByName(equal), of
 
 
 def _graph(payloads: DataFrame, threshold: float) -> tuple[_Graph, DataFrame]:
@@ -135,7 +136,9 @@ def _graph(payloads: DataFrame, threshold: float) -> tuple[_Graph, DataFrame]:
     owns = kept(rows_of_two.select("part", "idx", "hash").distinct().join(nodes, ["part", "hash"]).select("part", "idx", "node"))
     if threshold <= 0:
         asks = kept(asked.select("part", "idx", "hash").distinct().join(nodes, ["part", "hash"]).select(F.struct("part", "idx").alias("a"), F.col("node").alias("b")))
-        common = kept(_common_grams(nodes))
+        common, of = _common_grams(nodes)
+        common = kept(common)
+        forget(of)
         steps = [asks, common, common.select(F.col("b").alias("a"), F.col("a").alias("b"))]
     else:
         # Sessions with the same probes find the same payloads: each such profile, named after its first session, is a node.
@@ -160,28 +163,31 @@ def leader_clusters(payloads: DataFrame, threshold: float = 0.0) -> DataFrame:
     sessions find each other; no part is ever held in one task.
     """
     graph, stands = _graph(payloads, threshold)
-    live = kept(stands.where("idx = as_idx").select("part", "idx", F.lit(True).alias("asks")))
-    taken, size = [], None
-    while (now := live.count()) and not live.where("asks").isEmpty():
-        if size is None or now * 2 < size:
+    live = stands.where("idx = as_idx").select("part", "idx", F.lit(True).alias("asks"))
+    rounds, size = [], None
+    while True:
+        now, asking = live.agg(F.count("*"), F.coalesce(F.max("asks"), F.lit(False))).first()
+        if not asking:
+            break
+        if size is None or now * 4 < size:
             graph = graph.only(live) if size else graph
             size = now
         touched = graph.found(live.where("asks").select(F.struct("part", "idx").alias("a"), F.col("idx").alias("v")))
-        own = F.when(F.col("asks"), F.col("idx"))
-        first = kept(live.join(touched, ["part", "idx"], "left").select("part", "idx", "asks", F.least("v", own).alias("v")).where("v is not null"))
+        first = live.join(touched, ["part", "idx"], "left").select("part", "idx", "asks", F.least("v", F.when(F.col("asks"), F.col("idx"))).alias("v"))
+        first = kept(first.where("v is not null"))  # whoever nobody can touch any more stays alone
         answers = graph.back(first.select("part", "idx", "v")).select("a.part", "a.idx", F.col("v").alias("least"))
-        turn = kept(first.where("asks and v = idx").join(answers, ["part", "idx"], "left").where("least is null or least >= idx").select("part", F.col("idx").alias("leader")))
-        joined = kept(first.where("v <> idx").join(turn.withColumnRenamed("leader", "v"), ["part", "v"]).select("part", "idx", F.col("v").alias("leader")))
-        heads = joined.select("part", F.col("leader").alias("idx"), "leader").distinct()
-        placed = kept(joined.unionByName(heads))
-        taken.append(placed)
-        left = first.join(placed, ["part", "idx"], "left_anti").join(turn.select("part", F.col("leader").alias("idx"), F.lit(True).alias("had")), ["part", "idx"], "left")
-        old, live = live, kept(left.select("part", "idx", (F.col("asks") & F.col("had").isNull()).alias("asks")))
-        forget(old, first, turn, joined)
-    forget(live, *graph.steps, graph.owns)
-    if not taken:
+        turn = first.where("asks and v = idx").join(answers, ["part", "idx"], "left").where("least is null or least >= idx").select("part", F.col("idx").alias("v"), F.lit(True).alias("turn"))
+        told = first.join(turn, ["part", "v"], "left").withColumn("leader", F.when(F.col("turn") & (F.col("v") != F.col("idx")), F.col("v")))
+        heads = told.where("leader is not null").select("part", F.col("leader").alias("idx"), F.col("leader").alias("own")).distinct()
+        told = told.join(heads, ["part", "idx"], "left")
+        asks = F.col("asks") & ~(F.coalesce("turn", F.lit(False)) & (F.col("v") == F.col("idx")))
+        rounds.append(kept(told.select("part", "idx", asks.alias("asks"), F.coalesce("leader", "own").alias("leader"))))
+        forget(first)
+        live = rounds[-1].where("leader is null").select("part", "idx", "asks")
+    forget(*graph.steps, graph.owns)
+    if not rounds:
         return stands.select("part", "idx", F.lit(None).cast(stands.schema["idx"].dataType).alias("leader"))
-    clusters = kept_together(taken).withColumnRenamed("idx", "as_idx")
+    clusters = kept_together(rounds).where("leader is not null").select("part", F.col("idx").alias("as_idx"), "leader")
     return stands.join(clusters, ["part", "as_idx"], "left").select("part", "idx", "leader")
 
 

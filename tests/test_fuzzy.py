@@ -186,3 +186,142 @@ def test_xml_file_round_trip(spark, tmp_path):
     report.write_group_xml(rows.coalesce(1), str(tmp_path / "out"))
     got = {r.group_id: r for r in report.read_group_xml(spark, str(tmp_path / "out")).collect()}
     assert got["g"].src_ip == ["1", "2"] and got["g"].group_country == ["B & C"] and got["h"].cluster_id == ["y"] and got["g"].number_of_clusters == 1
+
+
+def test_places_are_counted_without_rows_that_have_no_hash(spark):
+    """A session whose only hash stands behind rows without one leads, and is a named loner where it finds nobody."""
+    r = random.Random(8)
+    h, other = (hash_bytes(bytes(r.choices(b"abcdefgh ", k=3000))) for _ in range(2))
+    rows = [("p", 1, 0, None), ("p", 1, 1, None), ("p", 1, 2, h), ("p", 2, 0, h), ("p", 3, 0, None), ("p", 3, 5, other)]
+    payloads = spark.createDataFrame(rows, "part string, idx long, pos int, hash string")
+    found = C.leader_clusters(payloads)
+    assert {x.idx: x.leader for x in found.collect()} == {1: 1, 2: 1, 3: None}
+    sessions = payloads.selectExpr("part", "idx", "'x' as proto", "'d' as date", "'c' as country", "'m' as domain", "'1.1.1.1' as ip_src").distinct()
+    heads = C.representatives(found, payloads, sessions, spark.createDataFrame([], "part string, limit long")).collect()
+    assert {(x.idx, x.kind, x.hash) for x in heads} == {(1, "", h), (3, "L", other)}
+
+
+def test_very_many_sessions_of_one_payload(spark):
+    """Rows of every table grow with the payloads, not with their pairs."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    hot, near, far = bytes(r.choices(b"abcdefgh ", k=3000)), None, bytes(r.choices(b"xyz12345 ", k=3000))
+    near = hot[:2500] + b"something else"
+    n = 100_000
+    hashes = {0: hash_bytes(hot), 1: hash_bytes(near), 2: hash_bytes(far)}
+    of = F.when(F.col("id") % 1000 == 999, hashes[2]).when(F.col("id") % 100 == 1, hashes[1]).otherwise(hashes[0])
+    payloads = spark.range(n).select(F.lit("p").alias("part"), F.col("id").alias("idx"), F.lit(0).alias("pos"), of.alias("hash"))
+    got = {(x.leader, x["count"]) for x in C.leader_clusters(payloads).groupBy("leader").count().collect()}
+    assert got == {(0, n - n // 1000), (999, n // 1000)}
+    tree = C.average_linkage(payloads.select("part", "idx", "hash"))
+    assert tree.where("distance = 0").count() == n - 3 and tree.where("distance > 0").count() == 1
+
+
+def test_hashes_that_share_one_run_of_characters(spark):
+    """Thousands of unlike hashes with seven characters in common find each other through these."""
+    r = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    hashes = ["96:" + "".join(r.choices(letters, k=20)) + "hotgram" + "".join(r.choices(letters, k=20)) + ":" + "".join(r.choices(letters, k=10)) for _ in range(5000)]
+    assert compare_hashes(hashes[0], hashes[1]) > 0
+    payloads = spark.createDataFrame([("p", i, 0, h) for i, h in enumerate(hashes)], "part string, idx long, pos int, hash string")
+    assert {x.leader for x in C.leader_clusters(payloads).collect()} == {0}
+
+
+@pytest.mark.parametrize("threshold", [0.0, 30.0])
+def test_sessions_with_the_same_payloads(spark, threshold):
+    """Several sessions of each list of payloads, also of lists that don't find themselves above the threshold."""
+    r = random.Random(int(threshold) + 11)
+    lists = [[h for _, i, _, h in sorted(rows(12, 21)) if i == n] for n in range(12)]
+    lists += [[hash_bytes(bytes(r.choices(range(256), k=2500))) for _ in range(4)] for _ in range(3)]
+    payloads = [("p", idx, pos, h) for idx in range(50) for pos, h in enumerate(r.choice(lists))]
+    got = {(x.part, x.idx): x.leader for x in C.leader_clusters(spark.createDataFrame(payloads, "part string, idx long, pos int, hash string"), threshold).collect()}
+    assert got == brute_clusters(payloads, threshold)
+
+
+def fold_days(clusters, middle, order):
+    """Trends of one protocol as the definition tells them: a dictionary of hash lists, brought on day by day."""
+    hashes, placed = {}, {}
+    for day in sorted({d for d, _ in clusters}):
+        before, new = {k: list(v) for k, v in hashes.items()}, {}
+        todays = sorted(((leader, members) for (d, leader), members in clusters.items() if d == day), key=lambda x: (-len(x[1]), x[0]))
+        for leader, members in todays:
+            own = [middle[leader], middle[order(members)[-1]], middle[max(members)]]
+            score = {k: max(compare_hashes(middle[leader], h) for h in v) for k, v in before.items()}
+            best = max(score.values(), default=0)
+            if best < 1:
+                new[f"{day}_{leader}"] = own
+                placed[day, leader] = f"{day}_{leader}"
+            else:
+                first = next(k for k in score if score[k] == best)
+                hashes[first] = hashes[first] + own
+                placed[day, leader] = first
+        hashes.update(new)
+    return placed
+
+
+def trend_rows(seed, days=("20200106", "20200107", "20200108", "20200109")):
+    """Clusters of sessions over days, made so that trends drift, part and tie; ``place`` is an order of members other than idx."""
+    r = random.Random(seed)
+    words = [str(r.random()) for _ in range(400)]
+    payloads, members = [], []
+    for day in days:
+        for c in range(7):
+            leader = 1000 * int(day[-1]) + 20 * c
+            begin = r.choice([0, 40, 80, 120, 160, 200])
+            size = r.choice([1, 2, 2, 4])
+            places = r.sample(range(50), size)
+            for i in range(size + 1):
+                text = " ".join(words[begin + r.choice([0, 0, 30]) :][:120])
+                payloads.append((("x", day), leader + i, 0, hash_bytes(text.encode())))
+                members.append((("x", day), leader + i, leader, None if i == 0 else places[i - 1]))
+    return payloads, members
+
+
+PART = "part struct<proto: string, date: string>"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_trends_as_a_dictionary_of_lists(spark, seed):
+    payloads, members = trend_rows(seed)
+    middle = {idx: h for _, idx, _, h in payloads}
+    clusters, place = defaultdict(list), {}
+    for (_, day), idx, leader, p in members:
+        if idx != leader:
+            clusters[day, leader].append(idx)
+            place[idx] = p
+    p = spark.createDataFrame(payloads, f"{PART}, idx long, pos int, hash string")
+    c = spark.createDataFrame(members, f"{PART}, idx long, leader long, place int")
+    days = sorted({d for d, _ in clusters})
+    got = {(x.date, x.leader): x.trend for x in T.trends(c, p, days).collect()}
+    assert got == fold_days(clusters, middle, lambda m: sorted(m, key=place.get)) and len(set(got.values())) < len(got)
+    assert {(x.date, x.leader): x.trend for x in T.trends(c.drop("place"), p, days).collect()} == fold_days(clusters, middle, sorted)
+
+
+def test_trends_as_a_stream_of_days(spark, tmp_path):
+    """Stopped between days, days that come again, a day in two parts and late ones end like all days at once."""
+    payloads, members = trend_rows(7)
+    p, c = spark.createDataFrame(payloads, f"{PART}, idx long, pos int, hash string"), spark.createDataFrame(members, f"{PART}, idx long, leader long, place int")
+    heads = T.trend_heads(c, p).cache()
+    days = sorted(r.date for r in heads.select("date").distinct().collect())
+    want = {tuple(x) for x in T.trends(c, p, days).collect()}
+    got = lambda: {tuple(x) for x in T.stored_trends(spark, f"{tmp_path}/state").collect()}
+
+    def arrive(df):
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/heads")
+        source = spark.readStream.schema(heads.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/heads")
+        T.follow(source, f"{tmp_path}/state", f"{tmp_path}/checkpoint").awaitTermination()
+
+    arrive(heads.where(f"date = '{days[0]}'"))
+    assert got() == {x for x in want if x[1] == days[0]}
+    arrive(heads.where(f"date = '{days[2]}' and leader % 40 = 0"))
+    arrive(heads.where(f"date = '{days[2]}' and leader % 40 <> 0"))
+    arrive(heads.where(f"date = '{days[1]}'"))  # late: the third day is placed anew
+    assert got() == {x for x in want if x[1] < days[3]}
+    arrive(heads.where(f"date = '{days[3]}'"))
+    arrive(heads.where(f"date = '{days[1]}'"))  # again
+    assert got() == want
+    last = spark.read.parquet(f"{tmp_path}/state/heads").selectExpr("max(version)").first()[0]
+    T.fold(heads.where(f"date = '{days[1]}'"), last, f"{tmp_path}/state")  # the last batch once more, as after a failure
+    T.fold(heads.limit(0), last + 1, f"{tmp_path}/state")
+    assert got() == want
