@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .scratch import partitions, saved, small_batches, swept
+from .scratch import partitions, saved, small_batches
 from .sketch import frequency_classes, order_keys
 
 #: Words in an anchor; a window is indexed under the rarest anchor that it holds.
@@ -22,6 +22,11 @@ FLUSH_BYTES = 4 << 20
 #: Words handled at once of what comes to a task: bounds its memory.
 PART_WORDS = 1 << 18
 
+#: Bytes of rows that a task packs at once when texts move to their factors, how hard it packs them, and parts for each shuffle partition.
+MOVE_BYTES, MOVE_LEVEL, PARTS_EACH = 32 << 20, 6, 4
+#: How hard runs are packed.
+DEALT_LEVEL = 6
+
 #: ``row`` sets apart texts that share a doc_id.
 _FACTORS = "doc_id long, row long, start int, many int, source_id long, source_start int"
 _FACTOR_NAMES = [x.split()[0] for x in _FACTORS.split(", ")]
@@ -65,7 +70,7 @@ def _pack(arrays: list[np.ndarray]) -> bytes:
     for x in arrays:
         raw = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T
         parts += [f"{x.dtype.str} {len(x)}\n".encode(), raw.tobytes()]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=DEALT_LEVEL).compress(b"".join(parts))
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
@@ -377,21 +382,54 @@ def duplicate_factors(docs: DataFrame, window: int = 20) -> DataFrame:
     return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_factors(window), _FACTORS)
 
 
-def _cut(window: int, schema: list[str]):
-    """Words covered by a factor leave; the rest are joined by one space."""
+def _deal_rows(columns: list[str]):
+    """Rows of a task, packed together for each part that they go to, so that texts move compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            texts, marks = batch.column("text"), batch.column("_factors")
-            flat = marks.flatten()
-            start, many = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-            edge = np.append(0, np.cumsum(pa.compute.list_value_length(marks).fill_null(0).to_numpy(zero_copy_only=False)))
-            kept, total, gone = [], [], []
-            for i in range(len(batch)):
+            held.append(batch)
+            size += batch.nbytes
+            if size >= MOVE_BYTES:
+                yield from pack(held)
+                held, size = [], 0
+        if held:
+            yield from pack(held)
+
+    def pack(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        part = rows["_part"].to_numpy()
+        order = np.argsort(part, kind="stable")
+        edge = tk.runs(part[order])
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            sink = pa.BufferOutputStream()
+            some = rows.select(columns).take(pa.array(order[lo:hi])).combine_chunks()
+            with pa.ipc.new_stream(sink, some.schema) as writer:
+                writer.write_table(some)
+            blob = zstandard.ZstdCompressor(level=MOVE_LEVEL).compress(sink.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([part[order[lo]]], pa.int32()), pa.array([blob], pa.binary())], names=["_part", "_rows"])
+
+    return run
+
+
+def _cut(window: int, schema: list[str]):
+    """Words covered by a factor leave; the rest are joined by one space."""
+
+    def run(packed: pa.Table, factors: pa.Table) -> pa.Table:
+        doc, row, start, many = (factors[c].to_numpy() for c in ("_doc", "_row", "start", "many"))
+        order = np.lexsort((start, row, doc))
+        doc, row, start, many = (x[order] for x in (doc, row, start, many))
+        edge = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(row) != 0))) if len(doc) else np.zeros(0, np.int64)
+        of = {(doc[a], row[a]): slice(a, b) for a, b in zip(edge.tolist(), np.append(edge, len(doc))[1:].tolist(), strict=True)}
+        out = []
+        for blob in packed["_rows"]:
+            rows = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob.as_py())).read_all().combine_chunks()
+            texts, kept, total, gone = rows["text"].combine_chunks(), [], [], []
+            for i, at in enumerate(zip(rows["_doc"].to_pylist(), rows["_row"].to_pylist(), strict=True)):
                 words = texts[i].as_buffer().to_pybytes().split() if texts[i].is_valid else []
                 total.append(len(words))
-                s, m = start[edge[i] : edge[i + 1]], many[edge[i] : edge[i + 1]]
-                if len(s):
+                if at in of:
+                    s, m = start[of[at]], many[of[at]]
                     step = np.zeros(len(words) + 1, np.int32)
                     np.add.at(step, s, 1)
                     np.add.at(step, s + m + window - 1, -1)
@@ -400,7 +438,8 @@ def _cut(window: int, schema: list[str]):
                 gone.append(total[-1] - len(words))
                 kept.append(b" ".join(words))
             new = {"kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64())}
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in schema], names=schema)
+            out.append(pa.table([new[c] if c in new else rows[c] for c in schema], names=schema))
+        return pa.concat_tables(out)  # every factor has its text, so a part is never without rows
 
     return run
 
@@ -419,10 +458,11 @@ def remove_duplicate_spans(docs: DataFrame, window: int = 20, columns: list[str]
     """
     columns = [c for c in columns or ["doc_id"] if c not in ("kept_text", "n_words", "n_removed")]
     factors = saved(duplicate_factors(docs, window).select("doc_id", "row", "start", "many"), "factors")
-    swept(docs.sparkSession)  # what was dealt is no longer needed when texts move
-    marks = factors.groupBy(F.col("doc_id").alias("_of"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "many")).alias("_factors"))
-    base = docs.where("doc_id is not null").select(*dict.fromkeys([*columns, "doc_id", "text"]))
-    joined = base.join(marks, (F.col("doc_id") == F.col("_of")) & (F.xxhash64("text") == F.col("_row")), "left").drop("_of", "_row")
+    parts = PARTS_EACH * partitions(docs.sparkSession)
+    part = lambda doc, row: F.pmod(F.xxhash64(doc, row), F.lit(parts)).cast("int").alias("_part")
+    marks = factors.select(part("doc_id", "row"), F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "start", "many")
+    base = docs.where("doc_id is not null").select(*dict.fromkeys([*columns, "text"]), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_row"))
+    packed = base.select("*", part("_doc", "_row")).mapInArrow(_deal_rows(base.columns), "_part int, _rows binary")
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name in columns] + ["kept_text string", "n_words long", "n_removed long"]
     names = [f.name for f in base.schema if f.name in columns] + ["kept_text", "n_words", "n_removed"]
-    return joined.mapInArrow(_cut(window, names), ", ".join(schema))
+    return packed.groupBy("_part").cogroup(marks.groupBy("_part")).applyInArrow(_cut(window, names), ", ".join(schema))
