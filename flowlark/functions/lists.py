@@ -42,3 +42,12 @@ def sorted_payloads(items: Column, by: str = "size", legacy: bool = True) -> Col
 
     numbered = F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
     return F.transform(F.array_sort(numbered), lambda y: y["x"])
+
+
+def any_begins(payloads: Column, marker: str) -> Column:
+    """Whether the first line of any payload (bytes or text) holds the marker; false for null, empty lists and null payloads.
+
+    That is how a pattern ``.*marker`` matches from a payload's start: its dot stops at the end of the line.
+    """
+    pattern = r"^[^\n]*" + "".join(f"\\x{{{ord(c):x}}}" for c in marker)
+    return F.coalesce(F.exists(payloads, lambda p: F.coalesce(F.decode(p.cast("binary"), "ISO-8859-1").rlike(pattern), F.lit(False))), F.lit(False))

@@ -47,8 +47,10 @@ def size_histograms(rolled: DataFrame) -> DataFrame:
 def statistics(found: DataFrame) -> DataFrame:
     """One row per group of ``sessions_of``: distinct countries, protocols and clusters in order, how many, sessions, and the country of most addresses (ties by name).
 
-    Sets hold what is distinct: countries, protocols and behaviours are few beside sessions and addresses, which are counted.
+    An unknown country is one called None, in the set, the numbers and as the main one.  Sets hold what is distinct: countries, protocols and
+    behaviours are few beside sessions and addresses, which are counted.
     """
+    found = found.withColumn("country", F.coalesce("country", F.lit("None")))
     sets = [F.array_sort(F.collect_set(c)).alias(f"{n}_set") for c, n in (("country", "country"), ("proto", "proto"), ("cluster", "cluster"))]
     one = found.groupBy("leader").agg(F.count("*").alias("sessions"), F.countDistinct("ip").alias("ip_num"), *sets)
     sized = one.select("*", *(F.size(f"{n}_set").cast("long").alias(f"unique_{m}_num") for n, m in (("country", "country"), ("proto", "protocols"), ("cluster", "cluster"))))
@@ -57,6 +59,68 @@ def statistics(found: DataFrame) -> DataFrame:
     return sized.join(main, "leader", "left")
 
 
+def shares(found: DataFrame, column: str) -> DataFrame:
+    """``(leader, value, n, portion)``: addresses of each country, or sessions of any other column, in each group, and their share of the group's.
+
+    Null values are one called None.  What the reference figures keep in a map for each group are rows here.
+    """
+    rows = found.select("leader", "ip", F.coalesce(F.col(column).cast("string"), F.lit("None")).alias("value"))
+    counted = (rows.distinct() if column == "country" else rows).groupBy("leader", "value").agg(F.count("*").alias("n"))
+    return counted.withColumn("portion", F.col("n") / F.sum("n").over(Window.partitionBy("leader")))
+
+
+def in_parts(rows: DataFrame, keys: list[str], name: str, value: str, most: int = 100_000) -> DataFrame:
+    """``(*keys, part, entries)``: maps from ``name`` to its list of ``value`` for each key, in numbered parts of at most ``most`` values.
+
+    All values of a name are in one part as far as they fit; lists are in order.  A part is made of some names by their hash, names with more values than
+    fit are dealt by name and value, so no part waits for a whole group.  Rows with a null name are left out, as maps can't hold them; null values stay.
+    """
+    known = rows.where(F.col(name).isNotNull()).select(*keys, name, value)
+    by_name = known.groupBy(*keys, name).agg(F.count("*").alias("_of_name"))
+    totals = by_name.groupBy(*keys).agg(F.sum("_of_name").alias("_of_key"))
+    same = lambda left, columns: [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns]
+    found = known.alias("l").join(by_name.alias("r"), same("l", [*keys, name])).select("l.*", "r._of_name")
+    found = found.alias("l").join(totals.alias("r"), same("l", keys)).select("l.*", "r._of_key")
+    # Twice as many shares as would do, so that most shares fit one part.
+    share = F.ceil(F.col("_of_key") * 2 / most)
+    salt = F.pmod(F.when(F.col("_of_name") > most, F.xxhash64(name, value)).otherwise(F.xxhash64(name)), share)
+    place = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(name, value)) - 1
+    parts = found.withColumn("_salt", salt).withColumn("_sub", F.floor(place / most)).withColumn("part", F.col("_salt") * (1 << 32) + F.col("_sub"))
+    lists = parts.groupBy(*keys, "part", name).agg(F.sort_array(F.collect_list(value)).alias("_values"), (F.count("*") - F.count(value)).alias("_nulls"))
+    padded = F.concat(F.array_repeat(F.lit(None).cast(rows.schema[value].dataType), F.col("_nulls").cast("int")), "_values")
+    return lists.groupBy(*keys, "part").agg(F.map_from_entries(F.collect_list(F.struct(F.col(name), padded))).alias("entries"))
+
+
+def from_parts(parts: DataFrame, keys: list[str], name: str, value: str) -> DataFrame:
+    """The rows of ``in_parts`` again."""
+    return parts.select(*keys, F.explode("entries").alias(name, "_values")).select(*keys, name, F.explode("_values").alias(value))
+
+
+def case_sessions(cases: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``(date, proto, session_time, days_on, ...)``: the sessions of listed cases ``(date, proto, session_time)``.
+
+    A case is looked up among its day's sessions of its protocol (columns ``date, proto, session_time`` and more); what isn't found there, on the
+    next day.  Cases found on neither day are left out; a case listed twice counts once; of several sessions at one time all are given.
+    """
+    more = [c for c in sessions.columns if c not in ("date", "proto", "session_time")]
+    keys = ["date", "proto", "session_time"]
+    wanted = cases.select(*keys).distinct()
+    today = wanted.join(sessions.select(*keys, *more), keys).select(*keys, F.lit(0).alias("days_on"), *more)
+    left = wanted.join(sessions.select(*keys).distinct(), keys, "left_anti").withColumn("_next", F.date_add("date", 1))
+    tomorrow = left.join(sessions.select(F.col("date").alias("_next"), "proto", "session_time", *more), ["_next", "proto", "session_time"])
+    return today.unionByName(tomorrow.select(*keys, F.lit(1).alias("days_on"), *more))
+
+
+def ordered_lists(found: DataFrame, keys: list[str], columns: list[str], span: float = 3600.0) -> DataFrame:
+    """``(*keys, span, times, *columns)``: lists of times and of each column in the order of time (ties by the column's own value), of equal length.
+
+    A list holds one span of time, an hour unless said otherwise, so that none grows with all days; in the order of spans they are the whole.  Null values stay in their places.
+    """
+    lists = [F.transform(F.array_sort(F.collect_list(F.struct(F.col("time"), F.col(c).alias("_value")))), lambda x: x["_value"]).alias(c) for c in columns]
+    timed = found.where("time is not null").withColumn("span", F.floor(F.col("time") / span))
+    return timed.groupBy(*keys, "span").agg(F.sort_array(F.collect_list("time")).alias("times"), *lists)
+
+
 def members(sessions: DataFrame) -> DataFrame:
     """``(cluster, ip, country, sessions, first_time, last_time)``: who takes part in each cluster, from where and when."""
     return sessions.groupBy("cluster", "ip", "country").agg(F.count("*").alias("sessions"), F.min("time").alias("first_time"), F.max("time").alias("last_time"))

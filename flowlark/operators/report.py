@@ -34,24 +34,25 @@ def write_group_xml(rows: DataFrame, path: str) -> None:
 
 
 def from_group_xml(texts: DataFrame) -> DataFrame:
-    """The lists and figures of ``group_xml`` texts."""
+    """The lists and figures of ``group_xml`` texts; reports without key payloads have null for them."""
     parsed = texts.select(F.from_xml("xml", SHAPE, {"rowTag": "group"}).alias("g"))
-    return parsed.select("g.group_id", "g.number_of_clusters", "g.number_of_protocols", "g.srcIP.src_ip", "g.country.group_country", "g.cluster.cluster_id")
+    return parsed.select("g.group_id", "g.number_of_clusters", "g.number_of_protocols", "g.srcIP.src_ip", "g.country.group_country", "g.cluster.cluster_id", "g.cluster.cluster_key_payload")
 
 
 def read_group_xml(spark, path: str) -> DataFrame:
     """Reports of XML files with ``group`` elements, in the shape of ``from_group_xml``."""
     found = spark.read.format("xml").option("rowTag", "group").schema(SHAPE).load(path)
-    return found.select("group_id", "number_of_clusters", "number_of_protocols", "srcIP.src_ip", "country.group_country", "cluster.cluster_id")
+    return found.select("group_id", "number_of_clusters", "number_of_protocols", "srcIP.src_ip", "country.group_country", "cluster.cluster_id", "cluster.cluster_key_payload")
 
 
 def first_values(rows: DataFrame, keys: list[str], column: str, most: int) -> DataFrame:
     """``(*keys, column)``: a text of the first ``most`` distinct values in order, with an ellipsis where more follow.
 
-    Only one value more than are shown leaves each task, however many a group has.  Nulls are left out.
+    Equal values are one before they are put in order, and only one value more than are shown goes on to that.  Nulls are left out.
     """
-    ranked = rows.where(F.col(column).isNotNull()).withColumn("_n", F.dense_rank().over(Window.partitionBy(*keys).orderBy(column)))
-    shown = ranked.where(F.col("_n") <= most + 1).select(*keys, column, "_n").distinct()
+    once = rows.where(F.col(column).isNotNull()).select(*keys, column).distinct()
+    ranked = once.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(column)))
+    shown = ranked.where(F.col("_n") <= most + 1)
 
     def text(n: Column, value: Column) -> Column:
         return F.when(n > most, F.lit("...")).otherwise(value.cast("string"))

@@ -149,8 +149,12 @@ def md5_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Files of one name and digest are one; the first of a name keeps it, others get a number."""
     docs = _t(spark, d, "documents").select("doc_id", "source", F.md5("text").alias("digest"))
     once = docs.groupBy("source", "digest").agg(F.min("doc_id").alias("doc_id"))
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return once.select("doc_id", "digest", F.when(n == 1, F.col("source")).otherwise(F.concat_ws("_", "source", n.cast("string"))).alias("name"))
+    # Numbered by ranges of all, as one source may hold most files.
+    placed = B.ranked(once.where("source is not null"), [F.col("source"), F.col("doc_id"), F.col("digest")], "_place")
+    first = placed.groupBy("source").agg(F.min("_place").alias("_first"))
+    numbered = placed.join(first, "source").withColumn("n", F.col("_place") - F.col("_first") + 1)
+    n = F.col("n")
+    return numbered.select("doc_id", "digest", F.when(n == 1, F.col("source")).otherwise(F.concat_ws("_", "source", n.cast("string"))).alias("name"))
 
 
 def report_caps(spark: SparkSession, d: str) -> DataFrame:

@@ -120,6 +120,12 @@ def day_labels(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(G.month_day(text).alias("day")).agg(F.count("*").alias("n"))
 
 
+def country_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Countries of each group's addresses with their shares; that of every eleventh user is unknown."""
+    found = _members(spark, d).withColumn("country", F.when(F.col("ip") % 11 != 0, F.col("country")))
+    return G.shares(found, "country").select("leader", "value", "n", F.round("portion", 12).alias("portion"))
+
+
 def grouped_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of the greedy groups."""
     found = G.statistics(_members(spark, d))
@@ -166,6 +172,7 @@ def loner_report(spark: SparkSession, d: str) -> DataFrame:
 _RANKED = "WITH s AS (SELECT user_id AS ip, event_type || '_' || hour(ts) AS cluster, event_type AS proto, 'C' || (user_id % 7) AS country, epoch_us(ts) // 1000000 AS time FROM events), n AS (SELECT proto, cluster, count(*) AS sessions FROM s GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY proto ORDER BY sessions DESC, cluster) AS INT) AS rank FROM n) "
 
 FOUND = {
+    "country_shares": (country_shares, _WALK + ", homes AS (SELECT DISTINCT leader, ip, CASE WHEN ip % 11 <> 0 THEN country ELSE 'None' END AS value FROM found) SELECT leader, value, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY leader), 12) AS portion FROM homes GROUP BY 1, 2"),
     "grouped_statistics": (grouped_statistics, _WALK + ", by_country AS (SELECT leader, country, count(DISTINCT ip) AS n FROM found GROUP BY 1, 2), mains AS (SELECT leader, arg_min(country, struct_pack(n := -n, c := country)) AS main_country FROM by_country GROUP BY 1) SELECT leader, count(*) AS sessions, count(DISTINCT ip) AS ip_num, string_agg(DISTINCT country, ',' ORDER BY country) AS country_set, string_agg(DISTINCT proto, ',' ORDER BY proto) AS proto_set, string_agg(DISTINCT cluster, ',' ORDER BY cluster) AS cluster_set, count(DISTINCT country) AS unique_country_num, count(DISTINCT proto) AS unique_protocols_num, count(DISTINCT cluster) AS unique_cluster_num, any_value(main_country) AS main_country FROM found JOIN mains USING (leader) GROUP BY 1"),
     "loner_describe": (loner_describe, _WALK + ", each_loner AS (SELECT ip, count(DISTINCT cluster) AS n FROM kept WHERE members = 1 GROUP BY 1) SELECT count(*) AS loners, round(avg(n), 9) AS mean, min(n) AS low, max(n) AS high, quantile_cont(n, 0.25) AS q1, quantile_cont(n, 0.5) AS q2, quantile_cont(n, 0.75) AS q3 FROM each_loner"),
     "loner_report": (loner_report, _WALK + ", x AS (SELECT ip, list_sort(list(DISTINCT cluster)) AS c, list_sort(list(DISTINCT country)) AS o, count(DISTINCT proto) AS protocols FROM kept WHERE members = 1 GROUP BY 1) SELECT ip, CAST(len(c) AS BIGINT) AS clusters, protocols, array_to_string(o, ', ') AS countries, array_to_string(c[1:10], ', ') || CASE WHEN len(c) > 10 THEN ', ...' ELSE '' END AS first_clusters FROM x"),

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from flowlark.functions import lists as L
 from flowlark.functions.net import cidr_range, common_prefix, hex_text, ip_to_long
+from flowlark.operators import fuzzy_clusters as C
+from flowlark.operators import groups as G
 from flowlark.operators import ranges as R
 from flowlark.operators import sessions as S
-from flowlark.sources.packets import PACKETS_SQL, from_events
+from flowlark.operators.scratch import kept, new_folder
+from flowlark.sources.packets import PACKETS_SQL, from_conversations, from_events, read_captures
+from flowlark.streaming import captures, hours
 
 GAP = 21600.0
 
@@ -337,7 +341,100 @@ def payload_order(spark: SparkSession, d: str) -> DataFrame:
     return p.select("ip_src", *(F.array_join(F.transform(L.sorted_payloads(F.col("x"), legacy=old), lambda t: t[2]), ",").alias(n) for old, n in ((True, "as_text"), (False, "as_numbers"))))
 
 
+def noise_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as clusters of payload bytes, and whether the first line of any holds a marker."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.collect_list(F.encode("text", "UTF-8")).alias("payloads"))
+    return turns.select("conv_id", L.any_begins(F.col("payloads"), "tion ").alias("noise"))
+
+
+def session_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions that analysts listed by day, protocol and time; what began after noon they listed a day early."""
+    spans = S.with_session(packets(spark, d), GAP).groupBy(*S.KEYS, "group_id").agg(F.min("frame_time_epoch").alias("session_time"), F.count("*").alias("packets"))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("session_time") / 86400).cast("int"))
+    rows = spans.select(day.alias("date"), F.col("ip_proto").alias("proto"), "session_time", "packets")
+    cases = rows.where("packets > 1").select(F.when(F.col("session_time") % 86400 >= 43200, F.date_sub("date", 1)).otherwise(F.col("date")).alias("date"), "proto", "session_time")
+    return G.case_sessions(cases, rows).select(F.col("date").cast("string").alias("date"), "proto", "session_time", "days_on", "packets")
+
+
+_CASES_SQL = _SESSION_SQL.format(gap=GAP) + f""", r AS (SELECT CAST(floor(min(t) / 86400) AS BIGINT) AS day, ip_proto AS proto, min(t) AS session_time, count(*) AS packets FROM marked {_BY}),
+c AS (SELECT DISTINCT day - CASE WHEN session_time - day * 86400 >= 43200 THEN 1 ELSE 0 END AS day, proto, session_time FROM r WHERE packets > 1),
+f AS (SELECT c.*, 0 AS days_on, packets FROM c JOIN r USING (day, proto, session_time) UNION ALL SELECT c.*, 1, packets FROM (SELECT * FROM c ANTI JOIN r USING (day, proto, session_time)) c JOIN r ON r.day = c.day + 1 AND r.proto = c.proto AND r.session_time = c.session_time)
+SELECT CAST(DATE '1970-01-01' + CAST(day AS INT) AS VARCHAR) AS date, proto, session_time, CAST(days_on AS INT) AS days_on, packets FROM f"""
+
+
+def intention_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Times, countries and places of packets in one order for each kind of path, a list for each day."""
+    rows = packets(spark, d).select(F.col("frame_protocols").alias("intention"), F.col("frame_time_epoch").alias("time"), "country", F.concat_ws("/", F.lit("at"), "domain").alias("place"))
+    found = G.ordered_lists(rows, ["intention"], ["country", "place"], 86400.0)
+    return found.select("intention", F.col("span").alias("day"), F.array_join(F.transform("times", lambda t: F.round(t * 1000).cast("long").cast("string")), ",").alias("times"), F.array_join("country", ",").alias("countries"), F.array_join("place", ",").alias("places"))
+
+
+_LISTS_SQL = f"WITH {PACKETS_SQL} SELECT path AS intention, CAST(floor(t / 86400) AS BIGINT) AS day, string_agg(CAST(CAST(round(t * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY t) AS times, string_agg(country, ',' ORDER BY t, country) AS countries, string_agg('at' || coalesce('/' || domain, ''), ',' ORDER BY t, 'at' || coalesce('/' || domain, '')) AS places FROM packets GROUP BY 1, 2"
+
+
+def hour_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The hourly grid from a stream of three batches, the last of which holds much that is late."""
+    folder = new_folder(spark)
+    rows = packets(spark, d).select("ip_proto", "frame_time_epoch")
+    for part in ("frame_time_epoch % 97 < 40", "frame_time_epoch % 97 >= 40 and frame_time_epoch % 2 < 1", "frame_time_epoch % 97 >= 40 and frame_time_epoch % 2 >= 1"):
+        rows.where(part).coalesce(1).write.mode("append").parquet(f"{folder}/packets")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/packets")
+    hours.follow(source, f"{folder}/state", 86400.0).awaitTermination()
+    return hours.hours(spark, f"{folder}/state", with_late=True)
+
+
+def session_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Maps from addresses to their times for each country, in parts of at most 50 times, and read back."""
+    parts = kept(G.in_parts(packets(spark, d), ["country"], "ip_src", "frame_time_epoch", 50))
+    largest = parts.select(F.max(F.aggregate(F.map_values("entries"), F.lit(0), lambda a, x: a + F.size(x))).alias("largest"))
+    rows = G.from_parts(parts, ["country"], "ip_src", "frame_time_epoch").groupBy("country", "ip_src").agg(F.count("*").alias("times"), F.min("frame_time_epoch").alias("first"), F.max("frame_time_epoch").alias("last"))
+    return rows.crossJoin(F.broadcast(largest)).select("country", "ip_src", "times", "first", "last", (F.col("largest") <= 50).alias("bounded"))
+
+
+def _captures(spark: SparkSession, d: str) -> str:
+    """Conversations as capture files of raw payloads, and one file that is broken."""
+    folder = new_folder(spark)
+    texts = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    raw = F.regexp_replace(F.lower(F.hex(F.encode("text", "UTF-8"))), "(..)(?=.)", "$1:")
+    p = from_conversations(texts.withColumn("text", F.coalesce("text", F.lit("")))).drop("tcp_payload")
+    keys = [(60 * F.col("turn")).cast("double"), F.concat(F.lit("10.1."), F.floor(F.col("conv_id") / 256).cast("string"), F.lit("."), F.pmod("conv_id", F.lit(256)).cast("string"))]
+    payload = texts.where("text is not null").groupBy(keys[0].alias("frame_time_epoch"), keys[1].alias("ext")).agg(F.min(raw).alias("raw"))
+    p = p.withColumn("ext", F.when(F.col("isOutbound"), F.col("ip_dst")).otherwise(F.col("ip_src"))).join(payload, ["frame_time_epoch", "ext"], "left")
+    one = lambda c: F.when(F.col(c).isNotNull(), F.array(F.col(c).cast("string")))
+    fields = {"frame.len": "frame_len", "frame.protocols": "frame_protocols", "frame.time_epoch": "frame_time_epoch", "ip.src": "ip_src", "ip.dst": "ip_dst", "ip.proto": "ip_proto", "tcp.srcport": "tcp_srcport", "tcp.dstport": "tcp_dstport", "tcp.hdr_len": "tcp_hdr_len", "tcp.len": "tcp_len", "tcp.payload": "raw"}
+    layers = F.struct("country", "domain", "isp", F.col("isOutbound").alias("isInternal"), *(one(c).alias(n) for n, c in fields.items()))
+    record = F.to_json(F.struct(F.struct(layers.alias("layers")).alias("_source")))
+    files = p.groupBy(F.pmod(F.xxhash64("ext"), F.lit(4)).alias("file")).agg(F.concat(F.lit("["), F.concat_ws(",\n", F.collect_list(record)), F.lit("]")).alias("value"))
+    files.write.partitionBy("file").text(f"{folder}/captures")
+    spark.createDataFrame([("[{\"_source\": {\"layers\"",)], "value string").coalesce(1).write.mode("append").text(f"{folder}/captures/file=broken")
+    return folder
+
+
+def capture_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Captures read file by file as a stream, twice, beside a broken one: packets, bytes and payloads of each protocol."""
+    folder = _captures(spark, d)
+    for _ in range(2):
+        captures.ingest(spark, f"{folder}/captures", f"{folder}/stored", files_each=2).awaitTermination()
+    found = captures.packets(spark, f"{folder}/stored").groupBy("ip_proto").agg(F.count("*").alias("packets"), F.sum("frame_len").alias("bytes"), F.count("tcp_payload").alias("payloads"))
+    return found.crossJoin(captures.quarantine(spark, f"{folder}/stored").agg(F.count("*").alias("broken")))
+
+
+def capture_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """From captures with raw payloads to clusters of sessions whose inbound payloads look alike."""
+    full = S.sessions(read_captures(spark, f"{_captures(spark, d)}/captures/file=*[0-9]"), 120.0)
+    part = F.struct(F.col("ip_proto").alias("proto"), F.lit("20200106").alias("date"))
+    payloads = kept(S.payload_rows(full.withColumn("idx", ip_to_long(F.col("ip_src"))).withColumn("part", part), ["part", "idx"]))
+    return C.leader_clusters(payloads).select("idx", "leader")
+
+
 FOUND = {
+    "noise_payloads": (noise_payloads, r"SELECT conv_id, coalesce(bool_or(regexp_matches(text, '^[^\n]*tion ')), false) AS noise FROM conversations GROUP BY 1"),
+    "session_cases": (session_cases, _CASES_SQL),
+    "intention_lists": (intention_lists, _LISTS_SQL),
+    "hour_stream": (hour_stream, _HOUR_SQL),
+    "session_parts": (session_parts, f"WITH {PACKETS_SQL} SELECT country, ip_src, count(*) AS times, min(t) AS first, max(t) AS last, true AS bounded FROM packets GROUP BY 1, 2"),
+    "capture_ingest": (capture_ingest, "SELECT '6' AS ip_proto, count(*) AS packets, CAST(sum(40 + octet_length(encode(coalesce(text, '')))) AS BIGINT) AS bytes, count(text) AS payloads, CAST(1 AS BIGINT) AS broken FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL"),
+    "capture_clusters": (capture_clusters, None),
     "addressed_packets": (addressed_packets, f"WITH {PACKETS_SQL} SELECT ip_proto, count(*) AS packets, CAST(sum(frame_len) AS BIGINT) AS bytes FROM packets WHERE frame_len >= 28 GROUP BY 1"),
     "trap_direction": (trap_direction, f"WITH {PACKETS_SQL.replace('packets AS (', 'plain AS (', 1)}, packets AS (SELECT * REPLACE (NOT (({_D}) BETWEEN 3232235520 AND 3232235521 OR ({_D}) BETWEEN 167772416 AND 167772671) AS isout) FROM plain), " + _SESSION_SQL.format(gap=GAP).split(", keyed AS", 1)[1].join(["keyed AS", ""]) + f", s AS (SELECT ip_proto, count(*) AS n, count(*) FILTER (NOT isout) AS i, count(*) FILTER (isout) AS o FROM marked {_BY}) SELECT ip_proto, CAST(sum(n) AS BIGINT) AS packets, CAST(sum(i) AS BIGINT) AS inbound, CAST(sum(o) AS BIGINT) AS outbound, count(*) AS sessions FROM s GROUP BY 1"),
     "times_scan": (times_scan, f"WITH {PACKETS_SQL} SELECT ip_proto, path AS frame_protocols, count(*) AS packets FROM packets WHERE t IN (SELECT t FROM packets WHERE ends_with(path, 'data')) GROUP BY 1, 2"),

@@ -24,6 +24,21 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return flatten(spark.read.schema(JSON_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).json(path))
 
 
+def read_captures(spark: SparkSession, path: str) -> DataFrame:
+    """Packets from captures whose ``tcp.payload`` is still raw, as colon-separated hex: it becomes hash, time and length, as sessions keep it."""
+    return hashed(flatten(spark.read.schema(JSON_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).json(path)))
+
+
+def hashed(packets: DataFrame) -> DataFrame:
+    """``flatten``ed packets with the fuzzy hash of their raw payload, its packet's time and length as texts; null without a payload.
+
+    A packet whose time or length is missing keeps its hash, with null there.  The hash is of the hex text, as it stands.
+    """
+    raw = F.get("tcp_payload", F.lit(0))
+    triple = payload_triple(fuzzy_hash(raw), F.col("frame_time_epoch"), F.col("tcp_len"))
+    return packets.withColumn("tcp_payload", F.when(raw.isNotNull(), triple))
+
+
 def flatten(raw: DataFrame) -> DataFrame:
     """One row per packet: of each array the first value, which is the outermost header's."""
 

@@ -123,7 +123,9 @@ def test_reports_with_key_payloads(spark, tmp_path):
     r = report.group_rows(rows).where("group_id = 'g'").first()
     assert (r.cluster.cluster_id, r.cluster.cluster_key_payload, r.country.group_country, r.number_of_protocols) == (["c1", "c2"], ["-", "a first"], ["AT", "DE"], 2)
     report.write_group_xml(rows, str(tmp_path / "x"))
-    assert report.read_group_xml(spark, str(tmp_path / "x")).count() == 2
+    back = {x.group_id: x for x in report.read_group_xml(spark, str(tmp_path / "x")).collect()}
+    assert len(back) == 2 and (back["g"].cluster_id, back["g"].cluster_key_payload) == (["c1", "c2"], ["-", "a first"])
+    assert {x.group_id: x.cluster_key_payload for x in report.from_group_xml(report.group_xml(rows)).collect()}["g"] == ["-", "a first"]
     assert "<cluster_key_payload>a first</cluster_key_payload>" in report.group_xml(rows).where("group_id = 'g'").first().xml
 
 
@@ -136,8 +138,12 @@ def test_networks_of_a_settings_file(spark, tmp_path):
 def test_group_figures(spark):
     found = spark.createDataFrame([(1, "a", "c1", "tcp", "DE", 5), (1, "b", "c2", "udp", "AT", 6), (1, "b", "c2", "udp", None, 7), (2, "c", "c1", "tcp", "FR", 1)], "leader int, ip string, cluster string, proto string, country string, time long")
     r = {x.leader: x for x in G.statistics(found).collect()}
-    assert (r[1].sessions, r[1].ip_num, r[1].country_set, r[1].proto_set, r[1].unique_cluster_num) == (3, 2, ["AT", "DE"], ["tcp", "udp"], 2)
-    assert r[2].main_country == "FR"
+    assert (r[1].sessions, r[1].ip_num, r[1].country_set, r[1].proto_set, r[1].unique_cluster_num) == (3, 2, ["AT", "DE", "None"], ["tcp", "udp"], 2)
+    assert r[2].main_country == "FR" and r[1].unique_country_num == 3
+    unknown = found.where("leader = 1").withColumn("country", F.when(F.col("ip") == "zz", "x"))
+    assert G.statistics(unknown).first().main_country == "None"
+    assert {(x.value, x.n, x.portion) for x in G.shares(found.where("leader = 1"), "country").collect()} == {("DE", 1, 1 / 3), ("AT", 1, 1 / 3), ("None", 1, 1 / 3)}
+    assert {(x.value, x.n) for x in G.shares(found.where("leader = 1"), "cluster").collect()} == {("c1", 1), ("c2", 2)}
 
 
 def test_lists_hours_and_sql_functions(spark):
