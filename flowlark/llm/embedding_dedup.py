@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .components import components, forest
 from .scratch import partitions, saved
-from .vectors import matrix, unit, usual_length, valid
+from .vectors import lengths, matrix, unit, valid
 
 #: Principal directions are fitted on at most so many vectors; they only steer what is skipped.
 SAMPLE_ROWS = 10_000
@@ -74,7 +74,8 @@ def near_duplicates(rows: DataFrame, similarity: float = 0.95) -> DataFrame:
     Vectors link when their cosine, in double precision, is ``similarity`` or more.
     ``n_links`` counts the other rows linked directly, copies too; ``component_id``
     is the smallest vec_id that links reach; ``kept`` marks it.  Vectors that are
-    null, zero or hold null or non-finite components stand alone.  Rows without a
+    null, zero or hold null or non-finite components stand alone; those of different lengths have no cosine, so that each
+    length is joined by itself.  Rows without a
     vec_id are left out, other columns ignored; an empty table gives an empty result.
 
     Unit vectors within an angle are within epsilon of each other, so also along each
@@ -83,10 +84,17 @@ def near_duplicates(rows: DataFrame, similarity: float = 0.95) -> DataFrame:
     halve each other until what is left is compared.  Equal vectors are one to start
     with, counted.
     """
-    spark = rows.sparkSession
     rows = rows.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    usable = valid("embedding") & (F.size("embedding") == usual_length(rows.where(valid("embedding")), "embedding"))
-    good = rows.where(usable)
+    good = rows.where(valid("embedding"))
+    out = rows.where(~valid("embedding")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for length in lengths(good, "embedding"):
+        out = out.unionByName(_linked(good.where(F.size("embedding") == length), similarity))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def _linked(good: DataFrame, similarity: float) -> DataFrame:
+    """``vec_id, n_links, component_id`` of usable vectors of one length."""
+    spark = good.sparkSession
     distinct = saved(good.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")), "vectors")
     directions = _directions(distinct)
     epsilon = float(np.sqrt(max(0.0, 2 - 2 * similarity))) + 1e-9
@@ -130,9 +138,6 @@ def near_duplicates(rows: DataFrame, similarity: float = 0.95) -> DataFrame:
             yield block(pa.Table.from_batches(held))
 
     schema = "block long, lo array<double>, hi array<double>, first_cell array<long>, last_cell array<long>, ids binary, copies binary, x binary, dtype string"
-    if not n:
-        none = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-        return none.withColumn("kept", F.lit(True))
     intervals = max(1, min(partitions(spark), n // block_rows))
     ordered = placed.repartitionByRange(intervals, *cells, "vec_id").sortWithinPartitions(*cells, "vec_id")
     blocks = saved(ordered.mapInArrow(pack, schema), "blocks")
@@ -174,6 +179,4 @@ def near_duplicates(rows: DataFrame, similarity: float = 0.95) -> DataFrame:
     linked = components(found.where("to is not null").select(F.col("vec_id").alias("src"), F.col("to").alias("dst")))
     each = distinct.join(counts, "vec_id", "left").join(linked, distinct.vec_id == linked.id, "left")
     each = each.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", distinct.vec_id).alias("component_id"))
-    out = good.join(each, "embedding").select("vec_id", "n_links", "component_id")
-    alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long"), F.col("vec_id"))
-    return out.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return good.join(each, "embedding").select("vec_id", "n_links", "component_id")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import saved
-from .vectors import matrix, usual_length, valid
+from .vectors import lengths, matrix, valid
 
 #: Distinct vectors in a shard, each with a graph of its own: at least and at most; between them there are MANY_SHARDS, so
 #: that each query asks no more than these until the shards are full.
@@ -149,8 +149,8 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
     ``score`` is the Euclidean distance of the original vectors in double precision;
     ties go to the smaller vec_id.  Vectors that are null, zero or hold null or
-    non-finite components take no part, neither do those of another length than the most common one and
-    rows without a vec_id; other columns are ignored.  Fewer candidates give fewer ranks.  Of rows
+    non-finite components take no part, neither do rows without a vec_id; other columns are ignored.  Vectors of different lengths have no
+    distance: a query's candidates are those of its own length.  Fewer candidates give fewer ranks.  Of rows
     that share a vec_id a query finds the nearest; such queries are answered as one.
 
     Distinct vectors are dealt by hash into shards, at most ``MANY_SHARDS`` until these hold ``MOST_ROWS`` each; a task
@@ -159,7 +159,19 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     shard carries the k + 1 smallest ids: no query can need more of them.
     """
     good = rows.where(F.col("vec_id").isNotNull() & valid("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", is_query.alias("q"))
-    good = good.where(F.size("embedding") == usual_length(good, "embedding"))
+    found = None
+    for length in lengths(good, "embedding"):
+        some = _found(good.where(F.size("embedding") == length), k)
+        found = some if found is None else found.unionByName(some)
+    if found is None:
+        found = rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    once = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _found(good: DataFrame, k: int) -> DataFrame:
+    """``query_id, vec_id, score`` that the shards of ``good(vec_id, embedding, q)``, all of one length, find."""
     first = Window.partitionBy("embedding").orderBy("vec_id")
     some = good.withColumn("n", F.dense_rank().over(first)).where(F.col("n") <= k + 1)
     distinct = saved(some.groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")), "distinct")
@@ -203,8 +215,5 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
                         index = Graph(exact), exact, table["ids"].to_pylist()
                     yield from answer(*index, batch.slice(x, y - x))
 
-    dealt = members.union(queries).repartition(shards, "shard").sortWithinPartitions("shard", F.col("query_id").isNotNull())
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double").repartition("query_id")
-    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    dealt = members.union(queries).repartitionByRange(shards, "shard").sortWithinPartitions("shard", F.col("query_id").isNotNull())
+    return dealt.mapInArrow(run, "query_id long, vec_id long, score double")

@@ -15,10 +15,10 @@ from .scratch import saved, small_batches
 
 #: Character n-grams of a word and its two edges, hashed into slots of a table of vectors.
 SUBWORDS, SLOT_BITS, DIMENSIONS = (3, 4, 5), 18, 8
-#: Words averaged into one bag; a text's score is that of its most toxic bag.
+#: Words averaged into a text's bag: its most toxic ones.
 BAG_WORDS = 3
-#: At most so many labelled documents, of at most so many characters, are learnt from: bounds what comes to the driver.
-TRAINING_ROWS, TRAINING_CHARACTERS = 2500, 1 << 15
+#: So many labelled documents are learnt from at most, and so many distinct words of each: bounds what comes to the driver.
+TRAINING_ROWS, TRAINING_WORDS = 4000, 1 << 14
 EPOCHS, WHOLE_TEXT_EPOCHS, MIN_WORDS, DECAY = 50, 8, 4, 0.965
 #: A Python worker forgets its scored words beyond so many.
 CACHE_WORDS = 1 << 19
@@ -51,48 +51,64 @@ def _segment_mean(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, first[:-1], axis=0) / np.diff(first).reshape(-1, *[1] * (values.ndim - 1))
 
 
-def _bags(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(each text's largest mean of BAG_WORDS consecutive values, where that bag starts).
+def _bags(value: np.ndarray, word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(members, edge): the words of each text's bag, its BAG_WORDS words of the largest value, each once; ``word`` tells them apart.
 
-    A shorter text is one bag; a text without words has 0 and starts at -1.
+    A text with fewer words has them all, one without words an empty bag.
     """
-    total = np.append(0, np.cumsum(value, dtype=float))
-    size = np.diff(first)
-    bags = np.maximum(size - BAG_WORDS + 1, np.minimum(size, 1))
-    begin = tk.ragged(first[:-1], bags)
-    width = np.repeat(np.minimum(size, BAG_WORDS), bags)
-    mean = (total[begin + width] - total[begin]) / np.maximum(width, 1)
-    score, at = np.zeros(len(size)), np.full(len(size), -1)
-    some = bags > 0
-    if some.any():
-        edge = np.append(0, np.cumsum(bags[some]))
-        score[some] = np.maximum.reduceat(mean, edge[:-1])
-        best = np.flatnonzero(mean == np.repeat(score[some], bags[some]))
-        at[some] = begin[best[np.searchsorted(best, edge[:-1])]]
-    return score, at
-
-
-def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hashes of each text's words, in order."""
-    for batch in batches:
-        out = []
-        if len(batch):
-            t = tk.tokens(*tk.text_buffer(batch.column("text")), lower=True, marks=False)
-            value = tk.range_hashes(t.data, t.start, t.end)
-            out = [value[x:y].tobytes() for x, y in zip(t.first[:-1], t.first[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary())], names=["doc_id", "label", "words"])
-
-
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((word, -value, text))
+    # Equal words have equal values, so they stand together.
+    new = np.append(True, (np.diff(text[order]) != 0) | (word[order][1:] != word[order][:-1])) if len(order) else np.zeros(0, bool)
+    order = order[new]
+    place = np.arange(len(order)) - np.searchsorted(text[order], text[order])
+    order = order[place < BAG_WORDS]
+    return order, np.searchsorted(text[order], np.arange(len(first)))
+
+
+def _tokens(texts: pa.Array, most: int) -> tuple[tk.Tokens, np.ndarray, np.ndarray, np.ndarray] | None:
+    """(tokens, each one's hash, words to learn from, where each text's begin): a text's distinct words, of more than ``most`` those of the least hashes."""
+    if not len(texts):
+        return None
+    t = tk.tokens(*tk.text_buffer(texts), lower=True, marks=False)
+    value = tk.range_hashes(t.data, t.start, t.end)
+    text = np.repeat(np.arange(len(texts)), np.diff(t.first))
+    order = np.lexsort((value, text))
+    new = np.append(True, (np.diff(text[order]) != 0) | (value[order][1:] != value[order][:-1])) if len(order) else np.zeros(0, bool)
+    order = order[new]
+    order = order[np.arange(len(order)) - np.searchsorted(text[order], text[order]) < most]
+    return t, value, order, np.searchsorted(text[order], np.arange(len(texts) + 1))
+
+
+def _words(most: int):
+    """The hashes of each text's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, out = _tokens(batch.column("text"), most), []
+            if found:
+                _, value, order, edge = found
+                out = [value[order[x:y]].tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary())], names=["doc_id", "label", "words"])
+
+    return run
+
+
+def _vocabulary(most: int):
     """A batch's distinct words: hash and slots."""
-    for batch in batches:
-        t = tk.tokens(*tk.text_buffer(batch.column("text")), lower=True, marks=False) if len(batch) else None
-        if t is None or not len(t.start):
-            continue
-        value, at = np.unique(tk.range_hashes(t.data, t.start, t.end), return_index=True)
-        slot, edge = subwords(t.data, t.start[at], t.end[at])
-        slots = [slot[x:y].astype(np.int32).tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(slots, pa.binary())], names=["word", "slots"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _tokens(batch.column("text"), most)
+            if found is None or not len(found[2]):
+                continue
+            t, value, order, _ = found
+            value, at = np.unique(value[order], return_index=True)
+            slot, edge = subwords(t.data, t.start[order[at]], t.end[order[at]])
+            slots = [slot[x:y].astype(np.int32).tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(slots, pa.binary())], names=["word", "slots"])
+
+    return run
 
 
 def train(words: list[np.ndarray], known: np.ndarray, slots: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -100,7 +116,7 @@ def train(words: list[np.ndarray], known: np.ndarray, slots: list[np.ndarray], l
 
     ``words`` are the hashes of each text's words, ``slots`` those of the ``known`` words.
     Vectors and softmax are trained jointly, by gradient descent on all rows at once.  The first
-    rounds average all words of a text; the later ones its most toxic bag.
+    rounds average all words of a text; the later ones its most toxic words.
     """
     rng = np.random.default_rng(seed)
     if not len(known) or len(set(labels.tolist())) < 2:
@@ -132,12 +148,11 @@ def train(words: list[np.ndarray], known: np.ndarray, slots: list[np.ndarray], l
         value[filled] = np.add.reduceat((vectors @ towards)[slot], edge[:-1][filled]) / many[filled]
         whole = epoch < WHOLE_TEXT_EPOCHS
         if whole:
-            first, size = text_first[:-1][has], np.diff(text_first)[has]
+            members, parts = word, np.append(0, np.cumsum(np.diff(text_first)[has]))
         else:
-            _, begin = _bags(value[word], text_first)
-            first, size = begin[has], np.minimum(np.diff(text_first)[has], BAG_WORDS)
-        members = word[tk.ragged(first, size)]
-        parts = np.append(0, np.cumsum(size))
+            at, edges = _bags(value[word], word, text_first)
+            members, parts = word[at], np.append(0, np.cumsum(np.diff(edges)[has]))
+        size = np.diff(parts)
         logit = np.full(len(y), bias[1] - bias[0])
         logit[has] += _segment_mean(value[members], parts)
         error = (1 / (1 + np.exp(-logit)) - y) * balance / len(y)
@@ -189,18 +204,23 @@ class _Scorer:
             self.value[n : n + len(new)] = _segment_mean(self.weight[slot], edge)
             self.index.add(new)
             at[missing] = self.index.find(key[missing])
-        return _bags(self.value[at], t.first)[0]
+        members, edge = _bags(self.value[at], at, t.first)
+        out = np.zeros(len(edge) - 1)
+        some = np.diff(edge) > 0
+        if some.any():
+            out[some] = _segment_mean(self.value[at[members]], np.append(edge[:-1][some], edge[-1]))
+        return out
 
 
-def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, threshold: float = 0.5, rows: int = TRAINING_ROWS, longest: int = TRAINING_CHARACTERS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, threshold: float = 0.5, rows: int = TRAINING_ROWS, most: int = TRAINING_WORDS) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every text.
 
     A bag of words is the mean of its words' vectors, a word's vector the mean of
     its character n-grams' vectors, so misspellings never met before are close to
-    what they stand for; a linear softmax on the bag gives the score, and a text
-    scores as its most toxic bag.  Learns from at most ``rows`` labelled documents of at most ``longest`` characters
+    what they stand for; a text's bag are the few words of it that are most toxic, wherever they stand, and a linear softmax on the
+    bag gives the score.  Learns from at most ``rows`` labelled documents, whatever their length,
     whose fold isn't ``held_out`` (ids choose rows and are no input of a score); executors turn them into
-    hashes and slots of words.  Of several texts of one labelled doc_id the last in order is learnt from.
+    hashes and slots of their distinct words, at most ``most`` of a document, chosen by hash.  Of several texts of one labelled doc_id the last in order is learnt from.
 
     Null and empty texts have the score of an empty bag.  Without labels, or with
     one class alone, all score the base rate.  Other columns are ignored, repeated
@@ -208,10 +228,10 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     """
     small_batches(docs.sparkSession)
     chosen = sample(labels, label, fold("doc_id", folds) != held_out, rows)
-    learnt = saved(training_texts(docs, chosen, longest), "labelled")
-    # Both are bounded by rows and longest.
-    texts = learnt.mapInArrow(_sequences, "doc_id long, label int, words binary").toPandas().sort_values("doc_id")
-    known = learnt.mapInArrow(_vocabulary, "word long, slots binary").dropDuplicates(["word"]).toPandas()
+    learnt = saved(training_texts(docs, chosen), "labelled")
+    # Both are bounded by rows and words.
+    texts = learnt.mapInArrow(_words(most), "doc_id long, label int, words binary").toPandas().sort_values("doc_id")
+    known = learnt.mapInArrow(_vocabulary(most), "word long, slots binary").dropDuplicates(["word"]).toPandas()
     weight, bias = train([np.frombuffer(x, np.int64) for x in texts["words"]], known["word"].to_numpy(np.int64), [np.frombuffer(x, np.int32) for x in known["slots"]], texts["label"].to_numpy())
     model = docs.sparkSession.sparkContext.broadcast((weight.astype(np.float32), bias))
 

@@ -21,10 +21,9 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def usual_length(rows: DataFrame, column: str) -> int:
-    """The most common length of the vectors (of equally common ones the greatest); 0 if there are none."""
-    counted = rows.groupBy(F.size(column).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return counted["n"] if counted else 0
+def lengths(rows: DataFrame, column: str) -> list[int]:
+    """The lengths that vectors have, which are few."""
+    return sorted(r["n"] for r in rows.select(F.size(column).alias("n")).distinct().collect())
 
 
 def unit(x: np.ndarray) -> np.ndarray:

@@ -134,3 +134,17 @@ def test_segments_are_checked(spark, tmp_path):
     assert parts.where("type = 'continuation'").count() == 3 and parts.where("total is not null").count() == 1
     with pytest.raises(ValueError):
         warc.dechunked(b"5\r\nabc\r\n0\r\n\r\n")
+
+
+def test_vectors_of_several_lengths_take_part(spark):
+    """Those of each length are compared with each other, the rarer ones too."""
+    x = [[1.0, 0.0], [1.0, 0.01], [0.0, 1.0], [1.0, 0.0, 0.0], [1.0, 0.0, 0.01], [0.0, 0.0, 5.0], [2.0, 0.0, 0.0], [7.0]]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, 0.95).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (0, 2), 3: (2, 3), 4: (2, 3), 5: (0, 5), 6: (2, 3), 7: (0, 7)}
+    found = {}
+    for r in neighbours.nearest(df, F.col("vec_id") >= 0).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert {q: [v for _, v in sorted(f)] for q, f in found.items()} == {0: [1, 2], 1: [0, 2], 2: [1, 0], 3: [4, 6, 5], 4: [3, 6, 5], 5: [4, 3, 6], 6: [3, 4, 5]}
+    none = df.where("vec_id < 0")
+    assert embedding_dedup.near_duplicates(none).count() == 0 and neighbours.nearest(none, F.col("vec_id") >= 0).count() == 0
