@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from flowlark.llm import ngram_join, packing, pii, quality, substring_dedup
 from flowlark.llm.queries import EXAMPLE_KEY
-from flowlark.llm.scratch import dropped, saved, swept
+from flowlark.llm.scratch import dropped, saved
 
 
 def _carried(docs: DataFrame) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
@@ -102,5 +102,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = saved(stage(spark, docs, sf_dir), name)
         dropped(before)
         before = docs
-        swept(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
