@@ -17,6 +17,20 @@ ROUNDS = 8
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def _letters(first: int, last: int, without: str = "") -> str:
+    return "".join(chr(i) for i in range(first, last + 1) if chr(i) not in without)
+
+
+#: Characters that become each other: digits, small and capital letters, each alphabet for itself. The rest stays.
+SORTS = [
+    _DIGITS, _LOWER, _UPPER, _letters(0xDF, 0xFF, "÷"), _letters(0xC0, 0xDE, "×"), _letters(0x100, 0x17F), _letters(0x3B1, 0x3C9), _letters(0x391, 0x3A9, "\u03a2"),
+    _letters(0x430, 0x45F), _letters(0x400, 0x42F),
+]
+_SORT_OF = {c: i for i, s in enumerate(SORTS) for c in s}
+#: Letters of addresses beside A to z: Latin with marks, Greek, Cyrillic, and marks that stand alone.
+_MORE = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0300-\u036f\u0370-\u03ff\u0400-\u04ff"
+
+
 class Feistel:
     """A keyed permutation of ``range(size)`` for any size; ``kind`` sets ranges of one size apart."""
 
@@ -57,12 +71,13 @@ class Feistel:
 
     def characters(self, text: str, kind: str, back: bool = False) -> str:
         """Each digit, small or capital letter becomes one of its sort; the rest stays."""
-        sorts = [next((s for s in (_DIGITS, _LOWER, _UPPER) if c in s), None) for c in text]
-        known = [(s.index(c), len(s)) for c, s in zip(text, sorts, strict=True) if s]
+        sorts = [_SORT_OF.get(c) for c in text]
+        known = [(SORTS[s].index(c), len(SORTS[s])) for c, s in zip(text, sorts, strict=True) if s is not None]
         if not known:
             return text
-        new = iter(self.mixed([d for d, _ in known], [b for _, b in known], f"{kind}{''.join('-dlu'[0 if s is None else 1 + (_DIGITS, _LOWER, _UPPER).index(s)] for s in sorts)}", back))
-        return "".join(s[next(new)] if s else c for c, s in zip(text, sorts, strict=True))
+        shape = "".join("-dlu3456789"[0 if s is None else 1 + s] for s in sorts)
+        new = iter(self.mixed([d for d, _ in known], [b for _, b in known], f"{kind}{shape}", back))
+        return "".join(c if s is None else SORTS[s][next(new)] for c, s in zip(text, sorts, strict=True))
 
 
 def luhn_digit(digits: str) -> int:
@@ -112,8 +127,29 @@ def _ssn(f: Feistel, text: str, back: bool) -> str | None:
     return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
+# Country codes of one and of two digits; all others have three.
+_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: Digits of an international number, country code included.
+_PHONE_DIGITS = range(8, 16)
+
+
+def _international(f: Feistel, text: str, back: bool) -> str | None:
+    """The country code stays, and whether the number behind it begins with a zero."""
+    digits = re.sub(r"\D", "", text)
+    code = next((digits[:n] for n in (1, 2) if digits[:n] in _CODES), digits[:3])
+    number = digits[len(code) :]
+    if len(digits) not in _PHONE_DIGITS or len(number) < 6:
+        return None
+    low = [int(number[0] != "0"), *[0] * (len(number) - 1)]
+    bases = [9 if low[0] else 1, *[10] * (len(number) - 1)]
+    new = f.mixed([int(c) - x for c, x in zip(number, low, strict=True)], bases, f"phone{code}", back)
+    return _fill(text, code + "".join(str(d + x) for d, x in zip(new, low, strict=True)))
+
+
 def _phone(f: Feistel, text: str, back: bool) -> str | None:
     digits = re.sub(r"\D", "", text)
+    if text[0] == "+" and digits[0] != "1":
+        return _international(f, text, back)
     country, number = digits[:-10], digits[-10:]
     if number[0] in "01" or number[3] in "01" or country not in ("", "1"):
         return None
@@ -181,9 +217,9 @@ def _secret(f: Feistel, text: str, back: bool) -> str | None:
 #: Kind, pattern and pseudonym of each sort of personal data; the first that fits at a place is taken.
 KINDS: list[tuple[str, str, Callable[[Feistel, str, bool], str | None]]] = [
     ("secret", r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:password|passwd|token|secret|api_key)\s?[:=]\s?[\"']?[A-Za-z0-9+/_-]{8,}", _secret),
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9])", _email),
+    ("email", rf"(?<![A-Za-z0-9{_MORE}._%+-])[A-Za-z0-9{_MORE}._%+-]+@(?:[A-Za-z0-9{_MORE}-]+\.)+[A-Za-z{_MORE}]{{2,}}(?![A-Za-z0-9{_MORE}])", _email),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
-    ("phone", r"(?<![\w.+-])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])", _phone),
+    ("phone", r"(?<![\w.+-])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.+-])\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,7}(?![\w-])", _phone),
     ("ssn", r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])", _ssn),
     ("date", r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?![\w/-]|\.\d)", _date),
     ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", _ip),
@@ -209,6 +245,10 @@ def _ends(kind: str, text: str) -> list[int]:
         lengths = _CARD_LENGTHS.get(text[0], range(13, 20))
     elif kind == "iban":
         lengths = _IBAN_LENGTHS.get(text[:2], range(15, 35))
+    elif kind == "phone" and text[0] == "+":
+        # The longest that is a number, before what may follow it.
+        groups = [i for i, c in enumerate(text) if c in " .-"]
+        return [i for i in [len(text), *groups[::-1]] if len(re.sub(r"\D", "", text[:i])) in _PHONE_DIGITS] or [len(text)]
     else:
         return [len(text)]
     inner = [i for i, c in enumerate(text) if c in " -" and len(re.sub("[ -]", "", text[:i])) in lengths]
@@ -260,7 +300,8 @@ def protect(docs: DataFrame, key: bytes, columns: list[str] | None = None) -> Da
 
     E-mail and IP addresses, phone, card, account and security numbers, dates and
     secrets are found by pattern; numbers and dates must also be valid (checksums,
-    ranges, the calendar).  Each value is mapped within its own format by a keyed
+    ranges, the calendar).  Addresses may hold letters of Latin, Greek and Cyrillic; phone numbers are those of North America in their usual
+    forms and international ones behind a plus, whose country code stays.  Each value is mapped within its own format by a keyed
     permutation: equal values are equal in every document, different ones stay
     different, and the holder of the key can go back.  What looks alike but isn't
     valid stays, but all that starts within it is tried; a card or account number

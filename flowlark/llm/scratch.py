@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,14 +53,6 @@ def dropped(df: DataFrame | None) -> None:
         _remove(df.sparkSession, df._saved_at)
 
 
-def swept(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of queries that are done, as its cleaner does from time to time."""
-    gc.collect()
-    time.sleep(0.5)  # until the JVM knows what Python let go
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -143,3 +143,20 @@ def test_factors_are_the_longest():
     made = substring_dedup._Block(words, np.cumsum(size) - size, size - 19, np.arange(3), np.zeros(3, np.int64), 20)
     at, length = made.parse()
     assert [(made.run[i], made.position[i], n, made.run[made.source[i]], made.position[made.source[i]]) for i, n in zip(at, length, strict=True)] == [(1, 3, 2, 0, 0), (2, 0, 11, 1, 3)]
+
+
+def test_addresses_of_other_alphabets_and_numbers_of_other_countries():
+    """All of the name goes, the shape and the country code stay, and the key leads back."""
+    from flowlark.llm import pii
+
+    f = pii.Feistel(b"some key")
+    for text, kind, gone in [
+        ("to Ünal.öz@example.com now", "email", ["Ünal", "öz@", "example"]), ("Иван.Петров@почта.рф", "email", ["Иван", "Петров", "почта"]), ("Łukasz@żółw.pl!", "email", ["Łukasz", "żółw"]),
+        ("ünal@a.de", "email", ["nal@"]), ("请联系user@example.com谢谢", "email", ["user@", "example"]), ("+44 20 7946 0958 2023-01-05", "phone", ["7946", "2023"]), ("(+49 30 1234567)", "phone", ["1234567"]), ("+33 1 42 68 53 00,", "phone", ["42 68"]),
+        ("+442079460958", "phone", ["2079"]), ("+81-3-1234-5678 or +52 55 1234 5678", "phone", ["1234"]), ("+1 415 555 2671", "phone", ["555 2671"]), ("+41 (0)44 668 18 00", "phone", ["668 18"]),
+    ]:
+        new, found = pii.pseudonymise(text, f)
+        assert found[kind] >= 1 and len(new) == len(text) and not [g for g in gone if g in new], text
+        assert pii.pseudonymise(new, f, True)[0] == text and new.split(" ")[0][:3] == text.split(" ")[0][:3] if text[0] == "+" else True
+    for text in ("+999", "5 + 44 20 7946", "+12", "a@b", "+49", "x+49 30 1234567", "@example.com"):
+        assert pii.pseudonymise(text, f) == (text, {})
