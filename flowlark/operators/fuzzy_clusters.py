@@ -65,6 +65,10 @@ def links(payloads: DataFrame, threshold: float = 0.0, within: str | None = None
     return means.join(owners, ["part", "b", *more]).where("`from` <> idx").select("part", F.col("from").alias("a"), F.col("idx").alias("b"), *more).distinct()
 
 
+#: Links are rows if they are at most so many times the rows of the graph that stands for them otherwise.
+FEW_LINKS = 4
+
+
 class _Graph:
     """Sessions, payloads and what payloads have in common, as nodes; links between sessions are paths, never rows.
 
@@ -95,6 +99,47 @@ class _Graph:
         forget(self.steps[0], self.owns)
         return _Graph([first, *self.steps[1:]], owns)
 
+    def forget(self) -> None:
+        forget(*self.steps, self.owns)
+
+    def shortest(self) -> _Graph | _Links:
+        """The links as rows where these are known to be no more than FEW_LINKS times the graph's own rows, else the graph."""
+        ways = self.steps[0].groupBy("b").agg(F.count("*").cast("decimal(38,0)").alias("v"))
+        for step in self.steps[1:]:
+            ways = step.join(ways.withColumnRenamed("b", "a"), "a").groupBy("b").agg(F.sum("v").alias("v"))
+        owners = self.owns.groupBy(F.col("node").alias("b")).agg(F.count("*").cast("decimal(38,0)").alias("n"))
+        many = ways.join(owners, "b").agg(F.coalesce(F.sum(F.least(F.col("v"), F.lit(10**18)) * F.least(F.col("n"), F.lit(10**18))), F.lit(0))).first()[0]
+        if many > FEW_LINKS * (self.owns.count() + sum(step.count() for step in self.steps)):
+            return self
+        links = self.steps[0].select(F.col("a").alias("from"), "b")
+        for step in self.steps[1:]:
+            links = links.withColumnRenamed("b", "a").join(step, "a").select("from", "b").distinct()
+        links = kept(links.withColumnRenamed("b", "node").join(self.owns, "node").select(F.col("from").alias("a"), "part", "idx").distinct())
+        self.forget()
+        return _Links(links)
+
+
+class _Links:
+    """The same as a ``_Graph``, where links ``(a, part, idx)`` are few enough to be rows."""
+
+    def __init__(self, links: DataFrame):
+        self.links = links
+
+    def found(self, values: DataFrame) -> DataFrame:
+        return self.links.join(values, "a").groupBy("part", "idx").agg(F.min("v").alias("v"))
+
+    def back(self, values: DataFrame) -> DataFrame:
+        return self.links.join(values, ["part", "idx"]).groupBy("a").agg(F.min("v").alias("v"))
+
+    def only(self, live: DataFrame) -> _Links:
+        left = self.links.join(live.where("asks").select(F.struct("part", "idx").alias("a")), "a", "left_semi").join(live, ["part", "idx"], "left_semi")
+        left = kept(left.select("a", "part", "idx"))
+        self.forget()
+        return _Links(left)
+
+    def forget(self) -> None:
+        forget(self.links)
+
 
 def _sum_of(*columns: str) -> list:
     """A count and two sums of 64-bit hashes: what sets of the same rows share and others don't."""
@@ -160,9 +205,10 @@ def leader_clusters(payloads: DataFrame, threshold: float = 0.0) -> DataFrame:
     A session's turn has come as soon as no earlier one that is still to come can touch it or any session that it finds.  Each
     session is told the first that may touch it, each asks back for the least of these among those it finds: all whose own idx comes
     back take theirs at once, round by round.  Rows are those of payloads and of what distinct payloads have in common, however many
-    sessions find each other; no part is ever held in one task.
+    sessions find each other (or the links themselves, where counting shows that they are few); no part is ever held in one task.
     """
     graph, stands = _graph(payloads, threshold)
+    graph = graph.shortest()
     live = stands.where("idx = as_idx").select("part", "idx", F.lit(True).alias("asks"))
     rounds, size = [], None
     while True:
@@ -184,7 +230,7 @@ def leader_clusters(payloads: DataFrame, threshold: float = 0.0) -> DataFrame:
         rounds.append(kept(told.select("part", "idx", asks.alias("asks"), F.coalesce("leader", "own").alias("leader"))))
         forget(first)
         live = rounds[-1].where("leader is null").select("part", "idx", "asks")
-    forget(*graph.steps, graph.owns)
+    graph.forget()
     if not rounds:
         return stands.select("part", "idx", F.lit(None).cast(stands.schema["idx"].dataType).alias("leader"))
     clusters = kept_together(rounds).where("leader is not null").select("part", F.col("idx").alias("as_idx"), "leader")

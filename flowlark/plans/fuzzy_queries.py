@@ -48,6 +48,34 @@ def clusters(spark: SparkSession, d: str) -> DataFrame:
     return C.leader_clusters(_payloads(spark, d)).select("part.proto", "part.date", "idx", "leader")
 
 
+#: Signatures with runs of four are left out, as SQL can't shorten them.
+_RUNS = "|".join(c * 4 for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def signature_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of sessions of five documents each, by hashes that SQL can make too: thirty letters of the text are the signature."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "text")
+    letters = F.substring(F.regexp_replace("text", "[^A-Za-z]", ""), 60, 30)
+    made = docs.select(F.col("lang").alias("part"), F.floor(F.col("doc_id") / 5).alias("idx"), "doc_id", letters.alias("sig")).where(F.length("sig") > 0)
+    made = made.withColumn("hash", F.when(~F.col("sig").rlike(_RUNS), F.concat(F.lit("3:"), "sig", F.lit(":"))))
+    payloads = kept(made.select("part", "idx", F.row_number().over(Window.partitionBy("part", "idx").orderBy("doc_id")).alias("pos"), "hash"))
+    return C.leader_clusters(payloads).select(F.col("part").alias("lang"), "idx", "leader")
+
+
+_SIGNATURES = f"""WITH RECURSIVE s AS (SELECT lang AS part, doc_id // 5 AS idx, doc_id, substr(regexp_replace(text, '[^A-Za-z]', '', 'g'), 60, 30) AS sig FROM documents),
+p AS MATERIALIZED (SELECT part, idx, sig, row_number() OVER (PARTITION BY part, idx ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY part, idx) AS n FROM s WHERE length(sig) > 0 AND NOT regexp_matches(sig, '{_RUNS}')),
+r AS MATERIALIZED (SELECT part, idx, row_number() OVER (ORDER BY part, idx) AS r FROM (SELECT DISTINCT part, idx FROM p)),
+g AS MATERIALIZED (SELECT DISTINCT r, part, pos IN (CAST(floor(n * 0.25) AS BIGINT), CAST(floor(n * 0.5) AS BIGINT), CAST(floor(n * 0.75) AS BIGINT)) OR (n > 4 AND pos = n - 1) AS asks,
+  unnest(list_concat(list_transform(range(1, greatest(length(sig) - 5, 1)), lambda i: substr(sig, CAST(i AS BIGINT), 7)), ['=' || sig])) AS gram FROM p JOIN r USING (part, idx)),
+links AS MATERIALIZED (SELECT DISTINCT x.r AS r, y.r AS q FROM g x JOIN g y ON x.part = y.part AND x.gram = y.gram AND x.r <> y.r WHERE x.asks),
+lists AS MATERIALIZED (SELECT r.r, coalesce(list(q) FILTER (q IS NOT NULL), CAST([] AS BIGINT[])) AS qs FROM r LEFT JOIN links USING (r) GROUP BY 1),
+walk AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS taken, false AS head UNION ALL
+  SELECT l.r, CASE WHEN list_contains(w.taken, l.r) OR len(list_filter(l.qs, lambda x: NOT list_contains(w.taken, x))) = 0 THEN w.taken ELSE list_distinct(list_concat(w.taken, l.qs, [l.r])) END,
+    NOT list_contains(w.taken, l.r) AND len(list_filter(l.qs, lambda x: NOT list_contains(w.taken, x))) > 0 FROM walk w JOIN lists l ON l.r = w.r + 1),
+heads AS (SELECT r FROM walk WHERE head), mine AS (SELECT links.q AS r, min(links.r) AS lead FROM links JOIN heads ON heads.r = links.r GROUP BY 1)
+SELECT r.part AS lang, r.idx, CASE WHEN heads.r IS NOT NULL THEN r.idx ELSE l.idx END AS leader FROM r LEFT JOIN heads ON heads.r = r.r LEFT JOIN mine ON mine.r = r.r LEFT JOIN r l ON l.r = mine.lead"""
+
+
 def conversation_clusters(spark: SparkSession, d: str) -> DataFrame:
     """From packets with payloads to sessions, and on to clusters of sessions whose inbound payloads look alike."""
     full = S.sessions(from_conversations(spark.read.parquet(f"{d}/conversations.parquet")), 120.0)
@@ -132,6 +160,7 @@ _XML = f"WITH {_GROUPS} SELECT g AS group_id, count(DISTINCT cluster) AS number_
 FOUND = {
     "fuzzy_hash": (hashes, None),
     "fuzzy_clusters": (clusters, None),
+    "signature_clusters": (signature_clusters, _SIGNATURES),
     "conversation_clusters": (conversation_clusters, None),
     "fuzzy_same_address": (same_address, None),
     "rep_hash": (rep_hash, None),
