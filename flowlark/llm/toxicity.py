@@ -18,7 +18,7 @@ SUBWORDS, SLOT_BITS, DIMENSIONS = (3, 4, 5), 18, 8
 #: Words averaged into a text's bag: its most toxic ones.
 BAG_WORDS = 3
 #: So many labelled documents are learnt from at most, and so many distinct words of each: bounds what comes to the driver.
-TRAINING_ROWS, TRAINING_WORDS = 4000, 1 << 14
+TRAINING_ROWS, TRAINING_WORDS = 3000, 1 << 14
 EPOCHS, WHOLE_TEXT_EPOCHS, MIN_WORDS, DECAY = 50, 8, 4, 0.965
 #: A Python worker forgets its scored words beyond so many.
 CACHE_WORDS = 1 << 19
@@ -123,15 +123,20 @@ def train(words: list[np.ndarray], known: np.ndarray, slots: list[np.ndarray], l
         rate = float(np.mean(labels)) if len(labels) else 0.5
         return np.zeros(1 << SLOT_BITS), float(np.log((rate + 1e-3) / (1 - rate + 1e-3)))
     order = np.argsort(known)
-    slot, edge = np.concatenate([slots[i] for i in order]).astype(np.int64), np.append(0, np.cumsum([len(slots[i]) for i in order]))
-    word = np.searchsorted(known[order], np.concatenate(words))
+    many = np.array([len(slots[i]) for i in order], np.float32)
+    slot = np.concatenate([slots[i] for i in order])
+    word = np.searchsorted(known[order], np.concatenate(words)).astype(np.int32)
     text_first = np.append(0, np.cumsum([len(w) for w in words]))
-    many = np.diff(edge).astype(np.float32)
-    of_slot = np.repeat(np.arange(len(many)), np.diff(edge))
+    of_slot = np.repeat(np.arange(len(many), dtype=np.int32), many.astype(np.int64))
     # Slots of fewer than MIN_WORDS words keep a zero vector: nothing can be learnt about them.
-    seen = np.bincount(slot, np.bincount(word, minlength=len(many))[of_slot], 1 << SLOT_BITS) >= MIN_WORDS
+    often = np.bincount(word, minlength=len(many)).astype(np.float32)
+    seen = np.zeros(1 << SLOT_BITS)
+    for i in range(0, len(slot), 1 << 20):
+        seen += np.bincount(slot[i : i + (1 << 20)], often[of_slot[i : i + (1 << 20)]], 1 << SLOT_BITS)
+    seen = seen >= MIN_WORDS
     of_slot, slot = of_slot[seen[slot]], slot[seen[slot]]
-    used, slot = np.unique(slot, return_inverse=True)
+    used = np.flatnonzero(seen)
+    slot = (np.cumsum(seen) - 1).astype(np.int32)[slot]
     edge = np.searchsorted(of_slot, np.arange(len(many) + 1))
     filled = np.diff(edge) > 0
     vectors = rng.normal(0, 0.01, (len(used), DIMENSIONS)).astype(np.float32)
