@@ -7,8 +7,13 @@ places of a session's payloads are counted without them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlark.functions.fuzzy import fuzzy_compare, grams, shortened
 from flowlark.operators.scratch import forget, kept, kept_together
@@ -65,8 +70,9 @@ def links(payloads: DataFrame, threshold: float = 0.0, within: str | None = None
     return means.join(owners, ["part", "b", *more]).where("`from` <> idx").select("part", F.col("from").alias("a"), F.col("idx").alias("b"), *more).distinct()
 
 
-#: Links are rows if they are at most so many times the rows of the graph that stands for them otherwise.
-FEW_LINKS = 4
+#: Links are rows if they are at most so many times the rows of the graph that stands for them otherwise; so many of them, once counted, are
+#: followed in one task, one session after the other, which saves what is left of a long chain its rounds.
+FEW_LINKS, ONE_TASK = 4, 100_000
 
 
 class _Graph:
@@ -141,6 +147,32 @@ class _Links:
         forget(self.links)
 
 
+def _followed(links: DataFrame) -> DataFrame:
+    """``(part, idx, asks, leader)`` of all who lead or are taken along links ``(a, part, idx)`` that fit one task."""
+    rows = links.select("part", F.col("a.idx").alias("from"), "idx")
+    kinds = {f.name: f.dataType for f in rows.schema}
+    schema = T.StructType([T.StructField("part", kinds["part"]), T.StructField("idx", kinds["idx"]), T.StructField("leader", kinds["idx"])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        part, start, end = ([str(x) for x in table["part"].to_pylist()], table["from"].to_pylist(), table["idx"].to_pylist())
+        taken, out = set(), []
+        for (of, leader), ways in groupby(sorted(range(len(part)), key=lambda i: (part[i], start[i], end[i])), key=lambda i: (part[i], start[i])):
+            free = [i for i in ways if end[i] != leader and (of, end[i]) not in taken]
+            if free and (of, leader) not in taken:
+                out += [(free[0], leader, leader), *((i, end[i], leader) for i in free)]
+                taken |= {(of, leader), *((of, end[i]) for i in free)}
+        at, idx, leader = zip(*out, strict=True) if out else ((), (), ())
+        kind = table["idx"].type
+        columns = [table["part"].combine_chunks().take(pa.array(at, pa.int64())), pa.array(idx, kind), pa.array(leader, kind)]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "idx", "leader"])
+
+    return rows.coalesce(1).mapInArrow(run, schema).select("part", "idx", F.lit(False).alias("asks"), "leader")
+
+
 def _sum_of(*columns: str) -> list:
     """A count and two sums of 64-bit hashes: what sets of the same rows share and others don't."""
     return [F.count("*").alias("_n"), *(F.sum(F.xxhash64(*columns, F.lit(seed)).cast("decimal(38,0)")).alias(f"_s{seed}") for seed in (1, 2))]
@@ -218,6 +250,9 @@ def leader_clusters(payloads: DataFrame, threshold: float = 0.0) -> DataFrame:
         if size is None or now * 4 < size:
             graph = graph.only(live) if size else graph
             size = now
+            if isinstance(graph, _Links) and graph.links.count() <= ONE_TASK:
+                rounds.append(kept(_followed(graph.links)))
+                break
         touched = graph.found(live.where("asks").select(F.struct("part", "idx").alias("a"), F.col("idx").alias("v")))
         first = live.join(touched, ["part", "idx"], "left").select("part", "idx", "asks", F.least("v", F.when(F.col("asks"), F.col("idx"))).alias("v"))
         first = kept(first.where("v is not null"))  # whoever nobody can touch any more stays alone

@@ -100,8 +100,11 @@ def brute_clusters(payloads, threshold):
     return found
 
 
-@pytest.mark.parametrize("threshold", [0.0, 30.0])
-def test_clusters_equal_the_sequential_ones(spark, threshold):
+@pytest.mark.parametrize(("threshold", "few", "one"), [(0.0, 4, 100_000), (0.0, 0, 0), (30.0, 10**9, 20), (30.0, 0, 0)])
+def test_clusters_equal_the_sequential_ones(spark, monkeypatch, threshold, few, one):
+    """As links in one task, as a graph of nodes, as rows of links that shrink until they fit a task."""
+    monkeypatch.setattr(C, "FEW_LINKS", few)
+    monkeypatch.setattr(C, "ONE_TASK", one)
     payloads = rows(25, int(threshold))
     df = spark.createDataFrame(payloads, "part string, idx long, pos int, hash string")
     got = {(r.part, r.idx): r.leader for r in C.leader_clusters(df, threshold).collect()}
