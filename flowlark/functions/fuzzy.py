@@ -145,6 +145,68 @@ def compare_hashes(a: str, b: str) -> int:
     return _likeness(a2, b1, q) if q == 2 * p else 0
 
 
+_LETTER = np.full(256, 255, np.uint8)
+_LETTER[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(64)
+#: Pairs of signatures compared at once.
+PAIRS = 2048
+
+
+def _likenesses(a: list[str], b: list[str], block: np.ndarray) -> np.ndarray:
+    """``_likeness`` of many pairs of signatures of the published alphabet, side by side."""
+    size = [np.array([len(x) for x in side]) for side in (a, b)]
+    letters = []
+    for side in (a, b):
+        text = np.frombuffer("".join(x.ljust(LONGEST_SIGNATURE, "=") for x in side).encode(), np.uint8)
+        letters.append(_LETTER[text].reshape(-1, LONGEST_SIGNATURE))
+    many = LONGEST_SIGNATURE - WINDOW + 1
+    grams = [sum(side[:, i : i + many].astype(np.int64) << 6 * i for i in range(WINDOW)) for side in letters]
+    for side, n, sign in zip(grams, size, (-1, -2), strict=True):
+        side[np.arange(many) > n[:, None] - WINDOW] = sign  # no gram begins here, and none equals the other side's
+    shared = (grams[0][:, :, None] == grams[1][:, None, :]).any((1, 2))
+    # Where each letter stands in the first signature, as bits; then the second one letter by letter.
+    places = np.zeros((len(a), 256), np.uint64)
+    for i in range(LONGEST_SIGNATURE):
+        places[np.arange(len(a)), letters[0][:, i]] |= np.uint64(1 << i)
+    row = np.full(len(a), ~np.uint64(0))
+    for j in range(LONGEST_SIGNATURE):
+        hit = row & places[np.arange(len(a)), letters[1][:, j]]
+        row = np.where(j < size[1], (row + hit) | (row - hit), row)
+    known = np.where(size[0] < 64, (np.uint64(1) << np.minimum(size[0], 63).astype(np.uint64)) - np.uint64(1), ~np.uint64(0))
+    common = np.bitwise_count(~row & known).astype(np.int64)
+    total = size[0] + size[1]
+    score = 100 - 100 * ((total - 2 * common) * LONGEST_SIGNATURE // np.maximum(total, 1)) // LONGEST_SIGNATURE
+    capped = np.minimum(score, block // SMALLEST_BLOCK * np.minimum(*size))
+    return np.where(shared, np.where(block >= (99 + WINDOW) // WINDOW * SMALLEST_BLOCK, score, capped), 0)
+
+
+def compare_many(a: list[str], b: list[str]) -> list[int]:
+    """``compare_hashes`` of many pairs."""
+    parts: dict[str, tuple[int, str, str]] = {}
+    out, pairs = [0] * len(a), []
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        for value in (x, y):
+            if value not in parts:
+                parts[value] = _parts(value)
+        (p, a1, a2), (q, b1, b2) = parts[x], parts[y]
+        if p == q and (a1, a2) == (b1, b2):
+            out[i] = 100
+            continue
+        for one, other, block in [(a1, b1, p), (a2, b2, 2 * p)] if p == q else [(a1, b2, p)] if p == 2 * q else [(a2, b1, q)] if q == 2 * p else []:
+            if min(len(one), len(other)) >= WINDOW:
+                if max(len(one), len(other)) <= LONGEST_SIGNATURE and set(one) | set(other) <= _KNOWN:
+                    pairs.append((i, one, other, block))
+                else:  # not from this hash: one by one
+                    out[i] = max(out[i], _likeness(one, other, block))
+    for k in range(0, len(pairs), PAIRS):
+        at, one, other, block = zip(*pairs[k : k + PAIRS], strict=True)
+        for i, score in zip(at, _likenesses(list(one), list(other), np.array(block, np.int64)).tolist(), strict=True):
+            out[i] = max(out[i], score)
+    return out
+
+
+_KNOWN = frozenset(ALPHABET)
+
+
 @F.pandas_udf(StringType())
 def fuzzy_hash(payload: pd.Series) -> pd.Series:
     """Fuzzy hash of a text's UTF-8 bytes; null for null."""
@@ -157,7 +219,10 @@ def fuzzy_hash(payload: pd.Series) -> pd.Series:
 @F.pandas_udf(IntegerType())
 def fuzzy_compare(a: pd.Series, b: pd.Series) -> pd.Series:
     """Likeness of two fuzzy hashes; null if either is null."""
-    return pd.Series([None if x is None or y is None else compare_hashes(x, y) for x, y in zip(a, b)], dtype="Int32")
+    known = (a.notna() & b.notna()).to_numpy()
+    out = pd.Series([None] * len(a), dtype="Int32")
+    out[known] = compare_many(a[known].tolist(), b[known].tolist())
+    return out
 
 
 def block_size(value: Column) -> Column:

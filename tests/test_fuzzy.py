@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from flowlark.functions.fuzzy import PIECE_PRIME, PIECE_START, ALPHABET, compare_hashes, hash_bytes
+from flowlark.functions.fuzzy import PIECE_PRIME, PIECE_START, ALPHABET, compare_hashes, compare_many, hash_bytes
 from flowlark.operators import fuzzy_clusters as C
 from flowlark.operators import trends as T
 from flowlark.plans import fuzzy_queries as Q
@@ -63,6 +63,17 @@ def test_hash_of_nothing_and_likeness():
     assert compare_hashes("3:aaaaaaaaab:x", "3:aaab:x") == 100 and compare_hashes("3:abc:x", "12:abc:x") == 0
 
 
+def test_pairs_side_by_side_are_those_one_by_one():
+    r = random.Random(9)
+    base = [bytes(r.choices(b"abcdefgh \n", k=r.choice([0, 5, 40, 300, 2000, 7000]))) for _ in range(12)]
+    hashes = [hash_bytes(b[: r.randrange(len(b) + 1)] + bytes(r.choices(b"xyz", k=r.choice([0, 3, 200]))) + b[r.randrange(len(b) + 1) :]) for b in base for _ in range(12)]
+    hashes += ["3:AAAA:B", "3:AAAAA:B", "3::", "6:abcdefg:abcdefgh", "12:abcdefgh:x", "3:äöüäöüäöü:x", "3:" + "Ab" * 50 + ":x", "96:" + "aB" * 32 + ":" + "aB" * 32, "96:" + "aB" * 31 + "cc:" + "aB" * 32]
+    pairs = [(x, y) for x in hashes for y in r.sample(hashes, 30)]
+    got = compare_many(*map(list, zip(*pairs)))
+    assert got == [compare_hashes(x, y) for x, y in pairs] and 50 < sum(g > 0 for g in got)
+    assert compare_many([], []) == []
+
+
 def rows(n, seed):
     """Payloads of a few families, in two parts."""
     r = random.Random(seed)
