@@ -66,10 +66,15 @@ def pair_scores(edges: DataFrame, threshold: float = 0.0) -> DataFrame:
 def _like_sets(edges: DataFrame) -> DataFrame:
     """``(ip, same)``: the smallest address with the same set of behaviours.
 
-    Sets count as equal if their sizes and two 64-bit combinations of hashes are.
+    Sets that may be equal are found by their size and two 64-bit combinations of hashes, and compared with the one that stands for them;
+    an address whose set differs after all stands for itself.
     """
     one = edges.groupBy("ip").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cluster")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "cluster")).alias("g"))
-    return one.join(one.groupBy("n", "h", "g").agg(F.min("ip").alias("same")), ["n", "h", "g"]).select("ip", "same")
+    likely = one.join(one.groupBy("n", "h", "g").agg(F.min("ip").alias("same")), ["n", "h", "g"]).select("ip", "n", "same")
+    rest = edges.join(likely.where("ip <> same"), "ip").select("ip", "n", "same", "cluster")
+    shared = rest.join(edges.select(F.col("ip").alias("same"), "cluster"), ["same", "cluster"]).groupBy("ip", "n").agg(F.count("*").alias("common"))
+    equal = shared.where("common = n").select("ip", F.lit(True).alias("equal"))
+    return likely.join(equal, "ip", "left").select("ip", F.when(F.col("equal"), F.col("same")).otherwise(F.col("ip")).alias("same"))
 
 
 def _first_of_all(edges: DataFrame, ranked: DataFrame, total: DataFrame, threshold: float) -> DataFrame:
