@@ -346,5 +346,5 @@ def test_pipeline_stages_keep_rows_without_doc_id_and_one_of_each(spark, tmp_pat
 def test_hash_text(spark):
     from flowlark.llm import queries
 
-    assert list(queries.queries()) == [n for n in queries.queries() if re.match(r"op\d+_", n)] and len(queries.queries()) == 10
+    assert list(queries.queries()) == [n for n in queries.queries() if re.match(r"op\d+_", n)] and len(queries.queries()) == 13
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
