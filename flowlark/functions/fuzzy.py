@@ -220,9 +220,9 @@ def fuzzy_hash(payload: pd.Series) -> pd.Series:
 def fuzzy_compare(a: pd.Series, b: pd.Series) -> pd.Series:
     """Likeness of two fuzzy hashes; null if either is null."""
     known = (a.notna() & b.notna()).to_numpy()
-    out = pd.Series([None] * len(a), dtype="Int32")
-    out[known] = compare_many(a[known].tolist(), b[known].tolist())
-    return out
+    score = np.zeros(len(a), np.int32)
+    score[known] = compare_many(a[known].tolist(), b[known].tolist())
+    return pd.Series(pd.arrays.IntegerArray(score, ~known))
 
 
 def block_size(value: Column) -> Column:
