@@ -249,6 +249,7 @@ def leader_clusters(payloads: DataFrame, threshold: float = 0.0) -> DataFrame:
             break
         if size is None or now * 4 < size:
             graph = graph.only(live) if size else graph
+            graph = graph.shortest() if size and isinstance(graph, _Graph) else graph
             size = now
             if isinstance(graph, _Links) and graph.links.count() <= ONE_TASK:
                 rounds.append(kept(_followed(graph.links)))
