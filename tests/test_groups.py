@@ -92,3 +92,21 @@ def test_stream_gives_the_same_sessions(spark, tmp_path):
     run = session_windows(stream, "6 hours").writeStream.format("memory").queryName("streamed").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/state").start()
     run.awaitTermination()
     assert sorted(map(str, spark.table("streamed").collect())) == sorted(map(str, session_windows(table, "6 hours").collect()))
+
+
+def test_dense_sets_are_scored_in_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(f"ip{i}", c) for i in range(150) for c in rng.sample(range(70), rng.randint(1, 40))]
+    df = spark.createDataFrame(edges + edges[:9], "ip string, cluster long")
+    monkeypatch.setattr(B, "BLOCK", 40)
+    monkeypatch.setattr(B, "STRIP", 16)
+    for threshold in (0.0, 0.3, 0.5):
+        monkeypatch.setattr(B, "FEW_BEHAVIOURS", 1024)
+        found = B.pair_scores(df, threshold)
+        # Pairs leave as they are scored: nothing is shuffled after that.
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+        assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(B, "FEW_BEHAVIOURS", 0)
+        wanted = {tuple(r) for r in B.pair_scores(df, threshold).collect()}
+        rows = [tuple(r) for r in found.collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == wanted and wanted
