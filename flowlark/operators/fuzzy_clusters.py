@@ -24,13 +24,16 @@ def alike(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Only pairs with seven characters in common are scored, each once.  Hashes that are equal once their long runs of
     one character are shortened score 100, whatever their length.
-    Work is that of the pairs which share such characters; equal payloads count once.
+    Work is that of the pairs which share such characters; equal payloads count once.  Hashes go by numbers until they meet.  Spark takes
+    exploded rows for as few as they come from, so that join says itself that nothing is broadcast.
     """
-    l = left.where("hash is not null").select("part", F.col("hash").alias("a")).distinct().withColumn("x", shortened(F.col("a")))
-    r = right.where("hash is not null").select("part", F.col("hash").alias("b")).distinct().withColumn("y", shortened(F.col("b")))
-    by_gram = l.withColumn("gram", F.explode(grams(F.col("a")))).join(r.withColumn("gram", F.explode(grams(F.col("b")))), ["part", "gram"])
-    near = by_gram.where("x <> y").select("part", "a", "b").distinct().withColumn("score", fuzzy_compare("a", "b"))
-    equal = l.join(r.withColumnRenamed("y", "x"), ["part", "x"]).select("part", "a", "b", F.lit(100).alias("score"))
+    sides = [kept(df.where("hash is not null").select("part", "hash").distinct().withColumn("x", shortened(F.col("hash"))).withColumn("id", F.monotonically_increasing_id())) for df in (left, right)]
+    l, r = sides
+    some = [side.select("part", "id", F.explode(grams(F.col("hash"))).alias("gram")) for side in sides]
+    met = some[0].withColumnRenamed("id", "i").join(some[1].withColumnRenamed("id", "j").hint("merge"), ["part", "gram"]).select("i", "j").distinct()
+    near = met.join(l.select("part", F.col("id").alias("i"), F.col("hash").alias("a"), "x"), "i").join(r.select(F.col("id").alias("j"), F.col("hash").alias("b"), F.col("x").alias("y")), "j")
+    near = near.where("x <> y").select("part", "a", "b", fuzzy_compare("a", "b").alias("score"))
+    equal = l.select("part", "x", F.col("hash").alias("a")).join(r.select("part", "x", F.col("hash").alias("b")), ["part", "x"]).select("part", "a", "b", F.lit(100).alias("score"))
     return near.where("score > 0").unionByName(equal)
 
 

@@ -339,3 +339,14 @@ def test_trends_as_a_stream_of_days(spark, tmp_path):
     T.fold(heads.where(f"date = '{days[1]}'"), last, f"{tmp_path}/state")  # the last batch once more, as after a failure
     T.fold(heads.limit(0), last + 1, f"{tmp_path}/state")
     assert got() == want
+
+
+def test_sevens_of_hashes_are_never_broadcast(spark):
+    rows = [("p", f"3:{a}CDEFGHIJKLMNO{b}:") for a in "ABX" for b in "PQ"] + [("q", "3:ACDEFGHIJKLMNOP:"), ("p", None)]
+    df = spark.createDataFrame(rows, "part string, hash string")
+    found = C.alike(df, df)
+    met = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "gram" in line]
+    assert met and all("SortMergeJoin" in line for line in met)
+    known = sorted({r for r in rows if r[1]})
+    wanted = {(p, a, b): s for p, a in known for q, b in known if p == q and (s := compare_hashes(a, b)) > 0}
+    assert {(r.part, r.a, r.b): r.score for r in found.collect()} == wanted
