@@ -189,7 +189,7 @@ def groups(edges: DataFrame, threshold: float) -> DataFrame:
     left, pairs are made; leaders are the first maximal independent set of the order, found in rounds (all
     that precede their free neighbours at once), and each other set belongs to its earliest leader.
     """
-    edges = edges.select("ip", "cluster").distinct()
+    edges = kept(edges.select("ip", "cluster").distinct())  # read by each of the steps below
     like = kept(_like_sets(edges))
     one = kept(edges.join(like.where("ip = same").select("ip"), "ip", "left_semi"))
     total = kept(_total(one))

@@ -29,8 +29,8 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The retained edges and the groups of their addresses."""
-    edges = B.prune(user_edges(spark, d))
+    """The retained edges, written once as several steps read them, and the groups of their addresses."""
+    edges = kept(B.prune(user_edges(spark, d)))
     return edges, B.groups(edges, THRESHOLD)
 
 

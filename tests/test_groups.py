@@ -110,3 +110,11 @@ def test_dense_sets_are_scored_in_blocks(spark, monkeypatch):
         wanted = {tuple(r) for r in B.pair_scores(df, threshold).collect()}
         rows = [tuple(r) for r in found.collect()]
         assert len(rows) == len(set(rows)) and set(rows) == wanted and wanted
+
+
+def test_retained_edges_are_worked_out_once(spark):
+    """What several steps of a group query read is a written table, not the events again for each."""
+    from flowlark.plans import group_queries as Q
+
+    edges, _ = Q._all(spark, "/root/testdata/sf0.001")
+    assert edges.inputFiles() and not any("events.parquet" in f for f in edges.inputFiles())
