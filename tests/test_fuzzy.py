@@ -350,3 +350,29 @@ def test_sevens_of_hashes_are_never_broadcast(spark):
     known = sorted({r for r in rows if r[1]})
     wanted = {(p, a, b): s for p, a in known for q, b in known if p == q and (s := compare_hashes(a, b)) > 0}
     assert {(r.part, r.a, r.b): r.score for r in found.collect()} == wanted
+
+
+@pytest.mark.parametrize(("chunk", "seed"), [(40, 1), (150, 2), (1, 3), (1 << 20, 4)])
+def test_turns_taken_in_chunks(spark, monkeypatch, chunk, seed):
+    """Dense and sparse links, in chunks so small that those outside a chunk are taken within it."""
+    monkeypatch.setattr(C, "CHUNK_ROWS", chunk)
+    r = random.Random(seed)
+    payloads = []
+    for part, letters, longest in (("p", "ABC", 11), ("q", "ABCD", 10), ("r", "ABCDEFGHIJ", 9)):
+        for idx in r.sample(range(1000), 45 if chunk > 1 else 12):
+            payloads += [(part, idx, pos, f"96:{''.join(r.choices(letters, k=r.randrange(7, longest)))}:") for pos in range(r.choice([1, 2, 2, 3, 5]))]
+    got = {(x.part, x.idx): x.leader for x in C.leader_clusters(spark.createDataFrame(payloads, "part string, idx long, pos int, hash string")).collect()}
+    assert got == brute_clusters(payloads, 0.0)
+
+
+def test_a_chain_of_sessions_takes_no_round_each(spark, monkeypatch):
+    """Each session shares characters with ten before and after it, so each leader waits for the one before."""
+    monkeypatch.setattr(C, "FEW_LINKS", 0)
+    written, write = [], C.kept
+    monkeypatch.setattr(C, "kept", lambda df: written.append(1) or write(df))
+    r = random.Random(6)
+    long = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=1700))
+    payloads = spark.createDataFrame([("p", i, 0, f"96:{long[5 * i : 5 * i + 60]}:") for i in range(319)], "part string, idx long, pos int, hash string")
+    got = {x.idx: x.leader for x in C.leader_clusters(payloads).collect()}
+    assert got == {i: i // 11 * 11 for i in range(319)}
+    assert len(written) <= 30
