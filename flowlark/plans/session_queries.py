@@ -391,10 +391,15 @@ def session_parts(spark: SparkSession, d: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(largest)).select("country", "ip_src", "times", "first", "last", (F.col("largest") <= 50).alias("bounded"))
 
 
-def _captures(spark: SparkSession, d: str) -> str:
-    """Conversations as capture files of raw payloads, and one file that is broken."""
+#: Packets of a capture file, about: a file is read by one task.
+FILE_PACKETS = 2000
+
+
+def _captures(spark: SparkSession, d: str) -> tuple[str, int]:
+    """Conversations as capture files of raw payloads, as many as packets need and how many that is, and one file that is broken."""
     folder = new_folder(spark)
     texts = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    many = max(4, -(-texts.count() // FILE_PACKETS))
     raw = F.regexp_replace(F.lower(F.hex(F.encode("text", "UTF-8"))), "(..)(?=.)", "$1:")
     p = from_conversations(texts.withColumn("text", F.coalesce("text", F.lit("")))).drop("tcp_payload")
     keys = [(60 * F.col("turn")).cast("double"), F.concat(F.lit("10.1."), F.floor(F.col("conv_id") / 256).cast("string"), F.lit("."), F.pmod("conv_id", F.lit(256)).cast("string"))]
@@ -404,24 +409,25 @@ def _captures(spark: SparkSession, d: str) -> str:
     fields = {"frame.len": "frame_len", "frame.protocols": "frame_protocols", "frame.time_epoch": "frame_time_epoch", "ip.src": "ip_src", "ip.dst": "ip_dst", "ip.proto": "ip_proto", "tcp.srcport": "tcp_srcport", "tcp.dstport": "tcp_dstport", "tcp.hdr_len": "tcp_hdr_len", "tcp.len": "tcp_len", "tcp.payload": "raw"}
     layers = F.struct("country", "domain", "isp", F.col("isOutbound").alias("isInternal"), *(one(c).alias(n) for n, c in fields.items()))
     record = F.to_json(F.struct(F.struct(layers.alias("layers")).alias("_source")))
-    files = p.groupBy(F.pmod(F.xxhash64("ext"), F.lit(4)).alias("file")).agg(F.concat(F.lit("["), F.concat_ws(",\n", F.collect_list(record)), F.lit("]")).alias("value"))
+    # A long conversation goes on in other files.
+    files = p.groupBy(F.pmod(F.xxhash64("ext", F.floor(F.col("frame_time_epoch") / 6000)), F.lit(many)).alias("file")).agg(F.concat(F.lit("["), F.concat_ws(",\n", F.collect_list(record)), F.lit("]")).alias("value"))
     files.write.partitionBy("file").text(f"{folder}/captures")
     spark.createDataFrame([("[{\"_source\": {\"layers\"",)], "value string").coalesce(1).write.mode("append").text(f"{folder}/captures/file=broken")
-    return folder
+    return folder, many
 
 
 def capture_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Captures read file by file as a stream, twice, beside a broken one: packets, bytes and payloads of each protocol."""
-    folder = _captures(spark, d)
+    folder, many = _captures(spark, d)
     for _ in range(2):
-        captures.ingest(spark, f"{folder}/captures", f"{folder}/stored", files_each=2).awaitTermination()
+        captures.ingest(spark, f"{folder}/captures", f"{folder}/stored", files_each=many // 2).awaitTermination()
     found = captures.packets(spark, f"{folder}/stored").groupBy("ip_proto").agg(F.count("*").alias("packets"), F.sum("frame_len").alias("bytes"), F.count("tcp_payload").alias("payloads"))
     return found.crossJoin(captures.quarantine(spark, f"{folder}/stored").agg(F.count("*").alias("broken")))
 
 
 def capture_clusters(spark: SparkSession, d: str) -> DataFrame:
     """From captures with raw payloads to clusters of sessions whose inbound payloads look alike."""
-    full = S.sessions(read_captures(spark, f"{_captures(spark, d)}/captures/file=*[0-9]"), 120.0)
+    full = S.sessions(read_captures(spark, f"{_captures(spark, d)[0]}/captures/file=*[0-9]"), 120.0)
     part = F.struct(F.col("ip_proto").alias("proto"), F.lit("20200106").alias("date"))
     payloads = kept(S.payload_rows(full.withColumn("idx", ip_to_long(F.col("ip_src"))).withColumn("part", part), ["part", "idx"]))
     return C.leader_clusters(payloads).select("idx", "leader")

@@ -113,3 +113,14 @@ def test_captures_become_clusters(spark):
     got = {r.idx: r.leader for r in Q.capture_clusters(spark, DIR).collect()}
     users = {r.conv_id: 167837696 + r.conv_id for r in spark.read.parquet(f"{DIR}/conversations.parquet").where("role = 'user' and text is not null").collect()}
     assert set(got) <= set(users.values()) and any(v is not None for v in got.values())
+
+
+def test_capture_files_grow_in_number_not_in_size(spark, monkeypatch):
+    """A file is read by one task, so packets, not files, are bounded; the clusters stay the same."""
+    before = {r.idx: r.leader for r in Q.capture_clusters(spark, DIR).collect()}
+    monkeypatch.setattr(Q, "FILE_PACKETS", 10)
+    folder, many = Q._captures(spark, DIR)
+    n = spark.read.parquet(f"{DIR}/conversations.parquet").count()
+    held = Counter(r.path for r in spark.read.option("multiLine", True).json(f"{folder}/captures/file=*[0-9]").select(F.col("_metadata.file_path").alias("path")).collect())
+    assert many == -(-n // 10) and sum(held.values()) == n and len(held) > 4
+    assert {r.idx: r.leader for r in Q.capture_clusters(spark, DIR).collect()} == before
