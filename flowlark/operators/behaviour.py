@@ -19,13 +19,37 @@ WORTH_A_ROUND = 0.05
 FEW_BEHAVIOURS, BLOCK, WORTH_BLOCKS, STRIP = 1024, 8192, 20, 256
 
 
+def _once(edges: DataFrame) -> DataFrame:
+    """Distinct ``(ip, cluster)`` as a written table; rows of an address stand together, so that counts by address are all but done before they are shuffled."""
+    if hasattr(edges, "_is_once"):
+        return edges
+    out = kept(edges.select("ip", "cluster").repartition("ip").distinct())
+    out._is_once = True
+    return out
+
+
+def _of_several(rows: DataFrame, key: str) -> DataFrame:
+    """A written table of the rows whose ``key`` several rows have.
+
+    Either such keys are looked up or the others, whichever are fewer; they are written first, so that Spark knows their size and broadcasts a
+    few instead of shuffling the rows.
+    """
+    counted = kept(rows.groupBy(key).agg(F.count("*").alias("n")))
+    several, single = counted.agg(F.count_if(F.col("n") > 1), F.count_if(F.col("n") == 1)).first()
+    keys = kept(counted.where("n > 1" if several < single else "n = 1").select(key))
+    out = kept(rows.where(F.col(key).isNotNull()).join(keys, key, "left_semi" if several < single else "left_anti"))
+    forget(counted, keys)
+    return out
+
+
 def prune(edges: DataFrame) -> DataFrame:
-    """Distinct ``(ip, cluster)`` without behaviours of one address, then without addresses of one behaviour."""
-    edges = edges.select("ip", "cluster").distinct()
-    shared = edges.groupBy("cluster").count().where("count > 1").select("cluster")
-    left = edges.join(shared, "cluster", "left_semi")
-    busy = left.groupBy("ip").count().where("count > 1").select("ip")
-    return left.join(busy, "ip", "left_semi")
+    """Distinct ``(ip, cluster)`` without behaviours of one address, then without addresses of one behaviour; a written table."""
+    once = _once(edges)
+    left = _of_several(once, "cluster")
+    out = _of_several(left, "ip").select("ip", "cluster")
+    out._is_once = True
+    forget(left, *([] if once is edges else [once]))
+    return out
 
 
 def _score(common: Column, na: Column, nb: Column, total: Column) -> Column:
@@ -54,8 +78,8 @@ def pair_scores(edges: DataFrame, threshold: float = 0.0) -> DataFrame:
     Where behaviours are few and counting shows that sets would meet at them more often than all pairs are worth, blocks of sets are
     compared as matrices of bits: only pairs that score leave a task, and what is shuffled are the blocks.
     """
-    edges = kept(edges.select("ip", "cluster").distinct())
-    shared = edges.groupBy("cluster").agg(F.count("*").alias("df"))
+    edges = _once(edges).select("ip", "cluster")
+    shared = kept(edges.groupBy("cluster").agg(F.count("*").alias("df")))
     sizes = edges.groupBy("ip").agg(F.count("*").alias("n"), F.collect_list("cluster").alias("set"))
     # As many rows as the logarithm of the largest set's size.
     classes = sizes.groupBy(_size_class(F.col("n")).alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi")).crossJoin(_total(edges))
@@ -147,33 +171,42 @@ def _pairs_of_blocks(edges: DataFrame, shared: DataFrame, behaviours: int, addre
 
 
 def _like_sets(edges: DataFrame) -> DataFrame:
-    """``(ip, same)``: the smallest address with the same set of behaviours.
+    """``(ip, n, same)``: how many behaviours an address has, and the smallest address with the same set of them.
 
-    Sets that may be equal are found by their size and two 64-bit combinations of hashes, and compared with the one that stands for them;
-    an address whose set differs after all stands for itself.
+    Sets that may be equal are found by their size and two 64-bit combinations of hashes. They are equal if all together hold no more
+    behaviours than each of them; where they hold more, each is compared with the one that stands for them, and
+    an address whose set differs stands for itself.
     """
-    one = edges.groupBy("ip").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cluster")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "cluster")).alias("g"))
-    likely = one.join(one.groupBy("n", "h", "g").agg(F.min("ip").alias("same")), ["n", "h", "g"]).select("ip", "n", "same")
-    rest = edges.join(likely.where("ip <> same"), "ip").select("ip", "n", "same", "cluster")
+    one = kept(edges.groupBy("ip").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cluster")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "cluster")).alias("g")))
+    alike = one.groupBy("n", "h", "g").agg(F.min("ip").alias("same"), F.count("*").alias("of"))
+    likely = kept(one.join(alike, ["n", "h", "g"]).select("ip", "n", "same", "of"))
+    several = kept(likely.where("of > 1").select("ip", "n", "same"))
+    together = edges.where("cluster is not null").join(several, "ip").select("same", "cluster").distinct().groupBy("same").agg(F.count("*").alias("m"))
+    unlike = kept(several.where("ip = same").join(together, "same", "left").where("m is null or m <> n").select("same", F.lit(True).alias("differs")))
+    if unlike.isEmpty():
+        return likely.select("ip", "n", "same")
+    doubtful = several.join(unlike, "same", "left_semi")
+    rest = edges.join(doubtful.where("ip <> same"), "ip").select("ip", "n", "same", "cluster")
     shared = rest.join(edges.select(F.col("ip").alias("same"), "cluster"), ["same", "cluster"]).groupBy("ip", "n").agg(F.count("*").alias("common"))
     equal = shared.where("common = n").select("ip", F.lit(True).alias("equal"))
-    return likely.join(equal, "ip", "left").select("ip", F.when(F.col("equal"), F.col("same")).otherwise(F.col("ip")).alias("same"))
+    found = likely.join(unlike, "same", "left").join(equal, "ip", "left")
+    return found.select("ip", "n", F.when(F.col("differs") & F.col("equal").isNull(), F.col("ip")).otherwise(F.col("same")).alias("same"))
 
 
-def _first_of_all(edges: DataFrame, ranked: DataFrame, total: DataFrame, threshold: float) -> DataFrame:
-    """``(ip, lead)``: who leads for certain and whom these take; ``lead`` is the leader's rank.
+def _first_of_all(edges: DataFrame, total: DataFrame, threshold: float) -> DataFrame:
+    """``(ip, lead)``: who leads for certain and whom these take; ``lead`` is the leader's rank. ``edges`` is ``(ip, cluster, n)``.
 
     An address that is the first of all that are left at each of its behaviours can't be taken.  A behaviour has at most
-    one such, so comparing these with all who share a behaviour takes no more than a row for each edge.
+    one such, so comparing these with all who share a behaviour takes no more than a row for each edge. What edges meet here is written
+    first: there are no more such rows than behaviours.
     """
-    by = edges.join(ranked, "ip")
-    first = by.groupBy("cluster").agg(F.min("_r").alias("_first"))
-    ready = by.join(first, "cluster").groupBy("ip", "_r").agg(F.bool_and(F.col("_r") == F.col("_first")).alias("ready"), F.count("*").alias("n"))
-    ready = kept(ready.select("ip", "_r", "ready", "n"))
-    lead = ready.where("ready").select(F.col("ip").alias("l"), F.col("_r").alias("lead"), F.col("n").alias("nl"))
-    led = edges.join(lead, edges.ip == lead.l).select("cluster", "l", "lead", "nl")
-    common = edges.join(led, "cluster").where("ip <> l").groupBy("ip", "lead", "nl").agg(F.count("*").alias("common"))
-    scored = common.join(ready.select("ip", "n"), "ip").crossJoin(F.broadcast(total)).where(_score(F.col("common"), F.col("n"), F.col("nl"), F.col("total")) > threshold)
+    rank = F.struct(-F.col("n"), F.col("ip"))
+    first = kept(edges.groupBy("cluster").agg(F.min(rank).alias("_first")))
+    ready = edges.join(first, "cluster").groupBy("ip", "n").agg(F.bool_and(rank == F.col("_first")).alias("ready"))
+    lead = kept(ready.where("ready").select(F.col("ip").alias("l"), rank.alias("lead"), F.col("n").alias("nl")))
+    led = kept(edges.join(lead, edges.ip == lead.l).select("cluster", "l", "lead", "nl"))
+    common = edges.join(led, "cluster").where("ip <> l").groupBy("ip", "n", "lead", "nl").agg(F.count("*").alias("common"))
+    scored = common.crossJoin(F.broadcast(total)).where(_score(F.col("common"), F.col("n"), F.col("nl"), F.col("total")) > threshold)
     return scored.groupBy("ip").agg(F.min("lead").alias("lead")).union(lead.select("l", "lead"))
 
 
@@ -189,20 +222,23 @@ def groups(edges: DataFrame, threshold: float) -> DataFrame:
     left, pairs are made; leaders are the first maximal independent set of the order, found in rounds (all
     that precede their free neighbours at once), and each other set belongs to its earliest leader.
     """
-    edges = kept(edges.select("ip", "cluster").distinct())  # read by each of the steps below
+    edges = _once(edges)  # read by each of the steps below
     like = kept(_like_sets(edges))
-    one = kept(edges.join(like.where("ip = same").select("ip"), "ip", "left_semi"))
+    own = kept(like.where("ip = same").select("ip", "n"))
+    one = kept(edges.select("ip", "cluster").join(own, "ip"))
     total = kept(_total(one))
-    ranked = kept(one.groupBy("ip").count().select("ip", F.struct(-F.col("count"), F.col("ip")).alias("_r")))
-    left, count, placed = one, ranked.count(), []
+    ranked = own.select("ip", F.struct(-F.col("n"), F.col("ip")).alias("_r"))
+    left, count, placed = one, own.count(), []
     while count:
-        taken = kept(_first_of_all(left, ranked, total, threshold))
+        taken = kept(_first_of_all(left, total, threshold))
         placed.append(taken.select("ip", F.col("lead.ip").alias("leader")))
-        left = kept(left.join(taken, "ip", "left_anti"))
+        before, left = left, kept(left.join(taken.select("ip"), "ip", "left_anti"))
+        forget(before)
         done, count = taken.count(), left.select("ip").distinct().count()
         if done < WORTH_A_ROUND * (done + count):
             break
     if count:
+        left._is_once = True
         placed.append(_by_pairs(left, ranked, threshold))
     leaders = placed[0] if placed else like.select("ip", F.col("same").alias("leader")).limit(0)
     for more in placed[1:]:
@@ -212,9 +248,10 @@ def groups(edges: DataFrame, threshold: float) -> DataFrame:
 
 def _by_pairs(edges: DataFrame, ranked: DataFrame, threshold: float) -> DataFrame:
     """``(ip, leader)`` of addresses with unlike sets, from all pairs that score more than the threshold."""
-    pairs = pair_scores(edges, threshold).select("a", "b")
+    pairs = kept(pair_scores(edges, threshold).select("a", "b"))
     both = pairs.union(pairs.select("b", "a")).join(ranked.toDF("b", "rb"), "b").join(ranked.toDF("a", "ra"), "a")
     both = kept(both.select("a", "b", "ra", "rb"))
+    forget(pairs)
     live, leaders = both, None
     while not live.isEmpty():
         first = kept(live.groupBy("a", "ra").agg(F.min("rb").alias("m")).where("ra < m").select(F.col("a").alias("b"), F.col("ra").alias("lead")))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlark.operators.scratch import kept
+
 
 def sizes(groups: DataFrame) -> DataFrame:
     """``(leader, members)``, the leader included."""
@@ -32,6 +34,15 @@ def sessions_of(sessions: DataFrame, edges: DataFrame, groups: DataFrame) -> Dat
     return sessions.join(edges.select("ip", "cluster").distinct(), ["ip", "cluster"], "left_semi").join(groups.select("ip", "leader"), "ip")
 
 
+def retained(sessions: DataFrame, edges: DataFrame) -> DataFrame:
+    """Sessions of the behaviours that ``edges`` hold.
+
+    Of addresses that ``edges`` hold as well, these are just the retained sessions, if ``edges`` are what ``prune`` leaves of the sessions' own: it takes out
+    whole behaviours and whole addresses. So neither sessions nor edges are shuffled by both; behaviours are written first, as they may be few.
+    """
+    return sessions.join(kept(edges.select("cluster").distinct()), "cluster", "left_semi")
+
+
 def rollup(found: DataFrame) -> DataFrame:
     """One row per group of ``sessions_of``: sessions and distinct addresses, clusters, protocols and countries, first and last time."""
     distinct = [F.countDistinct(c).alias(n) for c, n in (("ip", "ips"), ("cluster", "clusters"), ("proto", "protocols"), ("country", "countries"))]

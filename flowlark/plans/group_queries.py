@@ -29,14 +29,14 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The retained edges, written once as several steps read them, and the groups of their addresses."""
-    edges = kept(B.prune(user_edges(spark, d)))
+    """The retained edges, a written table as several steps read them, and the groups of their addresses."""
+    edges = B.prune(sessions(spark, d))
     return edges, B.groups(edges, THRESHOLD)
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
     edges, groups = _all(spark, d)
-    return G.sessions_of(sessions(spark, d), edges, G.grouped(kept(groups)))
+    return G.retained(sessions(spark, d), edges).join(G.grouped(kept(groups)), "ip")
 
 
 #: Going down the order, each address that isn't taken takes those near it.
@@ -61,7 +61,7 @@ def ip_groups(spark: SparkSession, d: str) -> DataFrame:
 def group_loners(spark: SparkSession, d: str) -> DataFrame:
     """Loners with their country, sessions and behaviours."""
     edges, groups = _all(spark, d)
-    alone = sessions(spark, d).join(edges, ["ip", "cluster"], "left_semi").join(G.loners(kept(groups)), "ip", "left_semi")
+    alone = G.retained(sessions(spark, d), edges).join(G.loners(kept(groups)), "ip", "left_semi")
     return alone.groupBy("ip", "country").agg(F.count("*").alias("sessions"), F.array_join(F.array_sort(F.collect_set("cluster")), ",").alias("clusters"))
 
 
@@ -164,7 +164,7 @@ def behaviour_country_argmax(spark: SparkSession, d: str) -> DataFrame:
 def loner_report(spark: SparkSession, d: str) -> DataFrame:
     """A row for each address alone in its group: how many clusters and protocols, its country and the first of its clusters."""
     edges, groups = _all(spark, d)
-    alone = kept(sessions(spark, d).join(edges, ["ip", "cluster"], "left_semi").join(G.loners(kept(groups)), "ip", "left_semi"))
+    alone = kept(G.retained(sessions(spark, d), edges).join(G.loners(kept(groups)), "ip", "left_semi"))
     counted = alone.groupBy("ip").agg(F.countDistinct("cluster").alias("clusters"), F.countDistinct("proto").alias("protocols"))
     return counted.join(report.report_rows(alone, ["ip"], {"country": 9, "cluster": 10}), "ip").select("ip", "clusters", "protocols", F.col("country").alias("countries"), F.col("cluster").alias("first_clusters"))
 

@@ -118,3 +118,31 @@ def test_retained_edges_are_worked_out_once(spark):
 
     edges, _ = Q._all(spark, "/root/testdata/sf0.001")
     assert edges.inputFiles() and not any("events.parquet" in f for f in edges.inputFiles())
+
+
+def test_sets_whose_hashes_meet_are_compared(spark, monkeypatch):
+    rng = random.Random(8)
+    kinds = [rng.sample(range(9), 3) for _ in range(12)]
+    edges = [(ip, c) for ip in range(40) for c in kinds[ip % 12]]
+    monkeypatch.setattr(B.F, "xxhash64", lambda *columns: F.lit(7).cast("long"))
+    df = spark.createDataFrame(edges, "ip long, cluster long")
+    same = {r.ip: r.same for r in B._like_sets(B._once(df)).collect()}
+    sets = {ip: frozenset(kinds[ip % 12]) for ip in range(40)}
+    assert all(sets[ip] == sets[to] for ip, to in same.items()) and {ip for ip, to in same.items() if sets[ip] == sets[0]} == {ip for ip, to in same.items() if to == 0}
+    assert {r.ip: r.leader for r in B.groups(df, 0.4).collect()} == greedy(edges, 0.4)
+
+
+def test_rows_of_an_address_stand_together(spark):
+    """So counts by address shuffle a row for each, not all edges; few keys are broadcast to what they keep."""
+    rng = random.Random(2)
+    rows = [(rng.choice([None, *range(60)]), rng.choice([None, *"abcdefghijkl", f"own{i}"]), i) for i in range(900)]
+    sessions = spark.createDataFrame(rows, "ip long, cluster string, time long").repartition(5)
+    edges = B.prune(sessions)
+    places = edges.withColumn("f", F.input_file_name()).groupBy("ip").agg(F.countDistinct("f").alias("n"), F.min("f").alias("f")).collect()
+    assert len(places) > 40 and all(r.n == 1 and r.f for r in places)
+    found = G.retained(sessions, edges)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    groups = B.groups(edges, 0.3)
+    wanted = sorted(map(tuple, G.sessions_of(sessions, edges, groups).select("ip", "cluster", "time", "leader").collect()))
+    assert sorted(map(tuple, found.join(groups, "ip").select("ip", "cluster", "time", "leader").collect())) == wanted and wanted
