@@ -53,6 +53,11 @@ def in_order(starts: DataFrame, cuts: list[float]) -> DataFrame:
     return near.join(F.broadcast(ends), "_p").select("start", F.coalesce("before", "_back").alias("before"), F.coalesce("after", "_on").alias("after"))
 
 
+def previous_starts(starts: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """``(start, previous)`` of distinct starts, none null."""
+    return in_order(starts, _cuts(starts.withColumnRenamed("start", "t"), starts.limit(0), part_rows)).select("start", F.col("before").alias("previous"))
+
+
 def _merge(mode: str, overlap: float):
     names = {"floor": ["t", "start"], "nearest": ["t", "start", "previous"], "overlap": ["t", "start"]}[mode]
 

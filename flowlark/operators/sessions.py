@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from flowlark.functions.lists import sorted_payloads
 from flowlark.functions.net import common_prefix, higher_ip, ip_to_long, lower_ip
-from flowlark.operators.asof import asof
+from flowlark.operators.asof import asof, previous_starts
+from flowlark.operators.scratch import kept
 
 KEYS = ["min_ip", "max_ip", "min_port", "max_port", "ip_proto"]
 
@@ -23,6 +24,22 @@ def with_keys(packets: DataFrame) -> DataFrame:
     })
 
 
+def _numbered(packets: DataFrame, gap: float) -> tuple[DataFrame, DataFrame]:
+    """Packets with their keys and ``_span``; and ``(*KEYS, _span, _first, _last, group_id)`` of these spans."""
+    # A gap of 0 parts any two times.
+    span = F.floor(F.col("frame_time_epoch") / (gap / 2)).cast("double") if gap > 0 else F.col("frame_time_epoch")
+    keyed = with_keys(packets).withColumn("_span", span)
+    spans = keyed.groupBy(*KEYS, "_span").agg(F.min("frame_time_epoch").alias("_first"), F.max("frame_time_epoch").alias("_last"))
+    order = Window.partitionBy(*KEYS).orderBy("_span")
+    apart = F.when(F.col("_first") - F.lag("_last").over(order) > gap, 1).otherwise(0)
+    return keyed, spans.withColumn("_apart", apart).withColumn("group_id", F.sum("_apart").over(order))
+
+
+def session_spans(packets: DataFrame, gap: float = 120.0) -> DataFrame:
+    """``(*KEYS, group_id, first, last)``: from when to when each session of ``with_session`` lasts; packets don't have to be told theirs for that."""
+    return _numbered(packets, gap)[1].groupBy(*KEYS, "group_id").agg(F.min("_first").alias("first"), F.max("_last").alias("last"))
+
+
 def with_session(packets: DataFrame, gap: float = 120.0) -> DataFrame:
     """Packets with their conversation's keys and ``group_id``: how many gaps of more than ``gap`` seconds came before.
 
@@ -30,13 +47,7 @@ def with_session(packets: DataFrame, gap: float = 120.0) -> DataFrame:
     are in different sessions, so spans, not packets, are put in order: each carries its first and last time, a conversation's spans
     are numbered, and packets take the number of theirs.  A conversation of very many packets is thus spread over its spans.
     """
-    # A gap of 0 parts any two times.
-    span = F.floor(F.col("frame_time_epoch") / (gap / 2)).cast("double") if gap > 0 else F.col("frame_time_epoch")
-    keyed = with_keys(packets).withColumn("_span", span)
-    spans = keyed.groupBy(*KEYS, "_span").agg(F.min("frame_time_epoch").alias("_first"), F.max("frame_time_epoch").alias("_last"))
-    order = Window.partitionBy(*KEYS).orderBy("_span")
-    apart = F.when(F.col("_first") - F.lag("_last").over(order) > gap, 1).otherwise(0)
-    numbered = spans.withColumn("_apart", apart).withColumn("group_id", F.sum("_apart").over(order))
+    keyed, numbered = _numbered(packets, gap)
     names = [*KEYS, "_span"]
     numbered = numbered.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(names)), "group_id")
     same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(names)]
@@ -173,23 +184,23 @@ def nearest_start(times: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def files_of(spans: DataFrame, files: DataFrame) -> DataFrame:
-    """``(*spans, start)``: the files to read for all packets from ``first`` to ``last``: the latest that begins by then, its predecessor, all that begin until the end."""
-    spans = spans.withColumn("_id", F.struct("first", "last"))
-    ends = spans.select("first", "last").distinct()
-    begun = asof(ends.select(F.col("first").alias("t")), files, "floor")
-    known = begun.select("start").where("start is not null").distinct()
-    back = asof(known.select(F.col("start").alias("t")), files, "nearest").select(F.col("t").alias("start"), "previous")
-    first = ends.join(begun.withColumnRenamed("t", "first"), "first").join(back, "start")
-    both = first.select("first", "last", F.explode(F.array("start", "previous")).alias("start")).where("start is not null")
-    within = _starts_within(ends, files)
-    return spans.join(both.union(within).distinct().withColumn("_id", F.struct("first", "last")).drop("first", "last"), "_id").drop("_id")
-
-
-def _starts_within(ends: DataFrame, files: DataFrame) -> DataFrame:
-    """``(first, last, start)`` of starts after ``first`` and not after ``last``, by hours that both touch."""
-    starts = files.select(F.col("start").cast("double").alias("start")).where("start is not null").distinct().withColumn("_h", F.floor(F.col("start") / 3600))
-    hours = ends.withColumn("_h", F.explode(F.sequence(F.floor(F.col("first") / 3600), F.floor(F.col("last") / 3600))))
-    return hours.join(starts, "_h").where("start > first and start <= last").select("first", "last", "start")
+    """``(*spans, start)``: the files to read for all packets from ``first`` to ``last``: the latest that begins by then, its predecessor, all that begin until the end.
+
+    No file is two of these, so nothing has to be made distinct. Spans and starts are written once, as several steps read them.
+    """
+    columns, spans = spans.columns, kept(spans)
+    starts = kept(files.select(F.col("start").cast("double").alias("start")).where("start is not null").distinct())
+    back = kept(previous_starts(starts))
+    begun = asof(spans.select(F.col("first").alias("t")), starts, "floor").join(back, "start").select(F.col("t").alias("first"), F.array("start", "previous").alias("_starts"))
+    both = spans.join(begun, "first").select(*columns, F.explode("_starts").alias("start")).where("start is not null")
+    return both.unionByName(_starts_within(spans, starts))
+
+
+def _starts_within(spans: DataFrame, starts: DataFrame) -> DataFrame:
+    """``(*spans, start)`` of starts after ``first`` and not after ``last``, by hours that both touch."""
+    hours = spans.where("first < last").withColumn("_h", F.explode(F.sequence(F.floor(F.col("first") / 3600), F.floor(F.col("last") / 3600))))
+    found = hours.join(starts.withColumn("_h", F.floor(F.col("start") / 3600)), "_h")
+    return found.where("start > first and start <= last").select(*spans.columns, "start")
 
 
 def path_parts(path: Column) -> list[Column]:

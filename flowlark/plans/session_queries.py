@@ -288,8 +288,7 @@ def session_files(spark: SparkSession, d: str) -> DataFrame:
     """Capture files to read for each session of six hours' gap: the one it begins in, that before, and all that begin until it ends."""
     p = packets(spark, d)
     files = p.select((F.floor(F.col("frame_time_epoch") / 7200) * 7200).cast("double").alias("start")).distinct()
-    spans = S.with_session(p, GAP).groupBy(*S.KEYS, "group_id").agg(F.min("frame_time_epoch").alias("first"), F.max("frame_time_epoch").alias("last"))
-    return S.files_of(spans, files).groupBy("start").agg(F.count("*").alias("sessions"))
+    return S.files_of(S.session_spans(p, GAP), files).groupBy("start").agg(F.count("*").alias("sessions"))
 
 
 def path_fields(spark: SparkSession, d: str) -> DataFrame:

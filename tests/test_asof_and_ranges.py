@@ -122,3 +122,17 @@ def test_addresses_that_are_no_ipv4(spark):
     assert [r.event_id for r in S.addressed(packets).collect()] == [4]
     marked = S.with_session(packets).where("event_id < 3").collect()
     assert {(r.min_ip, r.max_ip, r.group_id) for r in marked} == {("fe80::1", "fe80::2", 0)}
+
+
+def test_session_spans_are_worked_out_once(spark):
+    """From spans as from packets; the files of spans read a written table, not the packets again for each step."""
+    rows = [(1, 0.0, "2.0.0.0"), (2, 100.0, "2.0.0.0"), (3, 300.0, "2.0.0.0"), (4, None, "2.0.0.0"), (5, 7.0, None), (6, None, "3.0.0.0"), (7, 4000.0, "2.0.0.0")]
+    packets = spark.createDataFrame([(i, t, False, a, "10.0.0.0", "6", 5, 80, None, None, 1) for i, t, a in rows], "event_id long, frame_time_epoch double, isOutbound boolean, ip_src string, ip_dst string, ip_proto string, tcp_srcport int, tcp_dstport int, udp_srcport int, udp_dstport int, frame_len int")
+    names = [*S.KEYS, "group_id"]
+    for gap in (0.0, 120.0, 250.0):
+        plain = S.with_session(packets, gap).groupBy(*names).agg(F.min("frame_time_epoch").alias("first"), F.max("frame_time_epoch").alias("last"))
+        spans = S.session_spans(packets, gap)
+        assert sorted(map(str, spans.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+    times = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("event_id").cast("double").alias("first"), (F.col("event_id") + 9000.0).alias("last"))
+    found = S.files_of(times, spark.createDataFrame([(0.0,), (3600.0,), (7300.0,)], "start double"))
+    assert found.count() > 0 and not any("events.parquet" in f for f in found.inputFiles())
