@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlark.operators.scratch import forget, kept
+from flowlark.operators.scratch import forget, kept, kept_together
 
 #: Greedy groups go on without pairs while a round places at least this part of the addresses that are left.
 WORTH_A_ROUND = 0.05
@@ -194,80 +194,89 @@ def _like_sets(edges: DataFrame) -> DataFrame:
 
 
 def _first_of_all(edges: DataFrame, total: DataFrame, threshold: float) -> DataFrame:
-    """``(ip, lead)``: who leads for certain and whom these take; ``lead`` is the leader's rank. ``edges`` is ``(ip, cluster, n)``.
+    """``(ip, lead)``: who leads for certain and whom these take. ``edges`` is ``(ip, cluster, n)``, with addresses as numbers in their order.
 
     An address that is the first of all that are left at each of its behaviours can't be taken.  A behaviour has at most
     one such, so comparing these with all who share a behaviour takes no more than a row for each edge. What edges meet here is written
     first: there are no more such rows than behaviours.
     """
-    rank = F.struct(-F.col("n"), F.col("ip"))
-    first = kept(edges.groupBy("cluster").agg(F.min(rank).alias("_first")))
-    ready = edges.join(first, "cluster").groupBy("ip", "n").agg(F.bool_and(rank == F.col("_first")).alias("ready"))
-    lead = kept(ready.where("ready").select(F.col("ip").alias("l"), rank.alias("lead"), F.col("n").alias("nl")))
-    led = kept(edges.join(lead, edges.ip == lead.l).select("cluster", "l", "lead", "nl"))
-    common = edges.join(led, "cluster").where("ip <> l").groupBy("ip", "n", "lead", "nl").agg(F.count("*").alias("common"))
+    first = kept(edges.groupBy("cluster").agg(F.min("ip").alias("_first")))
+    ready = edges.join(first, "cluster").groupBy("ip", "n").agg(F.bool_and(F.col("ip") == F.col("_first")).alias("ready"))
+    lead = kept(ready.where("ready").select(F.col("ip").alias("lead"), F.col("n").alias("nl")))
+    led = kept(edges.join(lead, F.col("ip") == F.col("lead")).select("cluster", "lead", "nl"))
+    common = edges.join(led, "cluster").where("ip <> lead").groupBy("ip", "n", "lead", "nl").agg(F.count("*").alias("common"))
     scored = common.crossJoin(F.broadcast(total)).where(_score(F.col("common"), F.col("n"), F.col("nl"), F.col("total")) > threshold)
-    return scored.groupBy("ip").agg(F.min("lead").alias("lead")).union(lead.select("l", "lead"))
+    taken = kept(scored.groupBy("ip").agg(F.min("lead").alias("lead")).union(lead.select("lead", "lead")))
+    forget(first, lead, led)
+    return taken
 
 
 def groups(edges: DataFrame, threshold: float) -> DataFrame:
-    """``(ip, leader)`` by greedy grouping in order of behaviours, most first (ties: the smaller address); loners lead themselves alone.
+    """``(ip, leader)``, a written table, by greedy grouping in order of behaviours, most first (ties: the smaller address); loners lead themselves alone.
 
     Going down the order, an address that is still free takes all free addresses
     that score more than ``threshold`` (below 1) with it.  Addresses with equal sets score 1
-    with each other and alike with all others, so one of each set stands for them all.
+    with each other and alike with all others, so one of each set stands for them all, and goes by its number in the order.
 
     First, those who lead for certain take theirs, round by round and without pairs, as long as a round places
     many: so a behaviour that very many addresses share is worked off by its leaders.  Of what is
     left, pairs are made; leaders are the first maximal independent set of the order, found in rounds (all
     that precede their free neighbours at once), and each other set belongs to its earliest leader.
     """
-    edges = _once(edges)  # read by each of the steps below
+    given, edges = edges, _once(edges)  # read by each of the steps below
     like = kept(_like_sets(edges))
-    own = kept(like.where("ip = same").select("ip", "n"))
-    one = kept(edges.select("ip", "cluster").join(own, "ip"))
-    total = kept(_total(one))
-    ranked = own.select("ip", F.struct(-F.col("n"), F.col("ip")).alias("_r"))
-    left, count, placed = one, own.count(), []
+    own = kept(ranked(like.where("ip = same").select("ip", "n"), [F.desc("n"), F.col("ip")], "r"))
+    left = kept(edges.select("ip", "cluster").join(own, "ip").select(F.col("r").alias("ip"), "cluster", "n"))
+    if edges is not given:
+        forget(edges)
+    total = kept(_total(left))
+    free, count, placed = own.select(F.col("r").alias("ip")), own.count(), []
     while count:
-        taken = kept(_first_of_all(left, total, threshold))
-        placed.append(taken.select("ip", F.col("lead.ip").alias("leader")))
-        before, left = left, kept(left.join(taken.select("ip"), "ip", "left_anti"))
+        taken = _first_of_all(left, total, threshold)
+        placed.append(taken)
+        before, left, free = left, kept(left.join(taken.select("ip"), "ip", "left_anti")), free.join(taken.select("ip"), "ip", "left_anti")
         forget(before)
-        done, count = taken.count(), left.select("ip").distinct().count()
+        done, count = taken.count(), free.count()
         if done < WORTH_A_ROUND * (done + count):
             break
     if count:
         left._is_once = True
-        placed.append(_by_pairs(left, ranked, threshold))
-    leaders = placed[0] if placed else like.select("ip", F.col("same").alias("leader")).limit(0)
-    for more in placed[1:]:
-        leaders = leaders.unionByName(more)
-    return like.join(leaders.withColumnRenamed("ip", "same"), "same").select("ip", "leader")
-
-
-def _by_pairs(edges: DataFrame, ranked: DataFrame, threshold: float) -> DataFrame:
-    """``(ip, leader)`` of addresses with unlike sets, from all pairs that score more than the threshold."""
-    pairs = kept(pair_scores(edges, threshold).select("a", "b"))
-    both = pairs.union(pairs.select("b", "a")).join(ranked.toDF("b", "rb"), "b").join(ranked.toDF("a", "ra"), "a")
-    both = kept(both.select("a", "b", "ra", "rb"))
-    forget(pairs)
-    live, leaders = both, None
+        placed.append(_by_pairs(left, kept(free), threshold))
+    forget(left, total)
+    named = own.select("ip", "r")
+    if placed:
+        leaders = placed[0].toDF("r", "lead")
+        for more in placed[1:]:
+            leaders = leaders.unionByName(more.toDF("r", "lead"))
+        named = named.join(leaders, "r").select("ip", F.col("lead").alias("r"))
+    named = named.toDF("same", "r").join(own.select("r", F.col("ip").alias("leader")), "r")
+    out = kept(like.join(named, "same").select("ip", "leader"))
+    forget(like, own, *placed)
+    return out
+
+
+def _by_pairs(edges: DataFrame, addresses: DataFrame, threshold: float) -> DataFrame:
+    """``(ip, leader)`` of ``addresses``, those of the edges, with unlike sets and as numbers in their order, from all pairs that score more than the threshold."""
+    pairs = kept(pair_scores(edges, threshold).select("a", "b"))  # a goes before b
+    live, rounds = pairs, []
     while not live.isEmpty():
-        first = kept(live.groupBy("a", "ra").agg(F.min("rb").alias("m")).where("ra < m").select(F.col("a").alias("b"), F.col("ra").alias("lead")))
-        leaders = first if leaders is None else leaders.unionByName(first)
-        gone = first.select("b").union(live.join(first, "b", "left_semi").select("a")).distinct()
-        before, live = live, kept(live.join(gone, "b", "left_anti").join(gone.withColumnRenamed("b", "a"), "a", "left_anti"))
-        if before is not both:
+        # Who comes after no free neighbour leads and takes all free ones.
+        later = kept(live.select(F.col("b").alias("a")).distinct())
+        rounds.append(kept(live.join(later, "a", "left_anti").select("b").distinct()))
+        gone = rounds[-1].select(F.col("b").alias("a"))
+        before, live = live, kept(live.join(later, "a", "left_semi").join(gone, "a", "left_anti").join(rounds[-1], "b", "left_anti").select("a", "b"))
+        forget(later)
+        if before is not pairs:
             forget(before)
-    own = edges.select("ip").distinct()
-    if leaders is None:
-        return own.select("ip", F.col("ip").alias("leader"))
-    # Who lost all neighbours to others before its turn leads too, and may precede the leaders found so far.
-    taken = both.join(leaders, "b", "left_semi").select(F.col("a").alias("ip")).distinct()
-    leaders = ranked.join(own, "ip", "left_semi").join(taken, "ip", "left_anti").select(F.col("ip").alias("b"), F.col("_r").alias("lead"))
-    mine = both.join(leaders, "b").groupBy("a").agg(F.min_by("b", "lead").alias("leader")).withColumnRenamed("a", "ip")
-    return own.join(mine, "ip", "left").select("ip", F.coalesce("leader", "ip").alias("leader"))
+    forget(live)
+    if not rounds:
+        return addresses.select("ip", F.col("ip").alias("leader"))
+    # Whoever isn't taken leads, also who lost all neighbours to others before its turn, and may precede the leaders that took these.
+    leading = pairs.join(kept_together(rounds).select(F.col("b").alias("a")), "a", "left_anti")
+    mine = leading.groupBy("b").agg(F.min("a").alias("leader")).withColumnRenamed("b", "ip")
+    found = kept(addresses.select("ip").join(mine, "ip", "left").select("ip", F.coalesce("leader", "ip").alias("leader")))
+    forget(pairs, *rounds)
+    return found
 
 
 def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:

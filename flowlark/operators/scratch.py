@@ -6,10 +6,13 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Whether what a query has shuffled goes with its end; else it stays until the driver collects its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _folder(spark: SparkSession) -> str:
@@ -35,14 +38,26 @@ def new_folder(spark: SparkSession) -> str:
     return path
 
 
+@contextlib.contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Queries that begin here leave no shuffled files behind; the session's own setting comes back."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet and read again: cuts the lineage of a loop, survives lost executors.
 
-    The files go when Python ends, or earlier by ``forget``.
+    The files go when Python ends, or earlier by ``forget``; what was shuffled on the way goes as soon as they are written.
     """
     spark = df.sparkSession
     path = new_folder(spark)
-    df.write.parquet(path)
+    with _cleaned(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flowlark.operators import behaviour as B
 from flowlark.operators import groups as G
 from flowlark.operators import report
-from flowlark.operators.scratch import kept
+from flowlark.operators.scratch import forget, kept
 from flowlark.plans.behaviour_queries import _PRUNED, _SIZES, _UEDGES, user_edges
 from flowlark.plans.session_queries import packets
 from flowlark.sources.packets import PACKETS_SQL
@@ -29,14 +29,16 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _all(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The retained edges, a written table as several steps read them, and the groups of their addresses."""
+    """The retained edges and the groups of their addresses, both written tables as several steps read them."""
     edges = B.prune(sessions(spark, d))
     return edges, B.groups(edges, THRESHOLD)
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
     edges, groups = _all(spark, d)
-    return G.retained(sessions(spark, d), edges).join(G.grouped(kept(groups)), "ip")
+    found = G.retained(sessions(spark, d), edges).join(kept(G.grouped(groups)), "ip")
+    forget(edges, groups)
+    return found
 
 
 #: Going down the order, each address that isn't taken takes those near it.
@@ -55,13 +57,16 @@ rolled AS (SELECT leader, count(*) AS sessions, count(DISTINCT ip) AS ips, count
 
 
 def ip_groups(spark: SparkSession, d: str) -> DataFrame:
-    return _all(spark, d)[1]
+    edges, groups = _all(spark, d)
+    forget(edges)
+    return groups
 
 
 def group_loners(spark: SparkSession, d: str) -> DataFrame:
     """Loners with their country, sessions and behaviours."""
     edges, groups = _all(spark, d)
-    alone = G.retained(sessions(spark, d), edges).join(G.loners(kept(groups)), "ip", "left_semi")
+    alone = G.retained(sessions(spark, d), edges).join(kept(G.loners(groups)), "ip", "left_semi")
+    forget(edges, groups)
     return alone.groupBy("ip", "country").agg(F.count("*").alias("sessions"), F.array_join(F.array_sort(F.collect_set("cluster")), ",").alias("clusters"))
 
 
@@ -93,7 +98,7 @@ def intention_default(spark: SparkSession, d: str) -> DataFrame:
 def groups_with_ip(spark: SparkSession, d: str) -> DataFrame:
     """The groups that hold the busiest address of each country (ties: the larger address)."""
     wanted = sessions(spark, d).groupBy("country", "ip").agg(F.count("*").alias("n")).groupBy("country").agg(F.max_by("ip", F.struct("n", "ip")).alias("ip"))
-    return _all(spark, d)[1].join(wanted, "ip").select("country", "ip", "leader")
+    return ip_groups(spark, d).join(wanted, "ip").select("country", "ip", "leader")
 
 
 def edge_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +141,7 @@ def grouped_statistics(spark: SparkSession, d: str) -> DataFrame:
 def loner_describe(spark: SparkSession, d: str) -> DataFrame:
     """How many behaviours those have who are alone in their group."""
     edges, groups = _all(spark, d)
-    n = edges.join(G.loners(kept(groups)), "ip", "left_semi").groupBy("ip").agg(F.count("*").alias("n"))
+    n = edges.join(G.loners(groups), "ip", "left_semi").groupBy("ip").agg(F.count("*").alias("n"))
     q = [F.percentile("n", F.lit(x)).alias(name) for x, name in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))]
     return n.agg(F.count("*").alias("loners"), F.round(F.avg("n"), 9).alias("mean"), F.min("n").alias("low"), F.max("n").alias("high"), *q)
 
@@ -164,7 +169,7 @@ def behaviour_country_argmax(spark: SparkSession, d: str) -> DataFrame:
 def loner_report(spark: SparkSession, d: str) -> DataFrame:
     """A row for each address alone in its group: how many clusters and protocols, its country and the first of its clusters."""
     edges, groups = _all(spark, d)
-    alone = kept(G.retained(sessions(spark, d), edges).join(G.loners(kept(groups)), "ip", "left_semi"))
+    alone = kept(G.retained(sessions(spark, d), edges).join(G.loners(groups), "ip", "left_semi"))
     counted = alone.groupBy("ip").agg(F.countDistinct("cluster").alias("clusters"), F.countDistinct("proto").alias("protocols"))
     return counted.join(report.report_rows(alone, ["ip"], {"country": 9, "cluster": 10}), "ip").select("ip", "clusters", "protocols", F.col("country").alias("countries"), F.col("cluster").alias("first_clusters"))
 

@@ -1,12 +1,15 @@
 """Groups with many equal sets, their figures, and stored sessions, against plain Python."""
 
 import math
+import os
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from flowlark.operators import behaviour as B
 from flowlark.operators import groups as G
+from flowlark.operators.scratch import kept
 from flowlark.sources import stores
 from flowlark.sources.packets import from_events
 from flowlark.streaming.sessions import session_windows
@@ -146,3 +149,27 @@ def test_rows_of_an_address_stand_together(spark):
     groups = B.groups(edges, 0.3)
     wanted = sorted(map(tuple, G.sessions_of(sessions, edges, groups).select("ip", "cluster", "time", "leader").collect()))
     assert sorted(map(tuple, found.join(groups, "ip").select("ip", "cluster", "time", "leader").collect())) == wanted and wanted
+
+
+def test_written_tables_leave_nothing_shuffled(spark):
+    blocks = lambda: set(disk.getAllBlocks().mkString("\n").split("\n"))
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = blocks(), spark.conf.get(key, None)
+    assert kept(spark.range(50_000).repartition(7, "id").groupBy((F.col("id") % 1000).alias("k")).count()).count() == 1000
+    deadline = time.time() + 10
+    left = lambda: [b for b in blocks() - before if "shuffle_" in b and b.endswith("data")]
+    while len(left()) > 4 and time.time() < deadline:  # files go in the background; those of count() stay for a while
+        time.sleep(0.2)
+    assert len(left()) <= 4
+    assert spark.conf.get(key, None) == setting
+
+
+def test_groups_leave_no_table_of_edges(spark):
+    rng = random.Random(5)
+    edges = [(ip, c) for ip in range(60) for c in rng.sample(range(10), rng.randint(2, 6))]
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert {r.ip: r.leader for r in B.groups(spark.createDataFrame(edges, "ip long, cluster long"), 0.6).collect()} == greedy(edges, 0.6)
+    left = [f"{folder}/{x}" for x in set(os.listdir(folder)) - before if any(f.endswith(".parquet") for f in os.listdir(f"{folder}/{x}"))]
+    assert not [p for p in left if {"ip", "cluster"} <= set(spark.read.parquet(p).columns) or {"a", "b"} <= set(spark.read.parquet(p).columns)]
