@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from .scratch import small_batches
 
 ROUNDS = 8
+#: A round mixes at most 256 bits of each half: up to so many bits a text is one number, a longer one goes in pieces of so many characters.
+WHOLE_BITS, PIECE = 512, 64
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -69,6 +71,16 @@ class Feistel:
             out.append(d)
         return out[::-1]
 
+    def pieces(self, digits: list[int], bases: list[int], kind: str, back: bool = False) -> list[int]:
+        """``mixed`` for any length: PIECE by PIECE, each in a way that depends on all plain digits before it."""
+        out, before = [], hashlib.blake2b(kind.encode(), digest_size=32)
+        for at in range(0, len(digits), PIECE):
+            old = digits[at : at + PIECE]
+            new = self.mixed(old, bases[at : at + PIECE], f"piece{before.hexdigest()}", back)
+            before.update(bytes(new if back else old))
+            out += new
+        return out
+
     def characters(self, text: str, kind: str, back: bool = False) -> str:
         """Each digit, small or capital letter becomes one of its sort; the rest stays."""
         sorts = [_SORT_OF.get(c) for c in text]
@@ -76,7 +88,13 @@ class Feistel:
         if not known:
             return text
         shape = "".join("-dlu3456789"[0 if s is None else 1 + s] for s in sorts)
-        new = iter(self.mixed([d for d, _ in known], [b for _, b in known], f"{kind}{shape}", back))
+        size = 1
+        for _, b in known:
+            size *= b
+            if size >> WHOLE_BITS:
+                break
+        change = self.pieces if size >> WHOLE_BITS else self.mixed
+        new = iter(change([d for d, _ in known], [b for _, b in known], f"{kind}{shape}", back))
         return "".join(c if s is None else SORTS[s][next(new)] for c, s in zip(text, sorts, strict=True))
 
 
@@ -307,7 +325,8 @@ def protect(docs: DataFrame, key: bytes, columns: list[str] | None = None) -> Da
     valid stays, but all that starts within it is tried; a card or account number
     ends behind the first groups that make a valid one of a usual length.  Only where
     a pseudonym would make such a text around it valid is it permuted again, so
-    there a value may differ from its pseudonym elsewhere.  Dates keep how many digits day and month have, so ``1/2/1999``
+    there a value may differ from its pseudonym elsewhere.
+    Values of any length go as a whole up to 512 bits, else in pieces of 64 characters.  Dates keep how many digits day and month have, so ``1/2/1999``
     and ``01/02/1999`` have pseudonyms of their own.  A null text stays null, an empty one empty; texts of any length are
     read whole; repeated rows and rows without a doc_id are rewritten alike and kept.  Columns named like a
     new one are replaced.
