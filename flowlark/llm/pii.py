@@ -183,6 +183,14 @@ def _ip(f: Feistel, text: str, back: bool) -> str | None:
     return ".".join(map(str, f.mixed(parts, [256] * 4, "ip", back)))
 
 
+def _ip_as_long(f: Feistel, text: str, back: bool) -> str:
+    """Each number keeps how many digits it has."""
+    parts = text.split(".")
+    low, base = zip(*({1: (0, 10), 2: (10, 90), 3: (100, 156)}[len(x)] for x in parts), strict=True)
+    new = f.mixed([int(x) - y for x, y in zip(parts, low, strict=True)], list(base), f"ip{[len(x) for x in parts]}", back)
+    return ".".join(str(x + y) for x, y in zip(new, low, strict=True))
+
+
 #: Dates are permuted among the days of these years.
 _FIRST_DAY, _LAST_DAY = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
 
@@ -287,30 +295,75 @@ def _candidates(text: str, m: re.Match) -> Iterator[tuple[str, int, Callable]]:
             yield kind, start + end, make
 
 
+#: What reaches into an IP address and depends on how long its numbers are begins at most so far before it and ends no further behind it.
+_REACH = 64
+#: Stands before an IP address that would be part of a phone number with a few more digits: hardly any other address fits there.
+_DIALLED = re.compile(r"(?<![\w.+-])\+[2-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){0,6}[ .-]?\(?\Z", re.ASCII)
+#: Ends what is of any length: e-mail addresses and secrets.
+_BREAK = re.compile(rf"[^A-Za-z0-9{_MORE}._%+/@-]")
+
+
+def _next(text: str, at: int, feistel: Feistel, back: bool) -> tuple[tuple[int, int, str, Callable, str] | None, list[tuple[int, int, Callable]]]:
+    """((start, end, kind, how, pseudonym) of the first personal data from ``at`` on, what looked alike before and wasn't valid)."""
+    failed = []
+    while m := _PATTERN.search(text, at):
+        for kind, end, make in _candidates(text, m):
+            made = make(feistel, text[m.start() : end], back)
+            if made is not None:
+                return (m.start(), end, kind, make, made), failed
+            failed.append((m.start(), end, make))
+        at = m.start() + 1
+    return None, failed
+
+
+def _found_again(text: str, taken: list[tuple[int, int, str]], start: int, end: int, made: str, feistel: Feistel, back: bool) -> bool:
+    """Whether a search finds ``made`` where it stands instead of the IP address ``text[start:end]``, and shortly before it what was ``taken``.
+
+    Its numbers may be longer or shorter, so that others reach further into it, or not as far.
+    """
+    low, want = max(start - _REACH, 0), [(start, start + len(made), "ip")]
+    for one in reversed(taken):
+        if one[0] < low:
+            low = max(low, one[1])
+            break
+        want.append(one)
+    base, stop = max(low - 1, 0), _BREAK.search(text, end + _REACH)
+    near, at = text[base:start] + made + text[end : stop.end() if stop else len(text)], low - base
+    for first, last, kind in reversed(want):
+        one, _ = _next(near, at, feistel, back)
+        if one is None or one[:3] != (first - base, last - base, kind):
+            return False
+        at = one[1]
+    return True
+
+
 def pseudonymise(text: str, feistel: Feistel, back: bool = False) -> tuple[str, dict[str, int]]:
     """(the text with pseudonyms, how many of each kind); ``back`` restores a text that this made."""
     found: dict[str, int] = {}
     if not _HINT.search(text):
         return text, found
-    out, at, m = [], 0, _PATTERN.search(text)
+    out, at = [], 0
     failed: list[tuple[int, int, Callable]] = []  # what looked alike, wasn't valid and may reach into what comes
-    while m:
-        start, taken = m.start(), None
-        failed = [x for x in failed if x[1] > start]
-        for kind, end, make in _candidates(text, m):
-            made = make(feistel, text[start:end], back)
-            if made is None:
-                failed.append((start, end, make))
-                continue
-            # What failed must fail beside the pseudonym too, or the way back would take it.
-            while any(x < end and y > start and other(feistel, text[x:start] + made[: max(y - start, 0)] + text[end:y], back) is not None for x, y, other in failed):
+    taken: list[tuple[int, int, str]] = []
+    while True:
+        one, alike = _next(text, at, feistel, back)
+        if one is None:
+            return "".join(out) + text[at:], found
+        start, end, kind, make, made = one
+        failed = [x for x in [*failed, *alike] if x[1] > start]
+        if kind == "ip":
+            if _DIALLED.search(text, max(start - _REACH, 0), start):
+                make = _ip_as_long
+                made = make(feistel, text[start:end], back)
+            while not _found_again(text, taken, start, end, made, feistel, back):
                 made = make(feistel, made, back)
-            found[kind] = found.get(kind, 0) + 1
-            out += [text[at:start], made]
-            at = taken = end
-            break
-        m = _PATTERN.search(text, start + 1 if taken is None else taken)
-    return "".join(out) + text[at:], found
+        # What failed must fail beside the pseudonym too, or the way back would take it; all others are as long as what they stand for.
+        while kind != "ip" and any(x < end and y > start and other(feistel, text[x:start] + made[: max(y - start, 0)] + text[end:y], back) is not None for x, y, other in failed):
+            made = make(feistel, made, back)
+        found[kind] = found.get(kind, 0) + 1
+        out += [text[at:start], made]
+        taken.append((start, end, kind))
+        at = end
 
 
 def protect(docs: DataFrame, key: bytes, columns: list[str] | None = None) -> DataFrame:
@@ -324,8 +377,8 @@ def protect(docs: DataFrame, key: bytes, columns: list[str] | None = None) -> Da
     different, and the holder of the key can go back.  What looks alike but isn't
     valid stays, but all that starts within it is tried; a card or account number
     ends behind the first groups that make a valid one of a usual length.  Only where
-    a pseudonym would make such a text around it valid is it permuted again, so
-    there a value may differ from its pseudonym elsewhere.
+    a pseudonym would make such a text around it valid is it permuted again, and an IP address behind the beginning of a phone number keeps how long
+    its numbers are, so there a value may differ from its pseudonym elsewhere.  (Where what looks alike spans two values and more, the way back may miss them.)
     Values of any length go as a whole up to 512 bits, else in pieces of 64 characters.  Dates keep how many digits day and month have, so ``1/2/1999``
     and ``01/02/1999`` have pseudonyms of their own.  A null text stays null, an empty one empty; texts of any length are
     read whole; repeated rows and rows without a doc_id are rewritten alike and kept.  Columns named like a

@@ -247,6 +247,17 @@ def test_pii_comes_back_beside_other_digits():
         assert found["card"] == 1 and pii.pseudonymise(new, f, back=True)[0] == text
 
 
+def test_pii_of_addresses_behind_other_digits():
+    f, r = pii.Feistel(b"k"), random.Random(6)
+    texts = ["1700000000021 10.0.0.21", "DE12 3456 7890 123.45.67.89", "12345678901 1.2.3.4", "+32 7.5.8.8", "token=abcde-1.2.3.4", "10.0.0.1..x@y.de"]
+    for _ in range(300):
+        address = ".".join(str(r.choice([r.randrange(10), r.randrange(256)])) for _ in range(4))
+        texts.append("".join(r.choices("0123456789", k=r.randrange(1, 19))) + r.choice([" ", "-"]) + address + r.choice(["", " 12"]))
+    for text in texts:
+        new, found = pii.pseudonymise(text, f)
+        assert found and pii.pseudonymise(new, f, back=True)[0] == text, text
+
+
 def test_pii_of_very_long_values():
     f, r = pii.Feistel(b"k"), random.Random(7)
     for n in (40, 120, 600, 3000, 20_000):
