@@ -21,22 +21,43 @@ from flowlark.operators.behaviour import ranked
 from flowlark.operators.scratch import forget, kept, kept_together
 
 
+def _hashes(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(part, hash, l, r, x, id)``, a written table: distinct hashes of ``left`` and ``right``, on which side they are, shortened, and their numbers."""
+    yes, no = F.lit(True), F.lit(False)
+    rows = left.select("part", "hash", yes.alias("l"), no.alias("r")).unionByName(right.select("part", "hash", no.alias("l"), yes.alias("r")))
+    once = rows.where("part is not null and hash is not null").groupBy("part", "hash").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    return kept(once.withColumn("x", shortened(F.col("hash"))).withColumn("id", F.monotonically_increasing_id()))
+
+
+def _scored(nodes: DataFrame) -> DataFrame:
+    """``(part, a, b, i, j, score)`` of ``_hashes`` that score more than 0, from the left to the right, by name and by number; see ``alike``."""
+    of = nodes.select("id", "l", "r", F.xxhash64("part").alias("p"), F.explode(grams(F.col("hash"))).alias("gram")).select("id", "l", "r", F.xxhash64("p", "gram").alias("gram"))
+    gram = Window.partitionBy("gram")
+    sums = [F.bit_xor(F.xxhash64("id", F.lit(seed))).over(gram).alias(f"s{seed}") for seed in (1, 2)]
+    shared = of.select("id", "l", "r", F.count("*").over(gram).alias("n"), F.max("l").over(gram).alias("al"), F.max("r").over(gram).alias("ar"), *sums)
+    common = kept(shared.where("n > 1 and al and ar").select("id", "l", "r", F.xxhash64("n", "s1", "s2").alias("gram")).distinct())
+    met = common.toDF("i", "il", "ir", "gram").join(common.toDF("j", "jl", "jr", "gram").hint("merge"), "gram").where("i < j and (il and jr or ir and jl)").select("i", "j").distinct()
+    one, other = (nodes.select(F.col("id").alias(i), F.col("part").alias(f"{i}p"), F.col("hash").alias(h), F.col("x").alias(f"{i}x"), F.col("l").alias(f"{i}l"), F.col("r").alias(f"{i}r")) for i, h in (("i", "a"), ("j", "b")))
+    near = met.join(one, "i").join(other, "j").where("ip = jp and ix <> jx")
+    near = near.select(F.col("ip").alias("part"), "a", "b", "i", "j", "il", "ir", "jl", "jr", fuzzy_compare("a", "b").alias("score"))
+    back = F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("j").alias("i"), F.col("i").alias("j"))
+    # Scores are filtered by what is made of them, as Spark would work out a filter of their own a second time.
+    ways = F.array(F.when(F.expr("score > 0 and il and jr"), F.struct("a", "b", "i", "j")), F.when(F.expr("score > 0 and jl and ir"), back))
+    near = near.select("part", F.explode(ways).alias("way"), "score").where("way is not null").select("part", "way.*", "score")
+    l, r = (nodes.where(side).select("part", "x", F.col("hash").alias(h), F.col("id").alias(i)) for side, h, i in (("l", "a", "i"), ("r", "b", "j")))
+    return near.unionByName(l.join(r, ["part", "x"]).select("part", "a", "b", "i", "j", F.lit(100).alias("score")))
+
+
 def alike(left: DataFrame, right: DataFrame) -> DataFrame:
     """``(part, a, b, score)`` of all distinct hashes that score more than 0; ``left`` and ``right`` are ``(part, hash)``.
 
-    Only pairs with seven characters in common are scored, each once.  Hashes that are equal once their long runs of
+    Only pairs with seven characters in common are scored, each once whichever side they are on.  Hashes that are equal once their long runs of
     one character are shortened score 100, whatever their length.
-    Work is that of the pairs which share such characters; equal payloads count once.  Hashes go by numbers until they meet.  Spark takes
-    exploded rows for as few as they come from, so that join says itself that nothing is broadcast.
+    Work is that of the pairs which share such characters; equal payloads count once, and so do sevens that the same hashes have.  Hashes and sevens go by
+    numbers until they meet: should two sevens have one number, more pairs meet, which then score 0.  What a single hash has is dropped before the join, and
+    what was shuffled for that is gone by then.  Spark takes exploded rows for as few as they come from, so that join says itself that nothing is broadcast.
     """
-    sides = [kept(df.where("hash is not null").select("part", "hash").distinct().withColumn("x", shortened(F.col("hash"))).withColumn("id", F.monotonically_increasing_id())) for df in (left, right)]
-    l, r = sides
-    some = [side.select("part", "id", F.explode(grams(F.col("hash"))).alias("gram")) for side in sides]
-    met = some[0].withColumnRenamed("id", "i").join(some[1].withColumnRenamed("id", "j").hint("merge"), ["part", "gram"]).select("i", "j").distinct()
-    near = met.join(l.select("part", F.col("id").alias("i"), F.col("hash").alias("a"), "x"), "i").join(r.select(F.col("id").alias("j"), F.col("hash").alias("b"), F.col("x").alias("y")), "j")
-    near = near.where("x <> y").select("part", "a", "b", fuzzy_compare("a", "b").alias("score"))
-    equal = l.select("part", "x", F.col("hash").alias("a")).join(r.select("part", "x", F.col("hash").alias("b")), ["part", "x"]).select("part", "a", "b", F.lit(100).alias("score"))
-    return near.where("score > 0").unionByName(equal)
+    return _scored(_hashes(left, right)).select("part", "a", "b", "score")
 
 
 def numbered(payloads: DataFrame) -> DataFrame:
@@ -63,16 +84,24 @@ def links(payloads: DataFrame, threshold: float = 0.0, within: str | None = None
     All links are rows here; ``leader_clusters`` does without them.  With ``within``, a further column of ``payloads``, only
     sessions of one value of it find each other, and no others meet.
     """
-    more = [within] if within else []
     payloads = payloads.where("hash is not null")
     targets = probes(payloads)
-    scored = alike(targets.select("part", "hash"), payloads.select("part", "hash"))
-    means = targets.withColumnRenamed("hash", "a").join(scored, ["part", "a"]).groupBy("part", F.col("idx").alias("from"), "b", "probes").agg((F.sum("score") / F.col("probes")).alias("mean"))
-    means = means.where(F.col("mean") > threshold)
-    owners = payloads.select("part", F.col("hash").alias("b"), "idx", *more).distinct()
     if within:
-        means = means.join(payloads.select("part", F.col("idx").alias("from"), within).distinct(), ["part", "from"])
-    return means.join(owners, ["part", "b", *more]).where("`from` <> idx").select("part", F.col("from").alias("a"), F.col("idx").alias("b"), *more).distinct()
+        # The value is a further part: sessions of others don't even meet.
+        payloads = payloads.where(F.col("part").isNotNull() & F.col(within).isNotNull())
+        targets = targets.join(payloads.select("part", "idx", within).distinct(), ["part", "idx"]).withColumn("part", F.struct("part", within))
+        payloads = payloads.withColumn("part", F.struct("part", within))
+    nodes = _hashes(targets.select("part", "hash"), payloads.select("part", "hash"))
+    scored = kept(_scored(nodes).select("i", "j", "score"))
+    # Pairs, of which there may be many, are rows of numbers from here on.
+    parts = kept(nodes.select("part").distinct().withColumn("pid", F.monotonically_increasing_id()))
+    known = kept(nodes.join(parts, "part").select("part", "hash", "id", "pid"))
+    found = targets.join(known, ["part", "hash"]).select("pid", F.col("idx").alias("a"), "probes", F.col("id").alias("i")).join(scored, "i")
+    if threshold > 0:  # else any score is above it
+        found = found.groupBy("pid", "a", "j", "probes").agg((F.sum("score") / F.col("probes")).alias("mean")).where(F.col("mean") > threshold)
+    owners = payloads.select("part", "hash", "idx").distinct().join(known, ["part", "hash"]).select(F.col("id").alias("j"), F.col("idx").alias("b"))
+    found = found.join(owners, "j").where("a <> b").select("pid", "a", "b").distinct().join(parts, "pid").select("part", "a", "b")
+    return found.select("part.part", "a", "b", f"part.{within}") if within else found
 
 
 #: Links are rows if they are at most so many times the rows of the graph that stands for them otherwise; so many of them, once counted, are
@@ -407,7 +436,7 @@ def leader_clusters(payloads: DataFrame, threshold: float = 0.0) -> DataFrame:
 
 def same_address_links(payloads: DataFrame, sessions: DataFrame, threshold: float = 0.0) -> DataFrame:
     """``links`` between sessions of one source address; ``sessions`` is ``(part, idx, ip_src)``. Sessions of other addresses never meet."""
-    of = payloads.join(sessions.where("ip_src is not null").select("part", "idx", "ip_src"), ["part", "idx"])
+    of = kept(payloads.join(sessions.where("ip_src is not null").select("part", "idx", "ip_src"), ["part", "idx"]))
     return links(of, threshold, "ip_src")
 
 

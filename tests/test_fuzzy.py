@@ -1,9 +1,12 @@
 """Fuzzy hashes and what is built on them, against plain Python written from the definitions."""
 
 import random
+import uuid
 from collections import defaultdict
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from flowlark.functions.fuzzy import PIECE_PRIME, PIECE_START, ALPHABET, compare_hashes, compare_many, hash_bytes
 from flowlark.operators import fuzzy_clusters as C
@@ -352,6 +355,27 @@ def test_sevens_of_hashes_are_never_broadcast(spark):
     assert {(r.part, r.a, r.b): r.score for r in found.collect()} == wanted
 
 
+def test_hashes_of_other_addresses_are_not_scored(spark, monkeypatch, tmp_path):
+    """Each pair of one address is scored once, whichever way it links."""
+
+    @F.pandas_udf("int")
+    def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+        (tmp_path / uuid.uuid4().hex).write_text(str(len(a)))
+        return pd.Series([compare_hashes(x, y) for x, y in zip(a, b, strict=True)])
+
+    monkeypatch.setattr(C, "fuzzy_compare", counted)
+    r = random.Random(8)
+    body = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=40))
+    hashes = [f"96:{body[:i]}{i % 10}{body[i:]}:{body[i:]}" for i in range(40)]
+    payloads = spark.createDataFrame([("p", i, 0, h) for i, h in enumerate(hashes)] + [("p", 40, 0, hashes[0]), (None, 41, 0, hashes[0])], "part string, idx int, pos int, hash string")
+    sessions = spark.createDataFrame([("p", i, f"10.0.0.{i % 8}") for i in range(41)] + [(None, 41, "10.0.0.0")], "part string, idx int, ip_src string")
+    got = {(x.part, x.a, x.b, x.ip_src) for x in C.same_address_links(payloads, sessions).collect()}
+    all_ = [*hashes, hashes[0]]
+    assert got == {("p", a, b, f"10.0.0.{a % 8}") for a in range(41) for b in range(41) if a != b and a % 8 == b % 8 and compare_hashes(all_[a], all_[b]) > 0}
+    assert len(got) == 8 * 5 * 4 + 10
+    assert sum(int(x.read_text()) for x in tmp_path.iterdir()) == 8 * 10
+
+
 @pytest.mark.parametrize(("chunk", "seed"), [(40, 1), (150, 2), (1, 3), (1 << 20, 4)])
 def test_turns_taken_in_chunks(spark, monkeypatch, chunk, seed):
     """Dense and sparse links, in chunks so small that those outside a chunk are taken within it."""
