@@ -173,3 +173,29 @@ def test_groups_leave_no_table_of_edges(spark):
     assert {r.ip: r.leader for r in B.groups(spark.createDataFrame(edges, "ip long, cluster long"), 0.6).collect()} == greedy(edges, 0.6)
     left = [f"{folder}/{x}" for x in set(os.listdir(folder)) - before if any(f.endswith(".parquet") for f in os.listdir(f"{folder}/{x}"))]
     assert not [p for p in left if {"ip", "cluster"} <= set(spark.read.parquet(p).columns) or {"a", "b"} <= set(spark.read.parquet(p).columns)]
+
+
+def test_blocks_do_not_multiply(spark, monkeypatch):
+    """Blocks are shuffled once for each other, so many sets make large blocks, compared in smaller ones."""
+    monkeypatch.setattr(B, "FEW_BEHAVIOURS", 1024)
+    monkeypatch.setattr(B, "BLOCK", 16)
+    monkeypatch.setattr(B, "STRIP", 8)
+    monkeypatch.setattr(B, "BLOCKS", 9)
+    written, write = [], B.kept
+    monkeypatch.setattr(B, "kept", lambda df: written.append(write(df)) or written[-1])
+    r = random.Random(3)
+    sets = {i: set(r.sample(range(70), r.randrange(1, 60))) for i in range(400)}
+    df = spark.createDataFrame([(i, f"c{c}") for i, s in sets.items() for c in s], "ip long, cluster string")
+    got = {(x.a, x.b): (x.common, round(x.score, 9)) for x in B.pair_scores(df, 0.2).collect()}
+    blocks = [t for t in written if "bits" in t.columns]
+    assert [t.count() for t in blocks] == [9]
+    total = len(set().union(*sets.values()))
+    want = {}
+    for a in sets:
+        for b in range(a + 1, 400):
+            common, n, m = len(sets[a] & sets[b]), len(sets[a]), len(sets[b])
+            p = max(n, m) / total
+            score = p * (common / (n * m) ** 0.5) + (1 - p) * (common / (n + m - common))
+            if score > 0.2:
+                want[a, b] = (common, round(score, 9))
+    assert got == want
